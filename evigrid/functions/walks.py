@@ -11,12 +11,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .json_values import as_array, as_object, digest, type_tag
+from .json_values import as_array, as_object, as_text, digest, type_tag
 from .texts import SENSITIVE, is_sensitive
 
 MAX_DEPTH = 6
 _SENSITIVE_NAME = re.compile(SENSITIVE)
-MEMBER = "struct<path:string,key:string,type:string,depth:int>"
+MEMBER = "struct<path:string,key:string,type:string,text:string,depth:int>"
 
 
 def _children(v: Column) -> Column:
@@ -40,8 +40,16 @@ def has_member(v: Column, names: list[str], levels: int = 12) -> Column:
     return here | F.coalesce(F.exists(_children(v), lambda c: has_member(c, names, levels - 1)), F.lit(False))
 
 
+def _entries(v: Column) -> Column:
+    """Children as (key, value); list elements have no key. One lambda variable per child
+    keeps the walk linear in its depth."""
+    none = F.lit(None).cast("string")
+    return F.coalesce(F.map_entries(as_object(v)), F.transform(
+        as_array(v), lambda x: F.struct(none.alias("key"), x.alias("value"))))
+
+
 def structure_members(v: Column, levels: int = MAX_DEPTH + 1) -> Column:
-    """Array of (path, key, type, depth) for every object member; sensitive names are left out.
+    """Array of (path, key, type, text, depth) for every object member; sensitive names are left out.
 
     List positions add no path step, so the members of all elements share a path.
     """
@@ -50,28 +58,30 @@ def structure_members(v: Column, levels: int = MAX_DEPTH + 1) -> Column:
     def walk(node: Column, path: Column, depth: int) -> Column:
         if depth > levels:
             return empty
-        names = F.filter(F.map_keys(as_object(node)), lambda k: ~is_sensitive(k))
-        members = F.flatten(F.transform(names, lambda k: F.concat(
-            F.array(F.struct(F.concat(path, F.lit("/"), k).alias("path"), k.alias("key"),
-                             type_tag(F.element_at(as_object(node), k)).alias("type"),
-                             F.lit(depth).alias("depth"))),
-            walk(F.element_at(as_object(node), k), F.concat(path, F.lit("/"), k), depth + 1))))
-        elements = F.flatten(F.transform(as_array(node), lambda e: walk(e, path, depth + 1)))
-        return F.coalesce(members, elements, empty)
+
+        def visit(child: Column) -> Column:
+            key, value = child["key"], child["value"]
+            below = F.concat(path, F.coalesce(F.concat(F.lit("/"), key), F.lit("")))
+            own = F.struct(below.alias("path"), key.alias("key"), type_tag(value).alias("type"),
+                           as_text(value).alias("text"), F.lit(depth).alias("depth"))
+            return F.concat(F.when(key.isNull(), empty).otherwise(F.array(own)), walk(value, below, depth + 1))
+
+        shown = F.filter(_entries(node), lambda c: c["key"].isNull() | ~is_sensitive(c["key"]))
+        return F.coalesce(F.flatten(F.transform(shown, visit)), empty)
 
     return walk(v, F.lit(""), 0)
 
 
 def nested_subtrees(v: Column, levels: int = 8) -> Column:
-    """Digests of every non-empty nested container (the value itself is left out)."""
+    """Digests of every non-empty nested container down to ``levels`` (the value itself is left out)."""
     empty = F.array().cast("array<string>")
 
     def walk(node: Column, depth: int) -> Column:
         if depth > levels:
             return empty
-        kids = F.filter(_children(node), lambda c: F.coalesce(F.size(_children(c)), F.lit(0)) > 0)
-        own = F.transform(kids, digest)
-        return F.coalesce(F.concat(own, F.flatten(F.transform(kids, lambda c: walk(c, depth + 1)))), empty)
+        kids = F.filter(_children(node), lambda c: F.size(_children(c)) > 0)
+        return F.coalesce(F.flatten(F.transform(kids, lambda c: F.concat(
+            F.array(digest(c)), walk(c, depth + 1)))), empty)
 
     return F.array_sort(F.array_distinct(walk(v, 0)))
 

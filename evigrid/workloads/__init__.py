@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("collection",)
+FAMILIES = ("collection", "admission", "retrieval")
 
 
 def load_all():

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("collection", "admission", "retrieval")
+FAMILIES = ("collection", "admission", "retrieval", "overlap")
 
 
 def load_all():

@@ -72,7 +72,7 @@ if __name__ == "__main__":
     spark = build_session(master="local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "20g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(folder)
     bad = 0
     for name, fn in queries.items():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # JSON member names differ by case ("Id" and "id" are two fields).
@@ -43,4 +46,20 @@ def shared_folder(spark: SparkSession, default: str | None = None) -> str:
         return folder.rstrip("/")
     if default:
         return default.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        # One machine: its own temporary folder is shared by definition.
+        return _local_folder()
     raise ValueError("spark.checkpoint.dir is not set")
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="evigrid-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: later stages read the written result, which survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

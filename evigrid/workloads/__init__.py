@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("collection", "admission", "retrieval", "overlap")
+FAMILIES = ("collection", "admission", "retrieval", "overlap", "html")
 
 
 def load_all():

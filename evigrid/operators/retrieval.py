@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.texts import tokens
 from ..plans.knowledge import FEATURES
-from ..plans.taxonomy import CATEGORIES, RESTRICTED_CATEGORIES, classify, failure_phase
+from ..plans.taxonomy import CATEGORIES, RESTRICTED_CATEGORIES, classify, failure_phase, trusted_code
 
 # Okapi parameters, gate weights, result size.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -170,7 +170,7 @@ def retrieve(query_terms: DataFrame, query_context: DataFrame, cases: DataFrame,
 
 def failure_diagnosis(failures: DataFrame) -> DataFrame:
     """Classified failures with their lifecycle bucket; unclassified ones have no diagnosis."""
-    known = classify(failures).filter("is_classified")
+    known = classify(failures.withColumn("error_code", trusted_code(F.col("error_code")))).filter("is_classified")
     return known.withColumn("failure_phase", failure_phase(F.col("phase")))
 
 

@@ -202,7 +202,7 @@ q AS (SELECT k AS query_id, unnest(['page', k, 'id','amount','state','total','mo
   FROM scores WHERE score>0) WHERE rank<=2 GROUP BY ALL)
 """ + outcome(3).replace("WITH seq", ", seq", 1) + """
 SELECT source_id, code AS error_code, CASE code WHEN 'pointer_not_found' THEN 'planning' ELSE 'execution' END AS failure_phase, cases
-FROM outcome JOIN best ON query_id = CASE drift WHEN 5 THEN 'entries' WHEN 6 THEN 'others' ELSE 'rows' END WHERE code IS NOT NULL""")
+FROM outcome JOIN best ON query_id = CASE drift WHEN 5 THEN 'entries' WHEN 6 THEN 'others' ELSE 'rows' END WHERE code <> 'incomplete_items'""")
 def failure_diagnosis(spark, d):
     """Failed sources get the cases that best match their captured structure.
 

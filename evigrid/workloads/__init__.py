@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("collection", "admission", "retrieval", "overlap", "html", "lifecycle", "repair")
+FAMILIES = ("collection", "admission", "retrieval", "overlap", "html", "lifecycle", "repair", "bundle")
 
 
 def load_all():

@@ -12,9 +12,8 @@ from pyspark.sql import Column, functions as F, types as T
 ARRAY = "array<variant>"
 OBJECT = "map<string,variant>"
 
-_TAGS = {"VOID": "null", "BOOLEAN": "boolean", "BIGINT": "integer", "STRING": "string",
-         "ARRAY": "array", "OBJECT": "object", "DECIMAL": "number", "DOUBLE": "number",
-         "FLOAT": "number"}
+_TAGS = {"BIGINT": "integer", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null",
+         "DOUBLE": "number", "FLOAT": "number", "ARRAY<VOID>": "array", "OBJECT<>": "object"}
 
 
 def as_array(v: Column) -> Column:
@@ -36,9 +35,13 @@ def type_tag(v: Column) -> Column:
     Whole numbers wider than 64 bits come back from Spark as DECIMAL(19+,0); a written
     ``1.0`` is DECIMAL(1,0), so the width tells the two apart.
     """
-    name = F.regexp_replace(F.schema_of_variant(v), r"^DECIMAL\((19|[23]\d),0\)$", "BIGINT")
+    kind = F.schema_of_variant(v)
     table = F.create_map(*[F.lit(x) for pair in _TAGS.items() for x in pair])
-    return F.coalesce(F.element_at(table, F.regexp_extract(name, r"^([A-Z]+)", 1)), F.lit("missing"))
+    # Plain scalars end at the first lookup; the rest is only read for decimals and containers.
+    return F.coalesce(
+        F.try_element_at(table, kind),
+        F.when(kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer").when(kind.startswith("DECIMAL"), "number")
+        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object"), F.lit("missing"))
 
 
 def container_tag(v: Column) -> Column:
@@ -79,8 +82,19 @@ def pointer_path(pointer: Column, *, indexes: bool = False) -> Column:
                       F.concat(F.lit("["), plain, F.lit("]"))).otherwise(key)
 
     steps = F.transform(F.split(F.substring(pointer, 2, 100000), "/"), step)
-    return F.when(pointer == "", F.lit("$")).when(
+    path = F.when(pointer == "", F.lit("$")).when(
         pointer.startswith("/"), F.concat(F.lit("$"), F.array_join(steps, "")))
+    # The index form is needed only where some token can be a position.
+    return F.when(pointer.rlike("/(0|[1-9][0-9]*)(/|$)"), path) if indexes else path
+
+
+def pointer_paths(pointer: Column) -> Column:
+    """Both path forms of a pointer column, to be computed once per row and used by ``path_get``."""
+    return F.struct(pointer_path(pointer).alias("k"), pointer_path(pointer, indexes=True).alias("i"))
+
+
+def path_get(v: Column, paths: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, paths["k"], "variant"), F.try_variant_get(v, paths["i"], "variant"))
 
 
 def pointer_get(v: Column, pointer: str | Column) -> Column:
@@ -92,8 +106,7 @@ def pointer_get(v: Column, pointer: str | Column) -> Column:
         for token in pointer_tokens(pointer):
             v = _member(v, token)
         return v
-    return F.coalesce(F.try_variant_get(v, pointer_path(pointer), "variant"),
-                      F.try_variant_get(v, pointer_path(pointer, indexes=True), "variant"))
+    return path_get(v, pointer_paths(pointer))
 
 
 def pointer_error(v: Column, pointer: str) -> Column:
@@ -111,6 +124,11 @@ def pointer_error(v: Column, pointer: str) -> Column:
     return result
 
 
+def tagged(values: list[Column]) -> Column:
+    """Array of (t, s): type tag and scalar text, each value looked up once."""
+    return F.transform(F.array(*values), lambda v: F.struct(type_tag(v).alias("t"), as_text(v).alias("s")))
+
+
 def field_value(item: Column, pointer: str | Column, *, optional: bool = False) -> tuple[Column, Column]:
     """(value, violation): a missing optional member is NULL without violation."""
     value = pointer_get(item, pointer)
@@ -136,7 +154,7 @@ def digest_text(text: Column) -> Column:
 
 def set_digest(digests: Column) -> Column:
     """Order-free digest of an array of digests."""
-    return F.sha2(F.to_json(F.array_sort(F.array_distinct(digests))), 256)
+    return F.sha2(F.to_json(F.sort_array(F.array_distinct(digests))), 256)
 
 
 def digest_value(value: object) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from ..operators.collect import first_match
 from ..plans.specs import TargetPolicy
+from .json_values import digest
 from .texts import is_sensitive
 
 # Generic URI syntax: scheme, authority, path, query, fragment.
@@ -101,3 +102,10 @@ def checked_url(url: Column, policy: TargetPolicy | None = None) -> Column:
         (url.rlike(r"[\x00-\x20\\]"), "invalid_url"),
         (repeated_keys(pairs) | F.exists(pairs, lambda p: is_sensitive(p["key"])), "unsupported_query"))
     return F.coalesce(target, rest)
+
+
+def policy_hash(allowlist: Column, schemes: Column, mode: Column, target_kind: Column, entry_query: Column) -> Column:
+    """Content address of a policy row, the same as ``TargetPolicy.content_hash``."""
+    document = F.struct(F.lit(1).alias("schema_version"), mode.alias("mode"), target_kind.alias("target_kind"),
+                        allowlist.alias("allowlist"), schemes.alias("schemes"), entry_query.alias("entry_url_query_allowed"))
+    return digest(F.parse_json(F.to_json(document)))

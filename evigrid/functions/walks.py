@@ -83,7 +83,7 @@ def nested_subtrees(v: Column, levels: int = 8) -> Column:
         return F.coalesce(F.flatten(F.transform(kids, lambda c: F.concat(
             F.array(digest(c)), walk(c, depth + 1)))), empty)
 
-    return F.array_sort(F.array_distinct(walk(v, 0)))
+    return F.sort_array(F.array_distinct(walk(v, 0)))
 
 
 # Placeholders a redacted structure shows instead of values (fixed values).

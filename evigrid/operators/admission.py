@@ -218,10 +218,10 @@ def robots_rules(files: DataFrame) -> DataFrame:
         ((F.col("kind") == "allow") | (F.col("value") == "")).alias("allow")))
     groups = useful.groupBy("origin", "part").agg(
         F.collect_list(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"),
-        F.array_sort(F.collect_list(rule)).alias("rules"),
+        F.sort_array(F.collect_list(rule)).alias("rules"),
         F.bool_or(~F.col("kind").isin("agent", "blank")).alias("closed"))
     groups = groups.filter((F.size("agents") > 0) & F.col("closed"))
-    per_origin = groups.groupBy("origin").agg(F.array_sort(F.collect_list(
+    per_origin = groups.groupBy("origin").agg(F.sort_array(F.collect_list(
         F.struct("part", "agents", "rules"))).alias("groups"))
     return files.select("origin", "fetched").join(per_origin, "origin", "left")
 

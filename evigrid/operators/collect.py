@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.json_values import as_array, as_text, pointer_get, type_tag
+from ..functions.json_values import as_array, path_get, pointer_get, pointer_paths, tagged
 from ..plans.specs import FIELD_TYPES, SQL_TYPES, ExtractionPlan, FieldSpec, attach_plan
 
 BODY_LIMIT = 256 * 1024
@@ -64,19 +64,11 @@ def extract_items(pages: DataFrame, plan: ExtractionPlan) -> DataFrame:
         pointer_get(F.col("item"), path).alias(name) for name, path in plan.fields.items()])
 
 
-def _cells(item: Column, pointers: dict[str, str | Column]) -> Column:
-    """Narrow struct of (type tag, text) per field: only this travels through the shuffle."""
-    def cell(path):
-        value = pointer_get(item, path)
-        return F.struct(type_tag(value).alias("t"), as_text(value).alias("s"))
-    return F.struct(*[cell(path).alias(name) for name, path in pointers.items()])
-
-
 def _sample_code(node, items, first, total, more, total_ptr, more_ptr, required) -> Column:
     """Plan against its observed sample, first failing rule."""
     missing = F.lit(False)
-    for name in required:
-        missing = missing | (first[name]["t"] == "missing")
+    for index in required:
+        missing = missing | (first[index]["t"] == "missing")
     return first_match(
         (node == "missing", "pointer_not_found"),
         (items.isNull() | (F.size(items) == 0), "no_list_sample"),
@@ -88,30 +80,32 @@ def _sample_code(node, items, first, total, more, total_ptr, more_ptr, required)
 
 
 def _read_body(df: DataFrame, names: list[str], plan: ExtractionPlan | DataFrame) -> DataFrame:
-    """Parse ``body`` once and keep only what the checks need."""
-    df = attach_plan(df, plan)
-    df = scan_json_pages(df)
+    """Parse ``body`` once and keep only what the checks need.
+
+    Items become narrow structs of (type tag, text) per field; nothing else of a body
+    travels through the shuffle behind this step.
+    """
+    df = scan_json_pages(attach_plan(df, plan))
+    doc = F.col("document")
     if isinstance(plan, ExtractionPlan):
-        items_ptr, total_ptr, more_ptr = plan.items_pointer, plan.total_pointer, plan.has_next_pointer
-        pointers = dict(plan.fields)
+        def find(v, name):
+            pointer = plan.fields[name[2:]] if name.startswith("f_") else getattr(plan, name)
+            return F.lit(None).cast("variant") if pointer is None else pointer_get(v, pointer)
     else:
-        items_ptr, total_ptr, more_ptr = (F.col(c) for c in ("items_pointer", "total_pointer", "has_next_pointer"))
-        pointers = {n: F.element_at("fields", n) for n in names}
-    doc = F.col("document")
-    absent = F.lit(None).cast("string")
+        # Paths of plan columns are worked out once per page, not once per item.
+        pointers = {p: F.col(p) for p in ("items_pointer", "total_pointer", "has_next_pointer")}
+        pointers.update({f"f_{n}": F.element_at("fields", n) for n in names})
+        df = df.withColumns({f"_p_{p}": pointer_paths(c) for p, c in pointers.items()})
 
-    def cell(ptr):
-        if ptr is None:
-            return F.struct(F.lit("missing").alias("t"), absent.alias("s"))
-        value = pointer_get(doc, ptr)
-        return F.struct(type_tag(value).alias("t"), as_text(value).alias("s"))
+        def find(v, name):
+            return path_get(v, F.col(f"_p_{name}"))
 
-    node = pointer_get(doc, items_ptr)
-    return (df.withColumn("_node", node)
-            .withColumn("_total", cell(total_ptr)).withColumn("_more", cell(more_ptr))
-            .withColumn("_items", F.transform(as_array(F.col("_node")), lambda i: _cells(i, pointers)))
-            .withColumn("_node", F.when(F.col("_node").isNull(), "missing").otherwise("found"))
-            .drop("body", "document"))
+    df = df.withColumns({"_node": find(doc, "items_pointer"),
+                         "_head": tagged([find(doc, "total_pointer"), find(doc, "has_next_pointer")])})
+    df = df.withColumns({"_total": F.col("_head")[0], "_more": F.col("_head")[1], "_items": F.transform(
+        as_array(F.col("_node")), lambda i: tagged([find(i, f"f_{n}") for n in names]))})
+    return df.withColumn("_node", F.when(F.col("_node").isNull(), "missing").otherwise("found")).drop(
+        "body", "document", "_head", *[c for c in df.columns if c.startswith("_p_")])
 
 
 def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[str] | None = None, *,
@@ -132,7 +126,7 @@ def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[
     if not names:
         raise ValueError("invalid_fields")
     optional = {s.name for s in specs if not s.required}
-    required = [n for n in names if n not in optional]
+    required = [i for i, n in enumerate(names) if n not in optional]
 
     df = _read_body(pages.filter(F.col("page_no").between(1, max_pages))
                     .select("source_id", "page_no", "body"), names, plan)
@@ -147,15 +141,14 @@ def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[
     has_total, has_more = F.col("total_pointer").isNotNull(), F.col("has_next_pointer").isNotNull()
     total = F.when(F.col("_total.t") == "integer", F.col("_total.s").try_cast("bigint"))
 
-    df = (df.withColumn("n_items", F.coalesce(F.when(F.col("_items").isNotNull(), F.size("_items")), F.lit(0)))
-          .withColumn("total", F.when(has_total, total))
-          .withColumn("previous_total", F.lag("total").over(by_page))
-          .withColumn("running_count", F.sum("n_items").over(so_far))
-          .withColumn("_contiguous", F.dense_rank().over(by_page) == F.col("page_no"))
-          .filter("_contiguous"))
-    df = df.withColumn("more", F.when(has_more, F.when(F.col("_more.t") == "boolean", F.col("_more.s") == "true"))
-                       .otherwise((F.col("n_items") > 0)
-                                  & (F.col("total").isNull() | (F.col("running_count") < F.col("total")))))
+    df = df.withColumns({
+        "n_items": F.when(F.col("_items").isNotNull(), F.size("_items")).otherwise(0), "total": F.when(has_total, total)})
+    df = df.withColumns({
+        "previous_total": F.lag("total").over(by_page), "running_count": F.sum("n_items").over(so_far),
+        "_rank": F.dense_rank().over(by_page)}).filter(F.col("_rank") == F.col("page_no"))
+    more = F.when(has_more, F.when(F.col("_more.t") == "boolean", F.col("_more.s") == "true")).otherwise(
+        (F.col("n_items") > 0) & (F.col("total").isNull() | (F.col("running_count") < F.col("total"))))
+    df = df.withColumn("more", more)
     if observations is None:
         first = F.get(F.col("_items"), F.lit(0))
         sample = F.when(F.col("page_no") == 1, _sample_code(
@@ -186,8 +179,7 @@ def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[
         (~F.col("more") & has_total & (F.col("running_count") != F.col("total")), "incomplete_items"),
         (~F.col("more"), STOP))
     page, zero = F.col("page_no"), F.lit(0)
-    df = (df.withColumn("sample_code", sample).withColumn("page_code", before_items)
-          .withColumn("end_code", after_items))
+    df = df.withColumns({"sample_code": sample, "page_code": before_items, "end_code": after_items})
     df = df.withColumn("_page_event", F.least(
         F.when(F.col("sample_code").isNotNull(), _event(zero, 0, zero, 0, F.col("sample_code"))),
         F.when(F.col("page_code").isNotNull(), _event(page, 0, zero, 0, F.col("page_code"))),
@@ -197,7 +189,8 @@ def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[
             "sample_code", "page_code", "end_code", "_page_event"]
     if observations is not None:
         keep.append("_sample")
-    df = df.select(*keep, F.posexplode_outer("_items").alias("pos", "_cell"))
+    df = df.select(*keep, F.posexplode_outer("_items").alias("pos", "_c"))
+    df = df.withColumn("_cell", F.struct(*[F.col("_c")[i].alias(n) for i, n in enumerate(names)])).drop("_c")
     return _check_items(df, names, optional, specs, max_records, observations is not None)
 
 
@@ -205,20 +198,20 @@ def _check_items(df, names, optional, specs, max_records, has_sample) -> DataFra
     in_order = Window.partitionBy("source_id").orderBy("page_no", "pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     present = F.col("pos").isNotNull()
-    for name in names:
-        tag = F.when(F.col("_cell")[name]["t"].isin("missing", "null"), F.lit(None)).otherwise(F.col("_cell")[name]["t"])
-        expected = F.first(tag, ignorenulls=True).over(in_order)
+    expected = {}
+    for index, name in enumerate(names):
+        tag = F.when(~F.col("_cell")[name]["t"].isin("missing", "null"), F.col("_cell")[name]["t"])
+        kind = F.first(tag, ignorenulls=True).over(in_order)
         if has_sample:
-            sample = F.col("_sample")[name]["t"]
-            expected = (F.coalesce(F.when(~sample.isin("missing", "null"), sample), expected)
-                        if name in optional else sample)
-        df = df.withColumn(f"_expected_{name}", expected)
+            sample = F.col("_sample")[index]["t"]
+            kind = F.coalesce(F.when(~sample.isin("missing", "null"), sample), kind) if name in optional else sample
+        expected[f"_expected_{name}"] = kind
     key = F.element_at(F.create_map(*[x for n in names for x in (
         F.lit(n), F.struct(F.col("_cell")[n]["t"].alias("t"), F.col("_cell")[n]["s"].alias("s")))]), F.col("unique_key"))
-    df = df.withColumn("_key", F.when(present, key))
+    df = df.withColumns({**expected, "_key": F.when(present, key),
+                         "ordinal": F.col("running_count") - F.col("n_items") + F.col("pos") + 1})
     same_key = Window.partitionBy("source_id", "_key.t", "_key.s").orderBy("page_no", "pos")
-    df = (df.withColumn("key_seen_before", present & (F.row_number().over(same_key) > 1))
-          .withColumn("ordinal", F.col("running_count") - F.col("n_items") + F.col("pos") + 1))
+    df = df.withColumn("key_seen_before", present & (F.row_number().over(same_key) > 1))
 
     rules: list[tuple[Column, str]] = []
     for name in names:

@@ -201,7 +201,7 @@ def reservation_errors(reservations: DataFrame, families: DataFrame) -> DataFram
     held = families.filter(F.col("split") == FUTURE_HELD).select(F.col("id").alias("planned_family"), F.lit(True).alias("_held")).distinct()
     df = df.join(first, "reservation_id", "left").join(held, "planned_family", "left")
     answer = F.arrays_overlap(keys, F.array(*map(F.lit, ANSWER_KEYS))) | F.exists(keys, lambda k: k.startswith("expected_"))
-    shape = ((F.array_sort(keys) != F.array_sort(F.array(*map(F.lit, RESERVATION_KEYS))))
+    shape = ((F.sort_array(keys) != F.sort_array(F.array(*map(F.lit, RESERVATION_KEYS))))
              | ~F.coalesce(F.col("reservation_id").rlike("^m6r_[a-z][a-z0-9_]{1,63}$"), F.lit(False))
              | ~F.coalesce(F.col("planned_family").rlike("^[a-z][a-z0-9_]{1,63}$"), F.lit(False))
              | ~text("intended_split").eqNullSafe(F.lit(FUTURE_HELD)) | ~text("exposure").eqNullSafe(F.lit("held_reserved")))
@@ -216,7 +216,7 @@ def reservation_errors(reservations: DataFrame, families: DataFrame) -> DataFram
 def public_input_error(fixture: Column) -> Column:
     """First broken rule of a fixture that planners may see."""
     endpoints, fields = as_array(pointer_get(fixture, "/endpoints")), as_array(pointer_get(fixture, "/fields"))
-    keys = F.array_sort(F.map_keys(as_object(fixture)))
+    keys = F.sort_array(F.map_keys(as_object(fixture)))
     wanted = F.array(*map(F.lit, ("method", "query", "request_body", "request_id", "responses", "url")))
     names = F.transform(fields, as_text)
 
@@ -225,7 +225,7 @@ def public_input_error(fixture: Column) -> Column:
         real_body = F.when(~F.is_variant_null(body), body)
         answers = as_array(pointer_get(e, "/responses"))
         return first_match(
-            (~F.coalesce(F.array_sort(F.map_keys(as_object(e))) == wanted, F.lit(False)), "invalid_endpoint"),
+            (~F.coalesce(F.sort_array(F.map_keys(as_object(e))) == wanted, F.lit(False)), "invalid_endpoint"),
             (answers.isNull() | ~F.size(answers).between(1, 10), "invalid_response_sequence"),
             (F.exists(answers, lambda b: as_array(b).isNull() & as_object(b).isNull()), "invalid_response_body"),
             (~as_text(pointer_get(e, "/method")).isin("GET", "POST"), "invalid_method"),

@@ -249,7 +249,7 @@ def dom_outline(pages: DataFrame, limit: int = 100) -> DataFrame:
     last = F.max(F.when(F.col("rank") == limit, F.col("first"))).over(Window.partitionBy("page_id"))
     nodes = nodes.withColumn("last", last).filter((F.col("rank") <= limit) & (F.col("last").isNull() | (F.col("pos") <= F.col("last"))))
     out = nodes.groupBy("page_id", "selector").agg(
-        F.min("rank").alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("attributes")))).alias("attributes"),
+        F.min("rank").alias("rank"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("attributes")))).alias("attributes"),
         F.min_by("id", "pos").alias("id"), F.min_by("parent", "pos").alias("parent"), F.first("sample_link").alias("sample_link"),
         F.count("*").alias("nodes"))
     shown = F.concat_ws(" ", "selector", "id", "parent", F.array_join("attributes", " "))

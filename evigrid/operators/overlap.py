@@ -115,7 +115,7 @@ def overlap_cases(views: DataFrame) -> DataFrame:
         same = same & (F.col(f"k.{c}") == F.col(f"g.{c}"))
     hits = k.join(g, same).select("k.case_id", "k.split", "k.signal", "g.partners")
     per_case = hits.groupBy("case_id", "split").agg(
-        F.array_sort(F.collect_set("signal")).alias("signals"), F.sum("partners").alias("links"))
+        F.sort_array(F.collect_set("signal")).alias("signals"), F.sum("partners").alias("links"))
     return (views.select("case_id", "split").join(per_case, ["case_id", "split"], "left")
             .withColumn("strong_signals", F.filter(F.coalesce("signals", F.array().cast("array<string>")), lambda s: s.startswith("S")))
             .withColumn("weak_signals", F.filter(F.coalesce("signals", F.array().cast("array<string>")), lambda s: s.startswith("W")))
@@ -248,7 +248,7 @@ def shape_text(v: Column, levels: int = 8) -> Column:
         return F.raise_error(F.lit("structure_too_deep")).cast("string")
     members = F.map_values(F.map_filter(as_object(v), lambda k, c: ~is_sensitive(k)))
     parts = F.transform(F.coalesce(as_array(v), members), lambda c: shape_text(c, levels - 1))
-    inner = F.array_join(F.transform(F.array_sort(F.array_distinct(parts)), _quoted), ", ")
+    inner = F.array_join(F.transform(F.sort_array(F.array_distinct(parts)), _quoted), ", ")
     kind = F.when(as_object(v).isNotNull(), "object").when(as_array(v).isNotNull(), "array")
     return F.when(kind.isNull(), F.concat(F.lit('"'), type_name(v), F.lit('"'))).otherwise(
         F.concat(F.lit('["'), kind, F.lit('", ['), inner, F.lit("]]")))
@@ -272,7 +272,7 @@ def page_location(query: Column, body: Column) -> Column:
 def continuation_flags(responses: Column) -> Column:
     """Sorted names of top-level booleans over all responses."""
     names = F.transform(responses, lambda b: F.map_keys(F.map_filter(as_object(b), lambda k, v: type_tag(v) == "boolean")))
-    return F.array_sort(F.array_distinct(F.flatten(F.filter(names, lambda n: n.isNotNull()))))
+    return F.sort_array(F.array_distinct(F.flatten(F.filter(names, lambda n: n.isNotNull()))))
 
 
 def stop_signal(responses: Column) -> Column:
@@ -291,7 +291,7 @@ def _flag(c: Column) -> Column:
 def _container(body: Column) -> Column:
     """Coarse response container as canonical JSON text."""
     kids = F.coalesce(as_array(body), F.map_values(as_object(body)))
-    kinds = F.coalesce(F.array_sort(F.array_distinct(F.transform(kids, type_name))), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.sort_array(F.array_distinct(F.transform(kids, type_name))), F.array().cast("array<string>"))
     has_list = F.coalesce(F.array_contains(F.transform(F.map_values(as_object(body)), type_tag), "array"), F.lit(False))
     root = F.when(as_object(body).isNotNull(), "object").when(as_array(body).isNotNull(), "array").when(
         type_tag(body).isin("null", "missing"), "null").otherwise(type_name(body))
@@ -301,7 +301,7 @@ def _container(body: Column) -> Column:
 
 def _by_digest(texts: Column) -> Column:
     """JSON texts in the order of their digests."""
-    ranked = F.array_sort(F.transform(texts, lambda t: F.struct(F.sha2(t, 256).alias("d"), t.alias("t"))))
+    ranked = F.sort_array(F.transform(texts, lambda t: F.struct(F.sha2(t, 256).alias("d"), t.alias("t"))))
     return F.array_join(F.transform(ranked, lambda x: x["t"]), ",")
 
 
@@ -344,7 +344,7 @@ def family_signature(endpoints: Column) -> Column:
                           canonical_json(_member(e, "method")), F.lit(', "paging": "'), page_kind(q, b),
                           F.lit('", "query_present": '), _flag(_present(q)), F.lit("}"))
         return spaced
-    ordered = F.array_sort(F.transform(endpoints, one))
+    ordered = F.sort_array(F.transform(endpoints, one))
     return F.concat(F.lit('{"endpoints":['), F.array_join(F.transform(
         ordered, lambda t: canonical_json(F.parse_json(t))), ","), F.lit("]}"))
 
@@ -377,7 +377,7 @@ def normalize_views(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = documents.withColumn("code", code)
     bodies = F.flatten(answers)
     none = F.array().cast("array<string>")
-    sorted_set = lambda a: F.array_sort(F.array_distinct(F.coalesce(a, none)))
+    sorted_set = lambda a: F.sort_array(F.array_distinct(F.coalesce(a, none)))
     views = judged.filter("code IS NULL").select(
         text(get(c, "/id")).alias("case_id"), text(get(c, "/split")).alias("split"), text(get(c, "/family_id")).alias("family_id"),
         digest(F.col("family_signature")).alias("family_signature_digest"), text(get(o, "/result_sha256")).alias("oracle_result_sha256"),
@@ -392,4 +392,4 @@ def normalize_views(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def family_leakage(families: DataFrame) -> DataFrame:
     """Signatures used on more than one split. ``families``: id, split, signature_digest."""
     return families.groupBy("signature_digest").agg(
-        F.array_sort(F.collect_set("split")).alias("splits"), F.count("*").alias("families")).filter(F.size("splits") > 1)
+        F.sort_array(F.collect_set("split")).alias("splits"), F.count("*").alias("families")).filter(F.size("splits") > 1)

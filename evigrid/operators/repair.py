@@ -27,7 +27,7 @@ def pointer_candidates(body: Column, attribute: str) -> Column:
             return (type_tag(v) == "integer") & (as_text(v).try_cast("bigint") >= 0)
         return type_tag(v) == "boolean"
     # Sorted and cut before anything is judged, so the choice never depends on values.
-    names = F.slice(F.array_sort(F.map_keys(as_object(body))), 1, MAX_MEMBERS)
+    names = F.slice(F.sort_array(F.map_keys(as_object(body))), 1, MAX_MEMBERS)
     good = F.filter(names, lambda k: ~is_sensitive(k) & F.coalesce(fits(F.element_at(as_object(body), k)), F.lit(False)))
     members = F.transform(good, lambda k: F.concat(F.lit("/"), pointer_escape(k)))
     root = F.when(as_array(body).isNotNull() & fits(body), F.array(F.lit("")))

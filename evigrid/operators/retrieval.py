@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.texts import tokens
 from ..plans.knowledge import FEATURES
 from ..plans.taxonomy import CATEGORIES, RESTRICTED_CATEGORIES, classify, failure_phase, trusted_code
+from ..session import cut_lineage
 
 # Okapi parameters, gate weights, result size.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,48 +23,49 @@ def corpus_tokens(cases: DataFrame) -> DataFrame:
     return cases.withColumn("tokens", tokens(F.array_join("terms", " ")))
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(case_id, dl, term, tf) without a shuffle: a case's tokens are sorted in its own row and read as runs."""
-    word = lambda i: F.try_element_at("_w", i)
-    rows = corpus.select("case_id", F.size("tokens").alias("dl"), F.array_sort("tokens").alias("_w")).filter("dl > 0")
-    rows = rows.withColumn("_s", F.filter(F.sequence(F.lit(1), "dl"), lambda i: (i == 1) | (
-        word(i) != word(F.greatest(i - 1, F.lit(1))))))
-    runs = F.transform("_s", lambda i, k: F.struct(
-        word(i).alias("term"), (F.coalesce(F.get("_s", k + 1), F.col("dl") + 1) - i).alias("tf")))
-    return rows.select("case_id", "dl", F.inline(runs))
+def corpus_stats(corpus: DataFrame) -> DataFrame:
+    """(term, df, dl) in one pass over the corpus; the row with a NULL term counts cases and their tokens.
+
+    A case adds each of its terms once, so no (case, term) pair is shuffled, only one row per term and task.
+    """
+    none = F.lit(None).cast("string")
+    rows = corpus.select(F.size("tokens").alias("dl"), F.explode(F.concat(
+        F.array_distinct("tokens"), F.array(none))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
 
 
-def corpus_size(corpus: DataFrame) -> tuple[Column, Column]:
+def corpus_size(stats: DataFrame) -> tuple[Column, Column]:
     """(number of cases, mean length) as scalar subqueries."""
-    total = corpus.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    return total.select("n").scalar(), total.select("avgdl").scalar()
+    whole = stats.filter("term IS NULL")
+    return (whole.agg(F.sum("df")).scalar(), whole.agg(F.sum("dl") / F.sum("df")).scalar())
 
 
-def bm25_stats(corpus: DataFrame) -> DataFrame:
+def bm25_stats(stats: DataFrame) -> DataFrame:
     """(term, df, idf); a negative idf becomes a quarter of the mean over all terms."""
-    n, _ = corpus_size(corpus)
-    df = postings(corpus).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    n, _ = corpus_size(stats)
+    raw = stats.filter("term IS NOT NULL").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def bm25_scores(queries: DataFrame, corpus: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, case_id, score) for every case sharing a token with the query.
 
-    ``queries`` is (query_id, term), distinct. The terms of all queries restrict the
-    postings before any shuffle of case data; only one row per (query, case) and task is
-    shuffled. Both joins are left to Spark: below the size threshold the query side is broadcast, above
-    it AQE splits the partitions of a hot term.
+    ``queries`` is (query_id, term), distinct. The corpus is read twice: once for the statistics, which
+    are checkpointed (one row per term), once for the scores, where the terms of the queries
+    filter tokens before they are counted. The joins are left to Spark: below the size threshold the query side is
+    broadcast, above it AQE splits the partitions of a hot term.
     """
-    _, avgdl = corpus_size(corpus)
-    idf = bm25_stats(corpus).join(queries.select("term").distinct(), "term", "left_semi")
-    weighted = queries.join(idf, "term")
-    hits = postings(corpus).join(weighted, "term")
+    stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
+    _, avgdl = corpus_size(stats)
+    idf = bm25_stats(stats).join(queries.select("term").distinct(), "term", "left_semi").select("term", "idf")
+    words = corpus.select("case_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    found = words.join(idf, "term").groupBy("case_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    hits = found.select("case_id", "term", part.alias("part")).join(queries, "term")
     # Nine digits: equal cases tie exactly whatever the order of summation.
-    return hits.groupBy("query_id", "case_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return hits.groupBy("query_id", "case_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def candidates(scores: DataFrame) -> DataFrame:
@@ -142,14 +144,15 @@ def rank_cases(scored: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def retrieve(query_terms: DataFrame, query_context: DataFrame, cases: DataFrame, *, enabled: bool = True,
-             use_features: bool = True, use_failures: bool = True, top: int = TOP) -> Retrieval:
+             use_features: bool = True, use_failures: bool = True, top: int = TOP,
+             stats: DataFrame | None = None) -> Retrieval:
     """BM25, then the feature gate, then the failure gate where any case carries failure modes.
 
     ``query_context``: query_id, query_features map, error_code. ``cases``: case_id, terms or
     tokens, features, failure_modes, repairability.
     """
     corpus = cases if "tokens" in cases.columns else corpus_tokens(cases)
-    scored = candidates(bm25_scores(query_terms, corpus)).withColumnRenamed("score", "bm25")
+    scored = candidates(bm25_scores(query_terms, corpus, stats)).withColumnRenamed("score", "bm25")
     facts = cases.select("case_id", F.col("features").alias("case_features"), "failure_modes", "repairability")
     pairs = scored.join(facts, "case_id").join(known_failures(query_context), "query_id", "left")
     pairs = failure_gate(feature_gate(pairs))

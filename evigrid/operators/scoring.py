@@ -11,7 +11,7 @@ FLAGS = ("collector_exported", "collector_execution_success", "collector_matches
 
 def ordered_digest(records: DataFrame, key: str = "task_id") -> DataFrame:
     """Digest of a task's ordered records. A task holds what one collection may return (ten pages)."""
-    rows = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+    rows = records.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         "ordinal", canonical_json(F.col("document")).alias("j")))).alias("r"))
     text = F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("]"))
     return rows.select(key, F.sha2(text, 256).alias("result_sha256"))
@@ -29,7 +29,7 @@ def matches_oracle(reports: DataFrame, records: DataFrame, oracles: DataFrame) -
     key = F.try_element_at(members, F.col("unique_key"))
     rows = records.join(o.select("task_id", "schema", "unique_key"), "task_id")
     typed = F.transform_values(members, lambda k, v: type_tag(v))
-    rows = rows.select("task_id", (F.array_sort(F.map_entries(typed)) == F.array_sort(F.map_entries("schema"))).alias("schema_ok"),
+    rows = rows.select("task_id", (F.sort_array(F.map_entries(typed)) == F.sort_array(F.map_entries("schema"))).alias("schema_ok"),
                        (type_tag(key).isin("integer", "string") & (as_text(key) != "")).alias("key_ok"),
                        F.struct(type_tag(key).alias("t"), as_text(key).alias("s")).alias("key"))
     facts = rows.groupBy("task_id", "key").agg(F.count("*").alias("n"), F.bool_and("schema_ok").alias("schema_ok"),
@@ -95,7 +95,7 @@ def compare_results(left: DataFrame, right: DataFrame, left_rows: DataFrame, rig
         key = F.try_element_at(members, F.lit(unique_key))
         first = rows.groupBy("task_id").agg(
             F.count("*").alias(f"{side}_n"),
-            F.min_by(F.array_sort(F.map_entries(F.transform_values(members, lambda k, v: type_tag(v)))), "ordinal").alias(f"{side}_types"))
+            F.min_by(F.sort_array(F.map_entries(F.transform_values(members, lambda k, v: type_tag(v)))), "ordinal").alias(f"{side}_types"))
         keys = rows.groupBy("task_id", F.concat_ws(":", type_tag(key), as_text(key)).alias("k")).agg(F.count("*").alias("c"))
         return first.join(keys.groupBy("task_id").agg((F.max("c") == 1).alias(f"{side}_unique")), "task_id")
 

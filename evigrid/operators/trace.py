@@ -43,7 +43,7 @@ def lifecycle_state(requests: DataFrame, order: list[str], task: str = "task_id"
     entries.append(F.when(F.col("_cancel").isNotNull(), F.struct(F.col("_cancel").alias("at"), F.lit(CANCELLING).alias("status"))))
     final = F.when(F.col("_cancel").isNotNull() & (F.col("_end.status") != "interrupted"), "cancelled").otherwise(F.col("_end.status"))
     entries.append(F.when(F.col("_end").isNotNull(), F.struct(F.col("_end.at").alias("at"), final.alias("status"))))
-    timeline = F.array_sort(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    timeline = F.sort_array(F.filter(F.array(*entries), lambda e: e.isNotNull()))
     df = df.withColumn("timeline", timeline)
     newest = F.try_element_at(F.transform("timeline", lambda e: e["status"]), F.lit(-1))
     return df.select(task, F.coalesce(newest, F.lit("created")).alias("status"), "timeline")
@@ -129,7 +129,7 @@ def trace_view(tasks: DataFrame, lifecycle: DataFrame, artifacts: DataFrame) ->
     names = ("report.json", "plan.json", "evidence.json", "retrieval.json", "repair.json", "failure_retrieval.json", "result.json")
     docs = artifacts.groupBy("task_id").agg(
         *[F.max(F.when(F.col("filename") == n, F.col("content"))).alias(n.split(".")[0]) for n in names],
-        F.array_sort(F.collect_list(F.struct("filename", "sha256", "size_bytes"))).alias("artifacts"))
+        F.sort_array(F.collect_list(F.struct("filename", "sha256", "size_bytes"))).alias("artifacts"))
     df = tasks.join(lifecycle, "task_id", "left").join(docs, "task_id", "left")
     df = df.withColumns({n.split(".")[0]: F.try_parse_json(n.split(".")[0]) for n in names})
     doc = lambda n, p: pointer_get(F.col(n), p)

@@ -74,7 +74,7 @@ def validate_plans(plans: DataFrame, observations: DataFrame, names: list[str],
         "_url_code", target_code if target_code is not None else F.lit(None).cast("string"))
     names_ok = F.transform(F.map_entries("fields"), lambda e: e["value"].startswith("/")
                            & ~is_sensitive(e["key"]) & ~is_sensitive(e["value"]))
-    required = [n for n in names if n not in optional]
+    required = [i for i, n in enumerate(names) if n not in optional]
     before = first_match(
         (F.col("request_id").isNull() | (F.col("request_id") != F.col("observed_id")), "unknown_request_id"),
         (F.col("_url_code").isNotNull(), "?"),
@@ -90,7 +90,7 @@ def validate_plans(plans: DataFrame, observations: DataFrame, names: list[str],
                           F.col("_more.t"), F.col("total_pointer"), F.col("has_next_pointer"), required)
     before = F.when(before == "?", F.col("_url_code")).otherwise(before)
     return df.select("source_id", "request_id", F.coalesce(before, paging, shape, sample).alias("code"),
-                     F.struct(*[F.get(F.col("_items"), F.lit(0))[n]["t"].alias(n) for n in names]).alias("sample_types"))
+                     F.struct(*[F.get(F.col("_items"), F.lit(0))[i]["t"].alias(n) for i, n in enumerate(names)]).alias("sample_types"))
 
 
 def row_digest(columns: list[str]) -> Column:

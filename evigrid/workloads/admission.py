@@ -70,6 +70,17 @@ def robots_files(spark, d):
         "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/\nDisallow: /\n").alias("text"))
 
 
+@query("policy_sha256", URL_SQL + """
+SELECT DISTINCT host, sha256('{"allowlist":[{"domain":"' || host || '","include_subdomains":false}],"entry_url_query_allowed":false,"mode":"public_http",' ||
+  '"schema_version":1,"schemes":["https"],"target_kind":"http"}') AS policy_sha256 FROM u""")
+def policy_sha256(spark, d):
+    """One policy per host, addressed by its content."""
+    hosts = I.table(spark, d, "pages").select(U.url_parts(F.col("url")).host.alias("host")).distinct()
+    return hosts.select("host", U.policy_hash(
+        F.array(F.struct(F.col("host").alias("domain"), F.lit(False).alias("include_subdomains"))), F.array(F.lit("https")),
+        F.lit("public_http"), F.lit("http"), F.lit(False)).alias("policy_sha256"))
+
+
 @query("robots_filter", URL_SQL + """
 SELECT page_id, CASE length(host) % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN NOT starts_with(path, '/fr/')
   ELSE starts_with(path, '/en/') END AS allowed FROM u""")

@@ -224,6 +224,14 @@ def canonical_json(spark, d):
     return I.table(spark, d, "orders").select("o_orderkey", J.digest(F.parse_json(F.to_json(row))).alias("digest"))
 
 
+@query("digest", """
+SELECT event_id, sha256('{"type":"' || event_type || '","value":' || CAST(value AS VARCHAR) || '}') AS digest FROM events""")
+def digest(spark, d):
+    """Digests that keep a written ``1.0`` apart from ``1``."""
+    body = F.to_json(F.struct("value", F.col("event_type").alias("type")))
+    return I.table(spark, d, "events").select("event_id", J.exact_digest(body).alias("digest"))
+
+
 @query("structure_paths", SEQ + """
 , heads AS (SELECT source_id, page_no, drift, CASE WHEN drift IN (5,6) THEN 'entries' ELSE 'rows' END AS list_key,
   drift=4 AND page_no=2 AS blank, drift=3 AND page_no>1 AS textual FROM page_rows)
@@ -256,7 +264,14 @@ def sensitive_keys(spark, d):
         F.when(F.col("doc_id") % 7 == 0, deep).otherwise(flat))).alias("sensitive"))
 
 
-@query("shape")
+TAIL = '"total": "<integer>", "more": "<boolean>"}'
+ROW = '[{"id": "<integer>", "amount": "<integer>", "state": "<string>"}]'
+
+
+@query("shape", SEQ + f"""
+SELECT CASE WHEN drift=5 THEN '{{"entries": {ROW}, {TAIL}' WHEN drift=6 THEN '{{"entries": {ROW}, "others": {ROW}, {TAIL}'
+  WHEN drift=4 AND page_no=2 THEN '{{"rows": [], {TAIL}' WHEN drift=3 AND page_no>1 THEN replace('{{"rows": {ROW}, {TAIL}', '"amount": "<integer>"', '"amount": "<string>"')
+  ELSE '{{"rows": {ROW}, {TAIL}' END AS shape, count(*) AS pages FROM page_rows GROUP BY 1""")
 def shape(spark, d):
     pages = I.order_pages(spark, d)
     return pages.groupBy(walks.shape("body").alias("shape")).agg(F.count("*").alias("pages"))

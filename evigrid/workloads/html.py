@@ -68,6 +68,12 @@ SPECS = [FieldSpec("id", "integer"), FieldSpec("amount", "integer"), FieldSpec("
 
 
 def shop(spark, d):
+    """(entries, documents) of the shop, the documents stored once (see ``derive_shop``)."""
+    entries, _ = derive_shop(spark, d)
+    return entries, I.stored(spark, d, "shop", lambda: derive_shop(spark, d)[1])
+
+
+def derive_shop(spark, d):
     """(entries, documents): orders of a customer as list pages, one detail page per order.
 
     ``source_id % 10``: 1 page 2 leads back to page 1; 2 every row is shown twice; 3 amounts of page 2 are
@@ -82,7 +88,7 @@ def shop(spark, d):
                    F.lit("</span>"), link, F.lit("</article>"))
     row = F.when((k == 5) & second, "").when(k == 2, F.concat(row, row)).otherwise(row)
     listed = rows.groupBy("source_id", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("h")))), lambda x: x["h"]), "\n").alias("body"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", row.alias("h")))), lambda x: x["h"]), "\n").alias("body"),
         F.first("has_next").alias("has_next"))
     here = lambda p: F.concat(F.lit("/c/"), "source_id", F.lit("/"), p)
     target = F.when((k == 1) & second, here(F.lit(1))).when((k == 6) & second, F.lit("https://other.example.org/x")).otherwise(here(F.col("page_no") + 1))

@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.windows import paginate, sequence_numbers
-from ..session import apply_settings
+from ..operators.windows import paginate
+from ..session import apply_settings, shared_folder
 
 PAGE_SIZE = 5
 FIELDS = {"id": "/id", "amount": "/amount", "state": "/state"}
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. One that fits a single file split would be read and parsed by one task, so text
+    tables of that size are spread over the cores first; larger ones keep their own splits."""
     apply_settings(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in TEXT_TABLES and _size(spark, path) <= SPLIT:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
+SPLIT = 128 * 1024 * 1024
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A derived input as a written table in the shared folder, made once per application.
+
+    Captured pages, plans or views are tables other jobs read; writing them once keeps the
+    cost of deriving them out of every query, and a lost executor only re-reads files.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    path = _STORED.get(key)
+    target = path and spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not path or not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        apply_settings(spark)
+        path = f"{shared_folder(spark)}/evigrid/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def order_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +69,11 @@ def _order_chunk() -> Column:
 
 
 def order_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Captured pages of every customer (see ``derive_pages``)."""
+    return stored(spark, folder, "pages", lambda: derive_pages(spark, folder))
+
+
+def derive_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Paged JSON bodies of every customer; ``source_id % 10`` picks the kind of drift.
 
     0, 7, 8 are clean; 1 repeats a key; 2 changes the total; 3 changes a type; 4 has an empty
@@ -40,7 +84,7 @@ def order_pages(spark: SparkSession, folder: str) -> DataFrame:
     rows = paginate(order_rows(spark, folder), ["source_id"], ["id"], PAGE_SIZE, _order_chunk())
     later = F.col("page_no") > 1
     pages = rows.groupBy("source_id", "page_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id", "amount", "state"))).alias("items"),
+        F.sort_array(F.collect_list(F.struct("pos", "id", "amount", "state"))).alias("items"),
         F.first("n_rows").alias("n_rows"), F.first("has_next").alias("has_next"))
     # The repeated key of drift 1 is the first row of the source, shown again on page 2.
     firsts = order_rows(spark, folder).filter(drift == 1).groupBy("source_id").agg(F.min("id").alias("first_id"))
@@ -62,6 +106,11 @@ def order_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_plans(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored plans (see ``derive_plans``)."""
+    return stored(spark, folder, "plans", lambda: derive_plans(spark, folder))
+
+
+def derive_plans(spark: SparkSession, folder: str) -> DataFrame:
     """One plan per customer: 7 reads no total, 8 reads no continuation flag."""
     drift = F.col("source_id") % 10
     keys = order_rows(spark, folder).select("source_id").distinct()

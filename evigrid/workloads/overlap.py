@@ -38,6 +38,11 @@ judged AS (SELECT *, nrec>0 AND NOT s4 AS w1, nsub>0 AS w2, CASE WHEN s1 OR s2 O
 
 
 def views(spark, d):
+    """Digest views of all texts, stored once."""
+    return I.stored(spark, d, "views", lambda: derive_views(spark, d))
+
+
+def derive_views(spark, d):
     docs = I.table(spark, d, "documents").select(
         F.concat(F.lit("d"), "doc_id").alias("case_id"), F.lit("development").alias("split"),
         F.concat("source", F.lit("-"), "lang").alias("family_id"), F.col("doc_id").alias("k"), "text")
@@ -210,7 +215,7 @@ def set_equal(spark, d):
     """Line states of an order against its own state, as sets."""
     lines = I.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("a"))
     orders = I.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return orders.select("o_orderkey", (F.array_sort("a") == F.array("o_orderstatus")).alias("same"))
+    return orders.select("o_orderkey", (F.sort_array("a") == F.array("o_orderstatus")).alias("same"))
 
 
 @query("set_subset", """
@@ -223,11 +228,16 @@ def set_subset(spark, d):
 # ---------------------------------------------------------------- views from documents
 
 def bundle_documents(spark, d):
+    """Case documents of every customer, stored once (see ``derive_bundle``)."""
+    return I.stored(spark, d, "bundle", lambda: derive_bundle(spark, d))
+
+
+def derive_bundle(spark, d):
     """One case per customer: fixture from its captured pages, oracle from its rows, split by customer key."""
     pages = I.order_pages(spark, d).filter("page_no <= 10")
     rows = I.order_rows(spark, d).withColumn("_r", F.struct("id", "amount", "state"))
     k = F.col("source_id")
-    answers = pages.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+    answers = pages.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct("page_no", "body"))), lambda x: x["body"]), ",").alias("answers"))
     first = rows.groupBy("source_id").agg(F.min("_r").alias("record"))
     cases = answers.join(first, "source_id")

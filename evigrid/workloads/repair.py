@@ -15,6 +15,11 @@ from .registry import query
 
 
 def observations(spark, d):
+    """Observed requests, stored once (see ``derive_observations``)."""
+    return I.stored(spark, d, "observations", lambda: derive_observations(spark, d))
+
+
+def derive_observations(spark, d):
     """Page 1 of every customer as the observed request; ``source_id % 10`` spoils some of them."""
     k = F.col("source_id") % 10
     one = F.create_map(F.lit("page"), F.lit("1"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import texts as X, walks
 from ..operators import collect as C, features as E, retrieval as R
 from ..plans import knowledge as K
+from ..session import cut_lineage
 from . import inputs as I
 from .collection import outcome
 from .registry import query
@@ -78,7 +79,7 @@ def corpus_tokens(spark, d):
 
 @query("bm25_stats", BM25 + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, d):
-    return R.bm25_stats(corpus(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.bm25_stats(R.corpus_stats(corpus(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_score", BM25 + " SELECT query_id, case_id, round(score, 6) AS score FROM scores")
@@ -152,10 +153,11 @@ SELECT grp AS "group", count(*) AS labelled, round(avg(CASE WHEN hit=1 THEN 1.0
 def retrieval_metrics(spark, d):
     good = I.table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("case_id"))
     asked = I.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5 != 0).alias("labelled"))
+    stats = cut_lineage(R.corpus_stats(corpus(spark, d)))
     parts = []
     for name, options in (("bm25", {"use_features": False, "use_failures": False}), ("feature_gate", {"use_failures": False}),
                           ("failure_aware", {})):
-        ranked = run(spark, d, **options).ranked.withColumn("group", F.lit(name))
+        ranked = run(spark, d, stats=stats, **options).ranked.withColumn("group", F.lit(name))
         relevant = ranked.join(good, "case_id", "left_semi").select("query_id", "case_id")
         parts.append(R.retrieval_metrics(ranked, relevant, asked.withColumn("group", F.lit(name)), ["group"]))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -210,12 +212,12 @@ def failure_diagnosis(spark, d):
     """
     failed = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3).violations
     keys = summaries(spark, d).withColumn("query", F.create_map(F.lit("page"), F.lit("1")))
-    words = E.query_tokens(keys).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("words"))
+    words = E.query_tokens(keys).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("words"))
     sets = words.select(F.col("words").alias("query_id")).distinct()
     asked = sets.select("query_id", F.explode(F.split("query_id", " ")).alias("term"))
     nothing = sets.select("query_id", F.create_map().cast("map<string,string>").alias("query_features"), F.lit(None).cast("string").alias("error_code"))
     best = R.retrieve(asked, nothing, K.runtime_cases(spark)).ranked.groupBy(F.col("query_id").alias("words")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))), lambda x: x["case_id"]), ",").alias("cases"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "case_id"))), lambda x: x["case_id"]), ",").alias("cases"))
     diagnosed = R.failure_diagnosis(failed).withColumnRenamed("source_id", "query_id")
     return diagnosed.join(words, "query_id").join(best, "words").select(
         F.col("query_id").alias("source_id"), "error_code", "failure_phase", "cases")

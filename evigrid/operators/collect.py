@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.json_values import as_array, path_get, pointer_get, pointer_paths, tagged
 from ..plans.specs import FIELD_TYPES, SQL_TYPES, ExtractionPlan, FieldSpec, attach_plan
+from ..session import cut_lineage
 
 BODY_LIMIT = 256 * 1024
 SCALARS = ("string", "integer", "number", "boolean")
@@ -242,11 +243,16 @@ def _check_items(df, names, optional, specs, max_records, has_sample) -> DataFra
     return df.withColumn("first_event", F.min("event").over(Window.partitionBy("source_id")))
 
 
-def run_collection(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[str] | None = None,
-                   **options) -> Collection:
-    """Whole extraction: typed records, first violation per source, one summary row per source."""
+def run_collection(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[str] | None = None, *,
+                   store: bool = False, **options) -> Collection:
+    """Whole extraction: typed records, first violation per source, one summary row per source.
+
+    ``store`` checkpoints the checked rows, so that a job using several outputs checks once.
+    """
     specs: tuple[FieldSpec, ...] = options.get("specs", ())
     checked = check_pages(pages, plan, names, **options)
+    if store:
+        checked = cut_lineage(checked)
     names = list(plan.fields) if isinstance(plan, ExtractionPlan) else list(names)
     code = F.col("first_event.code")
     ok = code.isNull() | code.isin(STOP, LIMIT)

@@ -12,6 +12,9 @@ STAGES = ("created", "observing", "analyzing", "executing", "verifying")
 TERMINAL = ("succeeded", "failed", "cancelled", "interrupted")
 CANCELLING = "cancelling"
 STATUSES = (*STAGES, CANCELLING, *TERMINAL)
+# Files a task may register, one of each.
+ARTIFACT_NAMES = ("evidence.json", "cloud_payload.json", "plan.json", "result.json", "report.json", "report.md", "retrieval.json",
+                  "collector.py", "collector_result.json", "collector_verification.json", "repair.json", "failure_retrieval.json")
 
 
 def first_occurrences(requests: DataFrame, order: list[str], task: str = "task_id") -> DataFrame:
@@ -124,10 +127,12 @@ def trace_view(tasks: DataFrame, lifecycle: DataFrame, artifacts: DataFrame) ->
     """One nested row per task; malformed or missing evidence becomes NULL.
 
     ``tasks``: task_id, model, created_at. ``lifecycle``: see ``lifecycle_state``. ``artifacts``:
-    task_id, filename, sha256, size_bytes, content (JSON text). A task registers at most a dozen files, one per name.
+    task_id, filename, sha256, size_bytes, content (JSON text); only the dozen registered names count, once each.
     """
     names = ("report.json", "plan.json", "evidence.json", "retrieval.json", "repair.json", "failure_retrieval.json", "result.json")
-    docs = artifacts.groupBy("task_id").agg(
+    one = artifacts.filter(F.col("filename").isin(*ARTIFACT_NAMES)).groupBy("task_id", "filename").agg(
+        F.min(F.struct("sha256", "size_bytes", "content")).alias("f")).select("task_id", "filename", "f.*")
+    docs = one.groupBy("task_id").agg(
         *[F.max(F.when(F.col("filename") == n, F.col("content"))).alias(n.split(".")[0]) for n in names],
         F.sort_array(F.collect_list(F.struct("filename", "sha256", "size_bytes"))).alias("artifacts"))
     df = tasks.join(lifecycle, "task_id", "left").join(docs, "task_id", "left")

@@ -37,7 +37,7 @@ def read_strict_json(spark, d):
 def documents(spark, d):
     """(ref, document) of every customer's case, oracle, fixture and labels.
 
-    ``source_id % 12``: 1 oracle changed after the manifest, 2 fixture missing, 3 extra file, 4 case states a wrong
+    ``source_id % 12``: 1 oracle changed after the manifest, 2 fixture moved, 3 extra file, 4 case states a wrong
     hash, 5 unknown label, 6 unknown family, 7 family on the other split.
     """
     k = F.col("source_id") % 12
@@ -58,7 +58,8 @@ def documents(spark, d):
         ("cases", "case"), ("oracles", "oracle"), ("inputs", "fixture"), ("labels", "labels"))])
     rows = base.select("source_id", F.inline(parts))
     manifest = rows.select("source_id", "ref", F.when((k == 1) & F.contains("ref", F.lit("/oracles/")), "f" * 64).otherwise(J.digest(F.col("document"))).alias("sha256"))
-    actual = rows.filter((k != 2) | ~F.contains("ref", F.lit("/inputs/")))
+    lost = (k == 2) & F.contains("ref", F.lit("/inputs/"))
+    actual = rows.withColumn("ref", F.when(lost, F.replace("ref", F.lit("/inputs/"), F.lit("/lost/"))).otherwise(F.col("ref")))
     extra = rows.filter((k == 3) & F.contains("ref", F.lit("/labels/"))).withColumn("ref", F.replace("ref", F.lit("/labels/"), F.lit("/extra/")))
     families = base.select(F.format_string("family_%d", F.col("source_id")).alias("id"),
                            F.when(F.col("source_id") % 2 == 0, "development").otherwise("frozen_evaluation").alias("split"),
@@ -96,6 +97,7 @@ def load_bundle(spark, d):
 SELECT 'evaluation/oracles/' || source_id || '.json' AS subject, 'file_hash_mismatch' AS code FROM sources WHERE source_id%12=1
 UNION ALL SELECT 'evaluation/inputs/' || source_id || '.json', 'missing_or_escaping_reference' FROM sources WHERE source_id%12=2
 UNION ALL SELECT 'evaluation/extra/' || source_id || '.json', 'unindexed_json_asset' FROM sources WHERE source_id%12=3
+UNION ALL SELECT 'evaluation/lost/' || source_id || '.json', 'unindexed_json_asset' FROM sources WHERE source_id%12=2
 UNION ALL SELECT 'case_' || source_id, CASE source_id%12 WHEN 2 THEN 'family_signature_mismatch' WHEN 4 THEN 'case_dependency_hash_mismatch' WHEN 5 THEN 'invalid_retrieval_labels'
   WHEN 6 THEN 'duplicate_case_or_unknown_family' ELSE 'family_signature_mismatch' END FROM sources WHERE source_id%12 IN (2,4,5,6,7)""")
 def bundle_verify(spark, d):
@@ -109,6 +111,7 @@ def bundle_verify(spark, d):
 
 @query("unindexed_assets", SEQ + """
 SELECT 'evaluation/extra/' || source_id || '.json' AS ref, 'unindexed' AS state FROM sources WHERE source_id%12=3
+UNION ALL SELECT 'evaluation/lost/' || source_id || '.json', 'unindexed' FROM sources WHERE source_id%12=2
 UNION ALL SELECT 'evaluation/inputs/' || source_id || '.json', 'missing' FROM sources WHERE source_id%12=2""")
 def unindexed_assets(spark, d):
     docs, manifest, _ = documents(spark, d)
@@ -139,8 +142,7 @@ def public_input(spark, d):
     text = F.to_json(F.col("fixture"))
     for number, value in kinds.items():
         text = F.when(k == number, value).otherwise(text)
-    docs = bundle_documents(spark, d).filter("size(try_variant_get(fixture, '$.endpoints[0].responses', 'array<variant>')) <= 10")
-    return docs.select("source_id", F.coalesce(C.public_input_error(F.parse_json(text)), F.lit("")).alias("code"))
+    return bundle_documents(spark, d).select("source_id", F.coalesce(C.public_input_error(F.parse_json(text)), F.lit("")).alias("code"))
 
 
 def cases_v1(spark, d):

@@ -189,10 +189,10 @@ def paginate(spark, d):
     return rows.select("source_id", "page_no", "pos", "id", "has_next")
 
 
-@query("record_page_caps", SEQ + "SELECT source_id, page_no, pos, id FROM items WHERE page_no<=2 AND rn<=7 AND drift<>4")
+@query("record_page_caps", SEQ + "SELECT source_id, page_no, pos, id FROM items WHERE page_no<=2 AND rn<=7")
 def record_page_caps(spark, d):
-    pages = I.order_pages(spark, d).filter("source_id % 10 <> 4")
-    items = P.cap_pages(C.extract_items(P.cap_page_numbers(pages, 2), PLAN), 7)
+    pages = P.cap_page_numbers(I.order_pages(spark, d), 2)
+    items = P.cap_pages(C.extract_items(pages, PLAN), 7)
     return items.select("source_id", "page_no", "pos", J.as_text(F.col("id")).cast("bigint").alias("id"))
 
 

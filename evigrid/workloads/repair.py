@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.json_values import type_tag
 from ..functions.urls import local_origin
 from ..operators import repair as R, scoring as S, validate as V
 from ..operators.collect import run_collection
@@ -45,7 +44,8 @@ def validate_plan(spark, d):
 @query("plan_observation", SEQ + "SELECT source_id, CASE WHEN source_id%13=0 THEN 'unknown_request_id' ELSE '' END AS code FROM sources")
 def plan_observation(spark, d):
     plans = I.order_plans(spark, d)
-    seen = observations(spark, d).filter("source_id % 13 <> 0").select("request_id", F.lit(True).alias("found"))
+    known = F.when(F.col("source_id") % 13 == 0, "other").otherwise(F.col("request_id"))
+    seen = observations(spark, d).select(known.alias("request_id"), F.lit(True).alias("found"))
     return plans.join(seen, "request_id", "left").select("source_id", F.when(F.col("found").isNull(), "unknown_request_id").otherwise("").alias("code"))
 
 
@@ -143,7 +143,7 @@ def answers(spark, d):
 
 
 def results(spark, d):
-    run = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3)
+    run = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3, store=True)
     reports = run.summary.select(F.col("source_id").alias("task_id"), "status", "pages", "completeness",
                                  *[F.lit(True).alias(f) if i < 2 else (F.col("source_id") % 3 != 0).alias(f) for i, f in enumerate(S.FLAGS)])
     doc = F.parse_json(F.to_json(F.struct(F.col("id").cast("bigint").alias("id"), F.col("amount").cast("bigint").alias("amount"), "state")))
@@ -159,9 +159,10 @@ def task_success(spark, d):
 @query("delivery_success", outcome(3) + """
 SELECT source_id AS task_id, code IS NULL AND n_pages<=3 AND drift NOT IN (7,9) AND source_id%3<>0 AND source_id%7<>0 AS delivery_success FROM outcome""")
 def delivery_success(spark, d):
-    """The second collection of every seventh task lost a row."""
+    """The second collection of every seventh task has another first row."""
     reports, records = results(spark, d)
-    second = records.filter("task_id % 7 <> 0 OR ordinal > 1")
+    second = records.withColumn("document", F.when((F.col("task_id") % 7 == 0) & (F.col("ordinal") == 1), F.parse_json(F.lit('{"id":0}')))
+                                .otherwise(F.col("document")))
     return S.score_tasks(reports, records, answers(spark, d), reports, second).select("task_id", "delivery_success")
 
 
@@ -192,12 +193,12 @@ def benchmark_grade(spark, d):
 
 
 @query("compare_results", SEQ + """
-SELECT source_id AS task_id, drift<>1 AS record_count, drift<>2 OR n=0 AS field_types, drift NOT IN (1,2,3) AS records, drift<>4 AS pages,
-  drift NOT IN (1,2,3,4) AS matches FROM sources WHERE n>1""")
+SELECT source_id AS task_id, drift<>1 AS record_count, drift<>2 AND NOT (drift=1 AND n=1) AS field_types, drift NOT IN (1,2,3) AS records, drift<>4 AS pages,
+  drift NOT IN (1,2,3,4) AS matches FROM sources""")
 def compare_results(spark, d):
     """The second result set misses a row (1), has other types (2), another value (3) or page count (4)."""
     rows = I.order_rows(spark, d).withColumn("task_id", F.col("source_id"))
-    many = rows.groupBy("task_id").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
+    many = rows.groupBy("task_id").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     rows = rows.join(many, "task_id")
     k = F.col("task_id") % 10
     doc = lambda amount: F.parse_json(F.to_json(F.struct("id", amount.alias("amount"), "state"))).alias("document")

@@ -28,8 +28,9 @@ def pointer_candidates(body: Column, attribute: str) -> Column:
         return type_tag(v) == "boolean"
     # Sorted and cut before anything is judged, so the choice never depends on values.
     names = F.slice(F.sort_array(F.map_keys(as_object(body))), 1, MAX_MEMBERS)
-    good = F.filter(names, lambda k: ~is_sensitive(k) & F.coalesce(fits(F.element_at(as_object(body), k)), F.lit(False)))
-    members = F.transform(good, lambda k: F.concat(F.lit("/"), pointer_escape(k)))
+    good = F.filter(F.map_entries(as_object(body)), lambda e: F.coalesce(fits(e["value"]), F.lit(False)) & ~is_sensitive(e["key"]))
+    members = F.sort_array(F.transform(F.array_intersect(F.transform(good, lambda e: e["key"]), names),
+                                       lambda k: F.concat(F.lit("/"), pointer_escape(k))))
     root = F.when(as_array(body).isNotNull() & fits(body), F.array(F.lit("")))
     return F.coalesce(members, root, F.array().cast("array<string>"))
 
@@ -48,8 +49,8 @@ def relocate_pointer(df: DataFrame) -> dict[str, Column]:
     out = {}
     for name in STRUCTURAL:
         others = F.filter(pointer_candidates(body, name), lambda p: p != F.col(name))
-        found = F.when((failed == name) & (F.size(others) == 1), others[0])
-        out[name] = F.when(F.col("error_code") == "pointer_not_found", found)
+        only = F.transform(F.array(others), lambda o: F.when(F.size(o) == 1, F.get(o, F.lit(0))))[0]
+        out[name] = F.when((F.col("error_code") == "pointer_not_found") & (failed == name), only)
     return out
 
 
@@ -109,6 +110,8 @@ def repair_audit(failures: DataFrame, plans: DataFrame, observations: DataFrame,
     df = df.withColumns({f"candidate_{c}": F.coalesce(f"_new_{c}", c) if c in changes else F.col(c) for c in PLAN_COLUMNS})
     df = df.withColumn("candidate_plan_hash", F.when(changed, plan_hash({c: F.col(f"candidate_{c}") for c in PLAN_COLUMNS})))
 
+    # One narrow row per failure; the candidates are judged from it without working them out again.
+    df = cut_lineage(df.drop("document", "body", "request_body", "query", "method", "url"))
     candidates = candidate_plans(df.filter(changed))
     checked = validate_plans(candidates, observations, names, target_code=target_code).filter("request_id IS NOT NULL").select(
         "source_id", F.coalesce(F.concat(F.lit("invalid:"), F.col("code")), F.lit("valid")).alias("validation_result"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +26,37 @@ SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the SQL options on a session the caller already owns."""
+    """Set the SQL options on a session the caller already owns, and ship this package to its workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers: one small archive in the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home, buffer = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for file in sorted(home.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(file.relative_to(home.parent))), file.read_bytes())
+    data = buffer.getvalue()
+    name = f"{shared_folder(spark)}/evigrid/code-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path)
+        out.write(data)
+        out.close()
+    spark.sparkContext.addPyFile(fs.makeQualified(path).toString())
+    _SHIPPED.add(app)
+
+
 def build_session(app: str = "evigrid", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -35,7 +64,9 @@ def build_session(app: str = "evigrid", master: str | None = None, **conf: str)
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession, default: str | None = None) -> str:

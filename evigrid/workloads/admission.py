@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import json_values as J, texts as X, urls as U, walks
+from ..functions import texts as X, urls as U, walks
 from ..operators import admission as A, validate as V
-from ..operators.collect import first_match
 from ..plans import taxonomy
-from ..plans.specs import FieldSpec, TargetPolicy, plan_hash
+from ..plans.specs import TargetPolicy, plan_hash
 from ..sources import pages as P, sinks as S
 from . import inputs as I
 from .registry import query

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_parts
 from ..operators import html as H
 from ..operators.windows import paginate
 from ..plans.specs import FieldSpec, HtmlField, HtmlPlan, TargetPolicy

@@ -17,19 +17,22 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. One that fits a single file split would be read and parsed by one task, so text
-    tables of that size are spread over the cores first; larger ones keep their own splits."""
+    """A given table."""
     apply_settings(spark)
     path = f"{folder}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES and _size(spark, path) <= SPLIT:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return spread(spark, path) if name in TEXT_TABLES else spark.read.parquet(path)
 
 
 SPLIT = 128 * 1024 * 1024
 
 
+def spread(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose rows are costly to parse. One that fits a single file split would be parsed by one
+    task, so it is spread over the cores first; larger ones keep their own splits."""
+    df = spark.read.parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if _size(spark, path) <= SPLIT else df
+
+
 def _size(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
@@ -52,7 +55,7 @@ def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
         path = f"{shared_folder(spark)}/evigrid/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _STORED[key] = path
-    return spark.read.parquet(path)
+    return spread(spark, path)
 
 
 def order_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,10 +1,7 @@
 """HTML extraction against the published list/detail example and odd markup."""
 
-import json
 from urllib.parse import urljoin
 
-from pyspark.sql import functions as F
-
 from evigrid.functions import markup as M
 from evigrid.operators import html as H, validate as V
 from evigrid.plans.specs import FieldSpec, HtmlField, HtmlPlan, TargetPolicy

@@ -39,14 +39,14 @@ def views(spark, cases):
 
 def test_bundle_goldens(spark):
     good, bad = views(spark, [
-        case("m6_get_flat", "development", "get_flat", RECORDS, [endpoint(FLAT)]),
-        case("m6_multi_endpoint", "frozen_evaluation", "get_multi", RECORDS, [endpoint(FLAT), endpoint([{"count": 4, "label": "summary"}])]),
-        case("m6_get_nested", "frozen_evaluation", "nested", NESTED_RECORDS, [endpoint(NESTED)]),
+        case("flat_case", "development", "get_flat", RECORDS, [endpoint(FLAT)]),
+        case("multi_case", "frozen_evaluation", "get_multi", RECORDS, [endpoint(FLAT), endpoint([{"count": 4, "label": "summary"}])]),
+        case("nested_case", "frozen_evaluation", "nested", NESTED_RECORDS, [endpoint(NESTED)]),
         case("broken", "", "x", None, [endpoint(FLAT)])])
     assert [(r.case_id, r.code) for r in bad.collect()] == [("broken", "missing_split")]
     good = good.cache()
     pairs = {(r.left_case_id, r.right_case_id): r for r in O.overlap_pairs(good).pairs.collect()}
-    hit = pairs["m6_get_flat", "m6_multi_endpoint"]
+    hit = pairs["flat_case", "multi_case"]
     assert hit.decision == "block" and [s[:2] for s in hit.strong_signals] == ["S3", "S4", "S5"]
     # Ids, decision and digests only; no source value can show.
     O.assert_public(O.overlap_pairs(good).pairs)
@@ -54,8 +54,8 @@ def test_bundle_goldens(spark):
     reuse, _ = views(spark, [case("reuse", "development", "new_family", NESTED_RECORDS, [endpoint(NESTED, "POST", {}, None)])])
     row = {r.right_case_id: r for r in O.screen_candidate(reuse, good.filter("case_id <> 'reuse'")).collect() if r.left_case_id == "reuse"}
     row.update({r.left_case_id: r for r in O.screen_candidate(reuse, good).collect() if r.right_case_id == "reuse"})
-    assert row["m6_get_nested"].decision == "block" and [s[:2] for s in row["m6_get_nested"].strong_signals] == ["S3", "S4", "S5"]
-    assert [s[:2] for s in row["m6_get_nested"].weak_signals] == ["W2"]
+    assert row["nested_case"].decision == "block" and [s[:2] for s in row["nested_case"].strong_signals] == ["S3", "S4", "S5"]
+    assert [s[:2] for s in row["nested_case"].weak_signals] == ["W2"]
     fresh = [{"sku": "DEMO-0001"}]
     clean, _ = views(spark, [case("clean", "development", "other", fresh, [endpoint([{"payload": {"rows": fresh, "marker": "a"}}], "POST", {}, None)])])
     assert {r.decision for r in O.screen_candidate(clean, good).collect()} == {"auto_pass"}

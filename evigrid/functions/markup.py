@@ -8,7 +8,6 @@ formatting elements are not re-opened.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -89,9 +88,17 @@ def parse(markup: str) -> list[Node]:
 _SIMPLE = re.compile(r"(?P<tag>\*|[A-Za-z][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:=[\"']?(?P<val>[^\"'\]]*)[\"']?)?\]")
 
 
-@lru_cache(maxsize=256)
+_COMPILED: dict = {}
+
+
 def compile_selector(selector: str):
     """Comma list of [(combinator, tests)], rightmost step last."""
+    if selector not in _COMPILED:
+        _COMPILED[selector] = _compile(selector)
+    return _COMPILED[selector]
+
+
+def _compile(selector: str):
     chains = []
     for part in selector.split(","):
         steps, link = [], " "
@@ -168,16 +175,20 @@ def _inside(node, root):
     return False
 
 
-def subtree(nodes: list[Node], root: Node) -> list[Node]:
-    """Elements below ``root``: the run after it whose members descend from it."""
-    out = []
-    for node in nodes[root.pos + 1:]:
-        if not _inside(node, root):
-            break
-        out.append(node)
+def ends(nodes: list[Node]) -> list[int]:
+    """For each element the position behind its last descendant, in one pass from the end."""
+    out = [n.pos + 1 for n in nodes]
+    for node in reversed(nodes):
+        if node.parent is not None and 0 <= node.parent.pos < len(out):
+            out[node.parent.pos] = max(out[node.parent.pos], out[node.pos])
     return out
 
 
+def subtree(nodes: list[Node], root: Node, stops: list[int] | None = None) -> list[Node]:
+    """Elements below ``root``: the run after it up to where it ends (``stops``: see ``ends``)."""
+    return nodes[root.pos + 1:(ends(nodes) if stops is None else stops)[root.pos]]
+
+
 def value(nodes: list[Node], selector: str | None, attribute: str) -> str | None:
     """Text or attribute of the first match, None where nothing matches."""
     hit = select(nodes, selector, first=True) if selector else []

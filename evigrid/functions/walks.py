@@ -1,17 +1,19 @@
-"""Depth-bounded walks over JSON values, written as nested higher-order expressions.
+"""Walks over JSON values: nested higher-order expressions where the depth is a rule, scans of canonical text where it is not.
 
-Each level adds one lambda, so a walk is a single projection: no explode, no shuffle.
+A walk is a single projection: no explode, no shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .json_values import as_array, as_object, as_text, digest, type_tag
+from .json_values import as_array, as_object, as_text, canonical_json, type_tag
 from .texts import SENSITIVE, is_sensitive
 
 MAX_DEPTH = 6
@@ -32,12 +34,13 @@ def sensitive_keys(v: Column, depth: int = 0) -> Column:
     return F.coalesce(names, F.lit(False)) | F.coalesce(below, F.lit(False))
 
 
-def has_member(v: Column, names: list[str], levels: int = 12) -> Column:
-    """True where a member carries one of ``names`` within ``levels`` of nesting."""
-    here = F.coalesce(F.arrays_overlap(F.map_keys(as_object(v)), F.array(*map(F.lit, names))), F.lit(False))
-    if levels == 0:
-        return here
-    return here | F.coalesce(F.exists(_children(v), lambda c: has_member(c, names, levels - 1)), F.lit(False))
+def has_member(v: Column, names: list[str]) -> Column:
+    """True where a member at any depth carries one of ``names``.
+
+    In canonical JSON text a name is the only quoted text with a colon behind it, and quotes inside strings are escaped.
+    """
+    either = "|".join(re.escape(json.dumps(n, ensure_ascii=False)) for n in names)
+    return F.coalesce(canonical_json(v).rlike(f"(?:{either}):"), F.lit(False))
 
 
 def _entries(v: Column) -> Column:
@@ -72,57 +75,80 @@ def structure_members(v: Column, levels: int = MAX_DEPTH + 1) -> Column:
     return walk(v, F.lit(""), 0)
 
 
-def nested_subtrees(v: Column, levels: int = 8) -> Column:
-    """Digests of every non-empty nested container down to ``levels`` (the value itself is left out)."""
-    empty = F.array().cast("array<string>")
+_MARK = re.compile(r'"(?:[^"\\]++|\\.)*+"|[\[\]{}]', re.S)
 
-    def walk(node: Column, depth: int) -> Column:
-        if depth > levels:
-            return empty
-        kids = F.filter(_children(node), lambda c: F.size(_children(c)) > 0)
-        return F.coalesce(F.flatten(F.transform(kids, lambda c: F.concat(
-            F.array(digest(c)), walk(c, depth + 1)))), empty)
 
-    return F.sort_array(F.array_distinct(walk(v, 0)))
+def _containers(text: str) -> Iterator[str]:
+    """Non-empty containers inside a canonical JSON text, at any depth, the whole text left out."""
+    open_: list[int] = []
+    for m in _MARK.finditer(text):
+        mark = text[m.start()]
+        if mark in "[{":
+            open_.append(m.start())
+        elif mark != '"':
+            start = open_.pop()
+            if open_ and m.end() - start > 2:
+                yield text[start:m.end()]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _subtree_digests(texts: pd.Series) -> pd.Series:
+    # Parts of a canonical text are the canonical texts of the parts, so no value is decoded.
+    digests = lambda one: {hashlib.sha256(c.encode()).hexdigest() for t in one if t is not None for c in _containers(t)}
+    return texts.map(lambda one: None if one is None else sorted(digests(one)))
+
+
+def nested_subtrees(bodies: Column) -> Column:
+    """Digests of every non-empty nested container of an array of values, at any depth (the values themselves are left out)."""
+    return _subtree_digests(F.transform(bodies, canonical_json))
 
 
 # Placeholders a redacted structure shows instead of values (fixed values).
 PLACEHOLDER = {"NoneType": "<null>", "bool": "<boolean>", "int": "<integer>", "float": "<number>", "str": "<string>"}
 
 
-def _redact(node, depth, visible=False):
+def _redact(node, depth, visible=False, members=None):
     """Structure of a decoded JSON value without its values; see ``shape``."""
     if depth > MAX_DEPTH:
         return "<depth_limit>"
     if isinstance(node, list):
-        return [_redact(node[0], depth + 1)] if node else []
+        return [_redact(node[0], depth + 1, False, members)] if node else []
     if not isinstance(node, dict):
         return PLACEHOLDER[type(node).__name__]
     out = {}
-    for name in list(node)[:30]:
+    for name in list(node)[:members]:
         if _SENSITIVE_NAME.search(name):
             continue
         item = node[name]
         small = visible and ((type(item) is int and 0 < item <= 999)
                              or (isinstance(item, str) and item.isdecimal() and len(item) <= 3))
-        out[name] = item if small else _redact(item, 0 if visible else depth + 1)
+        out[name] = item if small else _redact(item, 0 if visible else depth + 1, False, members)
     return out
 
 
+def _redacted(text, visible, members=None):
+    try:
+        return json.dumps(_redact(json.loads(text), 0, visible, members), ensure_ascii=False)
+    except (TypeError, ValueError, RecursionError):
+        return None  # no text, or not JSON
+
+
+def shape_of(members: int | None = None):
+    """A function of a JSON text column that gives its value-free structure as JSON text, in written order; NULL where a text is
+    not JSON. With ``members`` only so many members of each object are shown."""
+    return F.pandas_udf(lambda body: body.map(lambda t: _redacted(t, False, members)), T.StringType())
+
+
 @F.pandas_udf(T.StringType())
 def shape(body: pd.Series) -> pd.Series:
-    """Value-free structure of JSON text, as JSON text.
-
-    Python keeps the written member order, on which the 30-member cap depends; a Variant sorts it away.
-    """
-    return body.map(lambda t: None if t is None else json.dumps(_redact(json.loads(t), 0), ensure_ascii=False))
+    """Value-free structure of JSON text, as JSON text with all members; NULL where it is not JSON."""
+    return body.map(lambda t: _redacted(t, False))
 
 
 @F.pandas_udf(T.StringType())
 def request_shape(body: pd.Series) -> pd.Series:
     """Like ``shape``, but small page-like numbers of a request body stay visible."""
-    return body.map(lambda t: None if t is None else json.dumps(
-        _redact(json.loads(t), 0, visible=True), ensure_ascii=False))
+    return body.map(lambda t: _redacted(t, True))
 
 
 def redact_query(query: Column) -> Column:

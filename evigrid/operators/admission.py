@@ -11,7 +11,8 @@ from ..functions.json_values import as_object
 from ..functions.texts import is_sensitive
 from ..functions.urls import query_pairs, repeated_keys, url_parts
 from ..functions.walks import sensitive_keys
-from .collect import BODY_LIMIT, first_match
+from .collect import first_match
+from .windows import sequence_numbers
 
 # Intent rules in order of precedence (rule, class, reason, phrases).
 INTENT_RULES = (
@@ -37,9 +38,6 @@ BLOCKED_V4 = (
 # IPv6 ranges that may embed an IPv4 address.
 BLOCKED_V6 = ("2001::/32", "2002::/16")
 
-ROBOTS_LIMIT = 64 * 1024
-OBSERVED_PER_SESSION = 20
-
 
 def classify_intent(text: Column) -> Column:
     """Struct (classification, allowed, code, reason, rule); the matched phrase never shows."""
@@ -69,23 +67,30 @@ def decide(classification: Column, authorized: Column) -> Column:
 
 # ---------------------------------------------------------------- request log
 
-def admit_observations(log: DataFrame) -> DataFrame:
-    """Usable evidence among captured responses; refused rows keep a ``reason``.
+def admit_observations(log: DataFrame, *, per_session: int | None = None, body_limit: int | None = None,
+                       chunk: Column | None = None) -> DataFrame:
+    """Usable evidence among captured responses: every row comes back, refused ones with a ``reason``.
 
-    ``log``: session, seq, method, resource_type, status, content_type, url,
-    request_headers map, post_data, body. Only the first 20 responses of a session are
-    looked at; Spark keeps that many per session and task before the shuffle.
+    ``log``: session, seq, method, resource_type, status, content_type, url, request_headers map, post_data, body, and optionally ``origin``, the
+    only one a session may talk to. With ``per_session`` only the first responses of a session are looked at (the rest is
+    ``not_observed``), with ``body_limit`` longer bodies are refused. ``chunk`` grows with ``seq`` and cuts a long session into pieces for numbering.
     """
-    order = Window.partitionBy("session").orderBy("seq")
-    seen = log.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= OBSERVED_PER_SESSION)
     u = url_parts(F.col("url"))
     pairs = query_pairs(u.query)
-    sent = F.when(F.octet_length("post_data") <= BODY_LIMIT, F.try_parse_json("post_data"))
+    short = lambda c: F.octet_length(c) <= body_limit if body_limit is not None else F.lit(True)
+    sent = F.when(short("post_data"), F.try_parse_json("post_data"))
     sent_type = F.lower(F.trim(F.substring_index(
         F.get(F.map_values(F.map_filter("request_headers", lambda k, v: F.lower(k) == "content-type")), F.lit(0)), ";", 1)))
     post_ok = ((sent_type == "application/json") & (F.size(F.map_keys(as_object(sent))) > 0) & ~sensitive_keys(sent))
-    body = F.when(F.octet_length("body") <= BODY_LIMIT, F.try_parse_json("body"))
+    body = F.when(short("body"), F.try_parse_json("body"))
+    place = F.concat(u.scheme, F.lit("://"), u.authority)
+    foreign = ~F.coalesce(place == F.col("origin"), F.lit(False)) if "origin" in log.columns else F.lit(False)
+    late = F.lit(False)
+    if per_session is not None:
+        log = log.withColumn("_rank", F.row_number().over(Window.partitionBy("session").orderBy("seq")))
+        late = F.col("_rank") > per_session
     reason = first_match(
+        (late, "not_observed"), (foreign, "origin"),
         (~F.col("method").isin("GET", "POST"), "method"),
         (~F.col("resource_type").isin("fetch", "xhr"), "resource_type"),
         (~F.col("status").between(200, 299), "status"),
@@ -93,15 +98,13 @@ def admit_observations(log: DataFrame) -> DataFrame:
         (repeated_keys(pairs) | F.exists(pairs, lambda p: is_sensitive(p["key"])), "query"),
         (F.exists(F.map_keys("request_headers"), is_sensitive), "headers"),
         ((F.col("method") == "POST") & ~F.coalesce(post_ok, F.lit(False)), "request_body"),
-        (F.octet_length("body") > BODY_LIMIT, "response_too_large"),
+        (~short("body"), "response_too_large"),
         (body.isNull() | ~F.substring(F.ltrim("body"), 1, 1).isin("{", "["), "body"))
-    judged = seen.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
-    running = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    number = F.sum(F.col("admitted").cast("int")).over(running)
-    return (judged.withColumn("request_id", F.when(F.col("admitted"), F.format_string("req_%03d", number)))
-            .withColumn("clean_url", F.concat(u.scheme, F.lit("://"), u.authority, u.path))
-            .withColumn("query", F.map_from_entries(pairs_once(pairs)))
-            .drop("_rank", "admitted"))
+    judged = (log.withColumn("reason", reason).drop("_rank").withColumn("clean_url", F.concat(place, u.path))
+              .withColumn("query", F.map_from_entries(pairs_once(pairs))))
+    numbered = sequence_numbers(judged.filter("reason IS NULL"), ["session"], ["seq"], F.lit(0) if chunk is None else chunk, "_number")
+    return numbered.withColumn("request_id", F.format_string("req_%03d", "_number")).drop("_number").unionByName(
+        judged.filter("reason IS NOT NULL").withColumn("request_id", F.lit(None).cast("string")))
 
 
 def pairs_once(pairs: Column) -> Column:
@@ -190,13 +193,15 @@ def admit_hosts(resolved: DataFrame, *, ipv6: bool = True) -> DataFrame:
 
 # ---------------------------------------------------------------- robots
 
-def robots_rules(files: DataFrame) -> DataFrame:
+def robots_rules(files: DataFrame, limit: int | None = None) -> DataFrame:
     """(origin, fetched, groups) of (origin, text, fetched): one row per origin.
 
-    ``groups`` is an ordered array of (agents, rules) with rules in file order. Files above
-    64 KiB count as not fetched, which also bounds every window below to one such file.
+    ``groups`` is an ordered array of (agents, rules) with rules in file order; every window below is bounded by one file.
+    With a ``limit`` longer files count as not fetched.
     """
-    ok = F.col("fetched") & F.col("text").isNotNull() & (F.octet_length("text") <= ROBOTS_LIMIT)
+    ok = F.col("fetched") & F.col("text").isNotNull()
+    if limit is not None:
+        ok = ok & (F.octet_length("text") <= limit)
     files = files.withColumn("fetched", F.coalesce(ok, F.lit(False)))
     lines = files.select("origin", "fetched", F.posexplode_outer(
         F.when(F.col("fetched"), F.split("text", r"\r\n|\r|\n"))).alias("seq", "raw"))

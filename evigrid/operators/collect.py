@@ -1,21 +1,21 @@
 """Paged JSON collection with every page and record check.
 
-One shuffle by ``source_id`` carries everything. It is bounded per source by the rules
-of the operator itself: at most ``max_pages`` (10) pages of 256 KiB each pass the
-filters in front of it, whatever the size of the source.
+Bodies are parsed once and stored as narrow rows. Running state of a source is carried over chunks of its pages, and everything else
+a check needs of the rest of a source (first type of a field, first place of a key, first event) is an aggregate joined back,
+so no task has to hold a source, however many pages it has.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.json_values import as_array, path_get, pointer_get, pointer_paths, tagged
 from ..plans.specs import FIELD_TYPES, SQL_TYPES, ExtractionPlan, FieldSpec, attach_plan
-from ..session import cut_lineage
+from ..session import store as written
+from .windows import page_state
 
-BODY_LIMIT = 256 * 1024
 SCALARS = ("string", "integer", "number", "boolean")
 STOP, LIMIT = "~stop", "~record_limit"
 EVENT = "struct<page:int,stage:int,pos:int,check:int,code:string>"
@@ -45,24 +45,25 @@ def first_match(*rules: tuple[Column, str]) -> Column:
     return out
 
 
-def scan_json_pages(pages: DataFrame, limit: int = BODY_LIMIT) -> DataFrame:
-    """Parsed page bodies. ``reject`` names the reason a body cannot be used."""
-    parsed = F.when(F.octet_length("body") <= limit, F.try_parse_json("body"))
-    out = pages.withColumn("document", parsed)
+def scan_json_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Parsed page bodies. ``reject`` names the reason a body cannot be used; with a ``limit`` longer ones are refused unread."""
+    large = F.octet_length("body") > limit if limit is not None else F.lit(False)
+    out = pages.withColumn("document", F.when(~large, F.try_parse_json("body")))
     head = F.substring(F.ltrim(F.col("body")), 1, 1)
     return out.withColumn("reject", first_match(
-        (F.octet_length("body") > limit, "response_too_large"),
-        (F.col("document").isNull(), "expected_json"),
-        (~head.isin("{", "["), "expected_object_or_list")))
+        (large, "response_too_large"), (F.col("document").isNull(), "expected_json"), (~head.isin("{", "["), "expected_object_or_list")))
 
 
 def extract_items(pages: DataFrame, plan: ExtractionPlan) -> DataFrame:
-    """One row per list item with the planned fields as Variant columns."""
-    parsed = scan_json_pages(pages).filter("reject IS NULL")
-    items = as_array(pointer_get(F.col("document"), plan.items_pointer))
-    exploded = parsed.select("source_id", "page_no", F.posexplode(items).alias("pos", "item"))
-    return exploded.select("source_id", "page_no", "pos", *[
-        pointer_get(F.col("item"), path).alias(name) for name, path in plan.fields.items()])
+    """One row per list item with the planned fields as Variant columns. A page that cannot be used, or has no list, stays as one row
+    without position, with the reason in ``reject``."""
+    parsed = scan_json_pages(pages)
+    node = pointer_get(F.col("document"), plan.items_pointer)
+    items = as_array(node)
+    reject = F.coalesce("reject", first_match((node.isNull(), "pointer_not_found"), (items.isNull(), "items_not_list")))
+    exploded = parsed.select("source_id", "page_no", reject.alias("reject"), F.posexplode_outer(items).alias("pos", "item"))
+    return exploded.filter("pos IS NOT NULL OR reject IS NOT NULL").select("source_id", "page_no", "pos", *[
+        pointer_get(F.col("item"), path).alias(name) for name, path in plan.fields.items()], "reject")
 
 
 def _sample_code(node, items, first, total, more, total_ptr, more_ptr, required) -> Column:
@@ -110,15 +111,15 @@ def _read_body(df: DataFrame, names: list[str], plan: ExtractionPlan | DataFrame
 
 
 def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[str] | None = None, *,
-                max_pages: int = 3, max_records: int | None = None, specs: tuple[FieldSpec, ...] = (),
+                max_pages: int | None = None, max_records: int | None = None, specs: tuple[FieldSpec, ...] = (),
                 observations: DataFrame | None = None) -> DataFrame:
     """Item rows (empty pages keep one row) with running state and the earliest event per row.
 
     ``pages`` is (source_id, page_no, body), unique per page; pages after a gap are not
     reachable and do not count. ``observations`` (source_id, body) holds the sample the plan
-    was made from; page 1 is the sample where it is not given.
+    was made from; page 1 is the sample where it is not given. All pages and records count unless a limit is given.
     """
-    if not 1 <= max_pages <= 10:
+    if max_pages is not None and not 1 <= max_pages <= 10:
         raise ValueError("max_pages_out_of_range")
     if max_records is not None and not 1 <= max_records <= 1000:
         raise ValueError("max_records_out_of_range")
@@ -129,90 +130,90 @@ def check_pages(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[
     optional = {s.name for s in specs if not s.required}
     required = [i for i, n in enumerate(names) if n not in optional]
 
-    df = _read_body(pages.filter(F.col("page_no").between(1, max_pages))
-                    .select("source_id", "page_no", "body"), names, plan)
+    number = F.col("page_no")
+    inside = number.between(1, max_pages) if max_pages is not None else number >= 1
+    df = _read_body(pages.filter(inside).select("source_id", "page_no", "body"), names, plan)
     if observations is not None:
         seen = _read_body(observations.select("source_id", "body"), names, plan).select(
             "source_id", F.col("_items").alias("_o_items"), F.col("_node").alias("_o_node"),
             F.col("_total.t").alias("_o_total"), F.col("_more.t").alias("_o_more"), F.lit(True).alias("_o_seen"))
         df = df.join(seen, "source_id", "left")
-
-    by_page = Window.partitionBy("source_id").orderBy("page_no")
-    so_far = by_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     has_total, has_more = F.col("total_pointer").isNotNull(), F.col("has_next_pointer").isNotNull()
-    total = F.when(F.col("_total.t") == "integer", F.col("_total.s").try_cast("bigint"))
-
-    df = df.withColumns({
-        "n_items": F.when(F.col("_items").isNotNull(), F.size("_items")).otherwise(0), "total": F.when(has_total, total)})
-    df = df.withColumns({
-        "previous_total": F.lag("total").over(by_page), "running_count": F.sum("n_items").over(so_far),
-        "_rank": F.dense_rank().over(by_page)}).filter(F.col("_rank") == F.col("page_no"))
-    more = F.when(has_more, F.when(F.col("_more.t") == "boolean", F.col("_more.s") == "true")).otherwise(
-        (F.col("n_items") > 0) & (F.col("total").isNull() | (F.col("running_count") < F.col("total"))))
-    df = df.withColumn("more", more)
     if observations is None:
         first = F.get(F.col("_items"), F.lit(0))
-        sample = F.when(F.col("page_no") == 1, _sample_code(
-            F.col("_node"), F.col("_items"), first, F.col("_total.t"), F.col("_more.t"),
-            F.col("total_pointer"), F.col("has_next_pointer"), required))
+        sample = F.when(number == 1, _sample_code(F.col("_node"), F.col("_items"), first, F.col("_total.t"), F.col("_more.t"),
+                                                  F.col("total_pointer"), F.col("has_next_pointer"), required))
+        first = F.lit(None)
     else:
         first = F.get(F.col("_o_items"), F.lit(0))
         sample = F.when(F.col("_o_seen").isNull(), F.lit("unknown_request_id")).otherwise(_sample_code(
             F.col("_o_node"), F.col("_o_items"), first, F.col("_o_total"), F.col("_o_more"),
             F.col("total_pointer"), F.col("has_next_pointer"), required))
-        df = df.withColumn("_sample", first)
-    sample = F.when(F.col("request_id").isNull(), F.lit("unknown_request_id")).when(
-        F.col("reject").isNull(), sample)
-
+    sample = F.when(F.col("request_id").isNull(), F.lit("unknown_request_id")).when(F.col("reject").isNull(), sample)
+    total = F.when(has_total & (F.col("_total.t") == "integer"), F.col("_total.s").try_cast("bigint"))
+    df = written(df.select(
+        "source_id", "page_no", "unique_key", "reject", "_node", F.col("_total.t").alias("_total_type"), total.alias("total"),
+        F.col("_more.t").alias("_more_type"), F.col("_more.s").alias("_more_text"), has_total.alias("_has_total"), has_more.alias("_has_more"),
+        "_items", F.when(F.col("_items").isNotNull(), F.size("_items")).otherwise(0).alias("n_items"), sample.alias("sample_code"),
+        *([first.alias("_sample")] if observations is not None else [])), "collect-pages")
+
+    # Page state, on narrow rows; pages behind a gap are dropped.
+    heads = page_state(df.withColumn("_no_list", F.col("_items").isNull()).drop("_items", "_sample", "unique_key"))
+    has_total, has_more = F.col("_has_total"), F.col("_has_more")
+    more = F.when(has_more, F.when(F.col("_more_type") == "boolean", F.col("_more_text") == "true")).otherwise(
+        (F.col("n_items") > 0) & (F.col("total").isNull() | (F.col("running_count") < F.col("total"))))
+    heads = heads.withColumn("more", more)
     before_items = first_match(
         (F.col("reject").isNotNull() & (F.col("reject") != "expected_object_or_list"), "?"),
         (F.col("_node") == "missing", "pointer_not_found"),
-        (F.col("_items").isNull(), "items_not_list"),
-        (has_total & (F.col("_total.t") == "missing"), "pointer_not_found"),
-        (has_total & ((F.col("_total.t") != "integer") | (F.col("total") < 0)), "invalid_total"),
+        (F.col("_no_list"), "items_not_list"),
+        (has_total & (F.col("_total_type") == "missing"), "pointer_not_found"),
+        (has_total & ((F.col("_total_type") != "integer") | (F.col("total") < 0)), "invalid_total"),
         (has_total & (F.col("total") != F.col("previous_total")), "total_changed"))
     before_items = F.when(before_items == "?", F.col("reject")).otherwise(before_items)
     after_items = first_match(
         (has_total & (F.col("running_count") > F.col("total")), "too_many_items"),
-        (has_more & (F.col("_more.t") == "missing"), "pointer_not_found"),
-        (has_more & (F.col("_more.t") != "boolean"), "invalid_has_next"),
+        (has_more & (F.col("_more_type") == "missing"), "pointer_not_found"),
+        (has_more & (F.col("_more_type") != "boolean"), "invalid_has_next"),
         (F.col("more") & (F.col("n_items") == 0), "empty_page_with_next"),
         (~F.col("more") & has_total & (F.col("running_count") != F.col("total")), "incomplete_items"),
         (~F.col("more"), STOP))
     page, zero = F.col("page_no"), F.lit(0)
-    df = df.withColumns({"sample_code": sample, "page_code": before_items, "end_code": after_items})
-    df = df.withColumn("_page_event", F.least(
+    heads = heads.withColumns({"page_code": before_items, "end_code": after_items})
+    heads = heads.withColumn("_page_event", F.least(
         F.when(F.col("sample_code").isNotNull(), _event(zero, 0, zero, 0, F.col("sample_code"))),
         F.when(F.col("page_code").isNotNull(), _event(page, 0, zero, 0, F.col("page_code"))),
         F.when(F.col("end_code").isNotNull(), _event(page, 2, zero, 0, F.col("end_code")))))
-
-    keep = ["source_id", "page_no", "unique_key", "n_items", "total", "previous_total", "running_count", "more",
-            "sample_code", "page_code", "end_code", "_page_event"]
-    if observations is not None:
-        keep.append("_sample")
-    df = df.select(*keep, F.posexplode_outer("_items").alias("pos", "_c"))
-    df = df.withColumn("_cell", F.struct(*[F.col("_c")[i].alias(n) for i, n in enumerate(names)])).drop("_c")
-    return _check_items(df, names, optional, specs, max_records, observations is not None)
+    heads = heads.select("source_id", "page_no", "n_items", "total", "previous_total", "running_count", "more", "sample_code", "page_code",
+                         "end_code", "_page_event")
+    items = df.select("source_id", "page_no", "unique_key", *(["_sample"] if observations is not None else []),
+                      F.posexplode_outer("_items").alias("pos", "_c"))
+    rows = heads.join(items, ["source_id", "page_no"])
+    rows = rows.withColumn("_cell", F.struct(*[F.col("_c")[i].alias(n) for i, n in enumerate(names)])).drop("_c")
+    return _check_items(rows, names, optional, specs, max_records, observations is not None)
 
 
 def _check_items(df, names, optional, specs, max_records, has_sample) -> DataFrame:
-    in_order = Window.partitionBy("source_id").orderBy("page_no", "pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    present = F.col("pos").isNotNull()
+    present, place = F.col("pos").isNotNull(), F.struct("page_no", "pos")
+    key = F.element_at(F.create_map(*[x for n in names for x in (
+        F.lit(n), F.struct(F.col("_cell")[n]["t"].alias("t"), F.col("_cell")[n]["s"].alias("s")))]), F.col("unique_key"))
+    df = df.withColumns({"_key": F.when(present, key), "ordinal": F.col("running_count") - F.col("n_items") + F.col("pos") + 1})
+    # The type a field is expected to keep: that of the sample, else of its first value in the source.
+    tags = {n: F.when(~F.col("_cell")[n]["t"].isin("missing", "null"), F.col("_cell")[n]["t"]) for n in names}
+    first_types = df.filter(present).groupBy("source_id").agg(*[F.min_by(t, F.when(t.isNotNull(), place)).alias(f"_first_{n}") for n, t in tags.items()])
+    # The first place of a key; a key may be hot, so it is an aggregate joined back instead of a window.
+    firsts = df.filter(present).groupBy(F.col("source_id").alias("_source"), F.col("_key.t").alias("_kt"), F.col("_key.s").alias("_ks")).agg(
+        F.min(place).alias("_first_place"), F.count("*").alias("_n")).filter("_n > 1")
+    df = df.join(first_types, "source_id", "left").join(
+        firsts, (F.col("source_id") == F.col("_source")) & F.col("_key.t").eqNullSafe(F.col("_kt")) & F.col("_key.s").eqNullSafe(F.col("_ks")), "left")
+    df = df.withColumn("key_seen_before", F.coalesce(present & (place > F.col("_first_place")), F.lit(False)))
     expected = {}
     for index, name in enumerate(names):
-        tag = F.when(~F.col("_cell")[name]["t"].isin("missing", "null"), F.col("_cell")[name]["t"])
-        kind = F.first(tag, ignorenulls=True).over(in_order)
+        kind = F.col(f"_first_{name}")
         if has_sample:
             sample = F.col("_sample")[index]["t"]
             kind = F.coalesce(F.when(~sample.isin("missing", "null"), sample), kind) if name in optional else sample
-        expected[f"_expected_{name}"] = kind
-    key = F.element_at(F.create_map(*[x for n in names for x in (
-        F.lit(n), F.struct(F.col("_cell")[n]["t"].alias("t"), F.col("_cell")[n]["s"].alias("s")))]), F.col("unique_key"))
-    df = df.withColumns({**expected, "_key": F.when(present, key),
-                         "ordinal": F.col("running_count") - F.col("n_items") + F.col("pos") + 1})
-    same_key = Window.partitionBy("source_id", "_key.t", "_key.s").orderBy("page_no", "pos")
-    df = df.withColumn("key_seen_before", present & (F.row_number().over(same_key) > 1))
+        expected[name] = kind
 
     rules: list[tuple[Column, str]] = []
     for name in names:
@@ -220,7 +221,7 @@ def _check_items(df, names, optional, specs, max_records, has_sample) -> DataFra
             rules.append((F.col("_cell")[name]["t"] == "missing", "pointer_not_found"))
     for name in names:
         tag, text = F.col("_cell")[name]["t"], F.col("_cell")[name]["s"]
-        changed = ~tag.isin(*SCALARS) | (tag != F.coalesce(F.col(f"_expected_{name}"), F.lit("null")))
+        changed = ~tag.isin(*SCALARS) | (tag != F.coalesce(expected[name], F.lit("null")))
         if name in optional:
             changed = ~tag.isin("missing", "null") & changed
         rules.append((changed, "field_type_changed"))
@@ -239,20 +240,17 @@ def _check_items(df, names, optional, specs, max_records, has_sample) -> DataFra
     for number, (condition, code) in reversed(list(enumerate(rules))):
         item_event = F.when(condition, _event(F.col("page_no"), 1, F.col("pos"), number, code)).otherwise(item_event)
     df = df.withColumn("item_event", F.when(present, item_event))
-    df = df.withColumn("event", F.least("_page_event", "item_event"))
-    return df.withColumn("first_event", F.min("event").over(Window.partitionBy("source_id")))
-
+    df = df.withColumn("event", F.least("_page_event", "item_event")).drop(
+        "_source", "_kt", "_ks", "_first_place", "_n", "_sample", *[f"_first_{n}" for n in names])
+    df = written(df, "collect-rows")
+    return df.join(df.groupBy("source_id").agg(F.min("event").alias("first_event")), "source_id")
 
-def run_collection(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[str] | None = None, *,
-                   store: bool = False, **options) -> Collection:
-    """Whole extraction: typed records, first violation per source, one summary row per source.
 
-    ``store`` checkpoints the checked rows, so that a job using several outputs checks once.
-    """
+def run_collection(pages: DataFrame, plan: ExtractionPlan | DataFrame, names: list[str] | None = None,
+                   **options) -> Collection:
+    """Whole extraction: typed records, first violation per source, one summary row per source."""
     specs: tuple[FieldSpec, ...] = options.get("specs", ())
     checked = check_pages(pages, plan, names, **options)
-    if store:
-        checked = cut_lineage(checked)
     names = list(plan.fields) if isinstance(plan, ExtractionPlan) else list(names)
     code = F.col("first_event.code")
     ok = code.isNull() | code.isin(STOP, LIMIT)

@@ -16,9 +16,8 @@ from ..plans.specs import SQL_TYPES, FieldSpec, HtmlPlan, TargetPolicy
 from ..session import cut_lineage
 from .collect import LIMIT, STOP, _event, first_match
 from .validate import normalize_html, row_digest
+from .windows import page_state
 
-MAX_PAGE_RECORDS = 1000
-REQUEST_BUDGET = 60
 SKIPPED_TAGS = ("script", "style", "input", "textarea", "select", "option", "svg", "path")
 PARSED = ("url string, n_nodes int, records array<struct<values:map<string,string>,detail:string>>, next string, "
           "detail_values map<string,string>")
@@ -26,10 +25,7 @@ OUTLINE = "page_id bigint, pos int, selector string, id string, attributes array
 
 
 def parse_documents(documents: DataFrame, plan: HtmlPlan) -> DataFrame:
-    """(url, n_nodes, records, next, detail_values) of (url, html): every document is parsed once.
-
-    A page with more than 1000 record nodes keeps its count and no records.
-    """
+    """(url, n_nodes, records, next, detail_values) of (url, html): every document is parsed once."""
     list_fields = {k: (f.selector, f.attribute) for k, f in plan.fields.items() if f.source == "list"}
     detail_fields = {k: (f.selector, f.attribute) for k, f in plan.fields.items() if f.source == "detail"}
     record, detail, following = plan.record_selector, plan.detail_link_selector, plan.next_selector
@@ -40,12 +36,14 @@ def parse_documents(documents: DataFrame, plan: HtmlPlan) -> DataFrame:
             for url, html in zip(batch["url"], batch["html"]):
                 nodes = M.parse(html)
                 roots, rows = M.select(nodes, record), []
-                for root in roots if len(roots) <= MAX_PAGE_RECORDS else []:
-                    below = M.subtree(nodes, root)
+                stops = M.ends(nodes) if roots else []
+                for root in roots:
+                    below = M.subtree(nodes, root, stops)
                     rows.append({"values": {k: M.value(below, *f) for k, f in list_fields.items()},
                                  "detail": M.value(below, detail, "href")})
-                out.append((url, len(roots), rows, M.value(nodes, following, "href"),
-                            {k: M.value(nodes, *f) for k, f in detail_fields.items()}))
+                # Only one of the two kinds of document can hold detail fields: those without records.
+                found = {} if roots else {k: M.value(nodes, *f) for k, f in detail_fields.items()}
+                out.append((url, len(roots), rows, M.value(nodes, following, "href"), found))
             yield pd.DataFrame(out, columns=["url", "n_nodes", "records", "next", "detail_values"])
 
     return documents.select("url", "html").mapInPandas(read, PARSED)
@@ -74,32 +72,38 @@ def same_origin_links(links: DataFrame, policy: TargetPolicy | None) -> DataFram
     return out.withColumn("code", link_error(F.col("target"), url_parts(F.col("base")).origin, policy))
 
 
-def next_link_chain(entries: DataFrame, links: DataFrame, max_pages: int = 3) -> DataFrame:
+def next_link_chain(entries: DataFrame, links: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages reached from each entry: (source_id, page_no, url, code, more, link_code).
 
-    ``entries``: source_id, url. ``links``: url, next (resolved), code, narrow and unique per url.
-    At most ten joins on ``url``; a source is one row that carries its own path of at most ten
-    pages, so nothing is joined twice and a finished source matches nothing more.
+    ``entries``: source_id, url. ``links``: url, next (resolved), code, narrow and unique per url. Chains of any length are followed by
+    doubling: after k rounds a source knows its first 2^k pages and every page the one 2^k further on, so the number of joins grows with
+    the logarithm of the longest chain. Only rows that can go on meet the links, so no empty key gathers finished sources.
+    A page seen before ends its source with ``pagination_cycle``.
     """
-    if not 1 <= max_pages <= 10:
+    if max_pages is not None and not 1 <= max_pages <= 10:
         raise ValueError("collection_budget_out_of_range")
-    page = "struct<page_no:int,url:string,code:string,more:boolean,link_code:string>"
-    none = F.lit(None).cast("string")
-    walk = entries.select("source_id", "url", F.array("url").alias("_visited"), none.alias("code"),
-                          F.array().cast(f"array<{page}>").alias("_path"))
-    links = links.select("url", F.col("next").alias("_next"), F.col("code").alias("_code"))
-    open_ = F.col("url").isNotNull()
-    for number in range(1, max_pages + 1):
-        step = walk.join(links, "url", "left")
-        row = F.struct(F.lit(number).alias("page_no"), F.col("url"), F.col("code"), F.col("_next").isNotNull().alias("more"),
-                       F.when(F.col("code").isNull(), F.col("_code")).alias("link_code"))
-        onward = open_ & F.col("_next").isNotNull() & F.col("_code").isNull() & F.col("code").isNull()
-        walk = step.select(
-            "source_id", F.when(onward, F.col("_next")).alias("url"),
-            F.when(onward, F.concat("_visited", F.array("_next"))).otherwise(F.col("_visited")).alias("_visited"),
-            F.when(onward & F.array_contains("_visited", F.col("_next")), "pagination_cycle").alias("code"),
-            F.when(open_, F.concat("_path", F.array(row.cast(page)))).otherwise(F.col("_path")).alias("_path"))
-    return walk.select("source_id", F.inline("_path"))
+    links = cut_lineage(links.select("url", F.col("next").alias("_next"), F.col("code").alias("_code")))
+    jump = links.filter("_next IS NOT NULL AND _code IS NULL").select(F.col("url").alias("_at"), F.col("_next").alias("_to"))
+    reached = cut_lineage(entries.select("source_id", F.lit(1).cast("bigint").alias("page_no"), "url"))
+    span, size = 1, reached.count()
+    while max_pages is None or span < max_pages:
+        further = reached.join(jump, F.col("url") == F.col("_at")).select("source_id", (F.col("page_no") + span).alias("page_no"), F.col("_to").alias("url"))
+        both = reached.unionByName(further).distinct()
+        seen = both.groupBy("source_id", "url").agg(F.min("page_no").alias("_first"), F.get(F.sort_array(F.collect_set("page_no")), F.lit(1)).alias("_again"))
+        stop = seen.groupBy("source_id").agg(F.min("_again").alias("_stop"))
+        reached = cut_lineage(both.join(stop, "source_id").filter("_stop IS NULL OR page_no <= _stop").select("source_id", "page_no", "url"))
+        before, size = size, reached.count()
+        if size == before:
+            break
+        jump = cut_lineage(jump.join(jump.select(F.col("_at").alias("_to"), F.col("_to").alias("_end")), "_to").select("_at", F.col("_end").alias("_to")))
+        span *= 2
+    if max_pages is not None:
+        reached = reached.filter(F.col("page_no") <= max_pages)
+    firsts = reached.groupBy("source_id", "url").agg(F.min("page_no").alias("_first"))
+    code = F.when(F.col("page_no") > F.col("_first"), "pagination_cycle")
+    return reached.join(firsts, ["source_id", "url"]).join(links, "url", "left").select(
+        "source_id", F.col("page_no").cast("int").alias("page_no"), "url", code.alias("code"), F.col("_next").isNotNull().alias("more"),
+        F.when(code.isNull(), F.col("_code")).alias("link_code"))
 
 
 def list_detail_join(rows: DataFrame, details: DataFrame) -> DataFrame:
@@ -112,15 +116,14 @@ def list_detail_join(rows: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def html_collect(entries: DataFrame, documents: DataFrame, plan: HtmlPlan, specs: list[FieldSpec], *,
-                 max_pages: int = 3, max_records: int = 100, policy: TargetPolicy | None = None,
-                 parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 max_pages: int | None = None, max_records: int | None = None, max_requests: int | None = None,
+                 max_page_records: int | None = None, policy: TargetPolicy | None = None, parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, summary) of a whole list and detail collection.
 
-    ``documents`` is (url, html), unique per url. ``parsed`` may hold an earlier
-    ``parse_documents``; otherwise the parse is checkpointed here.
-    A source holds at most ten pages of 1000 records, which bounds its windows.
+    ``documents`` is (url, html), unique per url. ``parsed`` may hold an earlier ``parse_documents``; otherwise the parse is stored here.
+    All pages and records count unless a limit is given. Windows see one page; what a source carries from page to page is summed per page.
     """
-    if not 1 <= max_records <= 1000:
+    if max_records is not None and not 1 <= max_records <= 1000:
         raise ValueError("collection_budget_out_of_range")
     if set(plan.fields) != {s.name for s in specs}:
         raise ValueError("requested_fields_mismatch")
@@ -137,7 +140,7 @@ def html_collect(entries: DataFrame, documents: DataFrame, plan: HtmlPlan, specs
     pages = chain.join(parsed.select("url", "n_nodes", "records"), "url", "left")
     pages = pages.withColumn("page_code", first_match(
         (F.col("code").isNotNull(), "pagination_cycle"), (F.col("n_nodes").isNull(), "page_not_captured"),
-        (F.col("n_nodes") > MAX_PAGE_RECORDS, "too_many_page_records"), (F.col("n_nodes") == 0, "no_list_sample")))
+        (F.col("n_nodes") > max_page_records if max_page_records is not None else F.lit(False), "too_many_page_records"), (F.col("n_nodes") == 0, "no_list_sample")))
     rows = pages.select("source_id", "page_no", "url", "page_code", "link_code", "more",
                         F.posexplode_outer("records").alias("pos", "record"))
     rows = rows.withColumn("pos", F.coalesce("pos", F.lit(-1))).withColumn("values", F.col("record.values"))
@@ -171,18 +174,27 @@ def html_collect(entries: DataFrame, documents: DataFrame, plan: HtmlPlan, specs
     rows = rows.withColumns(typed).withColumn("_mismatch", mismatch).withColumn("_missing", missing)
     rows = rows.withColumn("identity", row_digest([s.name for s in specs]))
 
-    real = F.col("pos") >= 0
-    running = Window.partitionBy("source_id").orderBy("page_no", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("source_id", "identity").orderBy("page_no", "pos")
-    rows = rows.withColumn("repeated", real & (F.row_number().over(same) > 1))
+    # Stored once: the checks below read these rows as firsts, page sums, events and records.
+    rows = cut_lineage(rows.drop("record", "values", "detail_values"))
+    real, place = F.col("pos") >= 0, F.struct("page_no", "pos")
+    firsts = rows.filter(real).groupBy(F.col("source_id").alias("_source"), F.col("identity").alias("_identity")).agg(
+        F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    rows = rows.join(firsts, (F.col("source_id") == F.col("_source")) & F.col("identity").eqNullSafe(F.col("_identity")), "left")
+    rows = rows.withColumn("repeated", F.coalesce(real & (place > F.col("_first")), F.lit(False))).drop("_source", "_identity", "_first", "_n")
     fresh = (real & ~F.col("repeated")).cast("int")
-    rows = rows.withColumn("ordinal", F.sum(fresh).over(running)).withColumn(
-        "requests", F.col("page_no") + (F.sum(real.cast("int")).over(running) if needs_detail else F.lit(0)))
+    by_page = rows.groupBy("source_id", "page_no").agg(F.sum(fresh).alias("n_items"), F.sum(real.cast("int")).alias("_all"), F.lit(None).cast("bigint").alias("total"))
+    counted = page_state(by_page.drop("_all")).select("source_id", "page_no", (F.col("running_count") - F.col("n_items")).alias("_fresh_before"))
+    asked = page_state(by_page.drop("n_items").withColumnRenamed("_all", "n_items")).select("source_id", "page_no", (F.col("running_count") - F.col("n_items")).alias("_before"))
+    rows = rows.join(counted, ["source_id", "page_no"]).join(asked, ["source_id", "page_no"])
+    running = Window.partitionBy("source_id", "page_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("ordinal", F.col("_fresh_before") + F.sum(fresh).over(running)).withColumn(
+        "requests", F.col("page_no") + (F.col("_before") + F.sum(real.cast("int")).over(running) if needs_detail else F.lit(0)))
     page, pos, zero = F.col("page_no"), F.col("pos"), F.lit(0)
     item = first_match(
         (F.col("detail_code") == "detail_link_missing", "detail_link_missing"), (F.col("detail_code").isNotNull(), "?"),
-        (F.col("requests") > REQUEST_BUDGET, "html_request_budget_exceeded"), (F.col("_mismatch"), "requested_field_type_mismatch"),
-        (F.col("_missing"), "required_field_missing"), ((F.col("ordinal") >= max_records) & ~F.col("repeated"), LIMIT))
+        (F.col("requests") > max_requests if max_requests is not None else F.lit(False), "html_request_budget_exceeded"), (F.col("_mismatch"), "requested_field_type_mismatch"),
+        (F.col("_missing"), "required_field_missing"),
+        ((F.col("ordinal") >= max_records) & ~F.col("repeated") if max_records is not None else F.lit(False), LIMIT))
     item = F.when(item == "?", F.col("detail_code")).otherwise(item)
     end = F.coalesce("link_code", F.when(~F.col("more"), STOP))
     rows = rows.withColumn("_item", F.when(real, item)).withColumn("_end", end)
@@ -190,7 +202,8 @@ def html_collect(entries: DataFrame, documents: DataFrame, plan: HtmlPlan, specs
         F.when(F.col("page_code").isNotNull(), _event(page, 0, zero, 0, F.col("page_code"))),
         F.when(F.col("_item").isNotNull(), _event(page, 1, pos, 0, F.col("_item"))),
         F.when(F.col("_end").isNotNull(), _event(page, 2, zero, 0, F.col("_end")))))
-    rows = rows.withColumn("e", F.min("event").over(Window.partitionBy("source_id")))
+    rows = cut_lineage(rows)
+    rows = rows.join(rows.groupBy("source_id").agg(F.min("event").alias("e")), "source_id")
 
     code = F.col("e.code")
     ok = code.isNull() | code.isin(STOP, LIMIT)
@@ -238,16 +251,17 @@ def outline_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(read, OUTLINE)
 
 
-def dom_outline(pages: DataFrame, limit: int = 100) -> DataFrame:
-    """First ``limit`` distinct selectors per page with their attributes; sensitive nodes are left out.
+def dom_outline(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct selectors per page in order of appearance, with their attributes; sensitive nodes are left out.
 
-    Windows see one document (2 MiB at most) at a time.
+    With a ``limit`` only the first selectors of a page count, and only nodes up to the last of them. Windows see one document at a time.
     """
     nodes = outline_nodes(pages)
     nodes = nodes.withColumn("first", F.min("pos").over(Window.partitionBy("page_id", "selector")))
     nodes = nodes.withColumn("rank", F.dense_rank().over(Window.partitionBy("page_id").orderBy("first")))
-    last = F.max(F.when(F.col("rank") == limit, F.col("first"))).over(Window.partitionBy("page_id"))
-    nodes = nodes.withColumn("last", last).filter((F.col("rank") <= limit) & (F.col("last").isNull() | (F.col("pos") <= F.col("last"))))
+    if limit is not None:
+        last = F.max(F.when(F.col("rank") == limit, F.col("first"))).over(Window.partitionBy("page_id"))
+        nodes = nodes.withColumn("last", last).filter((F.col("rank") <= limit) & (F.col("last").isNull() | (F.col("pos") <= F.col("last"))))
     out = nodes.groupBy("page_id", "selector").agg(
         F.min("rank").alias("rank"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("attributes")))).alias("attributes"),
         F.min_by("id", "pos").alias("id"), F.min_by("parent", "pos").alias("parent"), F.first("sample_link").alias("sample_link"),

@@ -1,18 +1,15 @@
 """Contamination audit between splits through content digests.
 
-Signals are equi-joins on digests, never a comparison of all pairs. Three exact views of
-the same result, from small to large:
+Signals are equi-joins on digests, never a comparison of all pairs. Three exact views of the same result, from small to large:
 
 * ``overlap_groups``: one row per shared digest, with the number of pairs it links;
 * ``overlap_cases``: one row per case with its decision, signals and link counts;
-* ``overlap_pairs``: one row per pair. A digest that links more than ``group_budget`` pairs is
-  not multiplied out; it stays one group row, whose members are in ``signal_keys``.
+* ``overlap_pairs``: one row per pair with a signal. Its size is that of the answer; the first two are linear in the input and
+  are what an audit of large shared groups should read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.json_values import (as_array, as_object, as_text, canonical_json, digest, pointer_get,
@@ -63,7 +60,7 @@ def checked_views(views: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def signal_keys(views: DataFrame) -> DataFrame:
-    """(signal, digest, case_id, split, record_set): one row per digest of a case."""
+    """(signal, digest, case_id, split, record_set, records): one row per digest of a case."""
     record_set = scalar_signals()[S4]
     single = [F.struct(F.lit(s).alias("signal"), d.alias("digest")) for s, d in scalar_signals().items()]
 
@@ -74,10 +71,10 @@ def signal_keys(views: DataFrame) -> DataFrame:
     many = [each(S5, "response_payload_hashes"), each(W1, "record_hashes"), each(W2, "nested_subtree_hashes")]
     keys = F.filter(F.concat(F.array(*single), *[F.coalesce(m, F.array().cast(
         "array<struct<signal:string,digest:string>>")) for m in many]), lambda k: k["digest"].isNotNull())
-    rows = views.select("case_id", "split", record_set.alias("_set"), F.explode(keys).alias("k"))
+    rows = views.select("case_id", "split", record_set.alias("_set"), F.size("record_hashes").alias("records"), F.explode(keys).alias("k"))
     # W1 counts only pairs whose record sets differ, so its keys carry the set as well.
     return rows.select("k.signal", "k.digest", "case_id", "split",
-                       F.when(F.col("k.signal") == W1, F.col("_set")).alias("record_set"))
+                       F.when(F.col("k.signal") == W1, F.col("_set")).alias("record_set"), "records")
 
 
 def _linked(keys: DataFrame) -> DataFrame:
@@ -153,33 +150,40 @@ def compare(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
         F.size("_subtrees").alias("shared_subtrees"), hashed("_subtrees").alias("subtree_digest"))
 
 
-@dataclass(frozen=True)
-class Audit:
-    """``pairs`` and the ``held`` groups together are the whole result."""
-
-    pairs: DataFrame
-    held: DataFrame
-
-
-def overlap_pairs(views: DataFrame, group_budget: int = 10_000) -> Audit:
-    """Cross-split pairs with at least one signal, each compared in full.
+def overlap_pairs(views: DataFrame, block: int = 1000) -> DataFrame:
+    """Cross-split pairs with at least one signal, with counts and digests as evidence.
 
-    Groups are sized before anything is multiplied: those within ``group_budget`` pairs are
-    joined, so the join emits at most that many rows per digest. Larger groups are returned as they are in ``held``
-    (signal, digest, cases, pairs); a pair found through a small group still shows all its signals.
+    Everything about a pair is told by the digests it shares, so pairs are grouped hits of one join on digests and no
+    view travels with them. One side of a digest is dealt into chunks of about ``block`` members and meets the other side chunk by chunk,
+    so a hot digest is spread over many tasks. Views must have unique, non-empty ids (``checked_views``).
     """
-    groups = overlap_groups(views)
-    small = groups.filter(F.col("pairs") <= group_budget).select("signal", "digest")
-    keys = signal_keys(views).join(small, ["signal", "digest"], "left_semi")
-    l, r = keys.alias("l"), keys.alias("r")
-    pairs = l.join(r, (F.col("l.signal") == F.col("r.signal")) & (F.col("l.digest") == F.col("r.digest"))
-                   & (F.col("l.split") != F.col("r.split")) & (F.col("l.case_id") < F.col("r.case_id"))).select(
-        F.col("l.case_id").alias("lid"), F.col("r.case_id").alias("rid")).distinct()
-    whole = F.struct(*VIEW_COLUMNS)
-    both = pairs.join(views.select(F.col("case_id").alias("lid"), whole.alias("l")), "lid").join(
-        views.select(F.col("case_id").alias("rid"), whole.alias("r")), "rid")
-    compared = compare(both, F.col("l"), F.col("r")).filter("decision <> 'auto_pass'")
-    return Audit(compared, groups.filter(F.col("pairs") > group_budget))
+    keys = signal_keys(views)
+    shared = keys.groupBy("signal", "digest").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("chunks"), F.min("split").alias("_a"), F.max("split").alias("_b")
+    ).filter("_a <> _b").select("signal", "digest", "chunks")
+    members = keys.join(shared, ["signal", "digest"])
+    left = members.withColumn("chunk", F.pmod(F.xxhash64("case_id"), F.col("chunks")).cast("int")).alias("l")
+    right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("r")
+    same = F.lit(True)
+    for c in ("signal", "digest", "chunk"):
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    hits = left.join(right, same & (F.col("l.split") != F.col("r.split")) & (F.col("l.case_id") < F.col("r.case_id"))).select(
+        F.col("l.case_id").alias("left_case_id"), F.col("r.case_id").alias("right_case_id"), "l.signal", "l.digest",
+        F.col("l.records").alias("left_records"), F.col("r.records").alias("right_records"))
+    of = lambda s: F.when(F.col("signal") == s, F.col("digest"))
+    pairs = hits.groupBy("left_case_id", "right_case_id").agg(
+        F.collect_set("signal").alias("_hit"), F.count(of(W1)).cast("int").alias("shared_records"),
+        F.first("left_records").alias("left_records"), F.first("right_records").alias("right_records"),
+        F.collect_set(of(S5)).alias("_payloads"), F.collect_set(of(W2)).alias("_subtrees"))
+    # Equal record sets are S4; W1 is for sets that differ.
+    has = lambda s: F.array_contains("_hit", s) & ((~F.array_contains("_hit", S4)) if s == W1 else F.lit(True))
+    names = lambda group: F.filter(F.array(*[F.when(has(s), F.lit(s)) for s in group]), lambda s: s.isNotNull())
+    hashed = lambda c: F.when(F.size(c) > 0, set_digest(F.col(c)))
+    out = pairs.withColumn("strong_signals", names(STRONG)).withColumn("weak_signals", names(WEAK))
+    return out.select(
+        "left_case_id", "right_case_id", decide(F.col("strong_signals"), F.col("weak_signals")).alias("decision"), "strong_signals",
+        "weak_signals", "shared_records", "left_records", "right_records", F.size("_payloads").alias("shared_payloads"),
+        hashed("_payloads").alias("payload_digest"), F.size("_subtrees").alias("shared_subtrees"), hashed("_subtrees").alias("subtree_digest"))
 
 
 def pair_count(views: DataFrame) -> DataFrame:
@@ -200,8 +204,17 @@ def report_order(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc(severity(F.col("decision"))), "left_case_id", "right_case_id")
 
 
+def screen_candidates(candidates: DataFrame, views: DataFrame) -> DataFrame:
+    """New cases against the known ones: a row for every pair with a signal; the others are ``auto_pass`` by absence.
+
+    Both sides go through the digest join of ``overlap_pairs``, each as a split of its own, so any number of candidates can come at once.
+    """
+    both = candidates.withColumn("split", F.lit("candidate")).unionByName(views.withColumn("split", F.lit("known")))
+    return overlap_pairs(both)
+
+
 def screen_candidate(candidate: DataFrame, views: DataFrame) -> DataFrame:
-    """One new case against every known one: a projection over ``views``, no join.
+    """One new case against every known one, with a row also for those it passes: a projection over ``views``, no join.
 
     ``candidate`` must hold exactly one view; Spark fails the query otherwise.
     """
@@ -242,12 +255,23 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def shape_text(v: Column, levels: int = 8) -> Column:
-    """Name-free shape of a value as JSON text: kinds only, repeated shapes once, sensitive members left out."""
+_DEEPER = "\0"
+
+
+def shape_text(v: Column, levels: int = 14) -> Column:
+    """Name-free shape of a value as JSON text: kinds only, repeated shapes once, sensitive members left out.
+
+    A shape quotes the shapes inside it, so its text doubles with every level; values nested deeper than ``levels`` have none (NULL).
+    """
+    text = _shape(v, levels)
+    return F.when(~F.contains(text, F.lit(_DEEPER)), text)
+
+
+def _shape(v: Column, levels: int) -> Column:
     if levels == 0:
-        return F.raise_error(F.lit("structure_too_deep")).cast("string")
+        return F.lit(_DEEPER)
     members = F.map_values(F.map_filter(as_object(v), lambda k, c: ~is_sensitive(k)))
-    parts = F.transform(F.coalesce(as_array(v), members), lambda c: shape_text(c, levels - 1))
+    parts = F.transform(F.coalesce(as_array(v), members), lambda c: _shape(c, levels - 1))
     inner = F.array_join(F.transform(F.sort_array(F.array_distinct(parts)), _quoted), ", ")
     kind = F.when(as_object(v).isNotNull(), "object").when(as_array(v).isNotNull(), "array")
     return F.when(kind.isNull(), F.concat(F.lit('"'), type_name(v), F.lit('"'))).otherwise(
@@ -373,7 +397,8 @@ def normalize_views(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         (~F.coalesce(type_tag(records), F.lit("null")).isin("missing", "null", "array")
          | F.coalesce(F.exists(rows, lambda r: as_object(r).isNull()), F.lit(False)), "invalid_records"),
         (~optional_text(get(o, "/result_sha256")), "invalid_oracle_result_sha256"),
-        (~optional_text(get(o, "/expected_error_code")), "invalid_failure_code"))
+        (~optional_text(get(o, "/expected_error_code")), "invalid_failure_code"),
+        (F.col("family_signature").isNull(), "structure_too_deep"))
     judged = documents.withColumn("code", code)
     bodies = F.flatten(answers)
     none = F.array().cast("array<string>")
@@ -382,7 +407,7 @@ def normalize_views(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         text(get(c, "/id")).alias("case_id"), text(get(c, "/split")).alias("split"), text(get(c, "/family_id")).alias("family_id"),
         digest(F.col("family_signature")).alias("family_signature_digest"), text(get(o, "/result_sha256")).alias("oracle_result_sha256"),
         sorted_set(F.transform(rows, digest)).alias("record_hashes"), sorted_set(F.transform(bodies, digest)).alias("response_payload_hashes"),
-        sorted_set(F.flatten(F.transform(bodies, lambda b: nested_subtrees(b)))).alias("nested_subtree_hashes"),
+        sorted_set(nested_subtrees(bodies)).alias("nested_subtree_hashes"),
         endpoint_composition(endpoints).alias("endpoint_composition_signature"),
         pagination_signature(endpoints).alias("pagination_signature"), text(get(o, "/expected_error_code")).alias("failure_code"),
         disposition.alias("repair_disposition"))

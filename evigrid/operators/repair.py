@@ -14,7 +14,6 @@ from ..session import cut_lineage
 from .collect import run_collection
 from .validate import validate_plans
 
-MAX_MEMBERS = 200
 STRUCTURAL = ("items_pointer", "total_pointer", "has_next_pointer")
 
 
@@ -26,11 +25,8 @@ def pointer_candidates(body: Column, attribute: str) -> Column:
         if attribute == "total_pointer":
             return (type_tag(v) == "integer") & (as_text(v).try_cast("bigint") >= 0)
         return type_tag(v) == "boolean"
-    # Sorted and cut before anything is judged, so the choice never depends on values.
-    names = F.slice(F.sort_array(F.map_keys(as_object(body))), 1, MAX_MEMBERS)
     good = F.filter(F.map_entries(as_object(body)), lambda e: F.coalesce(fits(e["value"]), F.lit(False)) & ~is_sensitive(e["key"]))
-    members = F.sort_array(F.transform(F.array_intersect(F.transform(good, lambda e: e["key"]), names),
-                                       lambda k: F.concat(F.lit("/"), pointer_escape(k))))
+    members = F.sort_array(F.transform(good, lambda e: F.concat(F.lit("/"), pointer_escape(e["key"]))))
     root = F.when(as_array(body).isNotNull() & fits(body), F.array(F.lit("")))
     return F.coalesce(members, root, F.array().cast("array<string>"))
 

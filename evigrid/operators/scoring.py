@@ -4,36 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.json_values import as_object, as_text, canonical_json, digest, type_tag
+from ..functions.json_values import as_object, as_text, digest, type_tag
 
 FLAGS = ("collector_exported", "collector_execution_success", "collector_matches_internal_result")
 
 
-# Most records one run can return: ten pages of 256 KiB, at least eight bytes each.
-MAX_TASK_RECORDS = 10 * 256 * 1024 // 8
+def same_rows(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """(task_id, same): whether a task's records are exactly the answers, in order.
 
-
-def ordered_digest(records: DataFrame, key: str = "task_id") -> DataFrame:
-    """Digest of a task's ordered records.
-
-    Tasks are sized first: a set larger than any run can return gets no digest, so it matches nothing
-    and no unbounded group is gathered.
+    Rows meet by task, place and digest with opposite signs, so no task is gathered, whatever its size.
     """
-    fits = records.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") <= MAX_TASK_RECORDS)
-    rows = records.join(fits, key, "left_semi").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
-        "ordinal", canonical_json(F.col("document")).alias("j")))).alias("r"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("]"))
-    return rows.select(key, F.sha2(text, 256).alias("result_sha256"))
+    row = lambda df, sign: df.select("task_id", "ordinal", digest(F.col("document")).alias("d"), F.lit(sign).alias("s"))
+    met = row(records, 1).unionByName(row(answers, -1)).groupBy("task_id", "ordinal", "d").agg(F.sum("s").alias("s"))
+    return met.groupBy("task_id").agg(F.bool_and(F.col("s") == 0).alias("same"))
 
 
-def matches_oracle(reports: DataFrame, records: DataFrame, oracles: DataFrame) -> DataFrame:
-    """(task_id, matches): counts, pages, completeness, schema, keys and ordered digest all agree.
+def matches_oracle(reports: DataFrame, records: DataFrame, oracles: DataFrame, answers: DataFrame) -> DataFrame:
+    """(task_id, matches): counts, pages, completeness, schema, keys and the ordered rows all agree.
 
-    ``reports``: task_id, pages, completeness. ``records``: task_id, ordinal, document VARIANT.
-    ``oracles``: task_id, record_count, page_count, completeness, result_sha256, schema map, unique_key.
+    ``reports``: task_id, pages, completeness. ``records`` and ``answers``: task_id, ordinal (from 1), document VARIANT.
+    ``oracles``: task_id, record_count, page_count, completeness, schema map, unique_key.
     """
     o = oracles.select("task_id", "record_count", "page_count", F.col("completeness").alias("expected"),
-                       F.col("result_sha256").alias("expected_sha256"), "schema", "unique_key")
+                       "schema", "unique_key")
     members = as_object(F.col("document"))
     key = F.try_element_at(members, F.col("unique_key"))
     rows = records.join(o.select("task_id", "schema", "unique_key"), "task_id")
@@ -46,27 +39,24 @@ def matches_oracle(reports: DataFrame, records: DataFrame, oracles: DataFrame) -
     facts = facts.groupBy("task_id").agg(F.sum("n").alias("n"), (F.max("n") == 1).alias("unique"),
                                          F.bool_and("schema_ok").alias("schema_ok"), F.bool_and("key_ok").alias("key_ok"))
     joined = (reports.select("task_id", "pages", "completeness").join(o, "task_id")
-              .join(facts, "task_id", "left").join(ordered_digest(records), "task_id", "left"))
-    empty = F.sha2(F.lit("[]"), 256)
+              .join(facts, "task_id", "left").join(same_rows(records, answers), "task_id", "left"))
     ok = ((F.col("pages") == F.col("page_count")) & (F.coalesce("n", F.lit(0)) == F.col("record_count"))
           & (F.col("completeness") == F.col("expected")) & F.coalesce("schema_ok", F.lit(True))
           & F.coalesce("key_ok", F.lit(True)) & F.coalesce("unique", F.lit(True))
-          & (F.coalesce("result_sha256", empty) == F.col("expected_sha256")))
-    # No rows at all is an answer of its own; a missing digest of present rows is not.
-    ok = ok & (F.col("result_sha256").isNotNull() | F.col("n").isNull())
+          & F.coalesce("same", F.lit(True)))  # no rows on either side agree
     return joined.select("task_id", F.coalesce(ok, F.lit(False)).alias("matches"))
 
 
-def score_tasks(reports: DataFrame, records: DataFrame, oracles: DataFrame, collected: DataFrame | None = None,
+def score_tasks(reports: DataFrame, records: DataFrame, oracles: DataFrame, answers: DataFrame, collected: DataFrame | None = None,
                 collected_records: DataFrame | None = None) -> DataFrame:
     """(task_id, task_success, delivery_success). Delivery also needs the three flags and an
     independently matching second result."""
-    own = matches_oracle(reports, records, oracles)
+    own = matches_oracle(reports, records, oracles, answers)
     out = reports.join(own, "task_id", "left").withColumn(
         "task_success", (F.col("status") == "succeeded") & F.coalesce("matches", F.lit(False))).drop("matches")
     if collected is None:
         return out.select("task_id", "task_success", F.lit(False).alias("delivery_success"))
-    second = matches_oracle(collected, collected_records, oracles).withColumnRenamed("matches", "second")
+    second = matches_oracle(collected, collected_records, oracles, answers).withColumnRenamed("matches", "second")
     flags = F.lit(True)
     for name in FLAGS:
         flags = flags & F.coalesce(F.col(name), F.lit(False))

@@ -50,3 +50,22 @@ def paginate(df: DataFrame, keys: list[str], order: list, size: int, chunk: Colu
     return (out.withColumn("page_no", page.cast("int"))
             .withColumn("pos", ((F.col("_seq") - 1) % size).cast("int"))
             .withColumn("has_next", F.col("page_no") * size < F.col("n_rows")).drop("_seq"))
+
+
+def page_state(pages: DataFrame, chunk: int = 1000) -> DataFrame:
+    """Adds ``running_count`` (items up to a page) and ``previous_total`` per source, and keeps the pages without a gap before them.
+
+    ``pages``: source_id, page_no (from 1, unique per source), n_items, total and further narrow columns.
+    """
+    df = pages.withColumn("_chunk", F.floor((F.col("page_no") - 1) / chunk))
+    inside = Window.partitionBy("source_id", "_chunk").orderBy("page_no")
+    df = df.withColumns({"_rn": F.row_number().over(inside), "_items": F.sum("n_items").over(
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_lag": F.lag("total").over(inside)})
+    sizes = df.groupBy("source_id", "_chunk").agg(F.count("*").alias("_size"), F.sum("n_items").alias("_sum"), F.max_by("total", "page_no").alias("_last"))
+    by_chunk = Window.partitionBy("source_id").orderBy("_chunk")
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select("source_id", "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_pages"),
+                         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_count"), F.lag("_last").over(by_chunk).alias("_carry"))
+    out = df.join(carry, ["source_id", "_chunk"]).filter(F.col("_pages") + F.col("_rn") == F.col("page_no"))
+    return out.withColumns({"running_count": F.col("_count") + F.col("_items"), "previous_total": F.when(
+        F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))}).drop("_chunk", "_rn", "_items", "_lag", "_pages", "_count", "_carry")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import tempfile
-import zipfile
-from functools import lru_cache
-from pathlib import Path
+import sys
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Python functions of this package travel to the workers by value: executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 SETTINGS = {
     # JSON member names differ by case ("Id" and "id" are two fields).
     "spark.sql.caseSensitive": "true",
@@ -25,38 +25,6 @@ SETTINGS = {
 }
 
 
-def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the SQL options on a session the caller already owns, and ship this package to its workers."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    ship_package(spark)
-    return spark
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in Python workers: one small archive in the shared folder."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    home, buffer = Path(__file__).resolve().parent, io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        for file in sorted(home.rglob("*.py")):
-            archive.writestr(zipfile.ZipInfo(str(file.relative_to(home.parent))), file.read_bytes())
-    data = buffer.getvalue()
-    name = f"{shared_folder(spark)}/evigrid/code-{hashlib.sha256(data).hexdigest()[:16]}.zip"
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        out = fs.create(path)
-        out.write(data)
-        out.close()
-    spark.sparkContext.addPyFile(fs.makeQualified(path).toString())
-    _SHIPPED.add(app)
-
-
 def build_session(app: str = "evigrid", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -64,36 +32,30 @@ def build_session(app: str = "evigrid", master: str | None = None, **conf: str)
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    ship_package(spark)
-    return spark
+    return builder.getOrCreate()
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session; where none is named, as in tests, its warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-def shared_folder(spark: SparkSession, default: str | None = None) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    ``default`` is used only where the cluster names none (local tests).
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if default:
-        return default.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        # One machine: its own temporary folder is shared by definition.
-        return _local_folder()
-    raise ValueError("spark.checkpoint.dir is not set")
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed when the application ends."""
+    path = f"{shared_folder(spark)}/evigrid/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="evigrid-")
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: later stages read files, so a lost executor costs no recomputation of what came before."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read the written result, which survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """End the plan here, for results that several later branches read."""
+    return store(df, "cut")

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.json_values import as_array, as_text, digest, pointer_get
 from ..operators.collect import first_match
 
-ARTIFACT_LIMIT = 16 * 1024 * 1024
+#: Spark reads a file as one value up to this size.
+READABLE = 2**31 - 1024
 # A reference stays inside the tree: plain relative parts, no drive, no backslash.
 _REF = r"^evaluation(?:/(?!\.{1,2}(?:/|$))[^/\\:]+)+$"
 
@@ -95,38 +96,18 @@ def case_errors(cases: DataFrame, corpus_ids: DataFrame, signature: Column) -> D
 # ---------------------------------------------------------------- registered files
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(filename, sha256, size_bytes) of the files in a folder; the size filter is applied before reading."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).filter(
-        F.col("length") <= ARTIFACT_LIMIT)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"),
-                        F.col("length").alias("size_bytes"))
+    """(filename, sha256, size_bytes) of every file in a folder; files too large for one value have no digest."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    name = F.element_at(F.split("path", "/"), -1).alias("filename")
+    read = files.filter(F.col("length") <= READABLE).select(name, F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    large = files.filter(F.col("length") > READABLE).select(name, F.lit(None).cast("string").alias("sha256"), F.col("length").alias("size_bytes"))
+    return read.unionByName(large)
 
 
 def verify_manifest(entries: DataFrame, actual: DataFrame) -> DataFrame:
-    """(filename, status): ok, missing, unindexed or artifact_changed."""
-    e = entries.select("filename", F.col("sha256").alias("e_sha"), F.col("size_bytes").alias("e_size"))
-    a = actual.select("filename", F.col("sha256").alias("a_sha"), F.col("size_bytes").alias("a_size"))
-    return e.join(a, "filename", "full").select("filename", F.when(F.col("a_sha").isNull(), "missing").when(
-        F.col("e_sha").isNull(), "unindexed").when((F.col("a_sha") != F.col("e_sha")) | (F.col("a_size") != F.col("e_size")),
-                                                   "artifact_changed").otherwise("ok").alias("status"))
-
-
-TASK_TABLES = {
-    "tasks": ("id string, schema_version int, status string, active_slot int, spec string, model string, summary string, "
-              "created_at string, updated_at string", ["id"]),
-    "task_events": ("task_id string, seq int, status string, created_at string", ["task_id", "seq"]),
-    "artifacts": ("id string, task_id string, filename string, sha256 string, size_bytes bigint", ["task_id", "filename"]),
-}
-
-
-def write_task_table(df: DataFrame, name: str, root: str) -> None:
-    """Store one of the task tables with its fixed columns, in key order inside each file."""
-    schema, keys = TASK_TABLES[name]
-    columns = [c.strip().split(" ") for c in schema.split(",")]
-    df.select(*[F.col(c).cast(t).alias(c) for c, t in columns]).sortWithinPartitions(*keys).write.mode(
-        "errorifexists").parquet(f"{root}/{name}")
-
-
-def repeated_keys(df: DataFrame, name: str) -> DataFrame:
-    keys = TASK_TABLES[name][1]
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    """(filename, status): ok, missing, unindexed, artifact_changed, or unread where a file of the right size has no digest."""
+    e = entries.select("filename", F.col("sha256").alias("e_sha"), F.col("size_bytes").alias("e_size"), F.lit(True).alias("e"))
+    a = actual.select("filename", F.col("sha256").alias("a_sha"), F.col("size_bytes").alias("a_size"), F.lit(True).alias("a"))
+    return e.join(a, "filename", "full").select("filename", first_match(
+        (F.col("a").isNull(), "missing"), (F.col("e").isNull(), "unindexed"), (F.col("a_size") != F.col("e_size"), "artifact_changed"),
+        (F.col("a_sha").isNull(), "unread"), (F.col("a_sha") != F.col("e_sha"), "artifact_changed"), (F.lit(True), "ok")).alias("status"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HTML_LIMIT = 2 * 1024 * 1024
 
 
 def cap_page_numbers(pages: DataFrame, max_pages: int) -> DataFrame:
@@ -28,16 +27,8 @@ def first_capture(pages: DataFrame, order: str) -> DataFrame:
     return pages.groupBy("source_id", "page_no").agg(F.min_by("body", order).alias("body"))
 
 
-def scan_html_pages(pages: DataFrame, limit: int = HTML_LIMIT, status: Column | None = None) -> DataFrame:
-    """HTML documents with the reason they cannot be used, if any."""
+def scan_html_pages(pages: DataFrame, limit: int | None = None, status: Column | None = None) -> DataFrame:
+    """HTML documents with the reason they cannot be used, if any; with a ``limit`` longer ones are refused."""
     bad_status = ~status.between(200, 299) if status is not None else F.lit(False)
     return pages.withColumn("reject", F.when(bad_status, "request_rejected").when(
-        F.octet_length("html") > limit, "response_too_large"))
-
-
-def generate_records(index: DataFrame, prefix: str) -> DataFrame:
-    """Deterministic records of an ``index`` column: id, text, amount."""
-    number = F.col("index").cast("string")
-    padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
-    return index.select(F.col("index").alias("id"), F.concat(F.lit(prefix + " "), padded).alias("text"),
-                        (1000 + F.col("index") * 100).alias("amount"))
+        F.octet_length("html") > limit if limit is not None else F.lit(False), "response_too_large"))

@@ -29,7 +29,7 @@ def event_tail(events: DataFrame, after: int, out: str, checkpoint: str):
 def _upsert(out: str, transform=None):
     """Write a batch under its own id; a repeated batch overwrites itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        result = transform(batch) if transform else batch
+        result = transform(batch, batch_id) if transform else batch
         result.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
     return write
 
@@ -48,21 +48,18 @@ def lifecycle_stream(requests: DataFrame, order: list[str], out: str, checkpoint
     return run_to_end(state.writeStream.outputMode("update").foreachBatch(_upsert(out)).option("checkpointLocation", checkpoint))
 
 
-def page_integrity_stream(pages: DataFrame, plan, names, out: str, checkpoint: str, *, max_pages: int = 3,
-                          **options):
+def page_integrity_stream(pages: DataFrame, plan, names, out: str, checkpoint: str, **options):
     """Page and record checks as pages arrive, in any order.
 
-    The state of a source is its first ``max_pages`` bodies (ten at most), so replays change
-    nothing. A batch re-checks the sources it touched with the batch operator, over the contiguous
-    pages seen so far.
+    Each batch adds its pages to a table beside the results and re-checks, with the batch operator, the sources it touched, over
+    all pages they have by then. A repeated batch overwrites its own part, and a page that arrives twice counts once.
     """
-    kept = pages.filter(F.col("page_no").between(1, max_pages))
-    body = lambda i: F.min(F.when(F.col("page_no") == i, F.col("body"))).alias(f"p{i}")
-    state = kept.groupBy("source_id").agg(*[body(i) for i in range(1, max_pages + 1)])
-
-    def check(batch: DataFrame) -> DataFrame:
-        slots = F.array(*[F.struct(F.lit(i).alias("page_no"), F.col(f"p{i}").alias("body")) for i in range(1, max_pages + 1)])
-        rows = batch.select("source_id", F.inline(F.filter(slots, lambda s: s["body"].isNotNull())))
-        return run_collection(rows, plan, names, max_pages=max_pages, **options).summary
-
-    return run_to_end(state.writeStream.outputMode("update").foreachBatch(_upsert(out, check)).option("checkpointLocation", checkpoint))
+    def check(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        batch.select("source_id", "page_no", "body").write.mode("overwrite").parquet(f"{out}-pages/part={number}")
+        seen = spark.read.option("basePath", f"{out}-pages").parquet(f"{out}-pages/part=*")
+        new = spark.read.parquet(f"{out}-pages/part={number}").select("source_id").distinct()
+        rows = seen.join(new, "source_id", "left_semi").groupBy("source_id", "page_no").agg(F.min("body").alias("body"))
+        return run_collection(rows, plan, names, **options).summary
+
+    return run_to_end(pages.writeStream.foreachBatch(_upsert(out, check)).option("checkpointLocation", checkpoint))

@@ -146,10 +146,10 @@ def request_log(spark, d):
     """Events as captured responses of a user's session."""
     e, k = F.col("event_id"), F.col("event_type")
     page = F.get_json_object("props", "$.k")
-    url = F.concat(F.lit("http://127.0.0.1:8000/api"), F.when(e % 11 == 5, "?page=1&page=2").when(e % 13 == 6, "?token=x")
+    url = F.concat(F.when(e % 29 == 3, "http://127.0.0.1:9000/api").otherwise("http://127.0.0.1:8000/api"), F.when(e % 11 == 5, "?page=1&page=2").when(e % 13 == 6, "?token=x")
                    .otherwise(F.concat(F.lit("?page="), page)))
     return I.table(spark, d, "events").select(
-        F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), "event_id",
+        F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), "event_id", F.lit("http://127.0.0.1:8000").alias("origin"),
         F.when(k == "error", "DELETE").when(k.isin("purchase", "signup"), "POST").otherwise("GET").alias("method"),
         F.when(e % 5 == 4, "image").otherwise("xhr").alias("resource_type"),
         F.when(e % 19 == 8, 404).otherwise(200).alias("status"),
@@ -162,9 +162,9 @@ def request_log(spark, d):
 LOG_SQL = """
 WITH log AS (SELECT event_id, user_id, ts, event_type, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-judged AS (SELECT *, CASE WHEN event_type='error' THEN 'method' WHEN event_id%5=4 THEN 'resource_type' WHEN event_id%19=8 THEN 'status'
+judged AS (SELECT *, CASE WHEN event_id%29=3 THEN 'origin' WHEN event_type='error' THEN 'method' WHEN event_id%5=4 THEN 'resource_type' WHEN event_id%19=8 THEN 'status'
   WHEN event_id%7=3 THEN 'content_type' WHEN event_id%11=5 OR event_id%13=6 THEN 'query' WHEN event_id%23=9 THEN 'headers'
-  WHEN event_type IN ('purchase','signup') AND event_id%17=7 THEN 'request_body' ELSE '' END AS reason FROM log WHERE rn<=20)
+  WHEN event_type IN ('purchase','signup') AND event_id%17=7 THEN 'request_body' ELSE '' END AS reason FROM log)
 """
 
 
@@ -172,7 +172,7 @@ judged AS (SELECT *, CASE WHEN event_type='error' THEN 'method' WHEN event_id%5=
 SELECT event_id, reason, CASE WHEN reason='' THEN 'req_' || lpad(CAST(count(*) FILTER (reason='') OVER (PARTITION BY user_id ORDER BY rn) AS VARCHAR),3,'0')
   ELSE '' END AS request_id FROM judged""")
 def admit_observations(spark, d):
-    seen = A.admit_observations(request_log(spark, d))
+    seen = A.admit_observations(request_log(spark, d), chunk=F.date_trunc("day", F.col("seq.ts")))
     return seen.select("event_id", F.coalesce("reason", F.lit("")).alias("reason"),
                        F.coalesce("request_id", F.lit("")).alias("request_id"))
 

@@ -31,13 +31,13 @@ OUTCOME = """
     CASE WHEN drift IN (5,6) THEN 'pointer_not_found'
          WHEN drift=1 AND n>5 THEN 'duplicate_id' WHEN drift=2 AND n>5 THEN 'total_changed'
          WHEN drift=3 AND n>5 THEN 'field_type_changed' WHEN drift=4 AND n>5 THEN 'empty_page_with_next'
-         WHEN drift=9 AND n_pages<={mp} THEN 'incomplete_items' END AS code,
+         WHEN drift=9 THEN 'incomplete_items' END AS code,
     CASE WHEN drift IN (5,6) THEN 0 WHEN drift=9 THEN n_pages ELSE 2 END AS code_page FROM sources)
 """
 
 
-def outcome(max_pages):
-    return SEQ + OUTCOME.replace("{mp}", str(max_pages))
+def outcome():
+    return SEQ + OUTCOME
 
 
 def checked(spark, d, **options):
@@ -48,38 +48,38 @@ def page_level(df):
     return df.filter("pos IS NULL OR pos = 0")
 
 
-@query("run_collection", outcome(3) + """
+@query("run_collection", outcome() + """
 SELECT source_id, CASE WHEN code IS NULL THEN 'succeeded' ELSE 'failed' END AS status, coalesce(code,'') AS error_code,
-  CAST(CASE WHEN code IS NOT NULL THEN 0 ELSE least(n,15) END AS BIGINT) AS count,
-  CAST(CASE WHEN code IS NOT NULL THEN code_page ELSE least(n_pages,3) END AS BIGINT) AS pages,
+  CAST(CASE WHEN code IS NOT NULL THEN 0 ELSE n END AS BIGINT) AS count,
+  CAST(CASE WHEN code IS NOT NULL THEN code_page ELSE n_pages END AS BIGINT) AS pages,
   CAST(coalesce(CASE WHEN code IS NULL AND drift<>7 THEN n + CAST(drift=9 AS INTEGER) END, -1) AS BIGINT) AS expected_total,
-  CASE WHEN code IS NOT NULL THEN '' WHEN n_pages>3 THEN 'partial' WHEN drift=7 THEN 'stop_condition_only'
+  CASE WHEN code IS NOT NULL THEN '' WHEN drift=7 THEN 'stop_condition_only'
        ELSE 'complete' END AS completeness FROM outcome""")
 def run_collection(spark, d):
-    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3)
+    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS))
     return run.summary.select(
         "source_id", "status", F.coalesce("error_code", F.lit("")).alias("error_code"), "count", "pages",
         F.coalesce("expected_total", F.lit(-1)).alias("expected_total"),
         F.coalesce("completeness", F.lit("")).alias("completeness"))
 
 
-@query("collected_records", outcome(10) + """
+@query("collected_records", outcome() + """
 SELECT i.source_id, i.page_no, i.pos, i.id, i.amount, i.state FROM items i JOIN outcome o USING (source_id)
 WHERE o.code IS NULL""")
 def collected_records(spark, d):
     specs = (FieldSpec("id", "integer"), FieldSpec("amount", "integer"), FieldSpec("state", "string", False))
-    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=10, specs=specs)
+    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), specs=specs)
     return run.records.select("source_id", "page_no", "pos", "id", "amount", "state")
 
 
-@query("collection_summary", outcome(3) + """
+@query("collection_summary", outcome() + """
 , limited AS (SELECT *, code IS NULL AND n>=7 OR (drift=9 AND n>=7) AS lim FROM outcome)
 SELECT CASE WHEN lim THEN 'partial' WHEN code IS NOT NULL THEN code WHEN drift=7 THEN 'stop_condition_only'
   ELSE 'complete' END AS outcome, lim AS record_limit_reached, count(*) AS sources,
   CAST(sum(CASE WHEN lim THEN 7 WHEN code IS NOT NULL THEN 0 ELSE n END) AS BIGINT) AS records
 FROM limited GROUP BY ALL""")
 def collection_summary(spark, d):
-    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3, max_records=7)
+    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_records=7)
     return run.summary.groupBy(F.coalesce("completeness", "error_code").alias("outcome"), "record_limit_reached").agg(
         F.count("*").alias("sources"), F.sum("count").alias("records"))
 
@@ -120,25 +120,29 @@ def field_value(spark, d):
 PLAN = ExtractionPlan("req_001", "/rows", dict(I.FIELDS), "id", has_next_pointer="/more", total_pointer="/total")
 
 
-@query("extract_items", SEQ + "SELECT source_id, page_no, pos, id, CAST(amount AS VARCHAR) AS amount, state FROM items")
+@query("extract_items", SEQ + """
+SELECT source_id, page_no, pos, id, CAST(amount AS VARCHAR) AS amount, state, '' AS reject FROM items UNION ALL
+SELECT DISTINCT source_id, page_no, -1, -1, '', '', 'pointer_not_found' FROM paged WHERE drift IN (5,6)""")
 def extract_items(spark, d):
+    """Items, and one row for a page whose list is not where the plan says."""
     items = C.extract_items(I.order_pages(spark, d), PLAN)
-    return items.select("source_id", "page_no", "pos", J.as_text(F.col("id")).cast("bigint").alias("id"),
-                        *[J.as_text(F.col(c)).alias(c) for c in ("amount", "state")])
+    none = F.lit("")
+    return items.select("source_id", "page_no", F.coalesce("pos", F.lit(-1)).alias("pos"), F.coalesce(J.as_text(F.col("id")).cast("bigint"), F.lit(-1)).alias("id"),
+                        *[F.coalesce(J.as_text(F.col(c)), none).alias(c) for c in ("amount", "state")], F.coalesce("reject", none).alias("reject"))
 
 
 @query("preview_sample", SEQ + """
 SELECT source_id, pos, id, 'integer,integer,string' AS types FROM items WHERE page_no=1 AND rn<=5""")
 def preview_sample(spark, d):
     first = I.order_pages(spark, d).filter("page_no = 1")
-    items = C.extract_items(first, PLAN).filter("pos < 5")
+    items = C.extract_items(first, PLAN).filter("reject IS NULL AND pos < 5")
     return items.select("source_id", "pos", J.as_text(F.col("id")).cast("bigint").alias("id"),
                         F.concat_ws(",", *[J.type_tag(F.col(n)) for n in I.FIELDS]).alias("types"))
 
 
 @query("dup_key", SEQ + "SELECT source_id, page_no, pos, id FROM items WHERE drift=1 AND page_no=2 AND pos=0")
 def dup_key(spark, d):
-    return checked(spark, d, max_pages=10).filter("key_seen_before").select(
+    return checked(spark, d).filter("key_seen_before").select(
         "source_id", "page_no", "pos", F.col("_cell.id.s").cast("bigint").alias("id"))
 
 
@@ -148,14 +152,14 @@ def dup_key(spark, d):
 SELECT source_id, page_no, CAST(coalesce(total,-1) AS BIGINT) AS total,
   coalesce(total <> lag(total) OVER (PARTITION BY source_id ORDER BY page_no), false) AS changed FROM totals""")
 def total_changed(spark, d):
-    return page_level(checked(spark, d, max_pages=10)).select(
+    return page_level(checked(spark, d)).select(
         "source_id", "page_no", F.coalesce("total", F.lit(-1)).alias("total"),
         F.coalesce(F.col("total") != F.col("previous_total"), F.lit(False)).alias("changed"))
 
 
 @query("type_changed", SEQ + "SELECT source_id, page_no, pos FROM items WHERE drift=3 AND page_no>1")
 def type_changed(spark, d):
-    return checked(spark, d, max_pages=10).filter("item_event.code = 'field_type_changed'").select(
+    return checked(spark, d).filter("item_event.code = 'field_type_changed'").select(
         "source_id", "page_no", "pos")
 
 
@@ -164,22 +168,22 @@ def type_changed(spark, d):
   FROM page_rows)
 SELECT source_id, page_no, CAST(sum(k) OVER (PARTITION BY source_id ORDER BY page_no) AS BIGINT) AS running_count FROM counts""")
 def running_count(spark, d):
-    return page_level(checked(spark, d, max_pages=10)).select("source_id", "page_no", "running_count")
+    return page_level(checked(spark, d)).select("source_id", "page_no", "running_count")
 
 
 @query("stop_page", SEQ + """
 SELECT source_id, CAST(CASE WHEN drift=4 AND n_pages=2 THEN -1 WHEN drift IN (5,6) THEN n_pages ELSE n_pages END AS BIGINT) AS stop_page
 FROM sources""")
 def stop_page(spark, d):
-    pages = page_level(checked(spark, d, max_pages=10))
+    pages = page_level(checked(spark, d))
     return pages.groupBy("source_id").agg(
         F.coalesce(F.min(F.when(~F.col("more"), F.col("page_no"))), F.lit(-1)).cast("bigint").alias("stop_page"))
 
 
-@query("first_violation", outcome(10) + """
+@query("first_violation", outcome() + """
 SELECT source_id, code, CAST(code_page AS BIGINT) AS page FROM outcome WHERE code IS NOT NULL""")
 def first_violation(spark, d):
-    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=10)
+    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS))
     return run.violations.select("source_id", F.col("error_code").alias("code"), F.col("error_page").cast("bigint").alias("page"))
 
 
@@ -192,18 +196,10 @@ def paginate(spark, d):
 @query("record_page_caps", SEQ + "SELECT source_id, page_no, pos, id FROM items WHERE page_no<=2 AND rn<=7")
 def record_page_caps(spark, d):
     pages = P.cap_page_numbers(I.order_pages(spark, d), 2)
-    items = P.cap_pages(C.extract_items(pages, PLAN), 7)
+    items = P.cap_pages(C.extract_items(pages, PLAN).filter("reject IS NULL"), 7)
     return items.select("source_id", "page_no", "pos", J.as_text(F.col("id")).cast("bigint").alias("id"))
 
 
-@query("generate_records", """
-SELECT c_custkey AS id, 'record ' || lpad(CAST(c_custkey AS VARCHAR), 2, '0') AS text, 1000 + c_custkey*100 AS amount
-FROM customer WHERE c_custkey < 100 UNION ALL
-SELECT c_custkey, 'record ' || CAST(c_custkey AS VARCHAR), 1000 + c_custkey*100 FROM customer WHERE c_custkey >= 100""")
-def generate_records(spark, d):
-    return P.generate_records(I.table(spark, d, "customer").select(F.col("c_custkey").alias("index")), prefix="record")
-
-
 @query("json_type", """
 SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'object' END AS body_type,
   CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number'

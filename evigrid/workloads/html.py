@@ -69,12 +69,6 @@ SPECS = [FieldSpec("id", "integer"), FieldSpec("amount", "integer"), FieldSpec("
 
 
 def shop(spark, d):
-    """(entries, documents) of the shop, the documents stored once (see ``derive_shop``)."""
-    entries, _ = derive_shop(spark, d)
-    return entries, I.stored(spark, d, "shop", lambda: derive_shop(spark, d)[1])
-
-
-def derive_shop(spark, d):
     """(entries, documents): orders of a customer as list pages, one detail page per order.
 
     ``source_id % 10``: 1 page 2 leads back to page 1; 2 every row is shown twice; 3 amounts of page 2 are
@@ -119,7 +113,7 @@ SELECT source_id, coalesce(code,'') AS error_code, CASE WHEN code IS NULL THEN n
   CASE WHEN code IS NULL THEN 'stop_condition_only' ELSE '' END AS completeness FROM o""")
 def html_collect(spark, d):
     entries, documents = shop(spark, d)
-    _, summary = H.html_collect(entries, documents, PLAN, SPECS, max_pages=10, max_records=1000, policy=OPEN)
+    _, summary = H.html_collect(entries, documents, PLAN, SPECS, policy=OPEN)
     return summary.select("source_id", F.coalesce("error_code", F.lit("")).alias("error_code"), "count", "duplicates_removed",
                           "pages", F.coalesce("completeness", F.lit("")).alias("completeness"))
 
@@ -129,7 +123,7 @@ SELECT p.source_id, p.id, p.amount, p.state, 'https://shop.example.com/o/' || p.
 FROM paged p JOIN o USING (source_id) WHERE o.code IS NULL""")
 def html_collected_rows(spark, d):
     entries, documents = shop(spark, d)
-    records, _ = H.html_collect(entries, documents, PLAN, SPECS, max_pages=10, max_records=1000, policy=OPEN)
+    records, _ = H.html_collect(entries, documents, PLAN, SPECS, policy=OPEN)
     return records.select("source_id", "id", "amount", "state", "source_url")
 
 
@@ -155,5 +149,5 @@ def next_link_chain(spark, d):
     entries, documents = shop(spark, d)
     found = H.parse_documents(documents.filter(F.contains("url", F.lit("/c/"))), PLAN).filter("next IS NOT NULL")
     links = H.same_origin_links(found.select(F.col("url").alias("base"), F.col("next").alias("href")), OPEN)
-    chain = H.next_link_chain(entries, links.select(F.col("base").alias("url"), F.col("target").alias("next"), "code"), 10)
+    chain = H.next_link_chain(entries, links.select(F.col("base").alias("url"), F.col("target").alias("next"), "code"))
     return chain.select("source_id", F.col("page_no").cast("bigint").alias("page_no"), F.coalesce("code", F.lit("")).alias("code"))

@@ -38,11 +38,7 @@ judged AS (SELECT *, nrec>0 AND NOT s4 AS w1, nsub>0 AS w2, CASE WHEN s1 OR s2 O
 
 
 def views(spark, d):
-    """Digest views of all texts, stored once."""
-    return I.stored(spark, d, "views", lambda: derive_views(spark, d))
-
-
-def derive_views(spark, d):
+    """Digest views of all texts."""
     docs = I.table(spark, d, "documents").select(
         F.concat(F.lit("d"), "doc_id").alias("case_id"), F.lit("development").alias("split"),
         F.concat("source", F.lit("-"), "lang").alias("family_id"), F.col("doc_id").alias("k"), "text")
@@ -67,26 +63,36 @@ def short(signals):
 
 
 @query("overlap_audit", VIEWS_SQL + """
-SELECT left_case_id, right_case_id, decision, strong, weak, CAST(0 AS BIGINT) AS held_pairs FROM judged WHERE decision<>'auto_pass'""")
+SELECT left_case_id, right_case_id, decision, strong, weak FROM judged WHERE decision<>'auto_pass'""")
 def overlap_audit(spark, d):
-    """Pairs with a signal; a digest linking very many pairs would stay one row with its count."""
-    audit = O.overlap_pairs(views(spark, d))
-    pairs = audit.pairs.select("left_case_id", "right_case_id", "decision", short("strong_signals").alias("strong"),
-                               short("weak_signals").alias("weak"), F.lit(0).cast("bigint").alias("held_pairs"))
-    held = audit.held.select(
-        F.lit("").alias("left_case_id"), F.lit("").alias("right_case_id"),
-        F.when(F.col("signal").startswith("S"), "block").otherwise("manual_review").alias("decision"),
-        F.when(F.col("signal").startswith("S"), F.substring("signal", 1, 2)).otherwise("").alias("strong"),
-        F.when(F.col("signal").startswith("W"), F.substring("signal", 1, 2)).otherwise("").alias("weak"),
-        F.col("pairs").alias("held_pairs"))
-    return pairs.unionByName(held)
+    return O.overlap_pairs(views(spark, d)).select("left_case_id", "right_case_id", "decision", short("strong_signals").alias("strong"),
+                                                   short("weak_signals").alias("weak"))
+
+
+@query("overlap_refused", """
+SELECT CASE WHEN conv_id%5=0 THEN '' ELSE 'c' || conv_id END AS case_id, CASE WHEN conv_id%5=0 THEN 'empty_case_id' ELSE 'duplicate_case_id' END AS code
+FROM conversations WHERE conv_id%5=0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*)>1)""")
+def overlap_refused(spark, d):
+    """Turns as cases: ids that are empty or repeat are refused before any audit."""
+    k = F.col("conv_id")
+    turns = I.table(spark, d, "conversations").select(F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("c"), k)).alias("case_id"), "text")
+    return O.checked_views(turns)[1]
+
+
+@query("screen_candidates", VIEWS_SQL + """
+SELECT left_case_id, right_case_id, decision, strong FROM judged WHERE decision<>'auto_pass' AND bench_id LIKE '%0'""")
+def screen_candidates(spark, d):
+    """Every tenth benchmark item as a candidate, all in one batch against all documents."""
+    v = views(spark, d)
+    found = O.screen_candidates(v.filter("split = 'frozen_evaluation' AND case_id LIKE '%0'"), v.filter("split = 'development'"))
+    return found.select("left_case_id", "right_case_id", "decision", short("strong_signals").alias("strong"))
 
 
 @query("overlap_evidence", VIEWS_SQL + """
 SELECT left_case_id, right_case_id, CAST(nrec AS INTEGER) AS shared_records, CAST(nsub AS INTEGER) AS shared_subtrees,
   CAST(s5 AS INTEGER) AS shared_payloads FROM judged WHERE decision='block'""")
 def overlap_evidence(spark, d):
-    return O.assert_public(O.overlap_pairs(views(spark, d)).pairs).filter("decision = 'block'").select(
+    return O.assert_public(O.overlap_pairs(views(spark, d))).filter("decision = 'block'").select(
         "left_case_id", "right_case_id", "shared_records", "shared_subtrees", "shared_payloads")
 
 
@@ -121,13 +127,13 @@ def overlap_groups(spark, d):
 
 @query("strong_signals", VIEWS_SQL + "SELECT left_case_id, right_case_id, strong FROM judged WHERE strong<>''")
 def strong_signals(spark, d):
-    return O.overlap_pairs(views(spark, d)).pairs.filter(F.size("strong_signals") > 0).select(
+    return O.overlap_pairs(views(spark, d)).filter(F.size("strong_signals") > 0).select(
         "left_case_id", "right_case_id", short("strong_signals").alias("strong"))
 
 
 @query("weak_signals", VIEWS_SQL + "SELECT left_case_id, right_case_id, weak FROM judged WHERE weak<>''")
 def weak_signals(spark, d):
-    return O.overlap_pairs(views(spark, d)).pairs.filter(F.size("weak_signals") > 0).select(
+    return O.overlap_pairs(views(spark, d)).filter(F.size("weak_signals") > 0).select(
         "left_case_id", "right_case_id", short("weak_signals").alias("weak"))
 
 
@@ -137,7 +143,7 @@ SELECT (SELECT count(*) FROM judged) AS pair_count, count(*) FILTER (decision='b
 def overlap_decision(spark, d):
     """Pairs without a signal are only counted."""
     v = views(spark, d)
-    counted = O.overlap_pairs(v).pairs.agg(F.count_if(F.col("decision") == "block").alias("block"),
+    counted = O.overlap_pairs(v).agg(F.count_if(F.col("decision") == "block").alias("block"),
                                            F.count_if(F.col("decision") == "manual_review").alias("manual_review"))
     total = O.pair_count(v).scalar()
     return counted.withColumn("pair_count", total).withColumn(
@@ -152,7 +158,7 @@ def cross_split_pairs(spark, d):
 @query("audit_order", VIEWS_SQL + """
 SELECT left_case_id, right_case_id, decision FROM judged WHERE decision='block' ORDER BY left_case_id, right_case_id""")
 def audit_order(spark, d):
-    pairs = O.overlap_pairs(views(spark, d)).pairs.filter("decision = 'block'")
+    pairs = O.overlap_pairs(views(spark, d)).filter("decision = 'block'")
     return O.report_order(pairs).select("left_case_id", "right_case_id", "decision")
 
 
@@ -204,7 +210,7 @@ def family_leakage(spark, d):
 
 @query("set_intersect", VIEWS_SQL + "SELECT left_case_id, right_case_id, CAST(nrec AS BIGINT) AS shared FROM judged WHERE nrec>0")
 def set_intersect(spark, d):
-    return O.overlap_pairs(views(spark, d)).pairs.filter("shared_records > 0").select(
+    return O.overlap_pairs(views(spark, d)).filter("shared_records > 0").select(
         "left_case_id", "right_case_id", F.col("shared_records").cast("bigint").alias("shared"))
 
 
@@ -228,13 +234,8 @@ def set_subset(spark, d):
 # ---------------------------------------------------------------- views from documents
 
 def bundle_documents(spark, d):
-    """Case documents of every customer, stored once (see ``derive_bundle``)."""
-    return I.stored(spark, d, "bundle", lambda: derive_bundle(spark, d))
-
-
-def derive_bundle(spark, d):
     """One case per customer: fixture from its captured pages, oracle from its rows, split by customer key."""
-    pages = I.order_pages(spark, d).filter("page_no <= 10")
+    pages = I.order_pages(spark, d)
     rows = I.order_rows(spark, d).withColumn("_r", F.struct("id", "amount", "state"))
     k = F.col("source_id")
     answers = pages.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
@@ -317,10 +318,10 @@ def continuation_stop(spark, d):
 SELECT source_id, page_no, CAST(CASE WHEN k=0 THEN 0 ELSE k + 1 END AS BIGINT) AS subtrees FROM b""")
 def nested_subtrees(spark, d):
     return I.order_pages(spark, d).select("source_id", "page_no", F.size(
-        walks.nested_subtrees(F.parse_json("body"))).cast("bigint").alias("subtrees"))
+        walks.nested_subtrees(F.array(F.parse_json("body")))).cast("bigint").alias("subtrees"))
 
 
 @query("leak_safe_output", VIEWS_SQL + "SELECT decision, count(*) AS pairs FROM judged WHERE decision<>'auto_pass' GROUP BY decision")
 def leak_safe_output(spark, d):
-    public = O.assert_public(O.audit_order(O.overlap_pairs(views(spark, d)).pairs))
+    public = O.assert_public(O.audit_order(O.overlap_pairs(views(spark, d))))
     return public.groupBy("decision").agg(F.count("*").alias("pairs"))

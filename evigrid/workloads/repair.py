@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import local_origin
 from ..operators import repair as R, scoring as S, validate as V
 from ..operators.collect import run_collection
+from ..operators.windows import sequence_numbers
 from ..plans.taxonomy import classify
 from . import inputs as I
 from .collection import SEQ, outcome
@@ -14,11 +15,6 @@ from .registry import query
 
 
 def observations(spark, d):
-    """Observed requests, stored once (see ``derive_observations``)."""
-    return I.stored(spark, d, "observations", lambda: derive_observations(spark, d))
-
-
-def derive_observations(spark, d):
     """Page 1 of every customer as the observed request; ``source_id % 10`` spoils some of them."""
     k = F.col("source_id") % 10
     one = F.create_map(F.lit("page"), F.lit("1"))
@@ -117,14 +113,14 @@ def repair_policy(spark, d):
     return R.repair_policy(failures).select("event_id", F.col("policy_reason").alias("reason"))
 
 
-@query("repair_and_rerun", outcome(10) + """
+@query("repair_and_rerun", outcome() + """
 SELECT source_id, CASE WHEN drift=5 OR code IS NULL THEN 'succeeded' ELSE 'failed' END AS status, CASE WHEN drift=5 THEN '' ELSE coalesce(code,'') END AS error_code,
   CASE WHEN drift=5 OR code IS NULL THEN n ELSE 0 END AS count, CASE WHEN drift=5 THEN 'applied' WHEN code IS NOT NULL THEN 'rejected' ELSE '' END AS repair_outcome FROM outcome""")
 def repair_and_rerun(spark, d):
     good = observations(spark, d).withColumns({
         "method": F.lit("GET"), "url": F.lit("http://127.0.0.1:8000/api"), "request_body": F.lit(None).cast("variant"),
         "query": F.create_map(F.lit("page"), F.lit("1"))})
-    summary, _ = R.repair_and_rerun(I.order_pages(spark, d), I.order_plans(spark, d), good, list(I.FIELDS), max_pages=10)
+    summary, _ = R.repair_and_rerun(I.order_pages(spark, d), I.order_plans(spark, d), good, list(I.FIELDS))
     return summary.select("source_id", "status", F.coalesce("error_code", F.lit("")).alias("error_code"), "count",
                           F.coalesce("repair_outcome", F.lit("")).alias("repair_outcome"))
 
@@ -132,51 +128,52 @@ def repair_and_rerun(spark, d):
 # ---------------------------------------------------------------- scoring
 
 def answers(spark, d):
-    """Independent answers straight from the order table: ordered digest, counts, schema."""
+    """Independent answers straight from the order table: counts and schema, and the ordered records."""
     doc = F.parse_json(F.to_json(F.struct("id", "amount", "state")))
-    rows = I.order_rows(spark, d).select(F.col("source_id").alias("task_id"), F.col("id").alias("ordinal"), doc.alias("document"))
+    numbered = sequence_numbers(I.order_rows(spark, d), ["source_id"], ["id"], I._order_chunk(), "ordinal")
+    rows = numbered.select(F.col("source_id").alias("task_id"), "ordinal", doc.alias("document"))
     counts = I.order_rows(spark, d).groupBy(F.col("source_id").alias("task_id")).agg(F.count("*").alias("record_count"))
-    return S.ordered_digest(rows).join(counts, "task_id").select(
+    return counts.select(
         "task_id", "record_count", F.ceil(F.col("record_count") / I.PAGE_SIZE).alias("page_count"), F.lit("complete").alias("completeness"),
-        "result_sha256", F.create_map(*[F.lit(x) for x in ("id", "integer", "amount", "integer", "state", "string")]).alias("schema"),
-        F.lit("id").alias("unique_key"))
+        F.create_map(*[F.lit(x) for x in ("id", "integer", "amount", "integer", "state", "string")]).alias("schema"),
+        F.lit("id").alias("unique_key")), rows
 
 
 def results(spark, d):
-    run = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3, store=True)
+    run = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS))
     reports = run.summary.select(F.col("source_id").alias("task_id"), "status", "pages", "completeness",
                                  *[F.lit(True).alias(f) if i < 2 else (F.col("source_id") % 3 != 0).alias(f) for i, f in enumerate(S.FLAGS)])
     doc = F.parse_json(F.to_json(F.struct(F.col("id").cast("bigint").alias("id"), F.col("amount").cast("bigint").alias("amount"), "state")))
     return reports, run.records.select(F.col("source_id").alias("task_id"), "ordinal", doc.alias("document"))
 
 
-@query("task_success", outcome(3) + "SELECT source_id AS task_id, code IS NULL AND n_pages<=3 AND drift NOT IN (7,9) AS task_success FROM outcome")
+@query("task_success", outcome() + "SELECT source_id AS task_id, code IS NULL AND drift NOT IN (7,9) AS task_success FROM outcome")
 def task_success(spark, d):
     reports, records = results(spark, d)
-    return S.score_tasks(reports, records, answers(spark, d)).select("task_id", "task_success")
+    return S.score_tasks(reports, records, *answers(spark, d)).select("task_id", "task_success")
 
 
-@query("delivery_success", outcome(3) + """
-SELECT source_id AS task_id, code IS NULL AND n_pages<=3 AND drift NOT IN (7,9) AND source_id%3<>0 AND source_id%7<>0 AS delivery_success FROM outcome""")
+@query("delivery_success", outcome() + """
+SELECT source_id AS task_id, code IS NULL AND drift NOT IN (7,9) AND source_id%3<>0 AND source_id%7<>0 AS delivery_success FROM outcome""")
 def delivery_success(spark, d):
     """The second collection of every seventh task has another first row."""
     reports, records = results(spark, d)
     second = records.withColumn("document", F.when((F.col("task_id") % 7 == 0) & (F.col("ordinal") == 1), F.parse_json(F.lit('{"id":0}')))
                                 .otherwise(F.col("document")))
-    return S.score_tasks(reports, records, answers(spark, d), reports, second).select("task_id", "delivery_success")
+    return S.score_tasks(reports, records, *answers(spark, d), reports, second).select("task_id", "delivery_success")
 
 
-@query("expected_rejection", outcome(3) + """
+@query("expected_rejection", outcome() + """
 SELECT source_id, code IS NOT NULL AND code IN ('duplicate_id','total_changed') AND source_id%4<>1 AS passed FROM outcome""")
 def expected_rejection(spark, d):
-    summary = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3).summary
+    summary = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS)).summary
     df = classify(summary).withColumn("requests", F.when(F.col("source_id") % 4 != 1, F.col("pages")))
     return df.select("source_id", S.expected_rejection(
         F.col("status"), F.col("error_code"), F.col("phase"), F.col("requests"), F.lit(None).cast("string"),
         F.array(F.lit("duplicate_id"), F.lit("total_changed")), F.lit("executing"), F.lit(None).cast("string"), F.lit(10)).alias("passed"))
 
 
-@query("benchmark_grade", outcome(10) + "SELECT source_id, source_id%7<>0 AS passed FROM outcome")
+@query("benchmark_grade", outcome() + "SELECT source_id, source_id%7<>0 AS passed FROM outcome")
 def benchmark_grade(spark, d):
     """Expectations from the order table; those of every seventh task are wrong."""
     n = I.order_rows(spark, d).groupBy("source_id").agg(F.count("*").alias("n"))
@@ -188,7 +185,7 @@ def benchmark_grade(spark, d):
     expected = n.select("source_id", kind.isNotNull().alias("should_fail"), F.when(off == 0, kind).otherwise("other").alias("failure_kind"),
                         (F.col("n") + off).alias("record_count"), pages.alias("page_count"),
                         F.when(k == 7, "stop_condition_only").otherwise("complete").alias("expected_completeness"))
-    summary = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=10).summary
+    summary = run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS)).summary
     return S.benchmark_grade(summary, expected)
 
 

@@ -177,7 +177,7 @@ def summaries(spark, d):
         F.parse_json(walks.shape("body")).alias("response_shape"))
 
 
-@query("evidence_features", outcome(3) + """
+@query("evidence_features", outcome() + """
 SELECT source_id AS query_id, CASE WHEN drift=6 AND n_pages>1 THEN 'unknown' WHEN drift=4 THEN 'POST' ELSE 'GET' END AS method,
   CASE WHEN drift=4 THEN 'json_body' ELSE 'query' END AS page_location, 'nested' AS items_container, 'boolean_flag' AS stop_signal,
   'present' AS continuation_flag, 'verbatim' AS field_mapping, CASE WHEN drift=6 THEN 'multiple_candidates' ELSE 'single_candidate' END AS ambiguity
@@ -186,7 +186,7 @@ def evidence_features(spark, d):
     return E.evidence_features(summaries(spark, d), ["id", "amount"])
 
 
-@query("query_tokens", outcome(3) + """
+@query("query_tokens", outcome() + """
 SELECT source_id AS query_id, unnest(CASE WHEN drift=4 THEN ['lang'] ELSE ['page'] END ||
   CASE drift WHEN 5 THEN ['entries'] WHEN 6 THEN ['entries','others'] ELSE ['rows'] END || ['id','amount','state','total','more']) AS term FROM outcome""")
 def query_tokens(spark, d):
@@ -202,7 +202,7 @@ q AS (SELECT k AS query_id, unnest(['page', k, 'id','amount','state','total','mo
   FROM (VALUES ('rows'),('entries'),('others')) t(k)),""" + FAMILY + """
 , best AS (SELECT query_id, string_agg(case_id, ',' ORDER BY rank) AS cases FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank
   FROM scores WHERE score>0) WHERE rank<=2 GROUP BY ALL)
-""" + outcome(3).replace("WITH seq", ", seq", 1) + """
+""" + outcome().replace("WITH seq", ", seq", 1) + """
 SELECT source_id, code AS error_code, CASE code WHEN 'pointer_not_found' THEN 'planning' ELSE 'execution' END AS failure_phase, cases
 FROM outcome JOIN best ON query_id = CASE drift WHEN 5 THEN 'entries' WHEN 6 THEN 'others' ELSE 'rows' END WHERE code <> 'incomplete_items'""")
 def failure_diagnosis(spark, d):
@@ -210,7 +210,7 @@ def failure_diagnosis(spark, d):
 
     Many sources share one structure, so each distinct set of key words is scored once.
     """
-    failed = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_pages=3).violations
+    failed = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS)).violations
     keys = summaries(spark, d).withColumn("query", F.create_map(F.lit("page"), F.lit("1")))
     words = E.query_tokens(keys).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("words"))
     sets = words.select(F.col("words").alias("query_id")).distinct()

@@ -113,6 +113,10 @@ def test_request_log(spark):
               "request_headers map<string,string>, post_data string, body string")
     df = spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in schema.split(", ")) for r in rows], schema)
     out = {r.seq: (r.reason, r.request_id) for r in A.admit_observations(df).collect()}
-    assert len(out) == 20 and out[1] == (None, "req_001") and out[9] == (None, "req_002") and out[12] == (None, "req_003") and out[20] == (None, "req_011")
+    assert len(out) == 30 and out[1] == (None, "req_001") and out[9] == (None, "req_002") and out[12] == (None, "req_003") and out[30] == (None, "req_021")
+    few = {r.seq: r.reason for r in A.admit_observations(df, per_session=20).collect()}
+    assert len(few) == 30 and {few[i] for i in range(21, 31)} == {"not_observed"} and few[20] is None
+    own = df.withColumn("origin", F.when(F.col("seq") == 1, "http://h:80").otherwise("http://h"))
+    assert {r.seq for r in A.admit_observations(own).filter("reason = 'origin'").collect()} == {1}
     assert [out[i][0] for i in range(2, 9)] == ["method", "resource_type", "status", "content_type", "query", "headers", "request_body"]
     assert out[10][0] == "body" and out[11][0] == "request_body"

@@ -1,4 +1,4 @@
-"""HTML extraction against the published list/detail example and odd markup."""
+"""HTML extraction: lists with detail pages, chains of any length, odd markup."""
 
 from urllib.parse import urljoin
 
@@ -7,46 +7,58 @@ from evigrid.operators import html as H, validate as V
 from evigrid.plans.specs import FieldSpec, HtmlField, HtmlPlan, TargetPolicy
 
 SITE = "http://127.0.0.1:8000"
-PLAN = HtmlPlan("article.book", {"title": HtmlField("a"), "author": HtmlField(".author", source="detail")}, "a", "a.next")
-SPECS = [FieldSpec("title", "string"), FieldSpec("author", "string", False)]
-PAGES = {"/": '<article class="book"><a href="/one">Book one</a></article><a class="next" href="/page2">Next</a>',
-         "/page2": '<article class="book"><a href="/two">Book two</a></article>',
-         "/one": '<p class="author">Author one</p>', "/two": "<p>No author available</p>"}
+PLAN = HtmlPlan("div.offer", {"name": HtmlField("h3"), "maker": HtmlField("dd.maker", source="detail")}, "a.open", "a.onward")
+SPECS = [FieldSpec("name", "string"), FieldSpec("maker", "string", False)]
+ROW = '<div class="offer wide"><h3> {0}</h3><a class="open" href="/kit/{1}">see</a></div>'
+PAGES = {"/": ROW.format("Lathe", 1) + '<a class="onward" href="/more/2">further</a>', "/more/2": ROW.format("Vise", 2),
+         "/kit/1": '<dl><dt>Made by<dd class="maker">Ost &amp; Sohn</dl>', "/kit/2": "<p>maker unknown</p>"}
 
 
 def collect(spark, pages, plan=PLAN, specs=SPECS, **options):
     docs = spark.createDataFrame([(SITE + p, f"<html><body>{b}</body></html>") for p, b in pages.items()], "url string, html string")
     entries = spark.createDataFrame([(1, SITE + "/")], "source_id int, url string")
-    records, summary = H.html_collect(entries, docs, plan, specs, **{"max_pages": 10, **options})
+    records, summary = H.html_collect(entries, docs, plan, specs, **options)
     return records.orderBy("ordinal").collect(), summary.first()
 
 
-def test_published_example(spark):
+def test_list_and_detail(spark):
     rows, out = collect(spark, PAGES, max_pages=2, max_records=10)
-    assert [(r.title, r.author, r.source_url) for r in rows] == [("Book one", "Author one", SITE + "/one"), ("Book two", None, SITE + "/two")]
+    assert [(r.name, r.maker, r.source_url) for r in rows] == [("Lathe", "Ost & Sohn", SITE + "/kit/1"), ("Vise", None, SITE + "/kit/2")]
     assert (out.status, out.pages, out.completeness) == ("succeeded", 2, "stop_condition_only")
-    missing = V.missing_counts(spark.createDataFrame([(r.title, r.author) for r in rows], "title string, author string"), ["title", "author"])
-    assert {r.field: r.missing for r in missing.collect()} == {"title": 0, "author": 1}
+    missing = V.missing_counts(spark.createDataFrame([(r.name, r.maker) for r in rows], "name string, maker string"), ["name", "maker"])
+    assert {r.field: r.missing for r in missing.collect()} == {"name": 0, "maker": 1}
 
 
 def test_failures_and_limits(spark):
     def code(changes, **options):
         return collect(spark, {**PAGES, **changes}, **options)[1].error_code
-    assert code({"/page2": PAGES["/page2"] + '<a class="next" href="/">back</a>'}) == "pagination_cycle"
-    assert code({"/page2": "<p>nothing</p>"}) == "no_list_sample"
-    assert code({"/page2": '<article class="book">no link</article>'}) == "detail_link_missing"
-    assert code({"/page2": '<article class="book"><a href="http://127.0.0.1:9/x">x</a></article>'}) == "cross_origin_request"
-    assert code({"/page2": '<article class="book"><a href="https://example.com/x">x</a></article>'}) == "only_literal_loopback_http_supported"
-    assert code({"/one": "<p></p>"}, specs=[SPECS[0], FieldSpec("author", "string")]) == "required_field_missing"
-    many = "".join(f'<article class="book"><a href="/one">B{i}</a></article>' for i in range(70))
-    assert code({"/": many}) == "html_request_budget_exceeded"
-    assert code({"/": many + many[:0] + "".join(f'<article class="book"><a>C{i}</a></article>' for i in range(1000))}) == "too_many_page_records"
+    assert code({"/more/2": PAGES["/more/2"] + '<a class="onward" href="/">back</a>'}) == "pagination_cycle"
+    assert code({"/more/2": "<p>nothing</p>"}) == "no_list_sample"
+    assert code({"/more/2": '<div class="offer"><h3>x</h3></div>'}) == "detail_link_missing"
+    assert code({"/more/2": '<div class="offer"><a class="open" href="http://127.0.0.1:9/x">x</a></div>'}) == "cross_origin_request"
+    assert code({"/more/2": '<div class="offer"><a class="open" href="https://example.com/x">x</a></div>'}) == "only_literal_loopback_http_supported"
+    assert code({"/kit/1": "<p></p>"}, specs=[SPECS[0], FieldSpec("maker", "string")]) == "required_field_missing"
+    many = "".join(ROW.format(f"B{i}", 1) for i in range(70))
+    assert code({"/": many}, max_requests=60) == "html_request_budget_exceeded" and code({"/": many}) is None
+    assert code({"/": many + "".join(f'<div class="offer"><h3>C{i}</h3></div>' for i in range(1000))}, max_page_records=1000) == "too_many_page_records"
     rows, out = collect(spark, {**PAGES, "/": many}, max_records=5)
     assert len(rows) == 5 and out.record_limit_reached and out.completeness == "partial"
-    rows, out = collect(spark, {**PAGES, "/": PAGES["/"].replace("</article>", "</article>" + '<article class="book"><a href="/one">Book one</a></article>', 1)})
+    rows, out = collect(spark, {**PAGES, "/": ROW.format("Lathe", 1) + PAGES["/"]})
     assert out.duplicates_removed == 1 and out["count"] == 2
 
 
+def test_long_chain(spark):
+    """75 pages, then one that leads back to the third."""
+    links = spark.createDataFrame([(f"u{i}", f"u{i + 1}" if i < 75 else "u3", None) for i in range(1, 76)], "url string, next string, code string")
+    entries = spark.createDataFrame([(1, "u1"), (2, "u70"), (3, "gone")], "source_id int, url string")
+    out = {}
+    for r in H.next_link_chain(entries, links).collect():
+        out.setdefault(r.source_id, []).append((r.page_no, r.url, r.code))
+    assert sorted(out[1])[-2:] == [(75, "u75", None), (76, "u3", "pagination_cycle")] and len(out[1]) == 76
+    assert sorted(out[2])[5:8] == [(6, "u75", None), (7, "u3", None), (8, "u4", None)] and sorted(out[2])[-1] == (74, "u70", "pagination_cycle")
+    assert out[3] == [(1, "gone", None)]
+
+
 def test_markup_corner_cases():
     doc = ('<html><body><script>var a="<article class=book>x</article>"</script><!-- <article class="book"> -->'
            '<div id=top class="a  b"><p>one<p>two <b>three<br></p><ul><li>x<li class="k">y &amp; z</ul></div>'
@@ -73,5 +85,7 @@ def test_links_and_outline(spark):
     assert set(rows) == {"main", "li.a.b.c", "a"} and rows["li.a.b.c"].attributes == ["class", "data-x"]
     assert rows["a"].parent == "li" and rows["a"].sample_link == "/d"
     wide = "<body>" + "".join(f'<i class="c{i}"></i>' for i in range(150)) + '<i class="c0" late="1"></i></body>'
-    out = H.dom_outline(spark.createDataFrame([(1, wide)], "page_id bigint, html string")).collect()
+    page = spark.createDataFrame([(1, wide)], "page_id bigint, html string")
+    assert H.dom_outline(page).count() == 150
+    out = H.dom_outline(page, limit=100).collect()
     assert len(out) == 100 and all("late" not in r.attributes for r in out)

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from evigrid.operators.overlap import shape_text
 from evigrid.functions import json_values as J, texts as X, walks as W
 
 
@@ -45,7 +46,9 @@ def test_shape_and_redaction(spark):
     assert out["rows"] == [{"name": "<string>"}] and "user_token" not in out and out["none"] == "<null>"
     assert out["deep"]["a"]["a"]["a"]["a"]["a"] == {"a": "<depth_limit>"}
     wide = json.dumps({f"z{99 - i}": i for i in range(40)})
-    assert list(json.loads(column(spark, [(wide,)], "j string", W.shape("j"))[0])) == [f"z{99 - i}" for i in range(30)]
+    assert list(json.loads(column(spark, [(wide,)], "j string", W.shape("j"))[0])) == [f"z{99 - i}" for i in range(40)]
+    assert list(json.loads(column(spark, [(wide,)], "j string", W.shape_of(30)("j"))[0])) == [f"z{99 - i}" for i in range(30)]
+    assert column(spark, [("{broken",), (None,), ("7",)], "j string", W.shape("j")) == [None, None, '"<integer>"']
     post = json.loads(column(spark, [('{"page":2,"size":"50","big":1000,"q":"abc","f":{"n":3}}',)], "j string", W.request_shape("j"))[0])
     assert post == {"page": 2, "size": "50", "big": "<integer>", "q": "<string>", "f": {"n": "<integer>"}}
     query = F.create_map(*[F.lit(x) for x in ("page", "12", "q", "shoes", "n", "1234", "api_key", "1")])
@@ -63,11 +66,28 @@ def test_members_and_subtrees(spark):
     members = column(spark, [(doc,)], "j string", W.structure_members(F.parse_json("j")))[0]
     assert sorted((m.path, m.type) for m in members) == [
         ("/meta", "object"), ("/meta/n", "object"), ("/meta/n/k", "array"), ("/rows", "array"), ("/rows/id", "integer"), ("/rows/id", "integer")]
-    trees = column(spark, [(doc,)], "j string", W.nested_subtrees(F.parse_json("j")))[0]
+    trees = column(spark, [(doc,)], "j string", W.nested_subtrees(F.array(F.parse_json("j"))))[0]
     parts = [[{"id": 1, "secret_x": 2}, {"id": 2}], {"id": 1, "secret_x": 2}, {"id": 2}, {"n": {"k": []}}, {"k": []}]
     assert trees == sorted(J.digest_value(p) for p in parts)
 
 
+def test_no_depth_is_lost(spark):
+    value = {"oracle": ["}\"{", 1]}
+    for _ in range(50):
+        value = {"a": [value]}
+    parts, todo = set(), list(value.values())
+    while todo:
+        part = todo.pop()
+        if isinstance(part, (dict, list)) and part:
+            parts.add(J.digest_value(part))
+            todo += part.values() if isinstance(part, dict) else part
+    doc = F.parse_json("j")
+    assert column(spark, [(json.dumps(value),)], "j string", W.nested_subtrees(F.array(doc)))[0] == sorted(parts)
+    assert column(spark, [(json.dumps(value),)], "j string", W.has_member(doc, ["oracle", "x"])) == [True]
+    assert column(spark, [('{"a":["oracle","\\"oracle\\":"]}',)], "j string", W.has_member(doc, ["oracle"])) == [False]
+    assert column(spark, [(json.dumps(value),)], "j string", shape_text(doc)) == [None]
+
+
 def test_text_rules(spark):
     one = lambda e: spark.range(1).select(e).first()[0]
     assert one(X.guard_formula(F.lit('=HYPERLINK("bad")'))) == '\'=HYPERLINK("bad")'

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import store
 
-#: Buckets of the shingle frequencies that order the shingles, and bits of a set's signature.
-ORDER_BITS, SIGNATURE_WORDS = 18, 4
+#: Buckets of the shingle frequencies that order the shingles (as bits), and words of the short signature.
+ORDER_BITS, SHORT = 18, 4
 #: A block of a list; longer ones are split.
 BLOCK = 1000
 
@@ -46,8 +46,14 @@ def identity(members: np.ndarray) -> int:
 
 
 def signature(members: np.ndarray) -> list[int]:
-    """Parity bits: every member flips one. Two sets differ in at least as many members as their signatures do in bits."""
-    bits = 64 * SIGNATURE_WORDS
+    """Parity bits, a power of two of them and at least one per member: every member flips one.
+
+    Two sets differ in at least as many members as their signatures do in bits, and XOR of its halves gives the signature
+    of half the length, so signatures of any two lengths can be compared.
+    """
+    bits = 64 * SHORT
+    while bits < len(members):
+        bits *= 2
     odd = np.bincount((members >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
@@ -57,12 +63,11 @@ def _summaries(batches, n):
     import pyarrow as pa
 
     sums = np.zeros(1 << ORDER_BITS, np.int64)
-    empty = [0] * SIGNATURE_WORDS
     for batch in batches:
         sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
         for s in sets:
             np.add.at(sums, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
-        marks = [signature(s) if len(s) else empty for s in sets]
+        marks = [signature(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([identity(s) if len(s) else None for s in sets], pa.int64()),
              pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["kind", "key", "set", "n", "mark"])
@@ -119,16 +124,46 @@ def needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
 
 
-def possible(a: str, b: str, percent: int) -> Column:
-    """Whether size, place and signature leave room for the needed overlap (exact bounds, so nothing similar is lost)."""
+def room(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and places leave room for the needed overlap.
+
+    If the shared shingle is the first one shared, nothing in front of it in either set is shared; the list of the first shared
+    shingle sees every pair, so nothing similar is lost.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = needed(n, m, percent)
-    apart = sum((F.bit_count(F.col(f"{a}.mark")[i].bitwiseXOR(F.col(f"{b}.mark")[i])) for i in range(SIGNATURE_WORDS)), F.lit(0))
-    return ((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (least <= n + m - least)
-            # a shared shingle at these places: what comes before it in either set has to be unshared unless shared earlier,
-            # and the list of the earliest shared shingle sees the pair too
-            & (F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) >= least)
-            & ((n + m - apart) / 2 >= least))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
+        F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) >= needed(n, m, percent))
+
+
+def near(n: Column, m: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m that differ in ``apart`` members or more can reach the threshold."""
+    return n + m - apart >= 2 * needed(n, m, percent)
+
+
+def folded(mark: Column, size: Column) -> Column:
+    """A signature shortened to ``size`` words, its own or half its length."""
+    halves = F.zip_with(F.slice(mark, F.lit(1), size), F.slice(mark, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(mark) > size, halves).otherwise(mark)
+
+
+def apart(x: Column, y: Column) -> Column:
+    """In how many bits two signatures differ (their sizes are at most one power of two apart)."""
+    size = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(folded(x, size), folded(y, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
+def _short_word(i: int) -> Column:
+    """Word ``i`` of a signature folded to ``SHORT`` words."""
+    every = F.filter("mark", lambda w, at: at % SHORT == i)
+    return F.aggregate(every, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(w))
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose signatures allow the threshold."""
+    left = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma"))
+    right = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(near(F.col("na"), F.col("nb"), apart(F.col("ma"), F.col("mb")), percent)).select("a", "b")
 
 
 def bitmap(sets: DataFrame) -> np.ndarray:
@@ -145,9 +180,11 @@ def similar(pairs: DataFrame, docs: DataFrame, n: int, percent: int, text: str)
     """The pairs (columns ``a``, ``b``) that reach the threshold, checked on the whole sets."""
     spark = docs.sparkSession
     pairs = store(pairs, "join-pairs")
+    if not pairs.head(1):
+        return pairs
     wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))))
-    members = store(docs.select(text).mapInArrow(lambda batches: _members(batches, n, wanted.value), "set long, members array<long>")
-                    .dropDuplicates(["set"]), "join-members")
+    # Not stored: both joins read one exchange of the sets.
+    members = docs.select(text).mapInArrow(lambda batches: _members(batches, n, wanted.value), "set long, members array<long>").dropDuplicates(["set"])
     both = (pairs.join(members.select(F.col("set").alias("b"), F.col("members").alias("y")), "b")
             .join(members.select(F.col("set").alias("a"), F.col("members").alias("x")), "a"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -199,39 +236,44 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
         order[r["key"]] = r["n"]
     sent = spark.sparkContext.broadcast(order)
     documents = base.where("kind = 0")
-    sets = documents.where("n > 0").groupBy("set").agg(F.first("n").cast("int").alias("n"), F.first("mark").alias("mark"))
+    sets = store(documents.where("n > 0").groupBy("set").agg(F.first("n").cast("int").alias("n"), F.first("mark").alias("mark")), "join-distinct")
 
     postings = store(raw.select("text").mapInArrow(lambda batches: _postings(batches, n, sent.value, percent),
                                                    "shingle long, set long, n int, place int"), "join-postings")
-    # Lists with two sets or more, and their most central set: the one with the fewest rarer shingles in front.
-    lists = (postings.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.min(F.struct("place", "set", "n")).alias("lead"))
-             .where("low <> high").select("shingle", "lead"))
-    entries = store(postings.join(store(lists, "join-lists"), "shingle").select("shingle", "set", "n", "place", "lead")
-                    .distinct().join(sets.select("set", "mark"), "set"), "join-entries")
-    leads = entries.where("set = lead.set").select("shingle", "set", "n", "place", "mark")
-    star = (entries.alias("x").join(leads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") != F.col("y.set")))
-            .where(possible("x", "y", percent)).select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct())
-    links = similar(star, raw, n, percent, "text")
+    # Lists with two sets or more.
+    lists = postings.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("shingle")
+    entries = store(postings.join(lists, "shingle").distinct(), "join-entries")
+    # Their most central sets, those with the fewest rarer shingles in front, answer first.
+    leads = entries.groupBy("shingle").agg(F.min(F.struct("place", "set", "n")).alias("lead"), F.count("*").alias("many")).select(
+        "shingle", "lead.*", "many")
+    star = (entries.alias("x").join(leads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") != F.col("y.set"))
+                                    & room("x", "y", percent)).select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct())
+    links = similar(plausible(star, sets, percent), raw, n, percent, "text")
     roots = store(components(links), "join-roots")
 
-    # What the first answers left open: pairs of a list in different components, block by block of similar size.
-    placed = entries.drop("lead").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    # What the first answers left open: pairs of a list in different components, block by block of similar size. A list's lead has met
+    # all others, so lists of two are done.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    placed = store(placed.withColumn("band", band), "join-placed")
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    left = placed.join(mixed, "shingle")
-    chunks = left.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    x = left.join(chunks, ["shingle", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int"))
+    rest = entries.join(leads.where("many > 2").select("shingle", F.col("set").alias("lead")), "shingle").where("set <> lead")
+    rest = rest.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).select("shingle", "set", "n", "place", "root")
+    rest = store(rest, "join-rest")
+    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    short = sets.select("set", *[_short_word(i).alias(f"m{i}") for i in range(SHORT)])
+    left = store(rest.join(mixed, "shingle").join(short, "set").withColumn("band", band), "join-open")
+    long = store(left.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).where("chunks > 1"), "join-long")
+    chunks = F.coalesce("chunks", F.lit(1))
+    x = left.join(long, ["shingle", "band"], "left").withColumn("chunk", F.pmod(F.xxhash64("set"), chunks).cast("int"))
     # A set meets its own band and the one above; more distant sizes cannot be similar. Long bands are met chunk by chunk.
-    y = (left.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(chunks, ["shingle", "band"])
-         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    y = (left.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+         .join(long, ["shingle", "band"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))))
     same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.chunk") == F.col("y.chunk"))
     # Sets of one band meet in both directions: keep one of them.
     once = (F.col("y.own") != F.col("x.band")) | (F.col("x.set") < F.col("y.set"))
-    y = y.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    rest = (x.alias("x").join(y.alias("y"), same & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", percent))
-            .select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct())
-    links = links.unionByName(similar(rest, raw, n, percent, "text"))
+    bits = sum((F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(SHORT)), F.lit(0))
+    open_pairs = (x.alias("x").join(y.alias("y"), same & (F.col("x.root") != F.col("y.root")) & once & room("x", "y", percent)
+                                    & near(F.col("x.n"), F.col("y.n"), bits, percent))
+                  .select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct())
+    links = links.unionByName(similar(plausible(open_pairs, sets, percent), raw, n, percent, "text"))
     roots = store(components(links), "join-roots")
 
     # Documents without words link with nothing and stay out of the joins.

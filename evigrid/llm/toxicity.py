@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade >= k) = sigmoid(w.x - theta_k): one weight vector for all grades, one ordered threshold a grade. Features are
-sparse: which words and parts of words a text has, of those that set labelled toxic texts apart. The severity is
+sparse: which words and parts of words a text has, of those that set labelled toxic texts apart, and how many of its words have any. The severity is
 the expected grade, the sum of P(grade >= k).
 """
 
@@ -33,16 +33,21 @@ def features(text: str) -> set[str]:
     return {f for w in set(WORDS.findall(text.lower())) for f in word_features(w)}
 
 
+#: Features of how many words of a text have a chosen feature.
+LEVELS = {"+1": 1, "+2": 2, "+4": 4, "+8": 8}
+
+
 class Chosen:
     """The features of a text among the chosen ones; remembers which words have any."""
 
     def __init__(self, names):
         self.names, self.known = set(names), {}
 
-    def of(self, text: str) -> set[str]:
+    def of(self, text: str) -> tuple[set[str], int]:
+        """The chosen features of a text, its levels included, and how many of its words have any."""
         out: set[str] = set()
-        known = self.known
-        for w in set(WORDS.findall(text.lower())):
+        known, hits, words = self.known, 0, WORDS.findall(text.lower())
+        for w in set(words):
             hit = known.get(w)
             if hit is None:
                 if len(known) >= REMEMBERED:
@@ -50,7 +55,9 @@ class Chosen:
                 hit = known[w] = tuple(self.names.intersection(word_features(w)))
             if hit:
                 out.update(hit)
-        return out
+                hits += words.count(w)
+        out.update(k for k, least in LEVELS.items() if hits >= least)
+        return out, hits
 
 
 @dataclass
@@ -98,12 +105,39 @@ def fit_cumulative(rows: list[np.ndarray], grades: np.ndarray, n_features: int,
     return param[:n_features], param[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(param[n_features + 1:]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: int = 1000, least: int = 5, apart: float = 6.0,
+def cover(present: list[np.ndarray], toxic: np.ndarray, names: list[str], least: int, times: int = 4, clean_cost: int = 20) -> list[str]:
+    """A few features that between them occur in the toxic texts and hardly in the clean ones.
+
+    The next feature is the one with the most toxic texts not yet reached ``times`` times, each clean text it occurs in counting ``clean_cost`` against it
+    (ties: the longer, then the smaller); parts of a chosen feature, and what it is part of, tell nothing new. It ends when none reaches
+    ``least``.
+    """
+    whole = [f"^{f[1:]}$" if f.startswith("=") else f for f in names]
+    doc = np.repeat(np.arange(len(present)), [len(p) for p in present])
+    at = np.concatenate([*present, np.empty(0, np.int64)]).astype(np.int64)
+    clean = np.bincount(at[~toxic[doc]], minlength=len(names))
+    order = np.array(sorted(range(len(names)), key=lambda i: (-len(names[i]), names[i])), np.int64)
+    missing, found = np.where(toxic, times, 0), []
+    while len(found) < len(names):
+        reached = np.bincount(at[missing[doc] > 0], minlength=len(names))
+        worth = np.where(reached >= least, reached - clean_cost * clean, -1)[order]
+        best = order[int(worth.argmax())]
+        if worth.max() <= 0:
+            break
+        found.append(names[best])
+        missing[doc[at == best]] -= 1
+        near = [i for i, w in enumerate(whole) if w in whole[best] or whole[best] in w]
+        rest = ~np.isin(at, near)
+        doc, at = doc[rest], at[rest]
+    return sorted(found)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features: int = 1000, least: int = 5, apart: float = 5.0, odds: float = 3.0,
           key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model of a bounded sample of labelled documents: at most ``per_class`` of each label 0/1. None without both.
 
-    Features: at most ``n_features`` that occur in ``least`` toxic texts or more and whose log odds against the clean ones are
-    ``apart`` standard errors above zero. Grades: 0 clean; toxic texts with at most the median number of such features
+    Features: at most ``n_features`` that occur in ``least`` toxic texts or more and whose log odds against the clean ones are ``odds`` at
+    least and ``apart`` standard errors above zero; of these, the few that ``cover`` the toxic texts. Grades: 0 clean; toxic texts with at most the median number of words with such features
     are 1, those with more are 2. Copies of a text count once in the sample.
     """
     sample = labelled_sample(labels.select(key, label), label, per_class, key)
@@ -139,26 +173,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, n_features:
         if not r["feature"]:
             continue
         a, b = r["bad"] + 0.5, r["good"] + 0.5
-        odds = math.log(a / (total[0] + 1 - a)) - math.log(b / (total[1] + 1 - b))
-        z = odds / math.sqrt(1 / a + 1 / b)
-        if z >= apart:
+        ratio = math.log(a / (total[0] + 1 - a)) - math.log(b / (total[1] + 1 - b))
+        z = ratio / math.sqrt(1 / a + 1 / b)
+        if z >= apart and ratio >= odds:
             strong.append((-z, r["feature"]))
     names = sorted(f for _, f in sorted(strong)[:n_features])
-    place = {f: i for i, f in enumerate(names)}
 
-    def vectors(batches):
-        import pyarrow as pa
-
-        chosen_of = Chosen(place)
-        for batch in batches:
-            at = [sorted(place[f] for f in chosen_of.of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["y", "at"])
-
-    rows = chosen.mapInArrow(vectors, "y int, at array<int>").collect()  # bounded by the sample
-    rows.sort(key=lambda r: (r["y"], r["at"]))
-    bad = [len(r["at"]) for r in rows if r["y"]]
-    middle = float(np.median(bad))
-    grades = np.array([0 if not r["y"] else 1 if len(r["at"]) <= middle else 2 for r in rows])
+    def vectors(names):
+        place = {f: i for i, f in enumerate(names)}
+
+        def read(batches):
+            import pyarrow as pa
+
+            chosen_of = Chosen(set(place) - set(LEVELS))
+            for batch in batches:
+                found = [chosen_of.of(t) for t in batch.column(1).to_pylist()]
+                at = [sorted(place[f] for f in fs if f in place) for fs, _ in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([h for _, h in found], pa.int32())],
+                                                 ["y", "at", "hits"])
+        rows = chosen.mapInArrow(read, "y int, at array<int>, hits int").collect()  # bounded by the sample
+        return sorted(rows, key=lambda r: (r["y"], r["hits"], r["at"]))
+
+    rows = vectors(names)
+    names = cover([np.array(r["at"], np.int64) for r in rows], np.array([r["y"] == 1 for r in rows]), names, least) + list(LEVELS)
+    rows = vectors(names)
+    middle = float(np.median([r["hits"] for r in rows if r["y"]]))
+    grades = np.array([0 if not r["y"] else 1 if r["hits"] <= middle else 2 for r in rows])
     w, theta = fit_cumulative([np.array(r["at"], np.int64) for r in rows], grades, len(names))
     return Model(dict(zip(names, w.tolist(), strict=True)), theta[:int(grades.max())].tolist())
 
@@ -173,11 +213,11 @@ def grade(docs: DataFrame, model: Model | None, limit: float = 0.5, key: str = "
     def rate(batches):
         import pyarrow as pa
 
-        m, chosen = model, Chosen(model.weights if model else ())  # at most a few thousand weights travel with the function
+        m, chosen = model, Chosen(set(model.weights) - set(LEVELS) if model else ())  # at most a few thousand weights travel with the function
         for batch in batches:
             severity, grades, rejected = [], [], []
             for t in batch.column(1).to_pylist():
-                chances = m.at_least(chosen.of(t)) if m and m.weights and t else []
+                chances = m.at_least(chosen.of(t)[0]) if m and m.weights and t else []
                 severity.append(math.fsum(chances))
                 grades.append(sum(p >= 0.5 for p in chances))
                 rejected.append(bool(chances) and chances[0] > limit)

@@ -109,3 +109,32 @@ def policy_hash(allowlist: Column, schemes: Column, mode: Column, target_kind: C
     document = F.struct(F.lit(1).alias("schema_version"), mode.alias("mode"), target_kind.alias("target_kind"),
                         allowlist.alias("allowlist"), schemes.alias("schemes"), entry_query.alias("entry_url_query_allowed"))
     return digest(F.parse_json(F.to_json(document)))
+
+
+_REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def _without_dots(path: Column) -> Column:
+    """Path with its dot segments resolved; steps above the root are dropped."""
+    parts = F.split(path, "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda out, p: F.when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))))
+                       .when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    # A path that ends in a dot segment names a folder.
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.array_join(kept, "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
+def join_url(base: Column | str, href: Column | str) -> Column:
+    """Reference resolution (RFC 3986) of ``href`` against an absolute ``base``; NULL where either is missing."""
+    base, href = (F.col(c) if isinstance(c, str) else c for c in (base, href))
+    b, r = (lambda i: F.regexp_extract(base, _REFERENCE, i)), (lambda i: F.regexp_extract(href, _REFERENCE, i))
+    tail = lambda mark, text: F.when(text != "", F.concat(F.lit(mark), text)).otherwise("")
+    folder = F.concat(F.regexp_extract(b(3), r"(?s)^(.*/)[^/]*$", 1), r(3))
+    path = F.when(r(3) == "", b(3)).when(r(3).startswith("/"), _without_dots(r(3))).otherwise(
+        _without_dots(F.when(folder.startswith("/"), folder).otherwise(F.concat(F.lit("/"), folder))))
+    query = F.when((r(3) == "") & (r(4) == ""), b(4)).otherwise(r(4))
+    inside = F.concat(b(1), F.lit("://"), b(2), path, tail("?", query), tail("#", r(5)))
+    other = F.concat(b(1), F.lit("://"), r(2), r(3), tail("?", r(4)), tail("#", r(5)))
+    return F.when(href == "", base).when((r(1) != "") & (F.lower(r(1)) != F.lower(b(1))), href).when(r(2) != "", other).otherwise(inside)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import markup as M
 from ..functions.texts import is_sensitive
-from ..functions.urls import checked_url, url_parts
+from ..functions.urls import checked_url, join_url, url_parts
 from ..plans.specs import SQL_TYPES, FieldSpec, HtmlPlan, TargetPolicy
 from ..session import cut_lineage
 from .collect import LIMIT, STOP, _event, first_match
@@ -49,17 +48,6 @@ def parse_documents(documents: DataFrame, plan: HtmlPlan) -> DataFrame:
     return documents.select("url", "html").mapInPandas(read, PARSED)
 
 
-@F.pandas_udf(T.StringType())
-def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Reference resolution; Spark has no built-in for it."""
-    def one(b, h):
-        try:
-            return None if b is None or h is None else urljoin(b, h)
-        except ValueError:
-            return None
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype="object")
-
-
 def link_error(url: Column, origin: Column, policy: TargetPolicy | None) -> Column:
     """Rejection code of a resolved link; other origins are refused."""
     return F.when(url.isNull(), "invalid_url").otherwise(F.coalesce(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.urls import join_url
 from ..operators import html as H
 from ..operators.windows import paginate
 from ..plans.specs import FieldSpec, HtmlField, HtmlPlan, TargetPolicy
@@ -39,19 +40,15 @@ def html_detail_next(spark, d):
 
 
 @query("same_origin_links", NAV_SQL + """
-SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN plain THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || link ELSE '' END AS target,
-  CASE WHEN plain AND regexp_matches(link, '[\\x00-\\x20\\\\]') THEN 'invalid_url' ELSE '' END AS code
-FROM (SELECT *, NOT regexp_matches(link, '[?#;%]|//|[.]/|[.]$') AS plain FROM nav)""")
+SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || link AS target,
+  CASE WHEN regexp_matches(link, '[\\x00-\\x20\\\\]') THEN 'invalid_url' ELSE '' END AS code FROM nav""")
 def same_origin_links(spark, d):
-    """Navigation links of every page. Forms that need dot removal are resolved too, but shown blank here
-    (plain SQL cannot resolve them; tests do)."""
+    """Navigation links of every page, resolved against it."""
     pages = I.table(spark, d, "pages")
     rows = H.parse_documents(pages, NAV).select("url", F.posexplode("records").alias("pos", "r"))
     links = rows.join(pages.select("page_id", "url"), "url").select(
         "page_id", "pos", F.col("url").alias("base"), F.col("r.values.link").alias("href"))
-    plain = ~F.col("href").rlike(r"[?#;%]|//|[.]/|[.]$")
-    shown = lambda c: F.when(plain, F.coalesce(c, F.lit(""))).otherwise("").alias(c)
-    return H.same_origin_links(links, OPEN).select("page_id", "pos", shown("target"), shown("code"))
+    return H.same_origin_links(links, OPEN).select("page_id", "pos", "target", F.coalesce("code", F.lit("")).alias("code"))
 
 
 @query("dom_outline")
@@ -136,7 +133,7 @@ def list_detail_join(spark, d):
     parsed = H.parse_documents(documents, PLAN)
     rows = parsed.select("url", F.explode("records").alias("r"))
     rows = rows.select(F.regexp_extract("url", "/c/([0-9]+)/", 1).cast("bigint").alias("source_id"),
-                       F.trim("r.values.id").cast("bigint").alias("id"), H.join_url("url", F.col("r.detail")).alias("detail_url"))
+                       F.trim("r.values.id").cast("bigint").alias("id"), join_url("url", F.col("r.detail")).alias("detail_url"))
     joined = H.list_detail_join(rows, parsed)
     return joined.select("source_id", "id", F.coalesce(F.col("detail_values.state"), F.lit("")).alias("state"),
                          F.coalesce("detail_code", F.lit("")).alias("code"))

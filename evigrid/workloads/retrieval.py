@@ -163,6 +163,26 @@ def retrieval_metrics(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("code_hits", GATED + TOP + """
+, plain AS (SELECT query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM pairs),
+shown AS (SELECT 'bm25' AS grp, query_id, case_id FROM plain WHERE rank<=2 UNION ALL SELECT 'failure_aware', query_id, case_id FROM ranked WHERE rank<=2),
+per AS (SELECT g.grp, b.item_id, coalesce(bool_or((b.item_id%3=0 AND case_id%4=1) OR (b.item_id%3=1 AND case_id%4=0)), false) AS hit,
+  count(case_id) FILTER (b.item_id%3<>0) AS n, count(case_id) FILTER (b.item_id%3<>0 AND case_id%4=1) AS bad
+  FROM (VALUES ('bm25'),('failure_aware')) g(grp) CROSS JOIN benchmark b LEFT JOIN shown s ON s.grp=g.grp AND s.query_id=b.item_id GROUP BY ALL)
+SELECT grp AS "group", round(avg(CASE WHEN item_id%5<>0 THEN CAST(hit AS INTEGER) END), 6) AS code_hit,
+  round(coalesce(sum(bad) / nullif(sum(n), 0), 0), 6) AS unsafe_rate FROM per GROUP BY grp""")
+def code_hits(spark, d):
+    """Whether the top cases know the failure of a query, and how often a restricted failure is shown a case that repairs by itself."""
+    i = F.col("query_id")
+    asked = context(spark, d).select("query_id", "error_code", (i % 5 != 0).alias("labelled"))
+    stats = cut_lineage(R.corpus_stats(corpus(spark, d)))
+    parts = []
+    for name, options in (("bm25", {"use_features": False, "use_failures": False}), ("failure_aware", {})):
+        ranked = run(spark, d, stats=stats, **options).ranked.select("query_id", "case_id")
+        parts.append(R.code_hits(ranked, corpus(spark, d), asked.withColumn("group", F.lit(name)), ["group"]))
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------- structure evidence
 
 def summaries(spark, d):

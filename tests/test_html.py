@@ -3,6 +3,7 @@
 from urllib.parse import urljoin
 
 from evigrid.functions import markup as M
+from evigrid.functions.urls import join_url
 from evigrid.operators import html as H, validate as V
 from evigrid.plans.specs import FieldSpec, HtmlField, HtmlPlan, TargetPolicy
 
@@ -70,6 +71,13 @@ def test_markup_corner_cases():
     assert [n.tag for n in M.select(nodes, "h2, li")] == ["li", "li", "h2"] and value("ul > p") is None
 
 
+def test_reference_resolution(spark):
+    bases = ["https://a.example.com/x/y?q=1", "http://h", "http://h/", "http://h/a/b/c/"]
+    hrefs = ["", "z", "./z", "../z", "../../../z", "/a/./b/../c", "/a/..", "z/.", "?p=2", "#f", "?p#f", "//other.org/a/../b", "mailto:x", "ftp://h/x", "z?a=1#b", "/", "a..b/.c", "et."]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    assert [(r.base, r.href, r.t) for r in df.withColumn("t", join_url("base", "href")).collect()] == [(b, h, urljoin(b, h)) for b in bases for h in hrefs]
+
+
 def test_links_and_outline(spark):
     base = "https://a.example.com/x/y?q=1"
     hrefs = ["/z", "z", "../z", "?p=2", "#f", "//other.org/a", "http://a.example.com/", "mailto:x", "z?a=1&a=2"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -48,26 +50,61 @@ def bm25_stats(stats: DataFrame) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(query_id, case_id, score) for every case sharing a token with the query.
-
-    ``queries`` is (query_id, term), distinct. The corpus is read twice: once for the statistics, which
-    are checkpointed (one row per term), once for the scores, where the terms of the queries
-    filter tokens before they are counted. The joins are left to Spark: below the size threshold the query side is
-    broadcast, above it AQE splits the partitions of a hot term.
-    """
-    stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
+def term_parts(queries: DataFrame, corpus: DataFrame, stats: DataFrame) -> DataFrame:
+    """(case_id, term, part): what each term of any query adds to the score of a case; linear in the corpus."""
     _, avgdl = corpus_size(stats)
     idf = bm25_stats(stats).join(queries.select("term").distinct(), "term", "left_semi").select("term", "idf")
     words = corpus.select("case_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     found = words.join(idf, "term").groupBy("case_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
     tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-    hits = found.select("case_id", "term", part.alias("part")).join(queries, "term")
+    return found.select("case_id", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).alias("part"))
+
+
+def bm25_scores(queries: DataFrame, corpus: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, case_id, score) for every case sharing a token with the query.
+
+    ``queries`` is (query_id, term), distinct. All pairs that share a term are the product of this function; ``top_cases`` ranks without
+    building them. The corpus is read twice, for the statistics, which are stored (one row per term), and for the scores.
+    """
+    stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
+    hits = term_parts(queries, corpus, stats).join(queries, "term")
     # Nine digits: equal cases tie exactly whatever the order of summation.
     return hits.groupBy("query_id", "case_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
+def top_cases(queries: DataFrame, corpus: DataFrame, judge: Callable[[DataFrame], DataFrame], bonus: DataFrame, top: int,
+              stats: DataFrame | None = None, first: int = 3) -> DataFrame:
+    """(query_id, case_id, score): judged cases among which the best ``top`` of every query are, exactly.
+
+    Cases with one of the ``first`` terms of most weight are scored in full; the last of their best ``top`` is a floor. A case without
+    any of a query's heavier terms cannot score more than its lighter terms allow together with the largest ``bonus`` (query_id, bonus), so
+    further candidates come only from terms down to where that bound meets the floor; common terms are looked at for few queries.
+    ``judge`` takes (query_id, case_id, bm25) and returns the rows it keeps with their ``score``.
+    """
+    stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
+    parts = cut_lineage(term_parts(queries, corpus, stats))
+    bound = F.greatest(F.col("idf") * (K1 + 1), F.lit(0.0))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")  # the terms of one query
+    lighter = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    asked = queries.join(bm25_stats(stats).select("term", "idf"), "term").withColumn("bound", bound)
+    asked = cut_lineage(asked.withColumn("place", F.row_number().over(order)).withColumn("rest", F.sum("bound").over(lighter)))
+
+    def full(pairs: DataFrame) -> DataFrame:
+        terms = pairs.join(asked.select("query_id", "term"), "query_id").join(parts, ["case_id", "term"])
+        return terms.groupBy("query_id", "case_id").agg(F.round(F.sum("part"), 9).alias("bm25")).filter("bm25 > 0")
+
+    def with_terms(wanted: DataFrame) -> DataFrame:
+        return parts.select("case_id", "term").join(wanted.select("query_id", "term"), "term").select("query_id", "case_id").distinct()
+
+    some = cut_lineage(with_terms(asked.filter(F.col("place") <= first)))
+    judged = cut_lineage(judge(full(some)).select("query_id", "case_id", "score"))
+    floor = rank_cases(judged, top).groupBy("query_id").agg(F.when(F.count("*") == top, F.min("score")).alias("floor"))
+    reach = asked.join(floor, "query_id", "left").join(bonus, "query_id", "left")
+    more = reach.filter((F.col("place") > first) & (F.col("floor").isNull() | (F.col("rest") + F.coalesce("bonus", F.lit(0.0)) + 1e-6 >= F.col("floor"))))
+    others = with_terms(more).join(some, ["query_id", "case_id"], "left_anti")
+    return judged.unionByName(judge(full(others)).select("query_id", "case_id", "score"))
+
+
 def candidates(scores: DataFrame) -> DataFrame:
     return scores.filter("score > 0")
 
@@ -131,10 +168,14 @@ def known_failures(context: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Top cases per query and the audit rows of both gates (one row per judged case)."""
+    """Top cases per query, and the audit rows of both gates (one row per judged case; every pair that shares a term)."""
 
-    ranked: DataFrame
     gates: DataFrame
+    rank: Callable[[], DataFrame]
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return self.rank()
 
 
 def rank_cases(scored: DataFrame, top: int = TOP) -> DataFrame:
@@ -152,23 +193,33 @@ def retrieve(query_terms: DataFrame, query_context: DataFrame, cases: DataFrame,
     tokens, features, failure_modes, repairability.
     """
     corpus = cases if "tokens" in cases.columns else corpus_tokens(cases)
-    scored = candidates(bm25_scores(query_terms, corpus, stats)).withColumnRenamed("score", "bm25")
+    stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
     facts = cases.select("case_id", F.col("features").alias("case_features"), "failure_modes", "repairability")
-    pairs = scored.join(facts, "case_id").join(known_failures(query_context), "query_id", "left")
-    pairs = failure_gate(feature_gate(pairs))
-    if not use_features:
-        pairs = pairs.withColumns({"filtered": F.lit(False), "adjustment": F.lit(0.0), "matched": F.lit(0), "conflicted": F.lit(0)})
+    known = known_failures(query_context)
     active = F.lit(False)
     if use_failures:
         active = F.coalesce(cases.agg(F.bool_or(F.size("failure_modes") > 0)).scalar(), F.lit(False))
-    pairs = (pairs.withColumn("failure_filtered", F.col("failure_filtered") & active & ~F.col("filtered"))
-             .withColumn("failure_adjustment", F.when(active, F.col("failure_adjustment")).otherwise(0.0)))
-    if not enabled:
-        pairs = pairs.filter(F.lit(False))
-    kept = pairs.filter("NOT filtered AND NOT failure_filtered").withColumn(
-        "score", F.round(F.col("bm25") + F.col("adjustment") + F.col("failure_adjustment"), 9))
-    ranked = rank_cases(kept.select("query_id", "case_id", "score"), top)
-    return Retrieval(ranked.withColumn("score", F.bround("score", 6)), pairs)
+
+    def gated(scored: DataFrame) -> DataFrame:
+        pairs = failure_gate(feature_gate(scored.join(facts, "case_id").join(known, "query_id", "left")))
+        if not use_features:
+            pairs = pairs.withColumns({"filtered": F.lit(False), "adjustment": F.lit(0.0), "matched": F.lit(0), "conflicted": F.lit(0)})
+        pairs = (pairs.withColumn("failure_filtered", F.col("failure_filtered") & active & ~F.col("filtered"))
+                 .withColumn("failure_adjustment", F.when(active, F.col("failure_adjustment")).otherwise(0.0)))
+        return pairs if enabled else pairs.filter(F.lit(False))
+
+    def judge(scored: DataFrame) -> DataFrame:
+        return gated(scored).filter("NOT filtered AND NOT failure_filtered").withColumn(
+            "score", F.round(F.col("bm25") + F.col("adjustment") + F.col("failure_adjustment"), 9))
+
+    def rank() -> DataFrame:
+        most = F.coalesce(F.size("query_features"), F.lit(0)) * MATCH_BONUS if use_features else F.lit(0.0)
+        bonus = query_context.select("query_id", (most + (3 * MATCH_BONUS if use_failures else 0.0)).alias("bonus"))
+        best = rank_cases(top_cases(query_terms, corpus, judge, bonus, top, stats), top)
+        return best.withColumn("score", F.bround("score", 6))
+
+    scored = candidates(bm25_scores(query_terms, corpus, stats)).withColumnRenamed("score", "bm25")
+    return Retrieval(gated(scored), rank)
 
 
 def failure_diagnosis(failures: DataFrame) -> DataFrame:

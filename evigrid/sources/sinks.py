@@ -21,9 +21,14 @@ def csv_safe(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def write_csv(rows: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """UTF-8 CSV parts with CRLF lines; NULL becomes an empty cell."""
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(rows: DataFrame, path: str, *, mode: str = "errorifexists", mark: bool = True) -> None:
+    """UTF-8 CSV parts with CRLF lines, each with a header behind a byte-order mark, as spreadsheets expect; NULL becomes an empty cell."""
     safe = csv_safe(rows)
+    if mark and safe.columns:
+        safe = safe.toDF(BYTE_ORDER_MARK + safe.columns[0], *safe.columns[1:])
     (safe.write.mode(mode).option("header", True).option("lineSep", "\r\n").option("nullValue", "")
      .option("emptyValue", "").option("escape", '"').option("encoding", "UTF-8").csv(path))
 

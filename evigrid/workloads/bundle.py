@@ -255,6 +255,16 @@ def sink_json(spark, d):
     return spark.read.schema("o_orderkey bigint, o_totalprice double").json(out)
 
 
+@query("sink_csv", """
+SELECT o_orderkey, CASE WHEN o_orderkey%3=0 THEN '''' || '=' || o_orderstatus ELSE o_orderstatus END AS status FROM orders""")
+def sink_csv(spark, d):
+    """Every third status looks like a formula; the written parts are read back."""
+    out = fresh(spark, "csv")
+    k = F.col("o_orderkey")
+    S.write_csv(I.table(spark, d, "orders").select(k, F.when(k % 3 == 0, F.concat(F.lit("="), "o_orderstatus")).otherwise(F.col("o_orderstatus")).alias("status")), out)
+    return spark.read.schema("o_orderkey bigint, status string").option("header", True).option("lineSep", "\r\n").option("enforceSchema", True).csv(out)
+
+
 # ---------------------------------------------------------------- streams
 
 def event_stream(spark, d):

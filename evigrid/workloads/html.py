@@ -57,6 +57,16 @@ def dom_outline(spark, d):
         "page_id", "selector", "rank", F.array_join("attributes", ",").alias("attributes"), "parent", "nodes")
 
 
+@query("outline_items", """
+SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages""")
+def outline_items(spark, d):
+    """List items and paragraphs of the outline, counted per page."""
+    nodes = H.dom_outline(I.table(spark, d, "pages")).groupBy("page_id").agg(
+        F.coalesce(F.sum(F.when(F.col("selector") == "li", F.col("nodes"))), F.lit(0)).alias("items"),
+        F.coalesce(F.sum(F.when(F.col("selector") == "p", F.col("nodes"))), F.lit(0)).alias("paragraphs"))
+    return nodes
+
+
 # ---------------------------------------------------------------- derived shop pages
 
 SHOP = "https://shop.example.com"

@@ -111,7 +111,7 @@ def test_evidence_features(spark):
 
 
 def test_taxonomy(spark):
-    assert len(taxonomy.rows()) == 73
+    assert len(taxonomy.ROWS) == len(taxonomy.SPECS) == 73
     df = taxonomy.classify(spark.createDataFrame([("pointer_not_found",), ("network_error",), ("nope",), (None,)], "error_code string"))
     assert [(r.category, r.phase, r.repairable, r.retryable) for r in df.collect()] == [
         ("PLAN_SEMANTIC", "analyzing", True, False), ("TRANSPORT", "executing", False, True), ("UNCLASSIFIED", "unknown", False, False), (None, None, False, False)]
@@ -125,3 +125,21 @@ def test_knowledge_rules(spark):
     bad = cases(spark, [{"id": "a", "terms": ["t"], "repairability": {"duplicate_id": "proposal_only"}}, {"id": "", "terms": ["t"]},
                         {"id": "b", "terms": ["t"], "failure_modes": mode("duplicate_id") + mode("duplicate_id")}])
     assert [r[0] for r in bad.select(K.case_violation(bad)).collect()] == ["repairability_mismatch", "invalid_case_id", "duplicate_failure_mode"]
+
+
+def test_top_cases_equal_all_pairs(spark):
+    """Bounds leave out only pairs that cannot be among the best, also with ties, common words and few candidates."""
+    import random
+    rng = random.Random(6)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(40)]
+    docs = [(i, [rng.choice(words[:3] if rng.random() < 0.5 else words) for _ in range(rng.randrange(1, 30))]) for i in range(150)] + [(200, ["w1"]), (201, ["w1"])]
+    corpus = spark.createDataFrame(docs, "case_id int, tokens array<string>")
+    queries = spark.createDataFrame([(q, t) for q in range(40) for t in rng.sample(words, rng.randrange(1, 9))] + [(99, "nowhere")], "query_id int, term string")
+    stats = R.corpus_stats(corpus)
+    extra = lambda df: df.withColumn("score", F.round(F.col("bm25") + (F.col("case_id") % 5 == 0).cast("int") * 1.5, 9)).filter("case_id % 7 <> 0")
+    bonus = queries.select("query_id").distinct().withColumn("bonus", F.lit(1.5))
+    best = R.rank_cases(R.top_cases(queries, corpus, extra, bonus, 2, stats, first=1))
+    every = R.candidates(R.bm25_scores(queries, corpus, stats)).withColumnRenamed("score", "bm25")
+    want = R.rank_cases(extra(every).select("query_id", "case_id", "score"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.case_id, r.score) for r in df.collect())
+    assert key(best) == key(want) and len(key(want)) > 70

@@ -145,7 +145,7 @@ def test_documents_sinks_and_contracts(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 1.5, None), ("ok,\"q\"", -2.0, "x")], "`=h` string, n double, t string").coalesce(1)
     sinks.write_csv(rows, folder + "/csv")
     text = next((tmp_path / "csv").glob("*.csv")).read_bytes().decode()
-    assert text.split("\r\n")[:2] == ["'=h,n,t", "'=1+1,1.5,"] and '"ok,""q"""' in text
+    assert text.split("\r\n")[:2] == ["\ufeff'=h,n,t", "'=1+1,1.5,"] and '"ok,""q"""' in text
     with pytest.raises(Exception, match="non_finite_number"):
         sinks.write_json(spark.createDataFrame([(float("nan"),)], "x double"), folder + "/json")
     versions = spark.createDataFrame([('{"version":1}',), ('{"version":true}',), ('{"version":2}',), ("[]",)], "j string").select(

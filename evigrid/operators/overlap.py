@@ -258,7 +258,7 @@ def _quoted(text: Column) -> Column:
 _DEEPER = "\0"
 
 
-def shape_text(v: Column, levels: int = 14) -> Column:
+def shape_text(v: Column, levels: int = 10) -> Column:
     """Name-free shape of a value as JSON text: kinds only, repeated shapes once, sensitive members left out.
 
     A shape quotes the shapes inside it, so its text doubles with every level; values nested deeper than ``levels`` have none (NULL).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import json_values as J
 from ..functions.texts import tokens
 from ..operators import contracts as C, overlap as O
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import documents as D, sinks as S
 from ..streaming import jobs as ST
 from . import inputs as I
@@ -51,7 +51,8 @@ def documents(spark, d):
         F.when(k == 6, "nowhere").otherwise(F.format_string("family_%d", F.col("source_id"))).alias("family_id"),
         F.struct(ref("oracles").alias("ref")).alias("oracle"), F.struct(ref("inputs").alias("ref")).alias("fixture"),
         F.struct(ref("labels").alias("ref")).alias("retrieval_labels"), hashes.alias("hashes"))))
-    base = base.withColumn("case", case)
+    # Written once: documents, manifest and families all read it.
+    base = cut_lineage(base.withColumn("case", case))
     parts = F.array(*[F.struct(ref(kind).alias("ref"), F.col(c).alias("document")) for kind, c in (
         ("cases", "case"), ("oracles", "oracle"), ("inputs", "fixture"), ("labels", "labels"))])
     rows = base.select("source_id", F.inline(parts))
@@ -101,6 +102,7 @@ UNION ALL SELECT 'case_' || source_id, CASE source_id%12 WHEN 2 THEN 'family_sig
 def bundle_verify(spark, d):
     from ..plans.knowledge import runtime_cases
     cases, docs, manifest = assembled(spark, d)
+    cases = cut_lineage(cases)  # read for references, repeats, labels and hashes
     signature = F.parse_json(F.coalesce(O.family_signature(J.as_array(J.pointer_get(F.col("fixture"), "/endpoints"))), F.lit("null")))
     files = D.inventory_errors(manifest, docs, D.referenced_paths(cases))
     found = D.case_errors(cases, runtime_cases(spark).select("case_id"), signature)

@@ -64,3 +64,10 @@ def worker_memory(name: str, make):
     if name not in space:
         space[name] = make()
     return space[name]
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in small parts, so that what a task makes of them stays small beside them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import store
+from .common import slices, store
 
 #: Buckets of the shingle frequencies that order the shingles (as bits), and words of the short signature.
 ORDER_BITS, SHORT = 18, 4
@@ -63,7 +63,7 @@ def _summaries(batches, n):
     import pyarrow as pa
 
     sums = np.zeros(1 << ORDER_BITS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t or "", n) for t in batch.column(1).to_pylist()]
         for s in sets:
             np.add.at(sums, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
@@ -81,7 +81,7 @@ def _postings(batches, n, order, percent):
     import pyarrow as pa
 
     seen: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches):
         parts = []
         for t in batch.column(0).to_pylist():
             s = shingles(t or "", n)
@@ -105,7 +105,7 @@ def _members(batches, n, wanted):
     import pyarrow as pa
 
     seen: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches):
         numbers, members = [], []
         for t in batch.column(0).to_pylist():
             s = shingles(t or "", n)

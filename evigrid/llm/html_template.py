@@ -123,6 +123,16 @@ def constant(path: str, text: str) -> int:
     return (number(path, text) >> 1) or 1
 
 
+def slots_of(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """(path, text) of the blocks that may be article, in page order, and how often each element path occurs.
+
+    These are the blocks inside content elements (article, main), or all of a page without any, but those set aside.
+    """
+    blocks, elements = blocks_of(page)
+    content = any(b[1] for b in blocks)
+    return [(path, text) for path, inside, aside, text in blocks if not aside and (inside or not content)], elements
+
+
 def tokens_of(page_no: int, page: str):
     """(path, text hash or 0, vector hash, count) of every token of a page."""
     blocks, elements = blocks_of(page)
@@ -181,9 +191,9 @@ def templates(pages: DataFrame, least: int = 3, url: str = "url", page: str = "h
 def extract(pages: DataFrame, least: int = 3, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: ``page_id``, ``url``, ``text`` (blocks of the article joined by an empty line), ``n_chars`` (code points).
 
-    Where a page has content elements (article, main) its slots are the blocks inside them; elsewhere all blocks but the
-    template's constant texts. Blocks set aside by their element, role or name (menus, headers, footers, sidebars, notices, adverts,
-    forms, comments) are left out. Null and empty pages give the empty text; a null URL is a host of its own; pages of a
+    Where a page has content elements (article, main) only the blocks inside them count, elsewhere all. Blocks set aside by their
+    element, role or name (menus, headers, footers, sidebars, notices, adverts, forms, comments) and the template's constant texts
+    are left out; a page of constant texts only keeps them. Null and empty pages give the empty text; a null URL is a host of its own; pages of a
     host with fewer than ``least`` pages have no constants. Repeated rows stay; further columns are ignored.
     """
     found = store(templates(pages, least, url, page), "html-templates").withColumnRenamed("host", "t_host")
@@ -194,10 +204,10 @@ def extract(pages: DataFrame, least: int = 3, key: str = "page_id", url: str = "
         for batch in batches:
             texts = []
             for body, constants in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                blocks, _ = blocks_of(body or "")
-                content = any(b[1] for b in blocks)
+                own, _ = slots_of(body or "")
                 fixed = set(constants or ())
-                keep = [t for path, inside, aside, t in blocks if not aside and (inside if content else not fixed or constant(path, t) not in fixed)]
+                # A page without slots shows a copy, not a template: it keeps its text.
+                keep = [t for path, t in own if not fixed or constant(path, t) not in fixed] or [t for _, t in own]
                 texts.append("\n\n".join(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                                              ["key", "url", "text", "n_chars"])

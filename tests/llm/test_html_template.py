@@ -68,3 +68,11 @@ def test_odd_pages(spark):
     assert texts(spark, rows) == sorted([(1, None, "", 0), (2, "http://a.example.com/", "", 0), (None, "no url", "x", 1), (3, "http://A.example.com:80/", "plain", 5),
                                          (3, "http://A.example.com:80/", "plain", 5)], key=repr)
     assert H.extract(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_constants_inside_content_elements(spark):
+    page = "<body><article><h1>Head {0}</h1><div class=x1>Spread the word</div><p>Story {0}</p><p>Second {0}</p></article></body>"
+    rows = [(i, f"http://a.example.com/{i}", page.format(i)) for i in range(6)] + [(9, "http://a.example.com/9", "<body><main><div class=x1>Spread the word</div></main></body>")]
+    out = {r[0]: r[2] for r in texts(spark, rows)}
+    assert out[3] == "Head 3\n\nStory 3\n\nSecond 3"
+    assert out[9] == "Spread the word"  # a page without slots

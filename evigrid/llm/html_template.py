@@ -1,9 +1,10 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Tokens of a page are its elements, told apart by their path, and its text blocks. Tokens of one host that occur equally often
-on every page share an occurrence vector and form an equivalence class. A class of element tokens that spans the host's pages
-is valid; classes nest along the paths and make the host's template, and a text that always comes with its element belongs to the
-template too. What is left are the slots; the text of the content slots is the article.
+on every page share an occurrence vector and form an equivalence class, whatever their paths; a token that occurs k times on each of
+its pages stands for k tokens that occur once. A text is template if an element around it (the page itself counts as one) is
+of its class, so that classes nest, and if the class spans the host's pages: more than a share of the different
+ones. Pages with the same article text are one page there, so copies of an article are no template. What is left are the slots.
 
 Occurrence vectors are never gathered: each is a sum of per-page hashes, so equal vectors have equal sums whatever a host's size.
 """
@@ -28,6 +29,7 @@ ENDS_P = {"address", "article", "aside", "blockquote", "center", "div", "dl", "f
           "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure", "details"}
 LIMITS = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "main", "blockquote"}
 CONTENT = {"article", "main"}
+ITEMS = {"li", "dt", "dd", "td", "th"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "menu", "menubar"}
 ASIDE_NAME = re.compile(
@@ -123,21 +125,23 @@ def constant(path: str, text: str) -> int:
     return (number(path, text) >> 1) or 1
 
 
-def slots_of(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """(path, text) of the blocks that may be article, in page order, and how often each element path occurs.
+def slots_of(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, int]]:
+    """(path, text, whether it can be template) of the blocks that may be article, in page order, and how often each element path occurs.
 
-    These are the blocks inside content elements (article, main), or all of a page without any, but those set aside.
+    These are the blocks inside content elements (article, main), or all of a page without any, but those set aside. Items of
+    lists and tables inside content elements are no template.
     """
     blocks, elements = blocks_of(page)
     content = any(b[1] for b in blocks)
-    return [(path, text) for path, inside, aside, text in blocks if not aside and (inside or not content)], elements
+    return [(path, text, not (inside and path[path.rfind(">") + 1:].split(".")[0] in ITEMS))
+            for path, inside, aside, text in blocks if not aside and (inside or not content)], elements
 
 
 def tokens_of(page_no: int, page: str):
-    """(path, text hash or 0, vector hash, count) of every token of a page."""
-    blocks, elements = blocks_of(page)
+    """(path, text hash or 0, vector hash, count) of every token of a page; of its texts only those that may be article."""
+    own, elements = slots_of(page)
     counts: dict[tuple[str, int], int] = {(path, 0): n for path, n in elements.items()}
-    for path, _, _, text in blocks:
+    for path, text, _ in own:
         key = (path, constant(path, text))
         counts[key] = counts.get(key, 0) + 1
     for (path, t), n in counts.items():
@@ -149,11 +153,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, least: int = 3, url: str = "url", page: str = "html") -> DataFrame:
+def templates(pages: DataFrame, least: int = 3, url: str = "url", page: str = "html", share: float = 0.5) -> DataFrame:
     """One row per host: ``host``, ``constants`` (number of path and text of each text token that belongs to the template).
 
-    A text belongs to it if its occurrence vector over the host's pages equals that of its element, in a class that
-    spans at least ``least`` pages. Vectors are compared by sum, support and total.
+    A text belongs to it if its occurrence vector over the host's pages equals that of an element around it, and it is on at
+    least ``least`` pages and more than ``share`` of the host's pages that differ in article text. Pages without any do not count.
+    Vectors are compared by sum, support and total.
     """
     def count(batches):
         import pyarrow as pa
@@ -165,27 +170,59 @@ def templates(pages: DataFrame, least: int = 3, url: str = "url", page: str = "h
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()),
-                 *[pa.array([v[i] for v in values], pa.int64()) for i in range(3)]], ["host", "path", "text", "vector", "pages", "total"])
+                 *[pa.array([v[i] for v in values], pa.int64()) for i in range(6)]],
+                ["host", "path", "text", "vector", "once", "pages", "total", "low", "high"])
         for batch in batches:
             for host, no, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for path, t, vector, n in tokens_of(no, body or ""):
-                    v = held.setdefault((host, path, t), [0, 0, 0])
+                tokens, once = list(tokens_of(no, body or "")), number(no, 1) >> 32
+                if not any(t for _, t, _, _ in tokens):
+                    continue
+                for path, t, vector, n in [("", 0, once, 1), *tokens]:
+                    v = held.setdefault((host, path, t), [0, 0, 0, 0, n, n])
                     v[0] += vector
-                    v[1] += 1
-                    v[2] += n
+                    v[1] += once
+                    v[2] += 1
+                    v[3] += n
+                    v[4], v[5] = min(v[4], n), max(v[5], n)
             if len(held) > 200_000:
                 yield rows()
         yield rows()
 
+    def spans(batches):
+        """Article text (as a number) of every page, with each candidate on it and with 0 for the page itself."""
+        import pyarrow as pa
+
+        for batch in batches:
+            found = set()
+            for host, body, candidates in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own, _ = slots_of(body or "")
+                if own:
+                    article = number(*[t for _, t, _ in own]) >> 1
+                    found.update((host, t, article) for t in {0, *(constant(path, t) for path, t, free in own if free)}.intersection([0, *candidates]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string() if not i else pa.int64()) for i in range(3)],
+                                             ["host", "text", "article"])
+
     row_no = F.xxhash64(F.col(url), F.col(page))
-    tokens = (pages.select(host_of(F.col(url)).alias("host"), row_no.alias("no"), F.col(page))
-              .mapInArrow(count, "host string, path string, text long, vector long, pages long, total long")
-              .groupBy("host", "path", "text").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"))
-              .where(F.col("pages") >= least))
+    rows = pages.select(host_of(F.col(url)).alias("host"), row_no.alias("no"), F.col(page).alias("html"))
+    uniform = F.col("low") == F.col("high")
+    tokens = (rows.mapInArrow(count, "host string, path string, text long, vector long, once long, pages long, total long, low long, high long")
+              .groupBy("host", "path", "text").agg(*[F.sum(c).alias(c) for c in ("vector", "once", "pages", "total")], F.min("low").alias("low"), F.max("high").alias("high"))
+              .where(F.col("pages") >= least)
+              .select("host", "path", "text", "pages", F.when(uniform, F.col("once")).otherwise(F.col("vector")).alias("vector"),
+                      F.when(uniform, F.col("pages")).otherwise(F.col("total")).alias("total")))
     tokens = store(tokens, "html-tokens")
     same = ["host", "path", "vector", "pages", "total"]
-    constants = tokens.where("text <> 0").join(tokens.where("text = 0").select(*same), same)
-    return constants.groupBy("host").agg(F.collect_set("text").alias("constants"))
+    steps = F.split("path", ">")
+    around = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">"))
+    nested = tokens.where("text <> 0").withColumn("path", F.explode(around)).join(tokens.where("text = 0").select(*same), same)
+    candidates = store(nested.groupBy("host").agg(F.collect_set("text").alias("candidates")), "html-candidates")
+
+    seen = (rows.select("host", "html").join(candidates.withColumnRenamed("host", "c_host"), F.col("host") == F.col("c_host"))
+            .select("host", "html", "candidates").mapInArrow(spans, "host string, text long, article long").distinct())
+    support = store(seen.groupBy("host", "text").agg(F.count("*").alias("n")), "html-support")
+    every = support.where("text = 0").select("host", F.col("n").alias("of"))
+    valid = support.where("text <> 0").join(every, "host").where((F.col("n") >= least) & (F.col("n") > share * F.col("of")))
+    return valid.groupBy("host").agg(F.collect_set("text").alias("constants"))
 
 
 def extract(pages: DataFrame, least: int = 3, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -207,7 +244,7 @@ def extract(pages: DataFrame, least: int = 3, key: str = "page_id", url: str = "
                 own, _ = slots_of(body or "")
                 fixed = set(constants or ())
                 # A page without slots shows a copy, not a template: it keeps its text.
-                keep = [t for path, t in own if not fixed or constant(path, t) not in fixed] or [t for _, t in own]
+                keep = [t for path, t, free in own if not (fixed and free) or constant(path, t) not in fixed] or [t for _, t, _ in own]
                 texts.append("\n\n".join(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                                              ["key", "url", "text", "n_chars"])

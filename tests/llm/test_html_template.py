@@ -76,3 +76,25 @@ def test_constants_inside_content_elements(spark):
     out = {r[0]: r[2] for r in texts(spark, rows)}
     assert out[3] == "Head 3\n\nStory 3\n\nSecond 3"
     assert out[9] == "Spread the word"  # a page without slots
+
+
+def test_boilerplate_in_a_path_it_shares_with_paragraphs(spark):
+    """Once or twice on every page, or with every teaser: the class of an element around the text, not its own path."""
+    page = "<body><div><p>Spread the word</p>{1}<p>Read more</p><p>Read more</p></div></body>"
+    rows = [(i, f"http://a.example.com/{i}", page.format(i, "".join(f"<p>Part {k} of {i}</p>" for k in range(1 + i % 3)))) for i in range(7)]
+    teaser = "<section><h2>{0}</h2><p>On {0}</p><p>Go on</p></section>"
+    rows += [(20 + i, f"http://b.example.com/{i}", "<body>" + "".join(teaser.format(f"{k} of {i}") for k in range(1 + i % 3)) + "</body>") for i in range(5)]
+    out = {r[0]: r[2] for r in texts(spark, rows)}
+    assert out[2] == "Part 0 of 2\n\nPart 1 of 2\n\nPart 2 of 2" and out[3] == "Part 0 of 3"
+    assert out[21] == "0 of 1\n\nOn 0 of 1\n\n1 of 1\n\nOn 1 of 1"
+
+
+def test_copies_of_a_post_under_a_path_of_its_own(spark):
+    page = "<body><div class=top><p>Day {0}</p></div><div class=post-{1}>{2}</div></body>"
+    rows = [(i, f"http://a.example.com/{i}", page.format(i, 77, "One post.")) for i in range(3)]
+    rows += [(i, f"http://a.example.com/{i}", page.format(i, i, f"Post {i}.")) for i in range(3, 7)]
+    rows += [(i, f"http://b.example.com/{i}", f"<body><nav>{i}</nav><div class=intro>A</div><div class=post-77>One post.</div></body>") for i in range(10, 13)]
+    rows += [(13, "http://b.example.com/13", "<body><div class=intro>A</div><p>Other</p></body>")]
+    out = {r[0]: r[2] for r in texts(spark, rows)}
+    assert out[1] == "Day 1\n\nOne post." and out[5] == "Day 5\n\nPost 5."
+    assert out[11] == "A\n\nOne post."  # two pages that differ in text show no template

@@ -38,7 +38,16 @@ ASIDE_NAME = re.compile(
     r"login|signup)(?:$|[\s_-])", re.I)
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|"[^"]*"|'[^']*'""")
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """Attributes of a start tag, what follows its name: names lower-cased, the first of a name counts. Quoted strings without a name are none."""
+    given: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(tag):
+        if m[1]:
+            given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return given
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, int]]:
@@ -103,15 +112,16 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, i
         if tag == "body":  # an unclosed head does not reach into the body
             stack[:] = [s for s in stack if s[0] == "html"]
             _, path, inside, aside = here()
-        given = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(rest)} if rest else {}
+        given = attributes(rest) if rest else {}
         names = given.get("class", "").split()
         role = given.get("role", "").lower()
         mark = f"{given.get('class', '')} {given.get('id', '')}"
-        body = tag in ("html", "body")
-        off = not body and (tag in ASIDE or "hidden" in given or role in ASIDE_ROLES or bool(mark.strip() and ASIDE_NAME.search(mark)))
+        body, main = tag in ("html", "body"), tag in CONTENT or role == "main"
+        named = not main and bool(mark.strip() and ASIDE_NAME.search(mark))
+        off = not body and (tag in ASIDE or "hidden" in given or role in ASIDE_ROLES or named)
         path = f"{path}>{tag}" + "".join(sorted("." + n for n in names))
         elements[path] = elements.get(path, 0) + 1
-        stack.append((tag, path, inside or tag in CONTENT or role == "main", aside or off))
+        stack.append((tag, path, inside or main, aside or off))
     flush()
     return blocks, elements
 

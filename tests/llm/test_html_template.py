@@ -98,3 +98,12 @@ def test_copies_of_a_post_under_a_path_of_its_own(spark):
     out = {r[0]: r[2] for r in texts(spark, rows)}
     assert out[1] == "Day 1\n\nOne post." and out[5] == "Day 5\n\nPost 5."
     assert out[11] == "A\n\nOne post."  # two pages that differ in text show no template
+
+
+def test_attributes_by_whole_name():
+    kept = ['<div style="overflow:hidden">', '<section aria-hidden="false">', "<div data-class=sidebar data-id=nav>", '<div title="x hidden class=sidebar">', "<div id=a/b hidden-x=1>",
+            '<main class="no-sidebar">', '<article class="post has-comments">', '<div role=main id=sidebar>', '<div class=a class="menu">']
+    gone = ["<div hidden>", '<div HIDDEN="">', "<div hidden=until-found class=x>", '<div id="sidebar" width=3>', "<div class='x menu' data-x>", "<div\n class = nav\n>", "<article hidden>", "<main role=search>"]
+    for tag in kept + gone:
+        assert [b[2] for b in H.blocks_of(f"<body>{tag}Text")[0]] == [tag in gone], tag
+    assert H.attributes(' CLASS="a b" id=c checked data-id="d" width = 4') == {"class": "a b", "id": "c", "checked": "", "data-id": "d", "width": "4"}

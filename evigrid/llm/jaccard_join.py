@@ -220,14 +220,8 @@ def components(links: DataFrame) -> DataFrame:
     return known
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, ``n_shingles`` (size of its set of ``n``-word shingles), ``component_id`` (the smallest key
-    reachable over links, its own included). Two documents link when 100 * intersection >= ``percent`` * union.
-
-    Null and empty texts have an empty set and link with nothing. Equal texts link always; rows that repeat a key are
-    rows of their own; a null key never is a component's id unless all its keys are null. An empty table gives an
-    empty result; other columns are ignored. Keys are whole numbers.
-    """
+def _indexed(docs: DataFrame, n: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``raw`` (key, text), ``documents`` (key, set, n), ``sets`` (set, n, mark) and ``entries`` (shingle, set, n, place) of lists with two sets or more."""
     spark = docs.sparkSession
     raw = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     base = store(raw.mapInArrow(lambda batches: _summaries(batches, n), "kind int, key long, set long, n long, mark array<long>"), "join-sets")
@@ -243,23 +237,15 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
     # Lists with two sets or more.
     lists = postings.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("shingle")
     entries = store(postings.join(lists, "shingle").distinct(), "join-entries")
-    # Their most central sets, those with the fewest rarer shingles in front, answer first.
-    leads = entries.groupBy("shingle").agg(F.min(F.struct("place", "set", "n")).alias("lead"), F.count("*").alias("many")).select(
-        "shingle", "lead.*", "many")
-    star = (entries.alias("x").join(leads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") != F.col("y.set"))
-                                    & room("x", "y", percent)).select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct())
-    links = similar(plausible(star, sets, percent), raw, n, percent, "text")
-    roots = store(components(links), "join-roots")
+    return raw, documents, sets, entries
 
-    # What the first answers left open: pairs of a list in different components, block by block of similar size. A list's lead has met
-    # all others, so lists of two are done.
+
+def _list_pairs(entries: DataFrame, sets: DataFrame, percent: int, which: Column) -> DataFrame:
+    """The pairs (``a`` < ``b``) of sets in one list that sizes, places and short signatures allow, block by block of similar size; ``which``
+    says of the entries x and y whether they are asked for."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rest = entries.join(leads.where("many > 2").select("shingle", F.col("set").alias("lead")), "shingle").where("set <> lead")
-    rest = rest.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).select("shingle", "set", "n", "place", "root")
-    rest = store(rest, "join-rest")
-    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     short = sets.select("set", *[_short_word(i).alias(f"m{i}") for i in range(SHORT)])
-    left = store(rest.join(mixed, "shingle").join(short, "set").withColumn("band", band), "join-open")
+    left = store(entries.join(short, "set").withColumn("band", band), "join-open")
     long = store(left.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).where("chunks > 1"), "join-long")
     chunks = F.coalesce("chunks", F.lit(1))
     x = left.join(long, ["shingle", "band"], "left").withColumn("chunk", F.pmod(F.xxhash64("set"), chunks).cast("int"))
@@ -270,9 +256,56 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
     # Sets of one band meet in both directions: keep one of them.
     once = (F.col("y.own") != F.col("x.band")) | (F.col("x.set") < F.col("y.set"))
     bits = sum((F.bit_count(F.col(f"x.m{i}").bitwiseXOR(F.col(f"y.m{i}"))) for i in range(SHORT)), F.lit(0))
-    open_pairs = (x.alias("x").join(y.alias("y"), same & (F.col("x.root") != F.col("y.root")) & once & room("x", "y", percent)
-                                    & near(F.col("x.n"), F.col("y.n"), bits, percent))
-                  .select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct())
+    return (x.alias("x").join(y.alias("y"), same & which & once & room("x", "y", percent)
+                              & near(F.col("x.n"), F.col("y.n"), bits, percent))
+            .select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct())
+
+
+def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All links between different sets: ``a`` < ``b`` (numbers of the sets), one row per pair with 100 * intersection >= ``percent`` * union.
+
+    Unlike ``jaccard_classes`` nothing is skipped because its component is known: a family of m similar sets has up to m * (m - 1) / 2 rows.
+    """
+    raw, _, sets, entries = _indexed(docs, n, percent, key, text)
+    return similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
+
+
+def link_counts(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``key``, ``n_links``, the number of other rows it links with, those with an equal set included."""
+    raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
+    links = similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
+    rows = store(documents.where("n > 0").groupBy("set").agg(F.count("*").alias("copies")), "join-copies")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(rows.select(F.col("set").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("copies").alias("others"))
+    per_set = rows.join(others, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    full = documents.where("n > 0").join(per_set, "set").select("key", "n_links")
+    return full.unionByName(documents.where("n = 0").select("key", F.lit(0).cast("long").alias("n_links"))).select(F.col("key").alias(key), "n_links")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``key``, ``n_shingles`` (size of its set of ``n``-word shingles), ``component_id`` (the smallest key
+    reachable over links, its own included). Two documents link when 100 * intersection >= ``percent`` * union.
+
+    Null and empty texts have an empty set and link with nothing. Equal texts link always; rows that repeat a key are
+    rows of their own; a null key never is a component's id unless all its keys are null. An empty table gives an
+    empty result; other columns are ignored. Keys are whole numbers.
+    """
+    raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
+    # Their most central sets, those with the fewest rarer shingles in front, answer first.
+    leads = entries.groupBy("shingle").agg(F.min(F.struct("place", "set", "n")).alias("lead"), F.count("*").alias("many")).select(
+        "shingle", "lead.*", "many")
+    star = (entries.alias("x").join(leads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") != F.col("y.set"))
+                                    & room("x", "y", percent)).select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct())
+    links = similar(plausible(star, sets, percent), raw, n, percent, "text")
+    roots = store(components(links), "join-roots")
+
+    # What the first answers left open: pairs of a list in different components. A list's lead has met
+    # all others, so lists of two are done.
+    rest = entries.join(leads.where("many > 2").select("shingle", F.col("set").alias("lead")), "shingle").where("set <> lead")
+    rest = rest.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).select("shingle", "set", "n", "place", "root")
+    rest = store(rest, "join-rest")
+    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    open_pairs = _list_pairs(rest.join(mixed, "shingle"), sets, percent, F.col("x.root") != F.col("y.root"))
     links = links.unionByName(similar(plausible(open_pairs, sets, percent), raw, n, percent, "text"))
     roots = store(components(links), "join-roots")
 

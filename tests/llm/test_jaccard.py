@@ -107,3 +107,19 @@ def test_odd_documents(spark):
     assert classes(spark, rows) == brute(rows)
     assert J.jaccard_classes(docs(spark, rows).limit(0)).count() == 0
     assert classes(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_links_against_all_pairs(spark, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(J, "BLOCK", 5)
+    rows = [*corpus(seed), (900, None), (901, ""), (None, "no id here"), (902, "No id here")]
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda x, y, both: both and 100 * both >= 90 * (len(x) + len(y) - both)
+    want = [(k, sum(bool(i != j and linked(sets[i], t, len(sets[i] & t))) for j, t in enumerate(sets))) for i, (k, _) in enumerate(rows)]
+    df = docs(spark, rows).repartition(3)
+    assert sorted(map(tuple, J.link_counts(df).collect()), key=repr) == sorted(want, key=repr)
+    distinct = sorted(set(sets), key=repr)
+    links = J.jaccard_links(df).collect()
+    assert len(links) == len(set(links)) == sum(bool(linked(x, y, len(x & y))) for i, x in enumerate(distinct) for y in distinct[:i])
+    assert all(r.a < r.b for r in links)

@@ -19,11 +19,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id. Repeated rows of it count once."""
-    kept = jaccard_join.jaccard_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    """One row of each class of near duplicates: one with the smallest id, null last. Repeated rows count once.
+
+    Rows are told apart by the hash of id and text, so null and repeated ids do not bring rows of other classes along.
+    """
+    row_no = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = docs.withColumn("row_no", row_no)
+    classes = store(jaccard_join.jaccard_classes(rows, key="row_no").select("row_no", "component_id").distinct(), "pipeline-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")).alias("first")
+    kept = rows.select("row_no", "doc_id").join(classes, "row_no").groupBy("component_id").agg(first).select(F.col("first.row_no").alias("row_no"))
     kept = store(kept, "pipeline-kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    return rows.join(kept, "row_no", "left_semi").drop("row_no").dropDuplicates(["doc_id", "text"])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,15 @@ def test_stages(spark, tmp_path):
 def test_registered():
     assert [s[0] for s in C.STAGES] == ["toxicity", "near_duplicates", "pii", "source_mix", "byte_bpe"]
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
+    text = [" ".join(f"w{f}x{k}" for k in range(100)) for f in range(5)]
+    near = [t + " more" for t in text]
+    rows = [(None, text[0]), (None, text[1]), (None, near[1]), (None, text[2]), (7, near[2]), (8, text[3]), (8, near[3]), (9, text[4]), (9, near[0]), (9, text[4]), (None, None), (None, None), (3, "")]
+    one = C.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert one.columns == ["doc_id", "text"]
+    out = [tuple(r) for r in one.collect()]
+    family = lambda t: t and t.removesuffix(" more")
+    assert sorted(((i, family(t)) for i, t in out), key=repr) == sorted(
+        [(9, text[0]), (None, text[1]), (7, text[2]), (8, text[3]), (9, text[4]), (None, None), (3, "")], key=repr)

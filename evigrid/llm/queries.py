@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_monoid, html_template, jaccard_join, language, mixing, permutation_index, pii, quality, token_counts, toxicity
+from . import bpe_monoid, html_template, jaccard_join, language, mixing, permutation_index, pii, quality, resampling, token_counts, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op11_importance_resampling": resampling.ORACLE}
 
 
 def query(fn):
@@ -76,3 +76,8 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe_monoid.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_monoid, decontaminate, html_template, jaccard_join, language, mixing, permutation_index, pii, quality, resampling, token_counts, toxicity
+from . import bpe_monoid, conversation_repair, decontaminate, html_template, jaccard_join, language, mixing, permutation_index, pii, quality, resampling, token_counts, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op11_importance_resampling": resampling.ORACLE,
-                           "op12_decontamination": decontaminate.ORACLE}
+                           "op12_decontamination": decontaminate.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
 
 
 def query(fn):
@@ -87,3 +87,8 @@ def op11_importance_resampling(spark, sf_dir):
 @query
 def op12_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), times=F.col("times"))

@@ -1,15 +1,15 @@
 """Structured Streaming forms of the event log, the page checks and the task state machine.
 
-State is kept by Spark's own aggregations: one row of fixed width per task or source, independent of arrival order.
-Each micro-batch writes only the keys it touched; ``latest`` reads the newest row per key.
+The state of a task is kept by Spark's own aggregation: one row of fixed width, independent of arrival order. That of a source is in
+``integrity``. Each micro-batch writes only the keys it touched; ``latest`` reads the newest row per key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.collect import run_collection
 from ..operators.trace import lifecycle_state
+from .integrity import PROVIDER, page_integrity
 
 
 def run_to_end(query_builder):
@@ -49,17 +49,12 @@ def lifecycle_stream(requests: DataFrame, order: list[str], out: str, checkpoint
 
 
 def page_integrity_stream(pages: DataFrame, plan, names, out: str, checkpoint: str, **options):
-    """Page and record checks as pages arrive, in any order.
-
-    Each batch adds its pages to a table beside the results and re-checks, with the batch operator, the sources it touched, over
-    all pages they have by then. A repeated batch overwrites its own part, and a page that arrives twice counts once.
-    """
-    def check(batch: DataFrame, number: int) -> DataFrame:
-        spark = batch.sparkSession
-        batch.select("source_id", "page_no", "body").write.mode("overwrite").parquet(f"{out}-pages/part={number}")
-        seen = spark.read.option("basePath", f"{out}-pages").parquet(f"{out}-pages/part=*")
-        new = spark.read.parquet(f"{out}-pages/part={number}").select("source_id").distinct()
-        rows = seen.join(new, "source_id", "left_semi").groupBy("source_id", "page_no").agg(F.min("body").alias("body"))
-        return run_collection(rows, plan, names, **options).summary
-
-    return run_to_end(pages.writeStream.foreachBatch(_upsert(out, check)).option("checkpointLocation", checkpoint))
+    """Page and record checks as pages arrive, in any order; a batch writes the sources it touched. See ``integrity``."""
+    spark = pages.sparkSession
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        state = page_integrity(pages, plan, names, **options)
+        return run_to_end(state.writeStream.outputMode("update").foreachBatch(_upsert(out)).option("checkpointLocation", checkpoint))
+    finally:
+        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .json_values import as_array, as_object, as_text, canonical_json, type_tag
+from .json_values import as_array, as_object, as_text, canonical_json, container_tag, type_tag
 from .texts import SENSITIVE, is_sensitive
 
 MAX_DEPTH = 6
@@ -103,6 +103,80 @@ def nested_subtrees(bodies: Column) -> Column:
     return _subtree_digests(F.transform(bodies, canonical_json))
 
 
+# Names of JSON's scalar types inside signatures (fixed values).
+SCALAR_KINDS = {"null": "NoneType", "boolean": "bool", "integer": "int", "number": "float", "string": "str", "missing": "NoneType"}
+KINDS = frozenset(SCALAR_KINDS.values())
+_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[\[\]{}<>,:]|[^\s\[\]{}<>,:"]++', re.S)
+
+
+def _leaf(token: str) -> str:
+    """Type name of a scalar token: one that is a type name already, or JSON."""
+    if token in KINDS:
+        return token
+    return {'"': "str", "t": "bool", "f": "bool", "n": "NoneType"}.get(token[0]) or ("float" if set(token) & set(".eE") else "int")
+
+
+def _structure(kind: str, parts: set[str] | None = None) -> str:
+    text = kind if parts is None else f"{kind}[{','.join(sorted(parts))}]"
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def structure_digest(text: str) -> str:
+    """Digest of the name-free structure of a JSON text, in which a scalar may also be a type name and ``<...>`` an object without names.
+
+    A scalar has the digest of its type; a container that of its kind and of the sorted distinct digests of its parts. Containers
+    are closed from the innermost outwards over a stack, so depth has no limit and equal subtrees count once. Members with a
+    sensitive name are left out.
+    """
+    frames: list[list] = [["text", set(), False, False]]  # kind, digests of parts, a name comes next, the part is left out
+    for m in _TOKEN.finditer(text):
+        token, frame = m.group(), frames[-1]
+        if token == ":":
+            continue
+        if token == ",":
+            frame[2:] = [frame[0] == "object", False]
+        elif token in "[{<":
+            frames.append(["array" if token == "[" else "object" if token == "{" else "members", set(), token == "{", False])
+        elif token not in "]}>" and frame[2]:
+            frame[2:] = [False, _SENSITIVE_NAME.search(json.loads(token)) is not None]
+        else:
+            if token in "]}>":
+                kind, parts, *_ = frames.pop()
+                digest = _structure("array" if kind == "array" else "object", parts)
+            else:
+                digest = _structure(_leaf(token))
+            if not frames[-1][3]:
+                frames[-1][1].add(digest)
+    return frames[0][1].pop()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _structure_digests(texts: pd.Series, heads: pd.Series, tails: pd.Series) -> pd.Series:
+    def one(row):
+        return None if any(x is None for x in row) else [None if None in x else f"{x[1]}{structure_digest(x[0])}{x[2]}" for x in zip(*row, strict=True)]
+    return pd.Series(map(one, zip(texts, heads, tails, strict=True)), dtype=object)
+
+
+def typed_text(v: Column, levels: int = 10) -> Column:
+    """Text of a value with the type names of its scalars in their place, objects as ``<...>`` without names and sensitive members;
+    what lies deeper than ``levels`` is plain JSON, in which a whole float is an integer."""
+    if levels == 0:
+        return F.to_json(v)
+    shown = F.map_values(F.map_filter(as_object(v), lambda k, c: ~is_sensitive(k)))
+    container = container_tag(v)
+    # One recursion per level: the expression stays as long as the levels are many.
+    inner = F.array_join(F.transform(F.coalesce(as_array(v), shown), lambda c: typed_text(c, levels - 1)), ",")
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in SCALAR_KINDS.items() for x in p]), type_tag(v))
+    first, last = (F.when(container == "object", o).otherwise(a) for o, a in ("<[", ">]"))
+    return F.when(container.isNotNull(), F.concat(first, inner, last)).otherwise(kind)
+
+
+def structures(values: Column, heads: Column | None = None, tails: Column | None = None) -> Column:
+    """Structure digests of an array of values, at any depth (see ``structure_digest``), each between its head and its tail."""
+    none = F.transform(values, lambda v: F.lit(""))
+    return _structure_digests(F.transform(values, lambda v: typed_text(v)), none if heads is None else heads, none if tails is None else tails)
+
+
 # Placeholders a redacted structure shows instead of values (fixed values).
 PLACEHOLDER = {"NoneType": "<null>", "bool": "<boolean>", "int": "<integer>", "float": "<number>", "str": "<string>"}
 

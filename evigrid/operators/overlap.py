@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.json_values import (as_array, as_object, as_text, canonical_json, digest, pointer_get,
                                      set_digest, type_tag)
 from ..functions.texts import is_sensitive
-from ..functions.walks import nested_subtrees
+from ..functions.walks import nested_subtrees, structures
 from .collect import first_match
 
 # Signal names, strong ones first.
@@ -361,16 +361,14 @@ def pagination_signature(endpoints: Column) -> Column:
 
 
 def family_signature(endpoints: Column) -> Column:
-    """Structural signature as canonical JSON text: method, paging, query use and body shape per endpoint."""
-    def one(e):
+    """Structural signature as canonical JSON text: method, paging, query use and body structure (its digest, at any depth) per endpoint."""
+    def rest(e):
         q, b = _member(e, "query"), _member(e, "request_body")
-        spaced = F.concat(F.lit('{"body_shape": '), shape_text(pointer_get(e, "/responses/0")), F.lit(', "method": '),
-                          canonical_json(_member(e, "method")), F.lit(', "paging": "'), page_kind(q, b),
-                          F.lit('", "query_present": '), _flag(_present(q)), F.lit("}"))
-        return spaced
-    ordered = F.sort_array(F.transform(endpoints, one))
-    return F.concat(F.lit('{"endpoints":['), F.array_join(F.transform(
-        ordered, lambda t: canonical_json(F.parse_json(t))), ","), F.lit("]}"))
+        return F.concat(F.lit('","method":'), canonical_json(_member(e, "method")), F.lit(',"paging":"'), page_kind(q, b), F.lit('","query_present":'),
+                        _flag(_present(q)), F.lit("}"))
+    bodies = F.transform(endpoints, lambda e: pointer_get(e, "/responses/0"))
+    parts = structures(bodies, F.transform(endpoints, lambda e: F.lit('{"body_structure":"')), F.transform(endpoints, rest))
+    return F.concat(F.lit('{"endpoints":['), F.array_join(F.sort_array(parts), ","), F.lit("]}"))
 
 
 def normalize_views(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -397,8 +395,7 @@ def normalize_views(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         (~F.coalesce(type_tag(records), F.lit("null")).isin("missing", "null", "array")
          | F.coalesce(F.exists(rows, lambda r: as_object(r).isNull()), F.lit(False)), "invalid_records"),
         (~optional_text(get(o, "/result_sha256")), "invalid_oracle_result_sha256"),
-        (~optional_text(get(o, "/expected_error_code")), "invalid_failure_code"),
-        (F.col("family_signature").isNull(), "structure_too_deep"))
+        (~optional_text(get(o, "/expected_error_code")), "invalid_failure_code"))
     judged = documents.withColumn("code", code)
     bodies = F.flatten(answers)
     none = F.array().cast("array<string>")

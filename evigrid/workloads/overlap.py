@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_values as J, walks
 from ..operators import overlap as O
+from ..session import cut_lineage
 from . import inputs as I
 from .collection import SEQ
 from .registry import query
@@ -252,7 +253,7 @@ def bundle_documents(spark, d):
         F.when(k % 2 == 0, "development").otherwise("frozen_evaluation").alias("split"), F.format_string("family_%d", k % 300).alias("family_id"),
         F.struct(F.when(k % 10 == 5, "auto_applied").otherwise("none").alias("policy_disposition")).alias("repair_expectation")))
     oracle = F.to_json(F.struct(F.array("record").alias("records"), F.when(k % 10 == 1, "duplicate_id").alias("expected_error_code")))
-    out = cases.select("source_id", F.parse_json(case).alias("case"), F.parse_json(oracle).alias("oracle"), F.parse_json(fixture).alias("fixture"))
+    out = cut_lineage(cases.select("source_id", F.parse_json(case).alias("case"), F.parse_json(oracle).alias("oracle"), F.parse_json(fixture).alias("fixture")))
     return out.withColumn("family_signature", F.parse_json(O.family_signature(J.as_array(J.pointer_get(F.col("fixture"), "/endpoints")))))
 
 
@@ -290,9 +291,12 @@ def pagination_signature(spark, d):
 
 
 @query("family_signature", SEQ + """
-, t AS (SELECT source_id, drift, replace('["object", ["\\"int\\"", "\\"str\\""]]', '"', '"') AS item FROM sources)
-SELECT source_id, sha256('{"endpoints":[{"body_shape":["object",["\\"bool\\"","\\"int\\"","[\\"array\\", [\\"[\\\\\\"object\\\\\\", [\\\\\\"\\\\\\\\\\\\\\"int\\\\\\\\\\\\\\"\\\\\\", \\\\\\"\\\\\\\\\\\\\\"str\\\\\\\\\\\\\\"\\\\\\"]]\\"]]"]],"method":"'
- || CASE WHEN source_id%4=0 THEN 'POST' ELSE 'GET' END || '","paging":"page_number","query_present":' || CAST(source_id%4<>0 AS VARCHAR) || '}]}') AS digest FROM t""")
+, leaf AS (SELECT sha256('bool') AS b, sha256('int') AS i, sha256('str') AS s),
+row_ AS (SELECT *, sha256('object[' || array_to_string(list_sort([i, s]), ',') || ']') AS r FROM leaf),
+list_ AS (SELECT *, sha256('array[' || r || ']') AS l FROM row_),
+body AS (SELECT sha256('object[' || array_to_string(list_sort([b, i, l]), ',') || ']') AS d FROM list_)
+SELECT source_id, sha256('{"endpoints":[{"body_structure":"' || d || '","method":"' || CASE WHEN source_id%4=0 THEN 'POST' ELSE 'GET' END
+ || '","paging":"page_number","query_present":' || CAST(source_id%4<>0 AS VARCHAR) || '}]}') AS digest FROM sources, body""")
 def family_signature(spark, d):
     docs = bundle_documents(spark, d)
     return docs.select("source_id", J.digest(F.col("family_signature")).alias("digest"))

@@ -1,6 +1,8 @@
 """Pointers, type tags, canonical form, redaction and text rules."""
 
+import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -88,6 +90,46 @@ def test_no_depth_is_lost(spark):
     assert column(spark, [(json.dumps(value),)], "j string", shape_text(doc)) == [None]
 
 
+def test_structure_digests(spark):
+    """At any depth; up to ten levels two values have equal digests where their quoted shapes are equal."""
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return rng.choice([1, 1.0, 2.5, "s", 'q"]{', True, None, 10**25])
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return {rng.choice(["a", "b", "c:d", "secret", "e\"f"]): value(depth - 1) for _ in range(rng.randrange(3))}
+
+    rows = [(json.dumps([value(6), {"k": value(6)}]),) for _ in range(400)]
+    doc = F.parse_json("j")
+    shapes = column(spark, rows, "j string", shape_text(doc))
+    digests = [d[0] for d in column(spark, rows, "j string", W.structures(F.array(doc)))]
+    assert None not in digests
+    assert (len(set(shapes)), len(set(digests))) == (len(set(zip(shapes, digests, strict=True))),) * 2 and len(set(shapes)) > 50
+
+    def deep(n, last):
+        for k in range(n):
+            last = {"a": [last], "b": 1} if k % 2 else [last, "x", last]
+        return last
+
+    def plain(v):
+        if isinstance(v, (list, dict)):
+            parts = {plain(c) for c in v} if isinstance(v, list) else {plain(c) for k, c in v.items() if k != "token"}
+            text = f"{'array' if isinstance(v, list) else 'object'}[{','.join(sorted(parts))}]"
+        else:
+            text = {bool: "bool", int: "int", str: "str", float: "float", type(None): "NoneType"}[type(v)]
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    values = [deep(17, 1), deep(17, "1"), deep(17, {"token": {"k": [1]}, "n": None}), deep(17, {"n": None}), {"a": [{"x": 7}]}, {"z": [{"y": 9}, {"y": 8}]}]
+    got = [d[0] for d in column(spark, [(json.dumps(v),) for v in values], "j string", W.structures(F.array(doc)))]
+    assert got == [plain(v) for v in values] and got[2] == got[3] and got[4] == got[5] and len(set(got)) == 4
+    chain = lambda last: "[" * 300 + last + "]" * 300
+    long = [d[0] for d in column(spark, [(chain("1"),), (chain("2"),), (chain("true"),)], "j string", W.structures(F.array(doc)))]
+    assert long[0] == long[1] != long[2]
+
+
 def test_text_rules(spark):
     one = lambda e: spark.range(1).select(e).first()[0]
     assert one(X.guard_formula(F.lit('=HYPERLINK("bad")'))) == '\'=HYPERLINK("bad")'

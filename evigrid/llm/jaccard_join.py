@@ -270,18 +270,38 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "do
     return similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
 
 
+def _with_links(documents: DataFrame, links: DataFrame) -> DataFrame:
+    """``documents`` with words and ``n_links``: the other rows of their set and of the sets it links with."""
+    rows = store(documents.where("n > 0").groupBy("set").agg(F.count("*").alias("copies")), "join-copies")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(rows.select(F.col("set").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("copies").alias("others"))
+    per_set = store(rows.join(others, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "join-counts")
+    return documents.where("n > 0").join(per_set, "set")
+
+
 def link_counts(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``n_links``, the number of other rows it links with, those with an equal set included."""
     raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
     links = similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
-    rows = store(documents.where("n > 0").groupBy("set").agg(F.count("*").alias("copies")), "join-copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(rows.select(F.col("set").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("copies").alias("others"))
-    per_set = rows.join(others, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    full = documents.where("n > 0").join(per_set, "set").select("key", "n_links")
+    full = _with_links(documents, links).select("key", "n_links")
     return full.unionByName(documents.where("n = 0").select("key", F.lit(0).cast("long").alias("n_links"))).select(F.col("key").alias(key), "n_links")
 
 
+def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``jaccard_classes`` with ``n_links``, the number of other rows a document links with, those with an equal set included.
+
+    Every link between different sets is found and counted; classes come from the same links. Rows without words have 0 links.
+    """
+    raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
+    links = similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
+    roots = store(components(links), "join-roots")
+    full = store(_with_links(documents, links).join(roots, "set", "left").select("key", "n", F.coalesce("root", "set").alias("root"), "n_links"), "join-rooted")
+    first = store(full.groupBy("root").agg(F.min("key").alias("component_id")), "join-first")  # stored, so that a hot class can be split
+    out = full.join(first, "root").select("key", "n", "component_id", "n_links")
+    alone = documents.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
 def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` (size of its set of ``n``-word shingles), ``component_id`` (the smallest key
     reachable over links, its own included). Two documents link when 100 * intersection >= ``percent`` * union.
@@ -312,7 +332,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
     # Documents without words link with nothing and stay out of the joins.
     full = documents.where("n > 0").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     full = store(full.select("key", "n", "root"), "join-rooted")
-    first = full.groupBy("root").agg(F.min("key").alias("component_id"))
+    first = store(full.groupBy("root").agg(F.min("key").alias("component_id")), "join-first")  # stored, so that a hot class can be split
     out = full.join(first, "root").select("key", "n", "component_id")
     alone = documents.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return out.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
@@ -327,12 +347,13 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT w.doc_id, count(g)::BIGINT AS n_shingles, coalesce(list(g ORDER BY g), [])::VARCHAR AS whole FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
 -- equal sets first, so that only one of each is paired
-r AS (SELECT whole, min(doc_id) AS rep, min(n_shingles) AS n FROM n WHERE n_shingles > 0 GROUP BY whole),
+r AS (SELECT whole, min(doc_id) AS rep, min(n_shingles) AS n, count(*) AS m FROM n WHERE n_shingles > 0 GROUP BY whole),
 t AS (SELECT rep, n, g FROM r JOIN s ON s.doc_id = r.rep),
 p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
 l AS (SELECT a, b FROM p WHERE 100 * k >= 90 * (na + nb - k)),
 z(a, b) AS (SELECT rep, rep FROM r UNION SELECT z.a, l.b FROM z JOIN l ON z.b = l.a),
-c AS (SELECT a AS rep, min(b) AS component_id FROM z GROUP BY a)
-SELECT n.doc_id, n.n_shingles, coalesce(c.component_id, n.doc_id) AS component_id
-FROM n LEFT JOIN r ON n.whole = r.whole AND n.n_shingles > 0 LEFT JOIN c ON c.rep = r.rep
+c AS (SELECT a AS rep, min(b) AS component_id FROM z GROUP BY a),
+o AS (SELECT l.a AS rep, sum(r.m) AS others FROM l JOIN r ON r.rep = l.b GROUP BY l.a)
+SELECT n.doc_id, n.n_shingles, coalesce(c.component_id, n.doc_id) AS component_id, coalesce(r.m - 1 + coalesce(o.others, 0), 0)::BIGINT AS n_links
+FROM n LEFT JOIN r ON n.whole = r.whole AND n.n_shingles > 0 LEFT JOIN c ON c.rep = r.rep LEFT JOIN o ON o.rep = r.rep
 """

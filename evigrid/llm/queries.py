@@ -57,7 +57,7 @@ def op6_nearest_neighbours(spark, sf_dir):
 
 @query
 def op7_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -11,13 +11,13 @@ from evigrid.llm import jaccard_join as J
 from .odd import ODD, docs
 
 
-def shingles(text):
+def shingles(text, n=3):
     words = (text or "").encode().lower().split()
-    return frozenset(zip(words, words[1:], words[2:])) if len(words) >= 3 else frozenset([tuple(words)] if words else [])
+    return frozenset(zip(*(words[k:] for k in range(n)))) if len(words) >= n else frozenset([tuple(words)] if words else [])
 
 
-def brute(rows, percent=90):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=90, n=3):
+    sets = [shingles(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -119,6 +119,9 @@ def test_all_links_against_all_pairs(spark, seed, monkeypatch):
     want = [(k, sum(bool(i != j and linked(sets[i], t, len(sets[i] & t))) for j, t in enumerate(sets))) for i, (k, _) in enumerate(rows)]
     df = docs(spark, rows).repartition(3)
     assert sorted(map(tuple, J.link_counts(df).collect()), key=repr) == sorted(want, key=repr)
+    joined = sorted((tuple(r) for r in J.jaccard_join(df).collect()), key=repr)
+    assert sorted(((r[0], r[3]) for r in joined), key=repr) == sorted(want, key=repr)
+    assert [r[:3] for r in joined] == sorted((tuple(r) for r in J.jaccard_classes(df).collect()), key=repr)
     distinct = sorted(set(sets), key=repr)
     links = J.jaccard_links(df).collect()
     assert len(links) == len(set(links)) == sum(bool(linked(x, y, len(x & y))) for i, x in enumerate(distinct) for y in distinct[:i])

@@ -44,7 +44,7 @@ def test_stages(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in safe.collect()]
     one = C.drop_near_duplicates(spark, safe, path)
     assert one.columns == names
-    assert sorted(r.doc_id for r in one.collect()) == sorted({i for i, _, c in brute(rows) if i == c})
+    assert sorted(r.doc_id for r in one.collect()) == sorted({i for i, _, c in brute(rows, 80, 5) if i == c})
 
     clean = C.redact_personal_data(spark, one, path)
     assert clean.columns == names and clean.count() == one.count()
@@ -69,16 +69,28 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     assert [s[0] for s in C.STAGES] == ["toxicity", "near_duplicates", "pii", "source_mix", "byte_bpe"]
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
     text = [" ".join(f"w{f}x{k}" for k in range(100)) for f in range(5)]
     near = [t + " more" for t in text]
     rows = [(None, text[0]), (None, text[1]), (None, near[1]), (None, text[2]), (7, near[2]), (8, text[3]), (8, near[3]), (9, text[4]), (9, near[0]), (9, text[4]), (None, None), (None, None), (3, "")]
-    one = C.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
-    assert one.columns == ["doc_id", "text"]
-    out = [tuple(r) for r in one.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_no", F.lit("mine")).withColumn("row_no_", F.lit(1))
+    one = C.drop_near_duplicates(spark, df.repartition(3), "")
+    assert one.columns == ["doc_id", "text", "row_no", "row_no_"] and {(r.row_no, r.row_no_) for r in one.collect()} == {("mine", 1)}
+    out = [tuple(r) for r in one.select("doc_id", "text").collect()]
     family = lambda t: t and t.removesuffix(" more")
     assert sorted(((i, family(t)) for i, t in out), key=repr) == sorted(
         [(9, text[0]), (None, text[1]), (7, text[2]), (8, text[3]), (9, text[4]), (None, None), (3, "")], key=repr)
+
+
+def test_near_duplicates_are_five_words_and_four_fifths(spark):
+    base = [f"u{k}" for k in range(300)]
+    near = list(base)
+    for k in range(6):
+        near[25 + 48 * k] = f"new{k}"  # 0.816 of runs of five words, 0.886 of three
+    rows = [(2, " ".join(base)), (1, " ".join(near)), (3, " ".join(base[:150] + [f"v{k}" for k in range(150)]))]
+    one = C.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in one.collect()) == [1, 3]
+    assert C.drop_near_duplicates(spark, one.limit(0), "").count() == 0

@@ -13,38 +13,52 @@ from evigrid.llm.common import store
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the ordinal model, trained on the labelled ones among them, does not reject."""
+    """The documents that the ordinal model, trained on the labelled ones among them, does not reject.
+
+    Null and empty texts, repeated rows and null ids stay; without labels of both classes nothing is rejected.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.grade(docs, model, carry=True).where(~F.col("rejected")).select("row.*")
 
 
+#: Near duplicates share at least SIMILAR percent of their runs of SHINGLE words.
+SHINGLE, SIMILAR = 5, 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: one with the smallest id, null last. Repeated rows count once.
 
-    Rows are told apart by the hash of id and text, so null and repeated ids do not bring rows of other classes along.
+    Rows are told apart by the hash of id and text, so null and repeated ids do not bring rows of other classes along; of rows
+    that differ in other columns alone one stays. Null and empty texts are a class of their own each. An empty table stays empty.
     """
-    row_no = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    rows = docs.withColumn("row_no", row_no)
-    classes = store(jaccard_join.jaccard_classes(rows, key="row_no").select("row_no", "component_id").distinct(), "pipeline-classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")).alias("first")
-    kept = rows.select("row_no", "doc_id").join(classes, "row_no").groupBy("component_id").agg(first).select(F.col("first.row_no").alias("row_no"))
+    name = "row_no"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    classes = jaccard_join.jaccard_classes(rows, n=SHINGLE, percent=SIMILAR, key=name)
+    classes = store(classes.select(F.col(name).alias("no"), "component_id").distinct(), "pipeline-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "no")).alias("first")
+    kept = rows.select(F.col(name).alias("no"), "doc_id").join(classes, "no").groupBy("component_id").agg(first).select(F.col("first.no").alias("kept_no"))
     kept = store(kept, "pipeline-kept")
-    return rows.join(kept, "row_no", "left_semi").drop("row_no").dropDuplicates(["doc_id", "text"])
+    return rows.join(kept, F.col(name) == F.col("kept_no"), "left_semi").drop(name).dropDuplicates(["doc_id", "text"])
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in the text replaced by its kind; ``n_chars`` is that of the new text."""
+    """All documents, personal data in the text replaced by its kind; ``n_chars``, where there is one, is that of the new text.
+
+    Null and empty texts stay as they are, so do repeated rows and all other columns.
+    """
     clean = pii.redact(pii.find(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; documents without words are not taken, a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of ids and of decoded bytes of every document."""
+    """Digests of ids and of decoded bytes of every row; a null text counts as empty."""
     return bpe_monoid.round_trip(docs)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.json_values import as_array, as_object, as_text, pointer_get, type_tag
+from .paging import page_index
 from .windows import previous_values, sequence_numbers
 
 # The lifecycle vocabulary in order.
@@ -89,15 +90,14 @@ def trace_steps(lifecycle: DataFrame, task: str = "task_id") -> DataFrame:
 # ---------------------------------------------------------------- paging of task tables
 
 def result_page(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page of a result; Spark keeps ``page * size`` rows per task at most."""
-    if page < 1 or not 1 <= size <= 100:
-        raise ValueError("invalid_page")
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size)
+    """One page of a result. For more than one page keep the ``page_index``."""
+    return page_index(rows, order).page(page, size)
 
 
 def list_recent(tasks: DataFrame, created: str, tie: str, page: int, size: int) -> DataFrame:
-    total = tasks.agg(F.count("*")).scalar()
-    return result_page(tasks, [F.desc(created), tie], page, size).withColumn("total", total)
+    """One page of the tasks, newest first, with their number as ``total``."""
+    index = page_index(tasks, [F.desc(created), tie])
+    return index.page(page, size).withColumn("total", F.lit(index.total).cast("bigint"))
 
 
 def events_after(events: DataFrame, after: int, limit: int = 100) -> DataFrame:

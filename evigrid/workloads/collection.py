@@ -73,13 +73,11 @@ def collected_records(spark, d):
 
 
 @query("collection_summary", outcome() + """
-, limited AS (SELECT *, code IS NULL AND n>=7 OR (drift=9 AND n>=7) AS lim FROM outcome)
-SELECT CASE WHEN lim THEN 'partial' WHEN code IS NOT NULL THEN code WHEN drift=7 THEN 'stop_condition_only'
-  ELSE 'complete' END AS outcome, lim AS record_limit_reached, count(*) AS sources,
-  CAST(sum(CASE WHEN lim THEN 7 WHEN code IS NOT NULL THEN 0 ELSE n END) AS BIGINT) AS records
-FROM limited GROUP BY ALL""")
+SELECT coalesce(code, CASE WHEN drift=7 THEN 'stop_condition_only' ELSE 'complete' END) AS outcome, false AS record_limit_reached, count(*) AS sources,
+  CAST(sum(CASE WHEN code IS NOT NULL THEN 0 ELSE n END) AS BIGINT) AS records
+FROM outcome GROUP BY ALL""")
 def collection_summary(spark, d):
-    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS), max_records=7)
+    run = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS))
     return run.summary.groupBy(F.coalesce("completeness", "error_code").alias("outcome"), "record_limit_reached").agg(
         F.count("*").alias("sources"), F.sum("count").alias("records"))
 
@@ -243,7 +241,7 @@ SELECT source_id, page_no, path, type, CAST(count(*) AS BIGINT) AS members FROM
     WHERE NOT blank AND (k=list_key OR (k='others' AND h.drift=6))) GROUP BY ALL""")
 def structure_paths(spark, d):
     pages = I.order_pages(spark, d).select("source_id", "page_no", F.explode(
-        walks.structure_members(F.parse_json("body"), levels=3)).alias("m"))
+        walks.structure_members(F.parse_json("body"))).alias("m"))
     return pages.groupBy("source_id", "page_no", "m.path", "m.type").agg(F.count("*").alias("members"))
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from evigrid.operators import contracts as C, repair as R, scoring as S, trace as T, windows as W
+from evigrid.operators import contracts as C, paging as P, repair as R, scoring as S, trace as T, windows as W
 from evigrid.plans.specs import ExtractionPlan
 from evigrid.sources import documents as D, sinks
 from evigrid.streaming import jobs as ST
@@ -57,6 +57,31 @@ def test_state_machine_equals_the_loop(spark):
     assert got == {t: machine(seq) for t, seq in tasks.items()}
 
 
+def test_any_page_reads_its_range_alone(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(300), i, f"t{i}") for i in range(2000)]
+    order = [F.desc("k"), "i"]
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = P.page_index(spark.createDataFrame(rows, "k int, i int, name string").repartition(5), order)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert index.total == 2000 and len(index.parts) > 2
+    for page in (1, 2, 57, 199, 200, 201, 1_000_000):
+        got = index.page(page, 10)
+        assert [tuple(r) for r in got.collect()] == want[page * 10 - 10:page * 10]
+        assert len(got.inputFiles()) <= 2
+    sizes = [b - a for a, b in zip((0, *index.upto), index.upto)]
+    inside = sizes[0] // 10 - 1  # a page well within the first range
+    assert len(index.page(inside, 10).inputFiles()) == 1
+    assert P.page_index(spark.createDataFrame([], "k int, i int"), order).page(1, 10).count() == 0
+    for page, size in ((0, 10), (1, 0), (1, 101)):
+        with pytest.raises(ValueError, match="invalid_page"):
+            index.page(page, size)
+
+
 def test_streams_equal_batch_and_resume(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"t{rng.randrange(12)}", n, rng.choice(T.STATUSES[:7])) for n in range(200)]

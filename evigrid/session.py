@@ -36,8 +36,11 @@ def build_session(app: str = "evigrid", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session; where none is named, as in tests, its warehouse."""
+    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session; where none is named, on one machine, its warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        # The default warehouse is a folder of each machine: tables written there come back incomplete.
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 

@@ -1,11 +1,10 @@
-"""Page tables: caps, repeated captures, deterministic record generator."""
+"""Page tables: caps and repeated captures."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-
 def cap_page_numbers(pages: DataFrame, max_pages: int) -> DataFrame:
     if not 1 <= max_pages <= 10:
         raise ValueError("max_pages_out_of_range")

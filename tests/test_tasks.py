@@ -82,6 +82,18 @@ def test_any_page_reads_its_range_alone(spark):
             index.page(page, size)
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from evigrid.session import shared_folder
+    conf = lambda found: SimpleNamespace(get=lambda key, default=None: found.get(key, default))
+    session = lambda master, found: SimpleNamespace(conf=conf({"spark.sql.warehouse.dir": "file:/w/"}), sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(found)))
+    assert shared_folder(session("spark://h:1", {"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_folder(session("local[4]", {})) == "file:/w"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn", {}))
+
+
 def test_streams_equal_batch_and_resume(spark, tmp_path):
     rng = random.Random(3)
     rows = [(f"t{rng.randrange(12)}", n, rng.choice(T.STATUSES[:7])) for n in range(200)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,6 +12,7 @@ from ..functions.texts import tokens
 from ..plans.knowledge import FEATURES
 from ..plans.taxonomy import CATEGORIES, RESTRICTED_CATEGORIES, classify, failure_phase, trusted_code
 from ..session import cut_lineage
+from .postings import PostingIndex, build_index, search
 
 # Okapi parameters, gate weights, result size.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -50,14 +51,19 @@ def bm25_stats(stats: DataFrame) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
-def term_parts(queries: DataFrame, corpus: DataFrame, stats: DataFrame) -> DataFrame:
-    """(case_id, term, part): what each term of any query adds to the score of a case; linear in the corpus."""
+def term_parts(queries: DataFrame | None, corpus: DataFrame, stats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(case_id, term, part): what each term of any query (None: every term) adds to the score of a case; linear in the corpus.
+
+    ``keep`` names columns of the corpus that come along.
+    """
     _, avgdl = corpus_size(stats)
-    idf = bm25_stats(stats).join(queries.select("term").distinct(), "term", "left_semi").select("term", "idf")
-    words = corpus.select("case_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    found = words.join(idf, "term").groupBy("case_id", "dl", "term", "idf").agg(F.count("*").alias("tf"))
+    idf = bm25_stats(stats).select("term", "idf")
+    if queries is not None:
+        idf = idf.join(queries.select("term").distinct(), "term", "left_semi")
+    words = corpus.select("case_id", *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    found = words.join(idf, "term").groupBy("case_id", *keep, "dl", "term", "idf").agg(F.count("*").alias("tf"))
     tf, dl = F.col("tf"), F.col("dl")
-    return found.select("case_id", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).alias("part"))
+    return found.select("case_id", *keep, "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).alias("part"))
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -105,6 +111,13 @@ def top_cases(queries: DataFrame, corpus: DataFrame, judge: Callable[[DataFrame]
     return judged.unionByName(judge(full(others)).select("query_id", "case_id", "score"))
 
 
+def case_index(cases: DataFrame, stats: DataFrame | None = None, queries: DataFrame | None = None) -> PostingIndex:
+    """Posting index of all terms of the cases, or of those of the given queries (query_id, term); for any number of ``retrieve`` calls."""
+    corpus = cases if "tokens" in cases.columns else corpus_tokens(cases)
+    stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
+    return build_index(corpus, lambda placed: term_parts(queries, placed, stats, ("profile", "bucket")))
+
+
 def candidates(scores: DataFrame) -> DataFrame:
     return scores.filter("score > 0")
 
@@ -168,15 +181,21 @@ def known_failures(context: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Top cases per query, and the audit rows of both gates (one row per judged case; every pair that shares a term)."""
+    """Top cases per query; ``gates``: the audit rows of both gates for every pair that shares a term; ``audit``: those of the cases that
+    are shown, or would be without gates."""
 
     gates: DataFrame
     rank: Callable[[], DataFrame]
+    shown: Callable[[], DataFrame]
 
     @cached_property
     def ranked(self) -> DataFrame:
         return self.rank()
 
+    @cached_property
+    def audit(self) -> DataFrame:
+        return self.shown()
+
 
 def rank_cases(scored: DataFrame, top: int = TOP) -> DataFrame:
     """Best ``top`` per query by (score desc, case_id); Spark keeps ``top`` rows per task and query."""
@@ -186,11 +205,12 @@ def rank_cases(scored: DataFrame, top: int = TOP) -> DataFrame:
 
 def retrieve(query_terms: DataFrame, query_context: DataFrame, cases: DataFrame, *, enabled: bool = True,
              use_features: bool = True, use_failures: bool = True, top: int = TOP,
-             stats: DataFrame | None = None) -> Retrieval:
+             stats: DataFrame | None = None, index: PostingIndex | None = None) -> Retrieval:
     """BM25, then the feature gate, then the failure gate where any case carries failure modes.
 
     ``query_context``: query_id, query_features map, error_code. ``cases``: case_id, terms or
-    tokens, features, failure_modes, repairability.
+    tokens, features, failure_modes, repairability. ``index``: that of ``case_index`` for these cases; without one the
+    ranking makes one of the terms of these queries.
     """
     corpus = cases if "tokens" in cases.columns else corpus_tokens(cases)
     stats = cut_lineage(corpus_stats(corpus)) if stats is None else stats
@@ -200,26 +220,41 @@ def retrieve(query_terms: DataFrame, query_context: DataFrame, cases: DataFrame,
     if use_failures:
         active = F.coalesce(cases.agg(F.bool_or(F.size("failure_modes") > 0)).scalar(), F.lit(False))
 
-    def gated(scored: DataFrame) -> DataFrame:
-        pairs = failure_gate(feature_gate(scored.join(facts, "case_id").join(known, "query_id", "left")))
+    def verdicts(rows: DataFrame) -> DataFrame:
+        """Both gates for rows with a query and the facts of a case, or of all cases of a block."""
+        pairs = failure_gate(feature_gate(rows.join(known, "query_id", "left")))
         if not use_features:
             pairs = pairs.withColumns({"filtered": F.lit(False), "adjustment": F.lit(0.0), "matched": F.lit(0), "conflicted": F.lit(0)})
         pairs = (pairs.withColumn("failure_filtered", F.col("failure_filtered") & active & ~F.col("filtered"))
                  .withColumn("failure_adjustment", F.when(active, F.col("failure_adjustment")).otherwise(0.0)))
         return pairs if enabled else pairs.filter(F.lit(False))
 
-    def judge(scored: DataFrame) -> DataFrame:
-        return gated(scored).filter("NOT filtered AND NOT failure_filtered").withColumn(
-            "score", F.round(F.col("bm25") + F.col("adjustment") + F.col("failure_adjustment"), 9))
+    def passed(blocks: DataFrame) -> DataFrame:
+        kept = verdicts(blocks).filter("NOT filtered AND NOT failure_filtered")
+        return kept.withColumn("adjustment", F.col("adjustment") + F.col("failure_adjustment"))
 
-    def rank() -> DataFrame:
+    def ungated(blocks: DataFrame) -> DataFrame:
+        return blocks.withColumn("adjustment", F.lit(0.0)).filter(F.lit(enabled))
+
+    @cache
+    def postings() -> PostingIndex:
+        return index or case_index(corpus, stats, query_terms)
+
+    def best(judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
         most = F.coalesce(F.size("query_features"), F.lit(0)) * MATCH_BONUS if use_features else F.lit(0.0)
         bonus = query_context.select("query_id", (most + (3 * MATCH_BONUS if use_failures else 0.0)).alias("bonus"))
-        best = rank_cases(top_cases(query_terms, corpus, judge, bonus, top, stats), top)
-        return best.withColumn("score", F.bround("score", 6))
+        return rank_cases(search(postings(), query_terms, judge, bonus, top), top).select("query_id", "case_id", "bm25", "score", "rank")
+
+    def rank() -> DataFrame:
+        return best(passed).select("query_id", "case_id", F.bround("score", 6).alias("score"), "rank")
+
+    def shown() -> DataFrame:
+        plain = best(ungated).select("query_id", "case_id", "bm25", F.col("rank").alias("plain_rank"))
+        both = plain.join(best(passed).select("query_id", "case_id", "bm25", "rank"), ["query_id", "case_id", "bm25"], "full")
+        return verdicts(both.join(facts, "case_id"))
 
     scored = candidates(bm25_scores(query_terms, corpus, stats)).withColumnRenamed("score", "bm25")
-    return Retrieval(gated(scored), rank)
+    return Retrieval(verdicts(scored.join(facts, "case_id")), rank, shown)
 
 
 def failure_diagnosis(failures: DataFrame) -> DataFrame:

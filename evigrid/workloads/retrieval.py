@@ -140,6 +140,18 @@ def retrieve(spark, d):
     return run(spark, d).ranked
 
 
+@query("gate_audit", GATED + TOP + """
+, plain AS (SELECT query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM pairs)
+SELECT f.query_id, f.case_id, round(f.score, 6) AS bm25, CAST(p.rank AS INTEGER) AS plain_rank, CAST(r.rank AS INTEGER) AS rank, CAST(matched AS INTEGER) AS matched,
+  CAST(conflicted AS INTEGER) AS conflicted, f.filtered, CAST(fadj AS DOUBLE) AS failure_adjustment, ffiltered AND NOT f.filtered AS failure_filtered
+FROM fail f LEFT JOIN (SELECT * FROM plain WHERE rank<=2) p USING (query_id, case_id) LEFT JOIN (SELECT * FROM ranked WHERE rank<=2) r USING (query_id, case_id)
+WHERE p.rank IS NOT NULL OR r.rank IS NOT NULL""")
+def gate_audit(spark, d):
+    """What both gates say of the cases shown and of those that would be shown without them, from the index alone."""
+    return run(spark, d).audit.select("query_id", "case_id", F.round("bm25", 6).alias("bm25"), "plain_rank", "rank", "matched", "conflicted", "filtered",
+                                      "failure_adjustment", "failure_filtered")
+
+
 @query("retrieval_metrics", GATED + TOP + """
 , plain AS (SELECT query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM pairs),
 feat AS (SELECT query_id, case_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.5*matched - 0.25*conflicted, 9) DESC, case_id) AS rank FROM gate WHERE NOT filtered),

@@ -9,7 +9,7 @@ from functools import cache, cached_property
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.texts import tokens
-from ..plans.knowledge import FEATURES
+from ..plans.knowledge import FEATURES, corpus_identity
 from ..plans.taxonomy import CATEGORIES, RESTRICTED_CATEGORIES, classify, failure_phase, trusted_code
 from ..session import cut_lineage
 from .postings import PostingIndex, build_index, search
@@ -263,20 +263,56 @@ def failure_diagnosis(failures: DataFrame) -> DataFrame:
     return known.withColumn("failure_phase", failure_phase(F.col("phase")))
 
 
+@dataclass(frozen=True)
+class FailureRetrieval:
+    """``diagnosis``: one row per classified failure; ``knowledge_gate``: (structure, error_code, case_id, filtered, matched, conflicted) where the
+    failure gate said something of a case."""
+
+    diagnosis: DataFrame
+    knowledge_gate: DataFrame
+
+
+def failure_retrieval(failures: DataFrame, structures: DataFrame, context: DataFrame, cases: DataFrame,
+                      index: PostingIndex | None = None) -> FailureRetrieval:
+    """Cases for failed sources, ranked under what failed; unclassified failures have no row.
+
+    ``failures``: source columns, structure, error_code. ``structures``: structure, term, distinct. ``context``: structure, query_features. Many
+    sources share structure and code, so each distinct pair is ranked once. ``diagnosis`` adds category, phase, failure_phase, ``case_ids``
+    (best first, empty if none), ``gate_applied`` and ``corpus_sha256`` to the failures.
+    """
+    known = cut_lineage(failure_diagnosis(failures))
+    pairs = cut_lineage(known.select("structure", "error_code").distinct().withColumn("query_id", F.monotonically_increasing_id()))
+    terms = pairs.join(structures, "structure").select("query_id", "term")
+    asked = pairs.join(context, "structure", "left").select("query_id", "query_features", "error_code")
+    out = retrieve(terms, asked, cases, index=index)
+    best = out.ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "case_id"))).alias("best"))  # two at most
+    said = out.gates.filter("NOT filtered").select(
+        "query_id", "case_id", F.col("failure_filtered").alias("filtered"), (~F.col("failure_filtered") & (F.col("failure_matched") > 0)).alias("matched"),
+        (~F.col("failure_filtered") & (F.col("failure_conflicted") > 0)).alias("conflicted")).filter("filtered OR matched OR conflicted")
+    said = cut_lineage(said)
+    ranked = (pairs.join(best, "query_id", "left").join(said.select("query_id", F.lit(True).alias("applied")).distinct(), "query_id", "left")
+              .select("structure", "error_code", F.coalesce(F.transform("best", lambda b: b["case_id"].cast("string")), F.array().cast("array<string>")).alias("case_ids"),
+                      F.coalesce("applied", F.lit(False)).alias("gate_applied")))
+    digest = corpus_identity(cases).select("corpus_sha256").scalar()
+    diagnosis = known.join(cut_lineage(ranked), ["structure", "error_code"]).withColumn("corpus_sha256", digest)
+    return FailureRetrieval(diagnosis, said.join(pairs, "query_id").select("structure", "error_code", "case_id", "filtered", "matched", "conflicted"))
+
+
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, group: list[str]) -> DataFrame:
-    """top1, top2 and MRR@2 per group over queries that have labels.
+    """top1, top2 and MRR@2 per group over queries that have labels; a group without any is a row of NULLs.
 
     ``queries``: group columns, query_id, labelled. Queries without labels count as
     not applicable, not as misses.
     """
     hits = ranked.join(relevant, ["query_id", "case_id"], "left_semi").groupBy(*group, "query_id").agg(
         F.min("rank").alias("hit"))
-    per_query = queries.filter("labelled").join(hits, [*group, "query_id"], "left")
+    per_query = queries.join(hits, [*group, "query_id"], "left")
+    mean = lambda value: F.round(F.avg(F.when(F.col("labelled"), value)), 6)
     return per_query.groupBy(*group).agg(
-        F.count("*").alias("labelled"),
-        F.round(F.avg(F.coalesce((F.col("hit") == 1).cast("int"), F.lit(0))), 6).alias("top1"),
-        F.round(F.avg(F.col("hit").isNotNull().cast("int")), 6).alias("top2"),
-        F.round(F.avg(F.coalesce(1 / F.col("hit"), F.lit(0.0))), 6).alias("mrr"))
+        F.count_if("labelled").alias("labelled"),
+        mean(F.coalesce((F.col("hit") == 1).cast("int"), F.lit(0))).alias("top1"),
+        mean(F.col("hit").isNotNull().cast("int")).alias("top2"),
+        mean(F.coalesce(1 / F.col("hit"), F.lit(0.0))).alias("mrr"))
 
 
 def code_hits(ranked: DataFrame, cases: DataFrame, failures: DataFrame, group: list[str]) -> DataFrame:

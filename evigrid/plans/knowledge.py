@@ -93,5 +93,31 @@ def case_violation(cases: DataFrame) -> Column:
     return F.coalesce(*rules, none)
 
 
+def consistent_repairability(declared: Column) -> Column:
+    """Whether every declared disposition is the one the taxonomy projects; unknown codes are not, nothing declared is."""
+    projected = F.create_map(*[F.lit(x) for code in SPECS for x in (code, repairability_of(code))])
+    return F.coalesce(F.forall(F.map_entries(declared), lambda e: F.coalesce(
+        F.try_element_at(projected, e["key"]) == e["value"], F.lit(False))), F.lit(True))
+
+
+def corpus_identity(cases: DataFrame, group: list[str] = []) -> DataFrame:
+    """Per group: ``cases``, ``corpus_sha256`` and ``repairability_consistency`` (1.0, or 0.0 where one declared disposition is not the projected one).
+
+    The digest names the multiset of cases: that of the number of cases and of the sums of their digests, taken 32 bits at a time, so it is
+    a plain aggregate and the order of cases, map keys and partitions does not matter. It tells corpora apart; it is no seal against forgery.
+    """
+    entries = lambda c: F.sort_array(F.map_entries(c)).alias(c)
+    words = F.col("tokens" if "tokens" in cases.columns else "terms").alias("terms")
+    parts = [("features", entries), ("failure_modes", F.col), ("repairability", entries)]
+    facts = [make(c) for c, make in parts if c in cases.columns]
+    text = F.to_json(F.struct(F.col("case_id").cast("string").alias("case_id"), words, *facts))
+    rows = cases.select(*group, F.sha2(text, 256).alias("d"), consistent_repairability(F.col("repairability")).alias("same"))
+    sums = [F.sum(F.conv(F.substring("d", i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(0, 64, 8)]
+    whole = F.count("*").cast("string")
+    return rows.groupBy(*group).agg(
+        F.count("*").alias("cases"), F.sha2(F.concat_ws(",", whole, *sums), 256).alias("corpus_sha256"),
+        F.coalesce(F.bool_and("same"), F.lit(True)).cast("double").alias("repairability_consistency"))
+
+
 def repeated_case_ids(cases: DataFrame) -> DataFrame:
     return cases.groupBy("case_id").agg(F.count("*").alias("n")).filter("n > 1")

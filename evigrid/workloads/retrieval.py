@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as X, walks
 from ..operators import collect as C, features as E, retrieval as R
-from ..plans import knowledge as K
+from ..plans import knowledge as K, taxonomy
 from ..session import cut_lineage
 from . import inputs as I
 from .collection import outcome
@@ -255,8 +255,102 @@ def failure_diagnosis(spark, d):
         F.col("query_id").alias("source_id"), "error_code", "failure_phase", "cases")
 
 
+# Further cases beside the built-in ones, and what every case knows of failures: one code each, and the disposition declared for it.
+FURTHER = (("amount_rows", ["amount", "rows", "state"]), ("entry_list", ["entries", "id", "total"]))
+KNOWS = {"page_items": ("duplicate_id", "rejected"), "rows_more": ("pointer_not_found", "auto_applied"), "amount_rows": ("total_changed", "rejected"),
+         "entry_list": ("pointer_not_found", "auto_applied"), "cursor_unsupported": ("page_location_mismatch", "proposal_only")}
+
+
+def knowing_cases(spark):
+    rows = []
+    for case, words in (*K.RUNTIME_CASES, *FURTHER):
+        code, disposition = KNOWS.get(case, (None, None))
+        modes = [(code, *taxonomy.SPECS[code][1:3], "observed")] if code else None
+        rows.append((case, words, None, modes, {code: disposition} if code else None))
+    return spark.createDataFrame(rows, K.CASE_SCHEMA)
+
+
+def failures_of(spark, d):
+    """FailureRetrieval of the failed sources of the collection, by the key words of their captured structure."""
+    failed = C.run_collection(I.order_pages(spark, d), I.order_plans(spark, d), list(I.FIELDS)).violations
+    keys = summaries(spark, d).withColumn("query", F.create_map(F.lit("page"), F.lit("1")))
+    words = cut_lineage(E.query_tokens(keys).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("structure")))
+    sets = words.select("structure").distinct()
+    asked = sets.select("structure", F.explode(F.split("structure", " ")).alias("term"))
+    nothing = sets.select("structure", F.create_map().cast("map<string,string>").alias("query_features"))
+    return R.failure_retrieval(failed.join(words.withColumnRenamed("query_id", "source_id"), "source_id"), asked, nothing, knowing_cases(spark))
+
+
+SPEC_SQL = ",".join(f"('{c}','{taxonomy.SPECS[c][1]}','{taxonomy.SPECS[c][2]}')" for c in (
+    "duplicate_id", "total_changed", "field_type_changed", "empty_page_with_next", "pointer_not_found", "page_location_mismatch"))
+FAILED = "WITH corpus AS (SELECT * FROM (VALUES " + ",".join(
+    f"('{i}', [{','.join(repr(w.lower()) for w in t)}])" for i, t in (*K.RUNTIME_CASES, *FURTHER)) + """) t(case_id, tokens)),
+spec AS (SELECT * FROM (VALUES """ + SPEC_SQL + """) t(code, category, phase)),
+knows AS (SELECT case_id, code, auto, category, phase FROM (VALUES """ + ",".join(
+    f"('{i}','{c}',{str(a == 'auto_applied').lower()})" for i, (c, a) in KNOWS.items()) + """) t(case_id, code, auto) JOIN spec USING (code)),
+q AS (SELECT k AS query_id, unnest(['page', k, 'id','amount','state','total','more'] || CASE WHEN k='others' THEN ['entries'] ELSE [] END) AS term
+  FROM (VALUES ('rows'),('entries'),('others')) t(k)),""" + FAMILY + """
+, told AS (SELECT query_id, s.case_id, f.code, score, f.category = 'DATA_INTEGRITY' AND coalesce(auto, false) AS filtered,
+   CASE WHEN k.code IS NULL THEN 0 ELSE CAST(k.code=f.code AS INT) + CAST(k.category=f.category AS INT) + CAST(k.phase=f.phase AS INT) END AS matched,
+   CASE WHEN k.code IS NULL THEN 0 ELSE CAST(k.category<>f.category AS INT) + CAST(k.phase<>f.phase AS INT) END AS conflicted
+  FROM scores s CROSS JOIN spec f LEFT JOIN knows k ON k.case_id=s.case_id WHERE score>0)
+, shown AS (SELECT *, row_number() OVER (PARTITION BY query_id, code ORDER BY round(score + 0.5*matched - 0.25*conflicted, 9) DESC, case_id) AS rank FROM told WHERE NOT filtered)
+, best AS (SELECT query_id, code, string_agg(case_id, ',' ORDER BY rank) AS cases FROM shown WHERE rank<=2 GROUP BY ALL)
+, applied AS (SELECT query_id, code, bool_or(filtered OR matched>0 OR conflicted>0) AS gate_applied FROM told GROUP BY ALL)
+""" + outcome().replace("WITH seq", ", seq", 1) + """
+, failed AS (SELECT *, CASE drift WHEN 5 THEN 'entries' WHEN 6 THEN 'others' ELSE 'rows' END AS query_id FROM outcome WHERE code <> 'incomplete_items')
+"""
+
+
+@query("failure_retrieval", FAILED + """
+SELECT source_id, f.code AS error_code, category, phase, CASE f.code WHEN 'pointer_not_found' THEN 'planning' ELSE 'execution' END AS failure_phase,
+  coalesce(cases, '') AS cases, gate_applied
+FROM failed f JOIN spec USING (code) LEFT JOIN best USING (query_id, code) LEFT JOIN applied USING (query_id, code)""")
+def failure_retrieval(spark, d):
+    """Failed sources with the cases that fit their structure and their failure; restricted failures are shown no case that repairs by itself."""
+    return failures_of(spark, d).diagnosis.select("source_id", "error_code", "category", "phase", "failure_phase",
+                                                  F.array_join("case_ids", ",").alias("cases"), "gate_applied")
+
+
+@query("knowledge_gate", FAILED + """
+SELECT code AS error_code, case_id, filtered, NOT filtered AND matched>0 AS matched, NOT filtered AND conflicted>0 AS conflicted, count(*) AS sources
+FROM failed JOIN told USING (query_id, code) WHERE filtered OR matched>0 OR conflicted>0 GROUP BY ALL""")
+def knowledge_gate(spark, d):
+    """What the failure gate says of every case, with the number of failed sources it is said to."""
+    out = failures_of(spark, d)
+    sources = out.diagnosis.groupBy("structure", "error_code").agg(F.count("*").alias("sources"))
+    return out.knowledge_gate.join(sources, ["structure", "error_code"]).groupBy("error_code", "case_id", "filtered", "matched", "conflicted").agg(
+        F.sum("sources").alias("sources"))
+
+
 # ---------------------------------------------------------------- knowledge corpus
 
+SUMS = ", ".join(f"sum(CAST('0x' || substr(d, {i + 1}, 8) AS BIGINT))" for i in range(0, 64, 8))
+
+
+@query("corpus_identity", """
+WITH cases AS (SELECT lang, doc_id%4 AS k, '{"case_id":"' || doc_id || '"' || coalesce(',"terms":[' ||
+    CASE WHEN regexp_matches(lower(text), '[a-z0-9_]') THEN '"' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), '","') || '"' ELSE '' END || ']', '')
+    || ',"features":[' || CASE lang WHEN 'en' THEN '{"key":"method","value":"GET"},' WHEN 'fr' THEN '{"key":"method","value":"POST"},' ELSE '' END
+    || '{"key":"page_location","value":"' || CASE doc_id%3 WHEN 0 THEN 'query' WHEN 1 THEN 'json_body' ELSE 'unknown' END || '"}]' AS head FROM documents),
+known AS (SELECT * FROM (VALUES (0,'duplicate_id','DATA_INTEGRITY','executing','rejected'), (1,'pointer_not_found','PLAN_SEMANTIC','analyzing','auto_applied'),
+  (3,'page_location_mismatch','PLAN_SEMANTIC','analyzing','proposal_only')) t(k, code, category, phase, disposition)),
+digests AS (SELECT lang, sha256(head || coalesce(',"failure_modes":[{"code":"' || code || '","category":"' || category || '","phase":"' || phase ||
+  '","signal":"observed"}],"repairability":[{"key":"' || code || '","value":"' || disposition || '"}]', '') || '}') AS d FROM cases LEFT JOIN known USING (k))
+SELECT lang, count(*) AS cases, sha256(concat_ws(',', count(*), """ + SUMS + """)) AS corpus_sha256, CAST(1 AS DOUBLE) AS repairability_consistency FROM digests GROUP BY lang""")
+def corpus_identity(spark, d):
+    """Digest of the cases of every language as a multiset, and whether what they declare is what the taxonomy projects."""
+    cases = corpus(spark, d).join(I.table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), "lang"), "case_id")
+    return K.corpus_identity(cases, ["lang"])
+
+
+@query("repairability_consistency", """
+SELECT CAST(doc_id%8 AS INTEGER) AS rule, count(*) AS cases, CAST(CASE WHEN doc_id%8=6 THEN 0 ELSE 1 END AS DOUBLE) AS consistency FROM documents GROUP BY ALL""")
+def repairability_consistency(spark, d):
+    cases = knowledge(spark, d).withColumn("rule", (F.col("doc_id") % 8).cast("int"))
+    return K.corpus_identity(cases, ["rule"]).select("rule", "cases", F.col("repairability_consistency").alias("consistency"))
+
+
 def knowledge(spark, d):
     """Cases with one broken rule each, by ``doc_id % 8``."""
     k = F.col("case_id") % 8

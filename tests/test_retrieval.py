@@ -143,3 +143,47 @@ def test_top_cases_equal_all_pairs(spark):
     want = R.rank_cases(extra(every).select("query_id", "case_id", "score"))
     key = lambda df: sorted((r.query_id, r["rank"], r.case_id, r.score) for r in df.collect())
     assert key(best) == key(want) and len(key(want)) > 70
+
+
+def test_group_without_labels_is_null(spark):
+    asked = spark.createDataFrame([("g", "a", True), ("g", "b", False), ("h", "c", False)], "group string, query_id string, labelled boolean")
+    ranked = spark.createDataFrame([("g", "a", "x", 2), ("g", "b", "x", 1), ("h", "c", "x", 1)], "group string, query_id string, case_id string, rank int")
+    out = {r["group"]: tuple(r)[1:] for r in R.retrieval_metrics(ranked, ranked.select("query_id", "case_id"), asked, ["group"]).collect()}
+    assert out == {"g": (1, 0.0, 1.0, 0.5), "h": (0, None, None, None)}
+
+
+def test_corpus_identity(spark):
+    one = lambda rows: K.corpus_identity(cases(spark, rows)).first()
+    whole = one(CORPUS)
+    assert (whole.cases, whole.repairability_consistency) == (5, 1.0)
+    turned = [dict(c, features=dict(reversed(list(c["features"].items()))) if c.get("features") else None) for c in reversed(CORPUS)]
+    assert one(turned).corpus_sha256 == whole.corpus_sha256 != one(CORPUS[1:]).corpus_sha256
+    # A multiset: a repeated case counts; so does every part of a case.
+    assert one([*CORPUS, CORPUS[0]]).corpus_sha256 != whole.corpus_sha256
+    for part, value in (("terms", ["items"]), ("features", POST), ("failure_modes", None), ("repairability", None)):
+        assert one([{**CORPUS[0], part: value}, *CORPUS[1:]]).corpus_sha256 != whole.corpus_sha256
+    assert one([{**CORPUS[0], "repairability": {"duplicate_id": "auto_applied"}}]).repairability_consistency == 0.0
+    assert one([{**CORPUS[0], "repairability": {"no_such_code": "rejected"}}]).repairability_consistency == 0.0
+    assert (one([]).cases, one([]).repairability_consistency) == (0, 1.0)
+
+
+def test_failure_retrieval(spark):
+    failures = spark.createDataFrame([("s1", "k", "pointer_not_found"), ("s2", "k", "duplicate_id"), ("s3", "k", "duplicate_id"), ("s4", "k", "incomplete_items"),
+                                      ("s5", "other", "pointer_not_found")], "source_id string, structure string, error_code string")
+    terms = spark.createDataFrame([("k", "items"), ("k", "total"), ("k", "id"), ("other", "nowhere")], "structure string, term string")
+    context = spark.createDataFrame([("k", {"method": "GET"})], "structure string, query_features map<string,string>")
+    out = R.failure_retrieval(failures, terms, context, cases(spark, CORPUS))
+    got = {r.source_id: r for r in out.diagnosis.collect()}
+    # A plain error has no trusted code, so no diagnosis; a structure no case shares has no cases.
+    assert got.keys() == {"s1", "s2", "s3", "s5"}
+    assert (got["s1"].category, got["s1"].phase, got["s1"].failure_phase, got["s1"].case_ids[0]) == ("PLAN_SEMANTIC", "analyzing", "planning", "get_pager")
+    # A restricted failure is shown no case that repairs by itself: the gate changes the row.
+    assert "get_pager" not in got["s2"].case_ids and got["s2"].case_ids == got["s3"].case_ids and got["s2"].gate_applied
+    assert got["s5"].case_ids == [] and not got["s5"].gate_applied
+    assert {r.corpus_sha256 for r in got.values()} == {K.corpus_identity(cases(spark, CORPUS)).first().corpus_sha256}
+    said = {(r.error_code, r.case_id): (r.filtered, r.matched, r.conflicted) for r in out.knowledge_gate.collect()}
+    assert said["duplicate_id", "get_pager"] == (True, False, False) and said["pointer_not_found", "get_pager"] == (False, True, False)
+    # The feature gate has removed the POST case before.
+    assert ("pointer_not_found", "post_pager") not in said
+    plain = R.failure_retrieval(failures, terms, context, cases(spark, [{k: v for k, v in c.items() if k in ("id", "terms")} for c in CORPUS]))
+    assert plain.knowledge_gate.count() == 0 and not any(r.gate_applied for r in plain.diagnosis.collect())

@@ -18,8 +18,8 @@ from .common import worker_memory
 
 #: Pieces of at most so many bytes are merged directly; windows below it need no tree either.
 LEAF = 24
-#: Words whose ids one worker remembers; a full memory is emptied, which changes no result.
-REMEMBERED = 600_000
+#: Words whose ids one worker remembers, and their longest length in characters; a full memory is emptied, which changes no result.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -78,9 +78,10 @@ class TreeCodec:
             ids = (rank,)
         else:
             ids = tuple(self.ranks[t] for t in self.tree(data))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = ids
+        if len(word) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:

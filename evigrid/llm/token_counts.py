@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from .common import worker_memory
 
-#: Words whose counts one worker remembers; a full memory is emptied, which changes no result.
-REMEMBERED = 1_000_000
+#: Words whose counts one worker remembers, and their longest length in characters; a full memory is emptied, which changes no result.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -76,9 +76,10 @@ class MergeCounter:
     def word(self, word: str) -> int:
         data = word.encode()
         count = len(data) - self.merges(data) if len(data) > 1 else len(data)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = count
+        if len(word) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = count
         return count
 
     def count(self, text: str) -> int:

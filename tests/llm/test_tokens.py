@@ -70,3 +70,17 @@ def test_odd_documents(spark):
 def test_only_plain_files_are_taken():
     with pytest.raises(ValueError, match="byte-level"):
         MergeCounter(b'{"model": {"type": "WordPiece", "vocab": {}}}', public_tokenizers.PATTERN)
+
+
+def test_long_words_are_not_remembered():
+    """Unique long words, such as encoded blobs, leave nothing behind in a worker; their counts and ids stay those of the library."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        counter = MergeCounter(f.read(), public_tokenizers.PATTERN)
+    codec = TreeCodec(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    blobs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for _ in range(50)]
+    for blob in blobs:
+        assert counter.count(f"say {blob}") == library_count(f"say {blob}")
+        assert codec.encode(f"say {blob}") == TIKTOKEN.encode_ordinary(f"say {blob}")
+    assert max(map(len, counter.known)) <= 64 and max(map(len, codec.known)) <= 64
+    assert len(counter.known) == len(codec.known) == 1

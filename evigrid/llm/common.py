@@ -13,8 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); the warehouse where none is named, as in tests."""
+    """The folder the cluster shares (``spark.checkpoint.dir``); the warehouse where none is named, as in tests on one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        # The default warehouse is a folder of each machine: tables written there come back incomplete.
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 

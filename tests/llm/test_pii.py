@@ -83,3 +83,59 @@ def test_odd_documents(spark):
 def test_no_python_on_the_main_path(spark):
     plan = P.find(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_running_values(spark):
+    rng = random.Random(3)
+    rows = [(n, [rng.randrange(100) for _ in range(n)]) for n in (0, 1, 2, 63, 64, 65, 128, 4095, 4096, 4097, 9000)]
+    df = spark.createDataFrame(rows, "n int, v array<int>")
+    got = {r.n: r for r in df.select("n", P.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), P.running(F.col("v"), F.greatest, F.lit(-1)).alias("m")).collect()}
+    for n, v in rows:
+        assert got[n].s == [sum(v[:i]) for i in range(n)] and got[n].m == [max(v[:i], default=-1) for i in range(n)]
+
+
+def test_numbers_in_groups(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(5))
+    rows = [(i, f"{word()}\nreach phone: +1 555 {1000000 + i} {word()}") for i in range(30)]
+    rows += [(100, "reach phone: (555) 123 4567 then"), (101, "phone: 555 12 x9"), (102, f"reach {'w' * 200} phone: (555) 123 4567\n12")]
+    out = {r.doc_id: r for r in spans(spark, rows).collect()}
+    assert out[100].spans == "phone:13:27" and out[101].spans == "phone:7:13" and out[102].spans == "phone:214:228"
+    clean = {r.doc_id: r.text for r in P.redact(P.find(docs(spark, rows))).collect()}
+    assert clean[100] == "reach phone: [PHONE] then" and clean[101] == "phone: [PHONE] x9"
+
+
+def plain_redacted(text, found):
+    """Spans replaced by their kind, overlapping ones as one."""
+    out, at = "", 0
+    for kind, start, end in found:
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_against_plain_loop(spark):
+    rng = random.Random(5)
+    bits = ["wort ", "é", "\U0001f600 ", "x1@y.de ", "10.0.0.1", "+1 (017) 555-7713 ", "4111 1111 1111 1111 ", "\n", " " * 700, "z" * 1500]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))) for i in range(150)]
+    found = P.find(docs(spark, rows))
+    listed = {r.doc_id: r.s for r in found.select(F.col("row.doc_id").alias("doc_id"), P.listed(F.col("spans")).alias("s")).collect()}
+    clean = {r.doc_id: r.text for r in P.redact(found).collect()}
+    for i, text in rows:
+        got = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in listed[i].split(",") if s)]
+        assert clean[i] == plain_redacted(text, got)
+
+
+def test_very_long_text(spark):
+    """Five megabytes of tokens with a digit, addresses among them: every step is linear in one text."""
+    import time
+
+    text = " ".join(f"k{i}" if i % 10 else f"u{i}@mail.example.org" for i in range(600_000))
+    assert len(text) > 5_000_000
+    rows = docs(spark, [(1, text)])
+    begin = time.monotonic()
+    found = P.find(rows)
+    clean = P.redact(found).first().text
+    assert clean == " ".join(f"k{i}" if i % 10 else "[EMAIL]" for i in range(600_000))
+    assert time.monotonic() - begin < 120

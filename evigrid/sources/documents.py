@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.json_values import as_array, as_text, digest, pointer_get
 from ..operators.collect import first_match
 
-#: Spark reads a file as one value up to this size.
-READABLE = 2**31 - 1024
+#: Files up to WHOLE bytes are read as one value; larger ones go through the digest in pieces of BLOCK bytes.
+WHOLE, BLOCK = 64 << 20, 8 << 20
 # A reference stays inside the tree: plain relative parts, no drive, no backslash.
 _REF = r"^evaluation(?:/(?!\.{1,2}(?:/|$))[^/\\:]+)+$"
 
@@ -95,19 +95,50 @@ def case_errors(cases: DataFrame, corpus_ids: DataFrame, signature: Column) -> D
 
 # ---------------------------------------------------------------- registered files
 
-def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(filename, sha256, size_bytes) of every file in a folder; files too large for one value have no digest."""
+def open_file(path: str):
+    """A file's bytes as a stream: a path of the machine's own or mounted folders, else of a store that Arrow knows."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow import fs
+    system, inner = fs.FileSystem.from_uri("s3" + path[3:] if scheme == "s3a" else path)
+    return system.open_input_stream(inner)
+
+
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*", whole: int = WHOLE, block: int = BLOCK, opener=open_file) -> DataFrame:
+    """(filename, sha256, size_bytes) of every file in a folder, whatever its size; Spark lists no empty ones.
+
+    Spark lists the files and deals them to tasks by size. A file of more than ``whole`` bytes is streamed by its task, ``block`` bytes at a
+    time, so a task's memory does not follow its files. ``opener`` gives the stream of a path; one that cannot be opened fails the job.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.element_at(F.split("path", "/"), -1).alias("filename")
-    read = files.filter(F.col("length") <= READABLE).select(name, F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
-    large = files.filter(F.col("length") > READABLE).select(name, F.lit(None).cast("string").alias("sha256"), F.col("length").alias("size_bytes"))
-    return read.unionByName(large)
+
+    def stream(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, digests = batch.column(1).to_pylist(), []
+            for path in paths:
+                state = hashlib.sha256()
+                with opener(path) as file:
+                    while part := file.read(block):
+                        state.update(part)
+                digests.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), batch.column(2)], ["filename", "sha256", "size_bytes"])
+
+    small = files.filter(F.col("length") <= whole).select(name, F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    # The filter and the columns reach the scan, so no content is read here.
+    large = files.filter(F.col("length") > whole).select(name, "path", F.col("length").alias("size_bytes"))
+    return small.unionByName(large.mapInArrow(stream, "filename string, sha256 string, size_bytes long"))
 
 
 def verify_manifest(entries: DataFrame, actual: DataFrame) -> DataFrame:
-    """(filename, status): ok, missing, unindexed, artifact_changed, or unread where a file of the right size has no digest."""
+    """(filename, status): ok, missing, unindexed or artifact_changed."""
     e = entries.select("filename", F.col("sha256").alias("e_sha"), F.col("size_bytes").alias("e_size"), F.lit(True).alias("e"))
     a = actual.select("filename", F.col("sha256").alias("a_sha"), F.col("size_bytes").alias("a_size"), F.lit(True).alias("a"))
     return e.join(a, "filename", "full").select("filename", first_match(
-        (F.col("a").isNull(), "missing"), (F.col("e").isNull(), "unindexed"), (F.col("a_size") != F.col("e_size"), "artifact_changed"),
-        (F.col("a_sha").isNull(), "unread"), (F.col("a_sha") != F.col("e_sha"), "artifact_changed"), (F.lit(True), "ok")).alias("status"))
+        (F.col("a").isNull(), "missing"), (F.col("e").isNull(), "unindexed"),
+        ((F.col("a_size") != F.col("e_size")) | (F.col("a_sha") != F.col("e_sha")), "artifact_changed"), (F.lit(True), "ok")).alias("status"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_values as J
-from ..functions.texts import tokens
+from ..functions.texts import source_digest, tokens
 from ..operators import contracts as C, overlap as O
 from ..session import cut_lineage, scratch_path
-from ..sources import documents as D, sinks as S
+from ..sources import bundles as B, documents as D, sinks as S
 from ..streaming import jobs as ST
 from . import inputs as I
 from .collection import SEQ, outcome
@@ -233,6 +233,91 @@ def name_disjointness(spark, d):
     return both.unionByName(leaked.withColumn("finding", F.lit("in_corpus")))
 
 
+# ---------------------------------------------------------------- digest trees, ablation, references
+
+def frozen_entries(spark, d):
+    """Manifest entries of one bundle per nation: a file per customer, a source of every third one."""
+    c = I.table(spark, d, "customer").select(F.col("c_nationkey").alias("bundle_id"), F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
+    c = c.withColumn("document", F.parse_json(F.to_json(F.struct("k", "c_name"))))
+    folder = F.when(F.col("k") % 40 == 3, "evaluation/../files/").otherwise("evaluation/files/")
+    files = c.select("bundle_id", "k", F.lit("file").alias("kind"), F.concat(folder, "k", F.lit(".json")).alias("ref"), J.digest(F.col("document")).alias("sha256"), "document",
+                     F.lit(None).cast("string").alias("text"))
+    text = F.concat("c_name", F.lit("\n"), "c_mktsegment")
+    sources = c.filter("k % 3 = 0").select("bundle_id", "k", F.lit("source").alias("kind"), F.concat(F.lit("evaluation/sources/"), "k", F.lit(".py")).alias("ref"),
+                                           source_digest(text).alias("sha256"), F.lit(None).cast("variant").alias("document"), text.alias("text"))
+    return files.unionByName(sources)
+
+
+@query("bundle_digests", """
+WITH c AS (SELECT c_nationkey AS bundle_id, c_custkey AS k FROM customer)
+SELECT bundle_id, 'evaluation/files/' || k || '.json' AS subject, CASE k%40 WHEN 1 THEN 'file_hash_mismatch' ELSE 'missing_or_escaping_reference' END AS code FROM c WHERE k%40 IN (1,2)
+UNION ALL SELECT bundle_id, 'evaluation/../files/' || k || '.json', 'missing_or_escaping_reference' FROM c WHERE k%40=3
+UNION ALL SELECT bundle_id, 'evaluation/sources/' || k || '.py', 'source_hash_mismatch' FROM c WHERE k%40=6 AND k%3=0
+UNION ALL SELECT bundle_id, 'evaluation/sources/' || k || '.py', 'incomplete_source_inventory' FROM c WHERE k%40=9 AND k%3=0
+UNION ALL SELECT DISTINCT bundle_id, '', 'manifest_hash_mismatch' FROM c WHERE bundle_id%5=1
+UNION ALL SELECT DISTINCT bundle_id, '', 'manifest_not_frozen' FROM c WHERE bundle_id%5 IN (1,2)""")
+def bundle_digests(spark, d):
+    """Files and sources changed, lost, outside the tree or not inventoried; records that do not fit the manifest or the pinned digest."""
+    rows = cut_lineage(frozen_entries(spark, d))
+    k, entries = F.col("k"), rows.select("bundle_id", "kind", "ref", "sha256")
+    changed = F.parse_json(F.concat(F.lit('{"k":'), "k", F.lit("}")))
+    docs = rows.filter((F.col("kind") == "file") & (k % 40 != 2)).select("bundle_id", "ref", F.when(k % 40 == 1, changed).otherwise(F.col("document")).alias("document"))
+    sources = rows.filter("kind = 'source'")
+    text = F.when(k % 40 == 6, F.concat("text", F.lit("#"))).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))  # line ends do not matter
+    top = B.digest_tree(entries).filter("level = 0")
+    n = F.col("bundle_id") % 5
+    stated = top.select("bundle_id", F.when(n == 1, "0" * 64).otherwise(F.col("digest")).alias("recorded"),
+                        F.when(n == 2, "f" * 64).when(n != 3, F.col("digest")).alias("pinned"))
+    return B.bundle_errors(entries, docs, sources.select("bundle_id", "ref", text.alias("text")), stated, sources.filter(k % 40 != 9).select("bundle_id", "ref"))
+
+
+@query("tree_changes", """
+SELECT DISTINCT c_nationkey AS bundle_id, substr(sha256('["file","evaluation/files/' || c_custkey || '.json"]'), 1, 4) AS node FROM customer WHERE c_custkey%40=7""")
+def tree_changes(spark, d):
+    """Parts of the manifests that two versions do not share, found from the top of their trees."""
+    entries = cut_lineage(frozen_entries(spark, d).select("bundle_id", "k", "kind", "ref", "sha256"))
+    edited = entries.withColumn("sha256", F.when((F.col("k") % 40 == 7) & (F.col("kind") == "file"), "0" * 64).otherwise(F.col("sha256")))
+    return B.tree_difference(B.digest_tree(entries), B.digest_tree(edited))
+
+
+@query("ablation_identity", """
+WITH c AS (SELECT c_custkey AS place, c_custkey%30 AS kind FROM customer)
+SELECT place, '' AS corpus, CASE kind WHEN 3 THEN 'ablation_features_changed' ELSE 'ablation_identity_changed' END AS code FROM c WHERE kind IN (1,2,3,6)
+UNION ALL SELECT place, 'e1', 'invalid_ablation_fields' FROM c WHERE kind=4
+UNION ALL SELECT place, corpus, 'invalid_feature_metadata' FROM c, (VALUES ('e2'),('e3')) t(corpus) WHERE kind=5""")
+def ablation_identity(spark, d):
+    """Three corpora with a row per customer, told apart by added members; some rows differ in more."""
+    k = F.col("c_custkey") % 30
+    rows = I.table(spark, d, "customer").select("c_custkey", k.alias("kind"), "c_name", F.explode(F.array(*[F.lit(x) for x in B.ADDED])).alias("corpus"))
+    at = lambda corpus, kind: (F.col("corpus") == corpus) & (F.col("kind") == kind)
+    rows = rows.filter(~at("e3", 2)).withColumn("copies", F.when(at("e1", 6), 2).otherwise(1))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    method = F.when(F.col("kind") == 5, "PUT").when(at("e3", 3), "POST").otherwise("GET")
+    title = F.when(at("e2", 1), F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name"))
+    text = F.concat(F.lit('{"id":"case_'), "c_custkey", F.lit('","title":"'), title, F.lit('","terms":["page"],"guidance":"read"'),
+                    F.when(F.col("corpus") != "e1", F.concat(F.lit(',"features":{"method":"'), method, F.lit('"}'))).when(F.col("kind") == 4, ',"more":1').otherwise(""),
+                    F.when(F.col("corpus") == "e3", ',"failure_modes":[],"repairability":{}').otherwise(""), F.lit("}"))
+    return B.ablation_errors(rows.select("corpus", F.col("c_custkey").alias("place"), F.parse_json(text).alias("document")))
+
+
+@query("reference_closure", """
+WITH c AS (SELECT c_custkey AS k, c_custkey%5 AS p, (c_custkey//5)%6 AS g FROM customer)
+SELECT 'evaluation/n/' || k || '.json' AS ref, CASE WHEN g=2 THEN 'cyclic_reference' WHEN g=1 AND p=3 THEN 'missing_or_escaping_reference' WHEN g=3 AND p=2 THEN 'invalid_json' ELSE '' END AS code
+FROM c WHERE p <= CASE g WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 1 END
+UNION ALL SELECT 'evaluation/../' || k || '.json', 'missing_or_escaping_reference' FROM c WHERE g=4 AND p=1""")
+def reference_closure(spark, d):
+    """Chains of five documents each: whole, with a lost, an unreadable or an escaping one, leading into a cycle, or ending early."""
+    k = F.col("c_custkey")
+    p, g = k % 5, F.floor(k / 5) % 6
+    ref = lambda key: F.concat(F.lit("evaluation/n/"), key.cast("string"), F.lit(".json"))
+    to = (F.when((g == 2) & (p == 4), ref(k - 2)).when((g == 4) & (p == 1), F.concat(F.lit("evaluation/../"), "c_custkey", F.lit(".json")))
+          .when((g == 5) & (p == 1) | (p == 4), F.lit(None)).otherwise(ref(k + 1)))
+    text = F.when((g == 3) & (p == 2), '{"a":1,"a":2}').otherwise(F.to_json(F.struct(F.struct(to.alias("ref")).alias("next"))))
+    docs = I.table(spark, d, "customer").filter(~((g == 1) & (p == 3))).select(ref(k).alias("ref"), text.alias("text"))
+    roots = I.table(spark, d, "customer").filter(p == 0).select(ref(k).alias("ref"))
+    return B.reference_closure(docs, roots, ["/next/ref"]).select("ref", F.coalesce("code", F.lit("")).alias("code"))
+
+
 # ---------------------------------------------------------------- files and sinks
 
 @query("file_manifest")

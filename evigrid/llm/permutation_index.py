@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order. Blocks of vectors post their rows in one inverted file per pivot,
-with the place the pivot has. A query reads the files of its own pivots, ranks the rows by the footrule distance of
-the two orders, and only the best of each block are measured with the original vectors.
+with the place the pivot has. A query reads the files of its own pivots and ranks the rows they hold by the footrule distance of
+the two orders. How near an order has to be is set once per query, over the whole index, from a sample of its vectors; only rows at least as near are
+measured with the original vectors. So the result depends on no block or partition.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,15 +39,30 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.argsort(far, axis=1, kind="stable")[:, :length]
 
 
-def build(rows: DataFrame, n_pivots: int = 256, length: int = 64, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """The index of all vectors, as a stored table with one row per block, and its pivots.
+class Frame(NamedTuple):
+    """What an index is read with: its pivots, the places of the pivots in the orders of sampled vectors, the number of vectors, the orders' length."""
+
+    pivots: np.ndarray
+    places: np.ndarray
+    rows: int
+    length: int
+
+
+def build(rows: DataFrame, n_pivots: int = 1024, length: int = 64, block: int = 2048, sample: int = 4096, key: str = "vec_id",
+          vector: str = "embedding") -> tuple[DataFrame, Frame]:
+    """The index of all vectors, as a stored table with one row per block, and what it is read with.
 
-    Pivots are ``n_pivots`` vectors, the first by md5 of the id. A block row has ``ids`` (ascending), ``vectors`` (flat), and the
+    Sampled are at most ``sample`` vectors, the first by md5 of the id; the first ``n_pivots`` of them are the pivots. A block row has ``ids`` (ascending), ``vectors`` (flat), and the
     inverted files one after the other: ``starts`` of each pivot's file, ``rows`` and ``places`` of its postings.
     """
     vectors = vectors_of(rows, key, vector)
-    first = vectors.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary"))).limit(n_pivots).collect()
-    pivots = np.unique(np.array([r["vector"] for r in first], float), axis=0) if first else np.empty((0, 0))
+    first = vectors.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary"))).limit(sample).collect()
+    some = np.array([r["vector"] for r in first], float) if first else np.empty((0, 0))
+    pivots = np.unique(some[:n_pivots], axis=0)
+    order = orders(some, pivots, length).astype(np.int64) if first else np.empty((0, 0), np.int64)
+    places = np.full((len(some), len(pivots)), length, np.int16)
+    if first:
+        np.put_along_axis(places, order, np.arange(order.shape[1], dtype=np.int16)[None, :].repeat(len(some), 0), 1)
 
     def post(batches):
         import pyarrow as pa
@@ -65,30 +83,36 @@ def build(rows: DataFrame, n_pivots: int = 256, length: int = 64, block: int = 2
 
     blocks = vectors.select("vec_id", "vector").mapInArrow(
         post, "ids array<long>, vectors array<double>, starts array<int>, rows array<int>, places array<short>")
-    return store(blocks, "ann-index"), pivots
+    index = store(blocks, "ann-index")
+    return index, Frame(pivots, places, index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0], length)
 
 
-def search(index: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int = 10, length: int = 64, rerank: float = 0.35, least: int = 64,
-           at_once: int = 4096, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(index: DataFrame, frame: Frame, queries: DataFrame, k: int = 10, rerank: float = 16.0, at_once: int = 4096, key: str = "vec_id",
+           vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (Euclidean distance): the ``k`` nearest found of each query.
 
-    Queries are taken ``at_once`` at a time; those and the pivots go to every task, which keeps the best ``k`` of each query over its
-    blocks. Of a block the ``rerank`` share (``least`` rows at least) with the smallest footrule distance is measured, ties by
-    smaller id, so a small index is searched whole. The query's own id is no candidate; ties in the result go to the smaller id; invalid
-    queries give no rows; an empty index gives an empty result.
+    About ``rerank`` times the square root of the number of vectors are measured per query, over the whole index: those whose order is at least as
+    near the query's by footrule as that share of the sampled ones, all of equal distance included. With 256 vectors or fewer that is
+    every one. Queries are taken ``at_once`` at a time; those and the pivots go to every task, which keeps the best ``k`` of each
+    query over its blocks. The query's own id is no candidate; ties in the result go to the smaller id; invalid queries give no rows; an
+    empty index gives an empty result.
     """
     spark = index.sparkSession
-    asked = store(vectors_of(queries, key, vector), "ann-queries")
+    asked = vectors_of(queries, key, vector).select("vec_id", "vector")
+    if not len(frame.pivots):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = store(asked.mapInArrow(lambda batches: _bounds(batches, frame, rerank), "vec_id long, vector array<double>, bound int"), "ann-queries")
     pieces = -(-asked.count() // at_once) or 1
     results = None
     for piece in range(pieces):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)) == piece).orderBy("vec_id").collect()  # about at_once rows
-        if not mine or not len(pivots):
+        if not mine:
             continue
         q = np.array([r["vector"] for r in mine], float)
-        sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in mine]), q, orders(q, pivots, length)))
-        part = index.mapInArrow(lambda batches, sent=sent: _nearest(batches, *sent.value, k, length, rerank, least),
-                                "query_id long, vec_id long, score double")
+        if q.shape[1] != frame.pivots.shape[1]:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in mine]), q, orders(q, frame.pivots, frame.length), np.array([r["bound"] for r in mine])))
+        part = index.mapInArrow(lambda batches, sent=sent: _nearest(batches, *sent.value, k, frame.length), "query_id long, vec_id long, score double")
         results = part if results is None else results.unionByName(part)
     if results is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -96,8 +120,31 @@ def search(index: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int = 10
     return results.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _nearest(batches, q_ids, q, q_order, k, length, rerank, least):
-    """The best ``k`` of every query over the blocks of one task."""
+def _bounds(batches, frame: Frame, rerank: float):
+    """The gain (see ``_nearest``) that a row needs to be measured, of each query."""
+    import pyarrow as pa
+
+    size = len(frame.places)
+    share = min(1.0, rerank / max(frame.rows, 1) ** 0.5)
+    wanted = min(size, max(16, int(np.ceil(share * size))))  # a sample tells no smaller share
+    for batch in batches:
+        bounds = []
+        for vector in batch.column(1).to_pylist():
+            v = np.array([vector], float)
+            if wanted == size or v.shape[1] != frame.pivots.shape[1]:
+                bounds.append(0)
+                continue
+            order = orders(v, frame.pivots, frame.length)[0]
+            gain = np.minimum(frame.length - frame.places[:, order], frame.length - np.arange(len(order))).sum(axis=1)
+            bounds.append(int(np.partition(gain, size - wanted)[size - wanted]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bounds, pa.int32())], ["vec_id", "vector", "bound"])
+
+
+def _nearest(batches, q_ids, q, q_order, bounds, k, length):
+    """The best ``k`` of every query over the blocks of one task.
+
+    The gain of a row is the sum, over shared pivots, of the smaller distance to the list's end; footrule distance is a constant less twice the gain.
+    """
     import pyarrow as pa
 
     best_d = np.full((len(q_ids), k), np.inf)
@@ -108,15 +155,15 @@ def _nearest(batches, q_ids, q, q_order, k, length, rerank, least):
             flat = flat.reshape(len(ids), -1)
             if flat.shape[1] != q.shape[1]:
                 continue
-            n = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
+            ends = (length - places).astype(np.int16)
             for i in range(len(q_ids)):
-                if n < len(ids):
-                    # Footrule distance = constant - 2 * sum over shared pivots of the smaller distance to the list's end.
-                    files = [slice(starts[p], starts[p + 1]) for p in q_order[i]]
-                    own_end = np.repeat(length - np.arange(len(files)), [f.stop - f.start for f in files])
-                    their_end = length - np.concatenate([places[f] for f in files])
-                    gain = np.bincount(np.concatenate([rows[f] for f in files]), np.minimum(own_end, their_end), len(ids))
-                    near = np.argsort(-gain, kind="stable")[:n]  # ids ascend, so ties go to the smaller
+                if bounds[i] > 0:
+                    files = [(starts[p], starts[p + 1]) for p in q_order[i]]
+                    own_end = np.repeat(np.arange(length, length - len(files), -1, dtype=np.int16), [e - s for s, e in files])
+                    gain = np.bincount(np.concatenate([rows[s:e] for s, e in files]), np.minimum(own_end, np.concatenate([ends[s:e] for s, e in files])), len(ids))
+                    near = np.flatnonzero(gain >= bounds[i])
+                    if not len(near):
+                        continue
                 else:
                     near = np.arange(len(ids))
                 d = np.sqrt(((flat[near] - q[i]) ** 2).sum(axis=1))

@@ -51,8 +51,8 @@ def op5_html_extraction(spark, sf_dir):
 @query
 def op6_nearest_neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    index, pivots = permutation_index.build(rows)
-    return permutation_index.search(index, pivots, rows.where(F.col("vec_id") % 100 == 0))
+    index, frame = permutation_index.build(rows)
+    return permutation_index.search(index, frame, rows.where(F.col("vec_id") % 100 == 0))
 
 
 @query

@@ -74,3 +74,21 @@ def test_odd_vectors(spark):
     assert got[0] == [(1, 1, 1.0), (2, 2, pytest.approx(2 ** 0.5))] and set(got) == {0, 1, 2}
     assert search(df.limit(0), df.limit(0)) == {} and search(df, df.limit(0)) == {}
     assert search(df.where("vec_id = 0"), df.where("vec_id = 0")) == {}
+
+
+def test_result_and_recall_under_any_partitioning(spark):
+    """The same rows in other partitions and blocks: the same result, and at least nine in ten of the true neighbours."""
+    rng = np.random.default_rng(4)
+    for n in (2500, 9000):
+        centres = rng.normal(size=(10, 64)) * 0.3
+        ids, v = np.arange(n), (centres[rng.integers(0, 10, n)] + rng.normal(size=(n, 64)))
+        df = table(spark, ids, v)
+        asked = df.where("vec_id % 100 = 0")
+        results = []
+        for rows, block in ((df, 2048), (df.repartition(7, "vec_id"), 300)):
+            index, frame = P.build(rows, block=block)
+            results.append(sorted(map(tuple, P.search(index, frame, asked).collect())))
+        assert results[0] == results[1] and frame.rows == n
+        want = exact(ids, v, range(0, n, 100))
+        found = {q: {r[2] for r in results[0] if r[0] == q} for q in want}
+        assert sum(len(found[q] & {w[1] for w in want[q]}) for q in want) >= 0.9 * 10 * len(want)

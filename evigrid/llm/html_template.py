@@ -50,14 +50,27 @@ def attributes(tag: str) -> dict[str, str]:
     return given
 
 
+#: Degrees of being set aside: in the header of an article, whose title stays; anywhere else.
+HEADER, OFF = 1, 2
+
+
+def set_aside(given: dict[str, str], by_name: bool = True) -> bool:
+    """Whether an element's attributes say that it is not article text: hidden, a role, or with ``by_name`` its class or id."""
+    if "hidden" in given or given.get("role", "").lower() in ASIDE_ROLES:
+        return True
+    mark = f"{given.get('class', '')} {given.get('id', '')}"
+    return by_name and bool(mark.strip() and ASIDE_NAME.search(mark))
+
+
 def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, int]]:
     """Text blocks in page order as (path, inside content, set aside, text), and how often each element path occurs."""
     blocks, elements = [], {}
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, inside content, set aside
+    stack: list[tuple[str, str, bool, int]] = []  # tag, path, inside content, set aside (see OFF)
     text: list[str] = []
+    skip: tuple[str, int, int] | None = None  # an inline element set aside: tag, how often it is open, blocks open around it
 
     def here():
-        return stack[-1] if stack else ("", "", False, False)
+        return stack[-1] if stack else ("", "", False, 0)
 
     def flush():
         words = "".join(text)
@@ -67,15 +80,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, i
         words = " ".join(words.split())
         if words:
             _, path, inside, aside = here()
-            blocks.append((path, inside, aside, words))
+            blocks.append((path, inside, aside > 0, words))
 
     at, size = 0, len(page)
     while at < size:
         m = MARKUP.search(page, at)
+        if not skip:
+            text.append(page[at:m.start()] if m else page[at:])
         if not m:
-            text.append(page[at:])
             break
-        text.append(page[at:m.start()])
         at = m.end()
         closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
@@ -84,12 +97,20 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, i
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
+            elif skip:
+                if tag == skip[0]:
+                    n = skip[1] + (-1 if closing else 1)
+                    skip = (tag, n, skip[2]) if n else None
+            elif not closing and tag not in VOID and rest and set_aside(attributes(rest)):
+                skip = (tag, 1, len(stack))
             continue
         if closing:
             if any(s[0] == tag for s in stack):
                 flush()
                 while stack.pop()[0] != tag:
                     pass
+                if skip and len(stack) < skip[2]:  # the block around an unclosed inline element ends it
+                    skip = None
             continue
         if tag in RAW and not rest.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
@@ -114,14 +135,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, i
             _, path, inside, aside = here()
         given = attributes(rest) if rest else {}
         names = given.get("class", "").split()
-        role = given.get("role", "").lower()
-        mark = f"{given.get('class', '')} {given.get('id', '')}"
-        body, main = tag in ("html", "body"), tag in CONTENT or role == "main"
-        named = not main and bool(mark.strip() and ASIDE_NAME.search(mark))
-        off = not body and (tag in ASIDE or "hidden" in given or role in ASIDE_ROLES or named)
+        body, main = tag in ("html", "body"), tag in CONTENT or given.get("role", "").lower() == "main"
+        off = OFF if not body and (tag in ASIDE or set_aside(given, not main)) else 0
+        if tag == "header" and inside and not set_aside(given):
+            off = HEADER
+        elif tag == "h1" and aside == HEADER:  # the title stands in the article's header
+            aside = 0
         path = f"{path}>{tag}" + "".join(sorted("." + n for n in names))
         elements[path] = elements.get(path, 0) + 1
-        stack.append((tag, path, inside or main, aside or off))
+        stack.append((tag, path, inside or main, max(aside, off)))
     flush()
     return blocks, elements
 

@@ -107,3 +107,18 @@ def test_attributes_by_whole_name():
     for tag in kept + gone:
         assert [b[2] for b in H.blocks_of(f"<body>{tag}Text")[0]] == [tag in gone], tag
     assert H.attributes(' CLASS="a b" id=c checked data-id="d" width = 4') == {"class": "a b", "id": "c", "checked": "", "data-id": "d", "width": "4"}
+
+
+def test_inline_elements_and_headers_of_articles():
+    from evigrid.llm.html_template import slots_of
+
+    def texts(page):
+        return [t for _, t, _ in slots_of(page)[0]]
+
+    assert texts('<article><p>Hi <span class="advert">Buy <span>it</span> now</span>there <span hidden>secret</span> <b class="x">you</b></p></article>') == ["Hi there you"]
+    assert texts('<article><p>a <span class="ads">b <p>c</p></article><p>d') == ["a"]  # unclosed: ends with the block around it
+    assert texts('<p>a <span class="ads">b</p><p>c</p>') == ["a", "c"]
+    assert texts('<p>a <img class="ads">b<br class="ads">c <a role="navigation">x</a></p>') == ["a b c"]
+    assert texts("<article><header><h1>Title</h1><p>by me</p></header><p>x</p></article>") == ["Title", "x"]
+    assert texts('<article><header class="banner"><h1>Title</h1></header><p>x</p></article>') == ["x"]
+    assert texts("<header><h1>Site</h1></header><article><nav><h1>n</h1></nav><p>x</p></article>") == ["x"]

@@ -56,6 +56,27 @@ def test_ratio_and_split():
     assert len(hashed_ngrams("ab", 3, 8)) == 1 and len(hashed_ngrams("abcd", 3, 8)) == 2 and len(hashed_ngrams("", 3, 8)) == 0
 
 
+def test_threshold_of_all_rows(spark):
+    rng = random.Random(5)
+    for size, digits in ((400, 1), (400, 6), (3, 1)):
+        rows = [(int(rng.random() < 0.6), round(rng.gauss(0, 1), digits)) for _ in range(size)] + [(1, 0.5), (0, -0.5)]
+        good, bad = ([s for y, s in rows if y == k] for k in (1, 0))
+        rated = spark.createDataFrame(rows, "y int, score double").repartition(4)
+        assert Q.threshold(rated) == Q.split_point(good, bad)
+    assert Q.threshold(spark.createDataFrame([(1, 0.5)], "y int, score double")) == -np.inf
+
+
+def test_every_label_counts(spark):
+    # 4,050 labelled good documents: each of their buckets is in the trusted side, however their keys hash.
+    rows = [(i, f"w{i:05d}") for i in range(4050)]
+    texts = spark.createDataFrame([(1, t) for _, t in rows] + [(0, "other"), (None, "none"), (1, None)], "y int, text string")
+    target, raw = Q.bucket_counts(texts, 3, 8)
+    assert target.sum() == 4 * 4050 and raw.sum() == 4 * 4050 + 3 + 2
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.score for r in Q.assess(docs(spark, rows), labels, bits=8).collect()}
+    assert all(abs(s) < 1e-12 for s in out.values())  # the trusted side is the corpus, so no bucket differs
+
+
 def test_odd_documents(spark):
     df = docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

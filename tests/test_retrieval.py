@@ -187,3 +187,56 @@ def test_failure_retrieval(spark):
     assert ("pointer_not_found", "post_pager") not in said
     plain = R.failure_retrieval(failures, terms, context, cases(spark, [{k: v for k, v in c.items() if k in ("id", "terms")} for c in CORPUS]))
     assert plain.knowledge_gate.count() == 0 and not any(r.gate_applied for r in plain.diagnosis.collect())
+
+
+def scored_cases(spark, n=60):
+    words = ["page", "rows", "total", "more", "cursor", "next", "amount"]
+    rows = [{"id": f"c{i}", "terms": [words[j % 7] for j in range(i, i + 2 + i % 5)], "features": {"method": "GET" if i % 2 else "POST"}} for i in range(n)]
+    asked = spark.createDataFrame([(q, w) for q in range(4) for w in words[q:q + 3]], "query_id int, term string")
+    return rows, R.corpus_tokens(cases(spark, rows)), asked
+
+
+def test_pairs_stay_with_their_case(spark, tmp_path, monkeypatch):
+    rows, corpus, asked = scored_cases(spark)
+    spark.createDataFrame([(q, {"method": "GET"}, "nope") for q in range(4)],
+                          "query_id int, query_features map<string,string>, error_code string").write.parquet(f"{tmp_path}/context")
+    context = spark.read.parquet(f"{tmp_path}/context")
+    scores = R.bm25_scores(asked, corpus)
+    got = {(r.query_id, r.case_id): r.score for r in scores.collect()}
+    lists, terms = {c["id"]: c["terms"] for c in rows}, {}
+    for q, w in asked.collect():
+        terms.setdefault(q, []).append(w)
+    want = {(q, c): round(s, 9) for q, t in terms.items() for c, s in brute(lists, t).items() if set(t) & set(lists[c])}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+    gates = R.retrieve(asked, context, corpus).gates
+    for plan in (scores._jdf.queryExecution().executedPlan().toString(), gates._jdf.queryExecution().executedPlan().toString()):
+        assert "hashpartitioning(query_id" not in plan and "SortMergeJoin" not in plan
+    assert gates.count() == sum(s > 0 for s in got.values())
+    # Tasks grow in number with the pairs, not in size.
+    monkeypatch.setattr(R, "PAIRS", 20)
+    assert "hashpartitioning(case_id" in (plan := R.bm25_scores(asked, corpus)._jdf.queryExecution().executedPlan().toString()) and ", 12)" in plan
+    assert {(r.query_id, r.case_id): r.score for r in R.bm25_scores(asked, corpus).collect()} == got
+
+
+def test_rankings_share_an_index(spark, tmp_path, monkeypatch):
+    from evigrid.workloads import retrieval as Q
+
+    docs = [(i, f"page rows w{i % 5} total{i % 3} more", ["en", "fr", "de"][i % 3]) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"rows w{i} more") for i in range(4)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    built, build = [], R.build_index
+    monkeypatch.setattr(R, "build_index", lambda *a: built.append(1) or build(*a))
+    assert Q.retrieval_metrics(spark, str(tmp_path)).count() == 3 and len(built) == 1
+    assert Q.code_hits(spark, str(tmp_path)).count() == 2 and len(built) == 2
+
+
+def test_diagnosis_stores_structures(spark, tmp_path, monkeypatch):
+    from evigrid.workloads import retrieval as Q
+
+    rows = [(c, c * 100 + i, 1.5 + i, "O") for c in range(10) for i in range(7)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    seen, ranked = [], R.retrieve
+    monkeypatch.setattr(R, "retrieve", lambda terms, context, *a, **k: seen.append(terms.inputFiles() + context.inputFiles()) or ranked(terms, context, *a, **k))
+    assert {r.source_id for r in Q.failure_diagnosis(spark, str(tmp_path)).collect()} == {1, 2, 3, 4, 5, 6}
+    assert seen and seen[0] and not [f for f in seen[0] if "orders.parquet" in f]

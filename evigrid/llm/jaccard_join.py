@@ -18,6 +18,8 @@ from .common import slices, store
 ORDER_BITS, SHORT = 18, 4
 #: A block of a list; longer ones are split.
 BLOCK = 1000
+#: Sets and members of a piece of a component; larger components are counted piece by piece. Members in at most RARE sets are counted pair by pair.
+PIECE, PIECE_MEMBERS, RARE = 1000, 1 << 20, 16
 
 
 def shingles(text: str, n: int = 3) -> np.ndarray:
@@ -261,6 +263,27 @@ def _list_pairs(entries: DataFrame, sets: DataFrame, percent: int, which: Column
             .select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct())
 
 
+def _roots(raw: DataFrame, sets: DataFrame, entries: DataFrame, n: int, percent: int) -> DataFrame:
+    """``set`` and ``root`` (one per component) of all sets that link with another one."""
+    # Their most central sets, those with the fewest rarer shingles in front, answer first.
+    leads = entries.groupBy("shingle").agg(F.min(F.struct("place", "set", "n")).alias("lead"), F.count("*").alias("many")).select(
+        "shingle", "lead.*", "many")
+    star = (entries.alias("x").join(leads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") != F.col("y.set"))
+                                    & room("x", "y", percent)).select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct())
+    links = similar(plausible(star, sets, percent), raw, n, percent, "text")
+    roots = store(components(links), "join-roots")
+
+    # What the first answers left open: pairs of a list in different components. A list's lead has met
+    # all others, so lists of two are done.
+    rest = entries.join(leads.where("many > 2").select("shingle", F.col("set").alias("lead")), "shingle").where("set <> lead")
+    rest = rest.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).select("shingle", "set", "n", "place", "root")
+    rest = store(rest, "join-rest")
+    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    open_pairs = _list_pairs(rest.join(mixed, "shingle"), sets, percent, F.col("x.root") != F.col("y.root"))
+    links = links.unionByName(similar(plausible(open_pairs, sets, percent), raw, n, percent, "text"))
+    return store(components(links), "join-roots")
+
+
 def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All links between different sets: ``a`` < ``b`` (numbers of the sets), one row per pair with 100 * intersection >= ``percent`` * union.
 
@@ -270,11 +293,101 @@ def jaccard_links(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "do
     return similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
 
 
-def _with_links(documents: DataFrame, links: DataFrame) -> DataFrame:
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of ``sets`` (each sorted, without repeats) as a matrix; the diagonal is not filled."""
+    m = len(sets)
+    ids, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    many = np.diff(np.append(starts, len(ids)))
+    column = np.repeat(np.arange(len(many)), many)
+    rare = many[column] <= RARE
+    found, at, of = np.zeros(m * m, np.float32), column[rare], owner[rare]
+    for d in range(1, min(RARE, int(many.max()))):
+        both = at[d:] == at[:-d]
+        if both.any():
+            found += np.bincount(of[:-d][both] * m + of[d:][both], minlength=m * m).astype(np.float32)
+    found = found.reshape(m, m)
+    found += found.T
+    common = np.flatnonzero(many > RARE)
+    for k in range(0, len(common), 4096):
+        wide = np.zeros((m, min(4096, len(common) - k)), np.float32)
+        for j, c in enumerate(common[k:k + 4096]):
+            wide[owner[starts[c]:starts[c] + many[c]], j] = 1
+        found += wide @ wide.T
+    return found
+
+
+def _piece_counts(batches, percent):
+    """Links of the sets of a piece, or between two pieces, of a component; rows of one (root, low, high) follow each other."""
+    import pyarrow as pa
+
+    def counted(rows):
+        numbers, parts, low, high, copies, members = zip(*rows, strict=True)
+        size = np.array([len(x) for x in members], np.float64)
+        shared = overlaps(list(members)).astype(np.float64)
+        linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        np.fill_diagonal(linked, False)
+        if low[0] != high[0]:  # inside of a piece is counted by its own rows
+            part = np.array(parts)
+            linked &= part[:, None] != part[None, :]
+        return numbers, (linked @ np.array(copies, np.int64)).tolist()
+
+    def out(numbers, others):
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(others, pa.int64())], ["set", "others"])
+
+    here, rows, numbers, others = None, [], [], []
+    for batch in slices(batches):
+        lists = batch.column("members")
+        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        columns = [batch.column(c).to_pylist() for c in ("root", "low", "high", "set", "part", "copies")]
+        for i, (root, low, high, no, part, copies) in enumerate(zip(*columns, strict=True)):
+            if (root, low, high) != here:
+                if len(rows) > 1:
+                    found = counted(rows)
+                    numbers += found[0]
+                    others += found[1]
+                here, rows = (root, low, high), []
+                if len(numbers) > 4096:
+                    yield out(numbers, others)
+                    numbers, others = [], []
+            rows.append((no, part, low, high, copies, flat[ends[i]:ends[i + 1]].copy()))
+    if len(rows) > 1:
+        found = counted(rows)
+        numbers += found[0]
+        others += found[1]
+    yield out(numbers, others)
+
+
+def _other_links(roots: DataFrame, rows: DataFrame, sets: DataFrame, raw: DataFrame, n: int, percent: int) -> DataFrame:
+    """(set, others): the rows of other sets that the sets of ``roots`` (set, root) link with.
+
+    Linked sets have one root, so the sets of a component are compared with each other, whole sets, no pair left out. They
+    meet piece by piece inside tasks, and only counts per set come out: a component of m sets in k pieces makes m * k rows, not m * m.
+    """
+    spark = raw.sparkSession
+    if not roots.head(1):
+        return spark.createDataFrame([], "set long, others long")
+    sized = roots.join(sets.select("set", "n"), "set").groupBy("root").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(PIECE), F.sum("n") / F.lit(PIECE_MEMBERS))).cast("int").alias("pieces"))
+    large = store(sized.where("pieces > 1"), "join-large")
+    wanted = spark.sparkContext.broadcast(bitmap(roots.select("set")))
+    members = raw.select("text").mapInArrow(lambda batches: _members(batches, n, wanted.value), "set long, members array<long>").dropDuplicates(["set"])
+    pieces = F.coalesce("pieces", F.lit(1))
+    placed = (members.join(roots, "set").join(rows, "set").join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("set"), pieces).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1))))
+    placed = placed.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "set", "part", "copies", "members")
+    # By a key, so that a component's piece is in one partition; sorted, so that it is held alone.
+    placed = placed.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    counts = placed.mapInArrow(lambda batches: _piece_counts(batches, percent), "set long, others long")
+    return counts.groupBy("set").agg(F.sum("others").alias("others"))
+
+
+def _with_links(documents: DataFrame, roots: DataFrame, sets: DataFrame, raw: DataFrame, n: int, percent: int) -> DataFrame:
     """``documents`` with words and ``n_links``: the other rows of their set and of the sets it links with."""
     rows = store(documents.where("n > 0").groupBy("set").agg(F.count("*").alias("copies")), "join-copies")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(rows.select(F.col("set").alias("b"), "copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("copies").alias("others"))
+    others = _other_links(roots, rows, sets, raw, n, percent)
     per_set = store(rows.join(others, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "join-counts")
     return documents.where("n > 0").join(per_set, "set")
 
@@ -282,20 +395,19 @@ def _with_links(documents: DataFrame, links: DataFrame) -> DataFrame:
 def link_counts(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``n_links``, the number of other rows it links with, those with an equal set included."""
     raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
-    links = similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
-    full = _with_links(documents, links).select("key", "n_links")
+    roots = _roots(raw, sets, entries, n, percent)
+    full = _with_links(documents, roots, sets, raw, n, percent).select("key", "n_links")
     return full.unionByName(documents.where("n = 0").select("key", F.lit(0).cast("long").alias("n_links"))).select(F.col("key").alias(key), "n_links")
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``jaccard_classes`` with ``n_links``, the number of other rows a document links with, those with an equal set included.
 
-    Every link between different sets is found and counted; classes come from the same links. Rows without words have 0 links.
+    Every link between different sets is found and counted, inside the classes. Rows without words have 0 links.
     """
     raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
-    links = similar(plausible(_list_pairs(entries, sets, percent, F.lit(True)), sets, percent), raw, n, percent, "text")
-    roots = store(components(links), "join-roots")
-    full = store(_with_links(documents, links).join(roots, "set", "left").select("key", "n", F.coalesce("root", "set").alias("root"), "n_links"), "join-rooted")
+    roots = _roots(raw, sets, entries, n, percent)
+    full = store(_with_links(documents, roots, sets, raw, n, percent).join(roots, "set", "left").select("key", "n", F.coalesce("root", "set").alias("root"), "n_links"), "join-rooted")
     first = store(full.groupBy("root").agg(F.min("key").alias("component_id")), "join-first")  # stored, so that a hot class can be split
     out = full.join(first, "root").select("key", "n", "component_id", "n_links")
     alone = documents.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
@@ -311,23 +423,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "
     empty result; other columns are ignored. Keys are whole numbers.
     """
     raw, documents, sets, entries = _indexed(docs, n, percent, key, text)
-    # Their most central sets, those with the fewest rarer shingles in front, answer first.
-    leads = entries.groupBy("shingle").agg(F.min(F.struct("place", "set", "n")).alias("lead"), F.count("*").alias("many")).select(
-        "shingle", "lead.*", "many")
-    star = (entries.alias("x").join(leads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set") != F.col("y.set"))
-                                    & room("x", "y", percent)).select(F.col("y.set").alias("a"), F.col("x.set").alias("b")).distinct())
-    links = similar(plausible(star, sets, percent), raw, n, percent, "text")
-    roots = store(components(links), "join-roots")
-
-    # What the first answers left open: pairs of a list in different components. A list's lead has met
-    # all others, so lists of two are done.
-    rest = entries.join(leads.where("many > 2").select("shingle", F.col("set").alias("lead")), "shingle").where("set <> lead")
-    rest = rest.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")).select("shingle", "set", "n", "place", "root")
-    rest = store(rest, "join-rest")
-    mixed = rest.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    open_pairs = _list_pairs(rest.join(mixed, "shingle"), sets, percent, F.col("x.root") != F.col("y.root"))
-    links = links.unionByName(similar(plausible(open_pairs, sets, percent), raw, n, percent, "text"))
-    roots = store(components(links), "join-roots")
+    roots = _roots(raw, sets, entries, n, percent)
 
     # Documents without words link with nothing and stay out of the joins.
     full = documents.where("n > 0").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))

@@ -126,3 +126,27 @@ def test_all_links_against_all_pairs(spark, seed, monkeypatch):
     links = J.jaccard_links(df).collect()
     assert len(links) == len(set(links)) == sum(bool(linked(x, y, len(x & y))) for i, x in enumerate(distinct) for y in distinct[:i])
     assert all(r.a < r.b for r in links)
+
+
+def test_overlaps_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for m, universe in ((2, 40), (30, 60), (60, 100_000)):
+        sets = [np.unique(rng.integers(-universe, universe, rng.integers(1, 80))) for _ in range(m)]
+        found = J.overlaps(sets)
+        assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(m) for j in range(m) if i != j)
+
+
+@pytest.mark.parametrize("pieces", [1, 7])
+def test_links_of_a_large_family_are_no_rows(spark, pieces, monkeypatch):
+    """Links of a family are counted per set: no table has a row per pair."""
+    m, stored = 210, []
+    monkeypatch.setattr(J, "PIECE", -(-m // pieces))
+    keep = J.store
+    monkeypatch.setattr(J, "store", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*base[:i % 290], f"x{i}", *base[i % 290 + 1:]]) for i in range(m)] + ["alone"]
+    rows = [(i, texts[i % len(texts)]) for i in range(len(texts) + 3)]  # three equal texts
+    got = {r.doc_id: r for r in J.jaccard_join(docs(spark, rows).repartition(3)).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == [0 if i == m else m + 2 for i in range(len(rows))]
+    assert {r.component_id for r in got.values()} == {0, m}
+    assert all(df.count() < m * (m - 1) / 4 for df in stored if {"a", "b"} <= set(df.columns))

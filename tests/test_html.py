@@ -1,7 +1,10 @@
 """HTML extraction: lists with detail pages, chains of any length, odd markup."""
 
+import os
 from urllib.parse import urljoin
 
+from pyspark.sql import functions as F
+
 from evigrid.functions import markup as M
 from evigrid.functions.urls import join_url
 from evigrid.operators import html as H, validate as V
@@ -97,3 +100,16 @@ def test_links_and_outline(spark):
     assert H.dom_outline(page).count() == 150
     out = H.dom_outline(page, limit=100).collect()
     assert len(out) == 100 and all("late" not in r.attributes for r in out)
+
+
+def test_stored_parse_is_dealt_over_tasks(spark):
+    """Documents that come from one small split are parsed by many tasks, with the rows of a plain parse."""
+    plan = HtmlPlan("li", {"name": HtmlField("b"), "more": HtmlField("i", source="detail")}, "a", "a.next")
+    pages = [(f"http://example.com/{i}", "".join(f"<li><b>{i} {k}</b><a href='/{k}'>x</a>" for k in range(i % 4)) + "<i>end</i><a class=next href=/n>n</a>")
+             for i in range(300)]
+    documents = spark.createDataFrame(pages, "url string, html string").coalesce(1)
+    stored = H.parse_stored(documents, plan)
+    assert len({os.path.basename(r[0]).split("-")[1] for r in stored.select(F.input_file_name()).distinct().collect()}) > 4
+    of = lambda df: sorted(df.selectExpr("to_json(struct(*))").collect())
+    assert of(stored) == of(H.parse_documents(documents, plan))
+    assert stored.where("n_nodes = 0").first()["detail_values"] == {"more": "end"}

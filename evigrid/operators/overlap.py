@@ -16,6 +16,7 @@ from ..functions.json_values import (as_array, as_object, as_text, canonical_jso
                                      set_digest, type_tag)
 from ..functions.texts import is_sensitive
 from ..functions.walks import nested_subtrees, structures
+from ..session import cut_lineage
 from .collect import first_match
 
 # Signal names, strong ones first.
@@ -150,26 +151,46 @@ def compare(pairs: DataFrame, left: Column, right: Column) -> DataFrame:
         F.size("_subtrees").alias("shared_subtrees"), hashed("_subtrees").alias("subtree_digest"))
 
 
+def _held_elsewhere(views: DataFrame) -> DataFrame:
+    """The signal keys whose digest some split other than the largest holds, stored.
+
+    A digest of two splits is always one of them, so no pair is lost; where the other splits are small, their digests are sent to all tasks and the
+    keys of the largest split, mostly its own, are neither shuffled nor worked out again.
+    """
+    keys = signal_keys(views)
+    largest = views.where("split IS NOT NULL").groupBy("split").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "split").first()
+    # Written before the join, so that its size is known there.
+    wanted = cut_lineage(keys.where(F.col("split") != F.lit(largest and largest["split"])).select("signal", "digest").distinct())
+    return cut_lineage(keys.join(wanted, ["signal", "digest"], "left_semi"))
+
+
 def overlap_pairs(views: DataFrame, block: int = 1000) -> DataFrame:
     """Cross-split pairs with at least one signal, with counts and digests as evidence.
 
     Everything about a pair is told by the digests it shares, so pairs are grouped hits of one join on digests and no
-    view travels with them. One side of a digest is dealt into chunks of about ``block`` members and meets the other side chunk by chunk,
-    so a hot digest is spread over many tasks. Views must have unique, non-empty ids (``checked_views``).
+    view travels with them. Two splits of a digest meet: the larger side is dealt into chunks of about ``block`` members and meets the other one chunk
+    by chunk, so a hot digest is spread over many tasks and no more rows are compared than there are pairs. Views must have unique, non-empty ids (``checked_views``).
     """
-    keys = signal_keys(views)
-    shared = keys.groupBy("signal", "digest").agg(
-        F.ceil(F.count("*") / block).cast("int").alias("chunks"), F.min("split").alias("_a"), F.max("split").alias("_b")
-    ).filter("_a <> _b").select("signal", "digest", "chunks")
-    members = keys.join(shared, ["signal", "digest"])
-    left = members.withColumn("chunk", F.pmod(F.xxhash64("case_id"), F.col("chunks")).cast("int")).alias("l")
-    right = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("r")
-    same = F.lit(True)
-    for c in ("signal", "digest", "chunk"):
-        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    hits = left.join(right, same & (F.col("l.split") != F.col("r.split")) & (F.col("l.case_id") < F.col("r.case_id"))).select(
-        F.col("l.case_id").alias("left_case_id"), F.col("r.case_id").alias("right_case_id"), "l.signal", "l.digest",
-        F.col("l.records").alias("left_records"), F.col("r.records").alias("right_records"))
+    keys = _held_elsewhere(views)
+    sizes = keys.groupBy("signal", "digest", "split").agg(F.count("*").alias("n"))
+    low, high = (sizes.select("signal", "digest", F.col("split").alias(x), F.col("n").alias(f"n_{x}")) for x in ("low", "high"))
+    larger = F.greatest("n_low", "n_high")
+    meets = cut_lineage(low.join(high, ["signal", "digest"]).where("low < high").select(
+        "signal", "digest", "low", "high", (F.col("n_low") == larger).alias("low_dealt"), F.ceil(larger / block).cast("int").alias("chunks")))
+    key = ["signal", "digest", "low", "high", "chunk"]
+
+    def side(name, dealt, of):
+        """Members of one split of every two that meet: in one chunk each where they are dealt, else in all."""
+        own = F.pmod(F.xxhash64("case_id"), F.col("chunks")).cast("int")
+        chunks = F.when(dealt, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+        rows = keys.withColumnRenamed("split", name).join(meets, ["signal", "digest", name])
+        return rows.select(*key[:-1], F.explode(chunks).alias("chunk"), F.struct(F.col("case_id").alias("id"), "records").alias(of))
+
+    # Members of one split never meet each other.
+    both = side("low", F.col("low_dealt"), "l").join(side("high", ~F.col("low_dealt"), "h"), key).where("l.id <> h.id")
+    first, last = F.least("l", "h"), F.greatest("l", "h")  # by id
+    hits = both.select(first["id"].alias("left_case_id"), last["id"].alias("right_case_id"), "signal", "digest",
+                       first["records"].alias("left_records"), last["records"].alias("right_records"))
     of = lambda s: F.when(F.col("signal") == s, F.col("digest"))
     pairs = hits.groupBy("left_case_id", "right_case_id").agg(
         F.collect_set("signal").alias("_hit"), F.count(of(W1)).cast("int").alias("shared_records"),

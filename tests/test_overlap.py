@@ -135,3 +135,14 @@ def test_refused_ids_and_leak_guard(spark):
     assert {r.code for r in bad.collect()} == {"duplicate_case_id"} and good.count() == 3
     with pytest.raises(ValueError, match="leak_guard_violation"):
         O.assert_public(df)
+
+
+def test_keys_of_one_split_alone_are_not_kept(spark):
+    """Of 300 cases in one split and 2 in another only digests that both hold are joined; families of one split never meet."""
+    _, df = random_views(spark, 1, 3)
+    case = lambda i, split, family: (f"c{i:03d}", split, family, f"sig{i}", None, [f"r{i}"], [f"p{i}"], [], f"comp{i}", None, None, "none")
+    rows = [case(i, "large", "hot" if i % 2 else "own") for i in range(300)] + [case(300, "small", "hot"), case(301, "tiny", "hot")]
+    views = spark.createDataFrame(rows, df.schema)
+    assert O._held_elsewhere(views).filter("split = 'large'").count() == 150
+    assert O.overlap_pairs(views, block=40).count() == 150 + 150 + 1
+    assert O.overlap_pairs(views.filter("split = 'large'")).count() == 0 == O.overlap_pairs(views.limit(0)).count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.json_values import as_object, as_text, digest, type_tag
+from ..session import cut_lineage
 
 FLAGS = ("collector_exported", "collector_execution_success", "collector_matches_internal_result")
 
@@ -94,16 +95,19 @@ def compare_results(left: DataFrame, right: DataFrame, left_rows: DataFrame, rig
     def facts(rows, side):
         members = as_object(F.col("document"))
         key = F.try_element_at(members, F.lit(unique_key))
-        first = rows.groupBy("task_id").agg(
-            F.count("*").alias(f"{side}_n"),
-            F.min_by(F.sort_array(F.map_entries(F.transform_values(members, lambda k, v: type_tag(v)))), "ordinal").alias(f"{side}_types"))
-        keys = rows.groupBy("task_id", F.concat_ws(":", type_tag(key), as_text(key)).alias("k")).agg(F.count("*").alias("c"))
-        return first.join(keys.groupBy("task_id").agg((F.max("c") == 1).alias(f"{side}_unique")), "task_id")
+        types = F.sort_array(F.map_entries(F.transform_values(members, lambda k, v: type_tag(v))))
+        # Numbers alone are added up over all rows, which needs no sorting; the types are read of first rows only.
+        keys = rows.groupBy("task_id", F.concat_ws(":", type_tag(key), as_text(key)).alias("k")).agg(F.count("*").alias("c"), F.min("ordinal").alias("o"))
+        sizes = cut_lineage(keys.groupBy("task_id").agg(F.sum("c").alias(f"{side}_n"), (F.max("c") == 1).alias(f"{side}_unique"), F.min("o").alias("ordinal")))
+        heads = rows.join(sizes.select("task_id", "ordinal"), ["task_id", "ordinal"], "left_semi").select("task_id", types.alias("types"))
+        heads = cut_lineage(heads.groupBy("task_id").agg(F.min("types").alias(f"{side}_types")))
+        return sizes.drop("ordinal").join(heads, "task_id", "left")
 
     signed = left_rows.select("task_id", digest(F.col("document")).alias("d"), F.lit(1).alias("s")).unionByName(
         right_rows.select("task_id", digest(F.col("document")).alias("d"), F.lit(-1).alias("s")))
-    same = signed.groupBy("task_id", "d").agg(F.sum("s").alias("s")).groupBy("task_id").agg(
-        F.bool_and(F.col("s") == 0).alias("records"))
+    # Stored like the facts, so that no task holds the tables of several of these steps at once.
+    same = cut_lineage(signed.groupBy("task_id", "d").agg(F.sum("s").alias("s")).groupBy("task_id").agg(
+        F.bool_and(F.col("s") == 0).alias("records")))
     a = left.select("task_id", *[F.col(c).alias(f"l_{c}") for c in ("pages", "completeness", "expected_total")])
     b = right.select("task_id", *[F.col(c).alias(f"r_{c}") for c in ("pages", "completeness", "expected_total")], F.lit(True).alias("_there"))
     df = a.join(b, "task_id", "left").join(facts(left_rows, "l"), "task_id", "left").join(

@@ -10,6 +10,7 @@ from evigrid.operators import contracts as C, paging as P, repair as R, scoring
 from evigrid.plans.specs import ExtractionPlan
 from evigrid.sources import documents as D, sinks
 from evigrid.streaming import jobs as ST
+from evigrid.workloads import inputs as I
 
 
 def hot_events(spark, n=400, seed=1):
@@ -171,6 +172,19 @@ def test_scores(spark):
     assert out == {1: (True, True), **{t: (False, False) for t in range(2, 7)}}
 
 
+def test_result_sets_are_compared_by_first_rows_and_counts(spark):
+    """Types come from the first row of a task; null places, repeated keys and tasks without rows on one side."""
+    rows = [(1, 1, '{"id":1,"a":1}'), (1, 2, '{"id":2,"a":"x"}'), (2, 1, '{"id":1}'), (2, 2, '{"id":1}'), (3, None, '{"id":1}'), (4, 1, '{"id":1}')]
+    other = [(1, 2, '{"id":1,"a":1}'), (1, 1, '{"id":2,"a":"x"}'), (2, 1, '{"id":1}'), (2, 2, '{"id":1}'), (3, None, '{"id":1}')]
+    load = lambda r: spark.createDataFrame(r, "task_id long, ordinal long, text string").select("task_id", "ordinal", F.parse_json("text").alias("document"))
+    tasks = spark.createDataFrame([(t, 1, "complete", 2) for t in (1, 2, 3, 4, 5)], "task_id long, pages int, completeness string, expected_total long")
+    got = {r.task_id: (r.record_count, r.field_types, r.unique_keys, r.records, r.matches) for r in S.compare_results(tasks, tasks, load(rows), load(other), "id").collect()}
+    assert got == {1: (True, False, True, True, False), 2: (True, True, False, True, False), 3: (True, True, True, True, True),
+                   4: (False, False, True, False, False), 5: (True, True, True, True, True)}
+    rows = spark.range(100).withColumn("k", F.col("id") % 7)
+    assert I.dealt(rows, "k", most=10).rdd.getNumPartitions() == 10
+
+
 def test_documents_sinks_and_contracts(spark, tmp_path):
     refs = ["evaluation/a.json", "evaluation/a/b.json", "evaluation/../x", "evaluation//x", "/evaluation/x", "evaluation/a/", "evaluation/./x", "evaluation/a:b", "other/x"]
     df = spark.createDataFrame([(r, "{}") for r in refs], "ref string, text string")

@@ -14,12 +14,12 @@ import hashlib
 import regex
 from pyspark.sql import DataFrame
 
-from .common import worker_memory
+from .common import slices, worker_memory
 
 #: Pieces of at most so many bytes are merged directly; windows below it need no tree either.
 LEAF = 24
-#: Words whose ids one worker remembers, and their longest length in characters; a full memory is emptied, which changes no result.
-REMEMBERED, LONGEST = 600_000, 64
+#: Words whose ids one worker remembers, half of them in each of two generations, and their longest length in characters.
+REMEMBERED, LONGEST = 150_000, 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -34,6 +34,7 @@ class TreeCodec:
         self.ranks, self.words = ranks, regex.compile(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def leaf(self, data: bytes) -> list[bytes]:
         """Direct merging of a short piece: again and again the lowest-ranked adjacent pair, leftmost first."""
@@ -73,21 +74,23 @@ class TreeCodec:
         return level[0] if level else []
 
     def word(self, word: str) -> tuple[int, ...]:
-        data = word.encode()
-        if (rank := self.ranks.get(data)) is not None:
-            ids = (rank,)
-        else:
-            ids = tuple(self.ranks[t] for t in self.tree(data))
+        """The ids of a word that the younger generation does not know. A full one replaces the older, so words in use are kept."""
+        if (ids := self.older.get(word)) is None:
+            data = word.encode()
+            if (rank := self.ranks.get(data)) is not None:
+                ids = (rank,)
+            else:
+                ids = tuple(self.ranks[t] for t in self.tree(data))
         if len(word) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED // 2:
+                self.known, self.older = {}, self.known
             self.known[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
+        out: list[int] = []
         for word in self.words.findall(text):
-            out += known.get(word) or self.word(word)
+            out += self.known.get(word) or self.word(word)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -119,7 +122,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
         import pyarrow as pa
 
         codec = codec_here()
-        for batch in batches:
+        for batch in slices(batches, 128):
             ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
@@ -136,7 +139,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None, pattern:
         import pyarrow as pa
 
         codec = codec_here()
-        for batch in batches:
+        for batch in slices(batches, 128):
             data = [codec.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [key, "data"])
 
@@ -158,7 +161,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
 
         codec = codec_here()
         names = {i: str(i) for i in codec.tokens}
-        for batch in batches:
+        for batch in slices(batches, 128):
             counts, sent, back = [], [], []
             for t in batch.column(1).to_pylist():
                 ids = codec.encode(t or "")

@@ -14,7 +14,7 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import labelled_sample, sample_rows
+from .common import labelled_sample, sample_rows, slices
 
 WORDS = regex.compile(r"\p{L}+")
 PARTS = (3, 4, 5)
@@ -214,17 +214,20 @@ def grade(docs: DataFrame, model: Model | None, limit: float = 0.5, key: str = "
         import pyarrow as pa
 
         m, chosen = model, Chosen(set(model.weights) - set(LEVELS) if model else ())  # at most a few thousand weights travel with the function
-        for batch in batches:
+        for batch in slices(batches):
             severity, grades, rejected = [], [], []
-            for t in batch.column(1).to_pylist():
+            texts = batch.column(1).field(at) if carry else batch.column(1)
+            for t in texts.to_pylist():
                 chances = m.at_least(chosen.of(t)[0]) if m and m.weights and t else []
                 severity.append(math.fsum(chances))
                 grades.append(sum(p >= 0.5 for p in chances))
                 rejected.append(bool(chances) and chances[0] > limit)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity, pa.float64()), pa.array(grades, pa.int32()), pa.array(rejected, pa.bool_()),
-                                              *batch.columns[2:]], ["key", "severity", "grade", "rejected", "row"][:4 + carry])
+                                              *batch.columns[1:1 + carry]], ["key", "severity", "grade", "rejected", "row"][:4 + carry])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    # A carried row brings the text along; it travels once.
+    at = docs.columns.index(text) if carry else 0
+    rows = docs.select(F.col(key).alias("key"), F.struct("*").alias("row") if carry else F.col(text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     out = rows.mapInArrow(rate, f"key {kinds['key']}, severity double, grade int, rejected boolean" + (f", row {kinds['row']}" if carry else ""))
     return out.withColumnRenamed("key", key)

@@ -84,3 +84,14 @@ def test_long_words_are_not_remembered():
         assert codec.encode(f"say {blob}") == TIKTOKEN.encode_ordinary(f"say {blob}")
     assert max(map(len, counter.known)) <= 64 and max(map(len, codec.known)) <= 64
     assert len(counter.known) == len(codec.known) == 1
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    """A full memory drops words not met lately and keeps the others; ids are those of the library all along."""
+    import evigrid.llm.bpe_monoid as module
+    monkeypatch.setattr(module, "REMEMBERED", 20)
+    codec = TreeCodec(RANKS, public_tokenizers.PATTERN)
+    for i in range(200):
+        text = f" often wörd{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        assert codec.encode(text) == TIKTOKEN.encode_ordinary(text)
+        assert " often" in {**codec.known, **codec.older} and len(codec.known) + len(codec.older) <= 20

@@ -7,6 +7,7 @@ import random
 from evigrid.operators.collect import run_collection
 from evigrid.plans.specs import ExtractionPlan, FieldSpec
 from evigrid.streaming import jobs as ST
+from evigrid.streaming.integrity import Sources
 
 PLAN = ExtractionPlan("req_001", "/items", {"sku": "/sku", "title": "/title", "amount": "/amount"}, "sku", has_next_pointer="/more", total_pointer="/total")
 SCHEMA = "source_id long, page_no int, body string"
@@ -72,3 +73,28 @@ def test_pages_wait_and_silent_sources_end(spark, tmp_path):
     view = [[(k, r["count"], r.waiting, r.closed, r.completeness) for k, r in sorted(s.items())] for s in seen]
     assert view == [[(1, 2, 1, False, "partial"), (2, 1, 0, False, "partial")], [(1, 2, 0, True, "partial"), (2, 2, 0, False, "partial")],
                     [(1, 2, 0, True, "partial"), (2, 3, 0, False, "partial")]]
+
+
+def test_a_closed_source_leaves_no_state():
+    """Keys and waiting pages are dropped where there are any, by the last page or by silence; nothing else is asked of the state."""
+    class Part:
+        def __init__(self, value=None):
+            self.value, self.calls = value, 0
+
+        def get(self):
+            return self.value
+
+        def clear(self):
+            self.calls += 1
+
+    def forgets(page, waiting, code):
+        p = Sources(["id"], set(), {}, None, None, None)
+        p.pending, p.keys = Part(), Part()
+        run = {"next": page + 1, "waiting": waiting, "code": code, "alarm": None}
+        p._forget(run)
+        assert run["waiting"] == 0
+        return p.pending.calls, p.keys.calls
+
+    assert forgets(1, 0, "stop") == (0, 0)
+    assert forgets(2, 0, "stop") == (0, 1) and forgets(1, 3, "invalid_total") == (1, 0)
+    assert forgets(1, 2, None) == (1, 1)  # silent after its first page

@@ -36,8 +36,10 @@ def assemble_cases(documents: DataFrame, case_refs: DataFrame, families: DataFra
     """Cases with oracle, fixture, labels and family: equi joins on references.
 
     ``documents``: ref, document. ``case_refs``: ref. ``families``: id, split, signature (VARIANT).
-    A reference without document leaves a NULL document.
+    A reference without document leaves a NULL document. Both tables have a row per file, far more than their estimate
+    tells where they are unfolded from stored bundles, so the joins are by shuffle: no task holds all references of a side.
     """
+    documents, families = documents.hint("merge"), families.hint("merge")
     cases = case_refs.join(documents, "ref", "left").withColumnRenamed("ref", "case_ref").withColumnRenamed("document", "case")
     get = lambda p: as_text(pointer_get(F.col("case"), p))
     cases = cases.select("case_ref", "case", get("/id").alias("case_id"), get("/split").alias("split"), get("/family_id").alias("family_id"),

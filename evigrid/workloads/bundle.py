@@ -115,8 +115,9 @@ UNION ALL SELECT 'evaluation/lost/' || source_id || '.json', 'unindexed' FROM so
 UNION ALL SELECT 'evaluation/inputs/' || source_id || '.json', 'missing' FROM sources WHERE source_id%12=2""")
 def unindexed_assets(spark, d):
     docs, manifest, _ = documents(spark, d)
-    extra = docs.select("ref").join(manifest, "ref", "left_anti").withColumn("state", F.lit("unindexed"))
-    return extra.unionByName(manifest.select("ref").join(docs, "ref", "left_anti").withColumn("state", F.lit("missing")))
+    docs, manifest = docs.select("ref").hint("merge"), manifest.select("ref").hint("merge")  # a row per file each, more than their estimates tell
+    extra = docs.join(manifest, "ref", "left_anti").withColumn("state", F.lit("unindexed"))
+    return extra.unionByName(manifest.join(docs, "ref", "left_anti").withColumn("state", F.lit("missing")))
 
 
 @query("union_inventory", SEQ + """

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from evigrid.session import cut_lineage
 from evigrid.sources import bundles as B, documents as D
 
 
@@ -112,3 +113,24 @@ def test_loading_by_references(spark, tmp_path):
     assert got == {"a": (None, True), "b": (None, True), "c": (None, True), "f": cyclic, "d": cyclic, "e": cyclic, "self": cyclic, "g": (None, True),
                    "../x": lost, "gone": lost, "bad": ("invalid_json", False)}
     assert B.reference_closure(texts, roots.limit(0), ["/two"]).isEmpty()
+
+
+def test_assembled_references_are_joined_by_shuffle(spark):
+    """No side of the reference joins is sent whole to every task, however small its estimate; repeats and nulls stay as they are."""
+    texts = {f"evaluation/{kind}/{i}.json": '{"rows":[]}' for kind in ("oracles", "inputs", "labels") for i in range(5)}
+    for i in range(6):  # the last names an oracle that is not there
+        texts[f"evaluation/cases/{i}.json"] = json.dumps({"id": f"c{i}", "split": "development", "family_id": f"f{i % 3}", "retrieval_labels": {}, **{
+            part: {"ref": f"evaluation/{part}s/{i}.json".replace("fixtures", "inputs")} for part in ("oracle", "fixture")}})
+    rows = [*texts.items(), ("evaluation/oracles/1.json", '{"rows":[1]}'), (None, "{}")]
+    docs = cut_lineage(spark.createDataFrame(rows, "ref string, text string").select("ref", F.parse_json("text").alias("document")))
+    refs = spark.createDataFrame([(f"evaluation/cases/{i}.json",) for i in range(6)] + [("evaluation/cases/none.json",)], "ref string")
+    families = spark.createDataFrame([(f"f{i}", "development") for i in range(2)], "id string, split string").withColumn("signature", F.parse_json(F.lit("null")))
+    families = cut_lineage(families)
+    cases = D.assemble_cases(docs, refs, families)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (cases, D.referenced_paths(cases))]
+    assert all("BroadcastHashJoin" not in p and p.count("SortMergeJoin") == 5 for p in plans)
+    got = cases.groupBy("case_id").agg(F.count("*").alias("n"), F.count("oracle").alias("oracles"), F.count("family_split").alias("known")).collect()
+    assert {r.case_id: (r.n, r.oracles, r.known) for r in got} == {
+        None: (1, 0, 0), "c0": (1, 1, 1), "c1": (2, 2, 2), "c2": (1, 1, 0), "c3": (1, 1, 1), "c4": (1, 1, 1), "c5": (1, 0, 0)}
+    paths = {r.ref for r in D.referenced_paths(cases).collect()}
+    assert paths == {None, "evaluation/cases/none.json", *(f"evaluation/{k}/{i}.json" for k in ("cases", "oracles", "inputs") for i in range(6))}

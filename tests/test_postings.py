@@ -105,3 +105,18 @@ def test_empty_corpus_and_disabled(spark, corpus, asked):
     assert R.retrieve(*asked, none).ranked.count() == 0
     off = R.retrieve(*asked, corpus, enabled=False)
     assert off.ranked.count() == 0 and off.audit.count() == 0
+
+
+def test_audit_searches_once(spark, corpus, asked, monkeypatch):
+    """Both rankings of an audit come from one search, whether wanted rows are sent to the postings or shuffled; cases are dealt by block, once."""
+    calls = []
+    monkeypatch.setattr(R, "search", lambda *a, **k: calls.append(1) or P.search(*a, **k))
+    stats = R.cut_lineage(R.corpus_stats(corpus))
+    audits = []
+    for few in (P.FEW, 0):
+        monkeypatch.setattr(P, "FEW", few)
+        audits.append(sorted(map(repr, R.retrieve(*asked, corpus, stats=stats).audit.collect())))
+    assert audits[0] == audits[1] and len(audits[0]) > 50 and len(calls) == 2
+    placed = corpus.withColumns({"profile": F.col("case_id") % 2, "bucket": F.col("case_id") % 3})
+    plan = R.term_parts(asked[0], placed, stats, ("profile", "bucket"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(profile" in plan and "hashpartitioning(case_id" not in plan

@@ -231,6 +231,17 @@ def test_rankings_share_an_index(spark, tmp_path, monkeypatch):
     assert Q.code_hits(spark, str(tmp_path)).count() == 2 and len(built) == 2
 
 
+def test_metrics_count_every_item(spark, tmp_path):
+    """Each item has one document of its own; the good ones are those of the items 0 and 5."""
+    from evigrid.workloads import retrieval as Q
+
+    spark.createDataFrame([(i, f"word{i} of case", "de") for i in range(10)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"word{i}") for i in range(10)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(10)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r["group"]: tuple(r)[1:] for r in Q.retrieval_metrics(spark, str(tmp_path)).collect()}
+    assert out["bm25"] == (10, 0.2, 0.2, 0.2) and len(out) == 3
+
+
 def test_diagnosis_stores_structures(spark, tmp_path, monkeypatch):
     from evigrid.workloads import retrieval as Q
 

@@ -7,7 +7,7 @@ import random
 from evigrid.operators.collect import run_collection
 from evigrid.plans.specs import ExtractionPlan, FieldSpec
 from evigrid.streaming import jobs as ST
-from evigrid.streaming.integrity import Sources
+from evigrid.streaming.integrity import Blocks, Sources, _rules
 
 PLAN = ExtractionPlan("req_001", "/items", {"sku": "/sku", "title": "/title", "amount": "/amount"}, "sku", has_next_pointer="/more", total_pointer="/total")
 SCHEMA = "source_id long, page_no int, body string"
@@ -98,3 +98,75 @@ def test_a_closed_source_leaves_no_state():
     assert forgets(1, 0, "stop") == (0, 0)
     assert forgets(2, 0, "stop") == (0, 1) and forgets(1, 3, "invalid_total") == (1, 0)
     assert forgets(1, 2, None) == (1, 1)  # silent after its first page
+
+
+class Shared(dict):
+    """A map of the state that counts its calls."""
+    calls = 0
+
+    def getValue(self, key):
+        Shared.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        Shared.calls += 1
+        self[key] = value
+
+    def containsKey(self, key):
+        Shared.calls += 1
+        return key in self
+
+    def removeKey(self, key):
+        Shared.calls += 1
+        self.pop(key, None)
+
+
+class Handle:
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, *schemas):
+        return self.maps.setdefault(name, Shared())
+
+
+def facts(page, last, key=None):
+    return json.dumps({"no_node": False, "no_list": False, "n": 3, "total": 3 * last, "total_type": "integer", "more_type": "boolean", "more": str(page < last).lower(),
+                       "types": [[{"t": "integer", "pos": 0}]], "keys": [f"integer:{3 * page + i}" for i in range(2)] + [key or f"integer:{3 * page + 2}"]})
+
+
+def block(batches):
+    """(newest summary per source, maps left, calls per batch) of batches of (source, page, facts) that share one block."""
+    handle, latest, calls = Handle(), {}, []
+    for rows in batches:
+        p = Blocks("bigint", ["id"], set(), _rules(["id"], set(), ()), None, None)
+        p.init(handle)
+        Shared.calls = 0
+        latest |= {r.source_id: r for r in p.handleInputRows((7,), [(*r, 7) for r in rows], None)}
+        calls.append(Shared.calls)
+    return latest, {k: v for k, v in handle.maps.items() if v and k != "runs"}, calls
+
+
+def test_a_source_of_a_block_costs_two_calls():
+    pages = [(s, p) for s in range(50) for p in range(1, 6)]
+    batches = [[(s, p, facts(p, 5)) for s, p in pages if p % 2 == k] for k in (0, 1)]
+    latest, left, calls = block(batches)
+    assert {(r["count"], r.pages, r.completeness, r.closed, r.waiting) for r in latest.values()} == {(15, 5, "complete", True, 0)} and len(latest) == 50
+    assert calls == [100, 100] and not left
+
+
+def test_long_sources_keep_entries_of_their_own(monkeypatch):
+    """Keys and waiting pages beyond those held with their source are found again, and dropped when it ends."""
+    from evigrid.streaming import integrity as G
+
+    rng = random.Random(3)
+    for held_keys, held_pages in ((0, 0), (4, 2), (256, 64)):
+        monkeypatch.setattr(G, "HELD_KEYS", held_keys)
+        monkeypatch.setattr(G, "HELD_PAGES", held_pages)
+        rows = [(s, p, facts(p, 8, "integer:4" if s == 2 and p == 7 else None)) for s in range(4) for p in range(1, 9) if (s, p) != (3, 6)]
+        rng.shuffle(rows)
+        rows = [r for r in rows if r[:2] != (1, 1)] + [r for r in rows if r[:2] == (1, 1)]
+        latest, left, _ = block([rows[k:k + 5] for k in range(0, len(rows), 5)])
+        got = {s: (r.status, r.error_code, r["count"], r.waiting, r.closed) for s, r in latest.items()}
+        assert got == {0: ("succeeded", None, 24, 0, True), 1: ("succeeded", None, 24, 0, True), 2: ("failed", "duplicate_id", 0, 0, True),
+                       3: ("succeeded", None, 15, 2, False)}
+        assert {k[0] for m in left.values() for k in m} == ({3} if held_keys < 15 else set())

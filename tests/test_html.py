@@ -1,12 +1,13 @@
 """HTML extraction: lists with detail pages, chains of any length, odd markup."""
 
 import os
+import random
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
 from evigrid.functions import markup as M
-from evigrid.functions.urls import join_url
+from evigrid.functions.urls import checked_url, join_url, url_parts
 from evigrid.operators import html as H, validate as V
 from evigrid.plans.specs import FieldSpec, HtmlField, HtmlPlan, TargetPolicy
 
@@ -113,3 +114,43 @@ def test_stored_parse_is_dealt_over_tasks(spark):
     of = lambda df: sorted(df.selectExpr("to_json(struct(*))").collect())
     assert of(stored) == of(H.parse_documents(documents, plan))
     assert stored.where("n_nodes = 0").first()["detail_values"] == {"more": "end"}
+
+
+def test_plain_documents_are_read_as_by_the_parser():
+    """Documents of plain tokens, which are read several times as fast, give the nodes that the parser gives; all others go to it."""
+    def through(html):
+        builder = M._Builder()
+        builder.feed(html)
+        builder.close()
+        return builder.nodes
+
+    def view(nodes):
+        return [(n.tag, list(n.attrs.items()), n.pos, n.parent.pos, n.text(), [c.pos for c in n.children if not isinstance(c, str)]) for n in nodes]
+
+    parts = ["<p>", "</p>", '<div class="a b">', "</div>", "<a href='/x?y=1'>", "</a>", "<li>", "<ul>", "</ul>", "<br>", "text", " a &amp; b ", "&lt", "<P CLASS=x>", "<td>",
+             "<table>", '<script>var a="</p><b>";</script>', "<script>x<!-- y</script>", "<script>a", "<style>p{}</style>", "<title>a&amp;b</title>", "<title>a<b>c</title>",
+             "<!-- c -->", "<!--x--y-->", "<!DOCTYPE html>", "<", ">", "</ p>", '<a b c="1" b="2">', '<a b="1"c="2">', "<a href=/n>", '<img src="a.png" />', '<a x="&amp;">',
+             "<textarea><p></textarea>", "<option>", "<select>", "<button>", "</button>", "<![CDATA[x]]>", "\n"]
+    rng, plain = random.Random(4), 0
+    for _ in range(4000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        fast = M._parse_plain(html)
+        plain += fast is not None
+        assert view(M.parse(html)) == view(through(html)) and (fast is None or view(fast) == view(through(html))), html
+    assert plain > 500
+    shop = '<!DOCTYPE html><html><head><title>x</title></head><body><script>var a="</p>";</script><article class="row big"><h2> 1</h2><a class=next href="/c/1">n</a></article></body></html>'
+    assert len(M._parse_plain(shop)) == 8
+
+
+def test_link_checks_work_parts_out_once(spark):
+    """Parts of an address are named by many rules; the plan holds each of them a few times, not once a use."""
+    policy = TargetPolicy("public_http", allowlist=(("example.com", True), ("example.org", True)))
+    bases = ["https://a.example.com/x/y", "https://example.com", "HTTPS://a.example.com/", "https://u@a.example.com/", "https://other.net/", "http://a.example.com/", "a b"]
+    hrefs = ["/z", "z", "//example.org/a", "/z?token=1", "/a b", "/#f", "https://a.example.com/z", "", None, "/..", "https://a.example.com.evil.net/"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    links = H.same_origin_links(df, policy)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 60
+    origin = url_parts(F.col("base")).origin
+    near = H.near_link_error(F.col("target"), origin, checked_url(F.concat(origin, F.lit("/")), policy), policy)
+    rows = links.withColumn("near", near).collect()
+    assert all(r.near == r.code for r in rows) and len({r.code for r in rows}) == 6

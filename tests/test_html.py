@@ -2,8 +2,11 @@
 
 import os
 import random
+import subprocess
+import sys
 from urllib.parse import urljoin
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from evigrid.functions import markup as M
@@ -142,6 +145,16 @@ def test_plain_documents_are_read_as_by_the_parser():
     assert len(M._parse_plain(shop)) == 8
 
 
+def test_helper_travels_by_value(tmp_path):
+    """A worker without a copy of the package reads documents all the same."""
+    from evigrid import session  # noqa: F401 - has the package travel by value
+
+    sent = cloudpickle.dumps(lambda html: [n.text() for n in M.select(M.parse(html), "p.state")])
+    told = subprocess.run([sys.executable, "-c", "import sys, pickle; print(pickle.load(sys.stdin.buffer)('<p class=state>one<p>two'))"], input=sent, cwd=tmp_path,
+                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, check=True)
+    assert told.stdout.decode().strip() == "['one']"
+
+
 def test_link_checks_work_parts_out_once(spark):
     """Parts of an address are named by many rules; the plan holds each of them a few times, not once a use."""
     policy = TargetPolicy("public_http", allowlist=(("example.com", True), ("example.org", True)))
